@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -38,11 +39,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/codequarry/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver's next full collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

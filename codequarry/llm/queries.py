@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codequarry.llm import bpe, langid, token_files, topk, toxicity
+from codequarry.llm import bpe, decontam, langid, line_dedup, substring_dedup, token_files, topk, toxicity
 from codequarry.llm.common import table
 
 
@@ -33,6 +33,23 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP2_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35),
+k AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS k FROM s),
+r AS (SELECT k FROM k GROUP BY k HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, i + unnest(range(0, 35)) AS p FROM k WHERE k IN (SELECT k FROM r)),
+g AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id),
+o AS (SELECT w.doc_id, w.w, coalesce(g.gone, []) AS gone FROM w LEFT JOIN g ON w.doc_id = g.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256 FROM o
+"""
+
+
 OP3_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
@@ -45,6 +62,24 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+OP5_SQL = """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+s AS (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM l WHERE len(l) >= 3),
+k AS (SELECT doc_id, i, l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2] AS k FROM s),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM k),
+c AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS p FROM r WHERE n > 1),
+g AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id)
+SELECT l.doc_id, CAST(coalesce(len(l.l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(g.gone), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(l.l, lambda x, i: NOT list_contains(coalesce(g.gone, []), i)), chr(10)), '')) AS kept_sha256
+FROM l LEFT JOIN g ON l.doc_id = g.doc_id
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, remainder("k", 5) != 0)
@@ -52,6 +87,28 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+OP7_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + 12], ' ') AS k
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 11, 2))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+h AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.k = bw.k),
+p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, i + unnest(range(0, n)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AND 20 * coalesce(p.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
+
 @F.arrow_udf(T.LongType())
 def ids_crc32(ids: pa.Array) -> pa.Array:
     flat = np.asarray(ids.values.to_numpy(zero_copy_only=False), dtype="<u4")
@@ -74,8 +131,8 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_topk": op3_topk, "op6_toxicity": op6_toxicity, "op9_token_files": op9_token_files, "op10_langid": op10_langid}
+    return {"op1_bpe": op1_bpe, "op2_substring_dedup": op2_substring_dedup, "op3_topk": op3_topk, "op5_line_dedup": op5_line_dedup, "op6_toxicity": op6_toxicity, "op7_decontam": op7_decontam, "op9_token_files": op9_token_files, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_topk": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_decontam": OP7_SQL}
