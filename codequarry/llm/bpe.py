@@ -2,20 +2,22 @@
 
 A pre-token's bytes form a linked list of symbols. Every adjacent pair that is a
 known token waits in the bucket of its rank, as the position of its left symbol.
-A bitmap of non-empty buckets, with a bitmap over its words and another over
-those, gives the lowest waiting rank by three find-first-set steps, however
-many ranks there are. A position whose pair has changed since it was queued is
-stale and skipped. A merge costs O(log n) at most, so one pre-token of
-a million bytes is as cheap per byte as a short one.
+A two-level bitmap says which buckets hold anything: one bit per rank in 64-bit
+words, and one bit per word in the root, so two find-first-set steps give the
+lowest waiting rank, and its bucket the leftmost position. A position whose pair
+has changed since it was queued is stale and skipped. A merge costs O(log n) at
+most, so a pre-token of a million bytes is as cheap per byte as a short one.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,61 +28,13 @@ from pyspark.sql import types as T
 
 from codequarry.llm.common import ship, slices, with_fields
 
-#: Pre-tokens kept with their ids by one Python worker; when full, the cache starts anew.
-CACHE = 300_000
-#: Pre-tokens over so many bytes are encoded each time.
-CACHED_BYTES = 64
-
-
-class RankQueue:
-    """Buckets by rank; a tree of 64-bit words says which are not empty."""
-
-    def __init__(self, n_ranks: int):
-        self.levels = []
-        n = max(1, n_ranks)
-        while True:
-            n = (n + 63) >> 6
-            self.levels.append([0] * n)
-            if n == 1:
-                break
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        at = rank
-        for level in self.levels:
-            word, bit = at >> 6, 1 << (at & 63)
-            was = level[word]
-            level[word] = was | bit
-            if was:
-                return
-            at = word
-
-    def pop(self) -> tuple[int, int] | None:
-        """Lowest rank, and its leftmost position; None when nothing waits."""
-        levels = self.levels
-        if not levels[-1][0]:
-            return None
-        at = 0
-        for level in reversed(levels):
-            word = level[at]
-            at = (at << 6) | ((word & -word).bit_length() - 1)
-        bucket = self.buckets[at]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            up = at
-            for level in levels:
-                word = up >> 6
-                level[word] &= ~(1 << (up & 63))
-                if level[word]:
-                    break
-                up = word
-        return at, position
+#: Stretches and pre-tokens kept with their ids by one Python worker; when full, a cache starts anew.
+CACHE = 600_000
+#: Longer ones are encoded each time.
+CACHED_CHARS = 64
+#: Stretches that pre-tokens of word patterns never cross: a word with the blank before it, or white space.
+_STRETCHES = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+").findall
+_OTHER_SPACE = re.compile(r"[^\S \n]").search
 
 
 class Codec:
@@ -92,74 +46,123 @@ class Codec:
             raise ValueError(f"the rank file lacks {len(missing)} of the 256 single bytes")
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        self.words = [0] * ((max(ranks.values()) >> 6) + 1)  # lower level of the bitmap, all zero between calls
+        self.pairs = [ranks.get(bytes([i, j])) for i in range(256) for j in range(256)]
         self.vocabulary: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.vocabulary[rank] = token
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.stretches: dict[str, bytes] = {}
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
+    def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         rank_of = self.ranks.get
         whole = rank_of(piece)
         if whole is not None:
-            return (whole,)
+            return [whole]
         n = len(piece)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        waiting = [-1] * n
-        push, pop = self.queue.push, self.queue.pop
-        for i in range(n - 1):
-            rank = rank_of(piece[i : i + 2])
+        words, pairs = self.words, self.pairs
+        waiting: list[int | None] = [pairs[i << 8 | j] for i, j in pairwise(piece)]
+        waiting.append(None)
+        buckets: dict[int, list[int]] = {}
+        root = 0
+        for i, rank in enumerate(waiting):
             if rank is not None:
-                waiting[i] = rank
-                push(rank, i)
-        while (top := pop()) is not None:
-            rank, i = top
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    word = rank >> 6
+                    words[word] |= 1 << (rank & 63)
+                    root |= 1 << word
+        while root:
+            word = (root & -root).bit_length() - 1
+            low = words[word] & -words[word]
+            rank = (word << 6) + low.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                words[word] ^= low
+                if not words[word]:
+                    root ^= 1 << word
             if waiting[i] != rank:
-                continue
+                continue  # stale
             gone = after[i]
-            end = after[gone]
-            after[i] = end
-            waiting[gone] = -1
+            end = after[i] = after[gone]
+            waiting[gone] = None
             if end < n:
                 before[end] = i
-                new = rank_of(piece[i : after[end]])
-            else:
-                new = None
-            if new is None:
-                waiting[i] = -1
+                new = waiting[i] = rank_of(piece[i : after[end]])
+                if new is not None:
+                    if new in buckets:
+                        heappush(buckets[new], i)
+                    else:
+                        buckets[new] = [i]
+                        word = new >> 6
+                        words[word] |= 1 << (new & 63)
+                        root |= 1 << word
             else:
-                waiting[i] = new
-                push(new, i)
+                waiting[i] = None
             left = before[i]
             if left >= 0:
-                new = rank_of(piece[left:end])
-                if new is None:
-                    waiting[left] = -1
-                else:
-                    waiting[left] = new
-                    push(new, left)
+                new = waiting[left] = rank_of(piece[left:end])
+                if new is not None:
+                    if new in buckets:
+                        heappush(buckets[new], left)
+                    else:
+                        buckets[new] = [left]
+                        word = new >> 6
+                        words[word] |= 1 << (new & 63)
+                        root |= 1 << word
         out = []
         i = 0
         while i < n:
-            out.append(self.ranks[piece[i : after[i]]])
-            i = after[i]
-        return tuple(out)
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        extend, cache = out.extend, self.cache
-        for piece in self.split(text):
+            j = after[i]
+            out.append(self.ranks[piece[i:j]])
+            i = j
+        return out
+
+    def ids_of(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers, pre-token by pre-token."""
+        out = []
+        cache = self.pieces
+        pieces = self.split(text)
+        if len(pieces) == 1:
+            return np.array(self.merge(text.encode("utf-8", "replace")), "<u4").tobytes()
+        for piece in pieces:
             ids = cache.get(piece)
             if ids is None:
-                ids = self.merge(piece.encode("utf-8", "replace"))
-                if len(piece) <= CACHED_BYTES:
+                ids = np.array(self.merge(piece.encode("utf-8", "replace")), "<u4").tobytes()
+                if len(piece) <= CACHED_CHARS:
                     if len(cache) >= CACHE:
                         cache.clear()
                     cache[piece] = ids
-            extend(ids)
-        return out
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str) -> bytes:
+        """As ids_of(), with whole stretches between blanks kept; only for texts whose white space is blanks and \\n."""
+        stretches = _STRETCHES(text)
+        cache = self.stretches
+        if len(cache) >= CACHE:
+            cache.clear()
+        out = []
+        for x in stretches:
+            try:
+                out.append(cache[x])
+            except KeyError:
+                if _OTHER_SPACE(x):
+                    return self.ids_of(text)
+                ids = self.ids_of(x)
+                if len(x) <= CACHED_CHARS:
+                    cache[x] = ids
+                out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
@@ -186,13 +189,9 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(rank_path, pattern)
         for b in slices(batches, text_col):
-            flat: list[np.ndarray] = []
-            ends = [0]
-            for text in b.column(text_col).to_pylist():
-                ids = np.array(own.encode(text) if text else [], dtype=np.int32)
-                flat.append(ids)
-                ends.append(ends[-1] + len(ids))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
+            ids = [own.encode(text) if text else b"" for text in b.column(text_col).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [lists], names=[*kept, ids_col])
 
     return df.mapInArrow(run, schema)
@@ -213,7 +212,10 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", by
         for b in batches:
             for start in range(0, b.num_rows, 500):
                 part = b.slice(start, 500)
-                out = [None if ids is None else own.decode(ids) for ids in part.column(ids_col).to_pylist()]
+                lists = part.column(ids_col)
+                at, ok = lists.offsets.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
+                pieces = list(map(own.vocabulary.__getitem__, lists.values[at[0] : at[-1]].to_numpy(zero_copy_only=False).tolist()))
+                out = [b"".join(pieces[at[i] - at[0] : at[i + 1] - at[0]]) if ok[i] else None for i in range(len(lists))]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(out, pa.binary())], names=[*kept, bytes_col])
 
     return df.mapInArrow(run, schema)
