@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 from codequarry.llm.common import forget, ship, slices, written
 from codequarry.llm.substring_dedup import _lists, mix, word_hashes
 
-#: Tokens below this share of the hash range come first in the order, and are counted.
-COUNTED = 0.2
-LIMIT = int(COUNTED * 2**64)
+#: Tokens in a share of the hash range come first in the order, and are counted: so many times the share that a prefix takes.
+COUNTED = 1.5
 #: Frequent tokens whose counts order the prefixes; fixed, so their broadcast is bounded (16 bytes each).
 FREQUENT, FREQUENT_FROM = 100_000, 4
 #: Bits of the map that says which rows' sets are needed again (2 MB for any corpus).
@@ -51,6 +50,11 @@ def prefix_size(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def counted_below(percent: int) -> int:
+    """Hash below which tokens are counted; at most 45 % of the range, so that it is positive as a signed number."""
+    return int(min(0.45, COUNTED * (100 - percent) / 100 + 0.01) * 2**64)
+
+
 def _components(edges: DataFrame) -> DataFrame:
     """c, label (least c reachable) for the ends of edges a-b: large-star and small-star steps until nothing changes."""
     spark = edges.sparkSession
@@ -84,6 +88,7 @@ def groups(docs: DataFrame, percent: int = 90, n: int = 3, key_col: str = "doc_i
     """
     spark = docs.sparkSession
     ship(spark)
+    limit = counted_below(percent)
     rows = docs.select(F.col(key_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("rh", F.xxhash64("doc_id", "text"))
     kind = dict(rows.dtypes)["doc_id"]
 
@@ -96,7 +101,7 @@ def groups(docs: DataFrame, percent: int = 90, n: int = 3, key_col: str = "doc_i
                 s1.append(d[:8])
                 s2.append(d[8:])
                 sizes.append(len(s))
-                cand.append(s[: max(prefix_size(len(s), percent), int(np.searchsorted(s, np.uint64(LIMIT))))].view(np.int64) if len(s) else s.view(np.int64))
+                cand.append(s[: max(prefix_size(len(s), percent), int(np.searchsorted(s, np.uint64(limit))))].view(np.int64) if len(s) else s.view(np.int64))
             sig = [pa.array(np.frombuffer(b"".join(x), "<i8")) for x in (s1, s2)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rh"), *sig, pa.array(sizes, pa.int64()), _lists(cand, pa.int64())], names=["doc_id", "rh", "s1", "s2", "n", "cand"])
 
@@ -106,7 +111,7 @@ def groups(docs: DataFrame, percent: int = 90, n: int = 3, key_col: str = "doc_i
     classes = written(classes.select(F.monotonically_increasing_id().alias("c"), "s1", "s2", F.col("f.doc_id").alias("least"), F.col("f.rh").alias("rh"), "n", "cand"), "classes")
     members = written(each.select("doc_id", "rh", "s1", "s2", "n"), "members")
     forget(each)
-    counted = classes.select(F.explode("cand").alias("h")).where((F.col("h") >= 0) & (F.col("h") < LIMIT)).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT_FROM)
+    counted = classes.select(F.explode("cand").alias("h")).where((F.col("h") >= 0) & (F.col("h") < limit)).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT_FROM)
     top = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas().sort_values("h")  # FREQUENT rows at most
     frequent = spark.sparkContext.broadcast((top.h.to_numpy(np.int64), top.n.to_numpy(np.int64)))
 
@@ -119,7 +124,7 @@ def groups(docs: DataFrame, percent: int = 90, n: int = 3, key_col: str = "doc_i
             if len(known):
                 where = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                 use = np.where(known[where] == flat, count[where], 0)
-            late = ~((flat >= 0) & (flat < LIMIT))
+            late = ~((flat >= 0) & (flat < limit))
             sizes = b.column("n").to_numpy()
             take = prefix_size(sizes, percent)
             out = []
