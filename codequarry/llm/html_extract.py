@@ -7,8 +7,8 @@ subsequence; what a page shares with the nearest neighbour is the site's frame,
 Structure goes first: what stands in elements for navigation, forms, notices, adverts or
 comments is never text, and where a page marks its article or main element, lines inside it are text even
 if a neighbour repeats them (copies of an article, licence lines), and lines outside are not. So
-differencing decides about pages, and parts of pages, that no element marks. A neighbour that shares half of
-the page's lines or more is a copy of it and says nothing about the frame.
+differencing decides about pages, and parts of pages, that no element marks. A neighbour that shares nothing, or half of
+the lines or more (a copy), says nothing about the frame; then the other side is asked.
 """
 
 from __future__ import annotations
@@ -203,7 +203,7 @@ def extract(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", ht
                     beside = [x for x in (r["before"], r["after"]) if x and x["host"] == r["host"] and x["hashes"]]
                     for x in sorted(beside, key=lambda x: -_near(r["path"], x["path"])):
                         shared = lcs(r["hashes"], x["hashes"])
-                        if len(shared) < copy_share * len(lines):
+                        if 0 < len(shared) < copy_share * len(lines):
                             gone = {i for i in shared if not r["fixed"][i]}
                             break
                     texts.append("\n".join(t for i, t in enumerate(lines) if i not in gone))
