@@ -7,6 +7,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -41,16 +42,22 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver's next full collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the listeners let go of an ended query a little later
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage is cut, lost executors cost nothing."""
+def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: lineage is cut, lost executors cost nothing.
+
+    large: what its plan shuffled is worth deleting at once.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    release(spark)
+    if large:
+        release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

@@ -55,6 +55,38 @@ def counted_below(percent: int) -> int:
     return int(min(0.45, COUNTED * (100 - percent) / 100 + 0.01) * 2**64)
 
 
+def sketch_sizes(n: int, percent: int) -> tuple[int, int]:
+    """(m, M): of a similar pair, all but (100 - percent) % of the first m tokens of either set are among the first M of the other."""
+    most = n - (percent * n + 99) // 100
+    m = min(n, (5 * most) // 2 + 1)
+    return m, min(n, m + (100 * most) // percent + 2)
+
+
+def sketch(s: np.ndarray, percent: int) -> bytes:
+    """The first M tokens under the first of the further orders, in that order, as 16 bits each."""
+    h = s * np.uint64(ORDERS[0])
+    _, most = sketch_sizes(len(s), percent)
+    return (np.sort(np.partition(h, most - 1)[:most] if most < len(h) else h) >> np.uint64(13)).astype("<u2").tobytes()
+
+
+def may_be_similar(x: bytes, y: bytes, nx: int, ny: int, percent: int) -> bool:
+    """False only for pairs that can't reach the similarity: the prefix filter for more than one shared token, under another order.
+
+    An overlap of at least `alpha` leaves x at most nx - alpha tokens that y lacks, so of x's first m tokens at least
+    m - (nx - alpha) are in y, and no further down there than m + (ny - alpha). Equal tokens have equal 16 bits.
+    """
+    alpha = -(-percent * (nx + ny) // (100 + percent))
+    if alpha > min(nx, ny):
+        return False
+    a, b = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+    m = min(sketch_sizes(nx, percent)[0], len(a))
+    reach = m + ny - alpha
+    if reach > len(b) and len(b) < ny:
+        m = max(0, len(b) - (ny - alpha))
+        reach = len(b)
+    return int(np.isin(a[:m], b[:reach]).sum()) >= m - (nx - alpha)
+
+
 def _components(edges: DataFrame) -> DataFrame:
     """c, label (least c reachable) for the ends of edges a-b: large-star and small-star steps until nothing changes."""
     spark = edges.sparkSession
@@ -79,7 +111,7 @@ def _components(edges: DataFrame) -> DataFrame:
     return own.unionByName(roots.select("c", F.col("c").alias("label")))
 
 
-def groups(docs: DataFrame, percent: int = 90, n: int = 3, key_col: str = "doc_id", text_col: str = "text", hubs: int = 4) -> DataFrame:
+def groups(docs: DataFrame, percent: int = 90, n: int = 3, key_col: str = "doc_id", text_col: str = "text", hubs: int = 16) -> DataFrame:
     """doc_id, rh (hash of the row), n_shingles long, component_id: a row per row of docs.
 
     Rows link when 100 * intersection >= percent * union of their shingle sets; component_id is the least doc_id
@@ -94,21 +126,22 @@ def groups(docs: DataFrame, percent: int = 90, n: int = 3, key_col: str = "doc_i
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            s1, s2, sizes, cand = [], [], [], []
+            s1, s2, sizes, cand, sketches = [], [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingles(t, n)
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 s1.append(d[:8])
                 s2.append(d[8:])
                 sizes.append(len(s))
+                sketches.append(sketch(s, percent) if len(s) else b"")
                 cand.append(s[: max(prefix_size(len(s), percent), int(np.searchsorted(s, np.uint64(limit))))].view(np.int64) if len(s) else s.view(np.int64))
             sig = [pa.array(np.frombuffer(b"".join(x), "<i8")) for x in (s1, s2)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rh"), *sig, pa.array(sizes, pa.int64()), _lists(cand, pa.int64())], names=["doc_id", "rh", "s1", "s2", "n", "cand"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rh"), *sig, pa.array(sizes, pa.int64()), _lists(cand, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "rh", "s1", "s2", "n", "cand", "sk"])
 
-    each = written(rows.select("text", "doc_id", "rh").mapInArrow(sets, f"doc_id {kind}, rh long, s1 long, s2 long, n long, cand array<long>"), "sets")
+    each = written(rows.select("text", "doc_id", "rh").mapInArrow(sets, f"doc_id {kind}, rh long, s1 long, s2 long, n long, cand array<long>, sk binary"), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rh"))
-    classes = each.where("n > 0").groupBy("s1", "s2").agg(first.alias("f"), F.first("n").alias("n"), F.first("cand").alias("cand"))
-    classes = written(classes.select(F.monotonically_increasing_id().alias("c"), "s1", "s2", F.col("f.doc_id").alias("least"), F.col("f.rh").alias("rh"), "n", "cand"), "classes")
+    classes = each.where("n > 0").groupBy("s1", "s2").agg(first.alias("f"), F.first("n").alias("n"), F.first("cand").alias("cand"), F.first("sk").alias("sk"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("c"), "s1", "s2", F.col("f.doc_id").alias("least"), F.col("f.rh").alias("rh"), "n", "cand", "sk"), "classes", large=True)
     members = written(each.select("doc_id", "rh", "s1", "s2", "n"), "members")
     forget(each)
     counted = classes.select(F.explode("cand").alias("h")).where((F.col("h") >= 0) & (F.col("h") < limit)).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT_FROM)
@@ -136,8 +169,8 @@ def groups(docs: DataFrame, percent: int = 90, n: int = 3, key_col: str = "doc_i
 
     index = written(classes.select("c", "n", "cand").mapInArrow(prefixes, "h long, c long, n long"), "prefixes")
     shared = index.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    active = written(index.join(shared, "h"), "buckets")
-    light = written(classes.select("c", "s1", "s2", "least", "rh"), "light")
+    active = written(index.join(shared, "h"), "buckets", large=True)
+    light = written(classes.select("c", "s1", "s2", "least", "rh", "n", "sk"), "light")
     forget(index, classes)
     links: DataFrame | None = None
     labels: DataFrame | None = None
@@ -150,10 +183,15 @@ def groups(docs: DataFrame, percent: int = 90, n: int = 3, key_col: str = "doc_i
         if labels:
             pairs = pairs.where("label <> hl")
         pairs = written(pairs.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct(), "pairs")
-        found = written(_verified(rows, light, pairs, percent, n), "found")
+        found = written(_verified(rows, light, pairs, percent, n), "found", large=True)
         forget(pairs)
-        links = found if links is None else written(links.unionByName(found), "all")
-        labels = written(_components(links), "labels")
+        if links is None:
+            links = found
+        elif not found.isEmpty():
+            links = written(links.unionByName(found), "all")
+            labels = None
+        if labels is None:
+            labels = written(_components(links), "labels")
         rest = active.join(chosen.select("h", F.col("hub").alias("c")), ["h", "c"], "left_anti").select("h", "c", "n")
         rest = rest.join(labels, "c", "left").select("h", "c", "n", F.coalesce("label", "c").alias("label"))
         open_ = rest.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
@@ -174,6 +212,16 @@ def groups(docs: DataFrame, percent: int = 90, n: int = 3, key_col: str = "doc_i
 def _verified(rows: DataFrame, light: DataFrame, pairs: DataFrame, percent: int, n: int) -> DataFrame:
     """Those of pairs (a, b) whose sets share prefix tokens under every further order and are similar enough."""
     spark = rows.sparkSession
+    side = lambda c, *names: light.select(F.col("c").alias(c), F.col("n").alias(names[0]), F.col("sk").alias(names[1]))
+
+    def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [may_be_similar(x, y, nx, ny, percent) and may_be_similar(y, x, ny, nx, percent) for x, y, nx, ny in zip(*(b.column(c).to_pylist() for c in ("x", "y", "nx", "ny")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = written(pairs.join(side("a", "nx", "x"), "a").join(side("b", "ny", "y"), "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(sifted, "a long, b long"), "sifted", large=True)
+    if pairs.isEmpty():
+        return pairs
     ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
     needed = written(light.join(ends, "c").select("c", "rh"), "needed")
     slot = F.pmod("rh", F.lit(1 << MAP_BITS))
@@ -196,7 +244,7 @@ def _verified(rows: DataFrame, light: DataFrame, pairs: DataFrame, percent: int,
                 yield pa.RecordBatch.from_arrays([part.column("rh"), _lists([shingles(t, n).view(np.int64) for t in part.column("text").to_pylist()], pa.int64())], names=["rh", "s"])
 
     sets = rows.select("text", "rh").mapInArrow(again, "rh long, s array<long>")
-    sets = written(needed.join(sets, "rh").groupBy("c").agg(F.first("s").alias("s")), "needed-sets")
+    sets = written(needed.join(sets, "rh").groupBy("c").agg(F.first("s").alias("s")), "needed-sets", large=True)
     wide = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +254,7 @@ def _verified(rows: DataFrame, light: DataFrame, pairs: DataFrame, percent: int,
             keep = np.zeros(b.num_rows, bool)
             for i in range(b.num_rows):
                 x, y = fx[ox[i] : ox[i + 1]], fy[oy[i] : oy[i + 1]]
-                for times in ORDERS:
+                for times in ORDERS[1:]:
                     p, q = x * np.uint64(times), y * np.uint64(times)
                     k, m = prefix_size(len(x), percent), prefix_size(len(y), percent)
                     p, q = np.partition(p, k - 1)[:k], np.partition(q, m - 1)[:m]
