@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import text as X
 from codequarry.schemas import DIFF_LINES
+from codequarry.shipping import ship
 
 # Phrases of plans that paper over a mismatch (fixed values).
 FORBIDDEN_PLANS = ["add alias route", "create alias endpoint", "add route alias", "add compatibility shim route", "duplicate route to match", "duplicate endpoint to hide", "hide contract mismatch with alias", "add alias to hide"]
@@ -45,6 +46,7 @@ def _parse(patch_id: str, diff: str | None) -> list[tuple]:
 
 def diff_lines(patches: DataFrame) -> DataFrame:
     """M21: patches (patch_id, unified_diff) as one row per changed or context line; null and malformed diffs give no rows."""
+    ship(patches.sparkSession)
     names = [x.split()[0] for x in DIFF_LINES.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import text as X
 from codequarry.operators import evaluate, graph, patching, report, retrieval
+from codequarry.shipping import ship
 from codequarry.sources import files as src
 from codequarry.sources import parsers, scanners
 from codequarry.streaming import events as ev
@@ -34,6 +35,7 @@ def named(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.schemas import CALLS, SYMBOLS
+from codequarry.shipping import ship
 
 METHODS = ["get", "post", "put", "delete", "patch", "options", "head", "api_route"]
 _JS_IMPORT = re.compile(r"import\s+(?:type\s+)?(?:(?P<default>[\w$]+)\s*,?\s*)?(?:\*\s+as\s+(?P<ns>[\w$]+)|\{(?P<names>[^}]*)\})?\s*(?:from\s*)?['\"](?P<source>[^'\"]+)['\"]")
@@ -173,6 +174,7 @@ def parse(language: str | None, source: str | None) -> tuple[list[tuple], list[t
 
 
 def _rows(files: DataFrame, schema: str, which: int) -> DataFrame:
+    ship(files.sparkSession)
     names = [x.split()[0] for x in re.sub(r"struct<.*>", "s", schema).split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
