@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import atexit
 import gc
-import os
 import shutil
 import tempfile
 import time
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROOT = Path(__file__).resolve().parents[2]
+from codequarry.shipping import ship
+
+__all__ = ["forget", "new_path", "release", "shared_dir", "ship", "slices", "table", "text_hash", "with_fields", "written"]
+
 _own_dir: list[str] = []
-_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,22 +72,6 @@ def forget(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable on executors: sent as a zip unless PYTHONPATH already names it."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    _shipped.add(app)
-    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    where = tempfile.mkdtemp(prefix="codequarry-zip-")
-    atexit.register(shutil.rmtree, where, ignore_errors=True)
-    with zipfile.ZipFile(f"{where}/codequarry_src.zip", "w") as z:
-        for p in (ROOT / "codequarry").rglob("*.py"):
-            z.write(p, p.relative_to(ROOT))
-    spark.sparkContext.addPyFile(f"{where}/codequarry_src.zip")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -273,7 +273,7 @@ def representatives(docs: DataFrame, percent: int = 90, n: int = 3, key_col: str
 
     Rows without a set, rows of groups of null keys, and repeated rows of a kept key stay.
     """
-    found = groups(docs, percent, n, key_col, text_col).where("n_shingles > 0 and doc_id <> component_id").select(F.col("rh").alias("__rh")).distinct()
+    found = groups(docs, percent, n, key_col, text_col).where("n_shingles > 0 and component_id is not null and not (doc_id <=> component_id)").select(F.col("rh").alias("__rh")).distinct()
     out = docs.withColumn("__own", F.xxhash64(key_col, text_col))
     kept = out.join(found, F.col("__own") == F.col("__rh"), "left_anti")
     return kept.drop("__own")

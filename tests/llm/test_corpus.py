@@ -190,9 +190,9 @@ def test_line_dedup_equals_brute_force(spark):
 
 
 def test_levenshtein_automaton():
-    lex = toxicity.Lexicon({"worthless": 2.0, "idiot": 3.0, "lostra*": 1.0})
+    lex = toxicity.Lexicon({"worthless": 2.0, "idiot": 3.0, "lostrang*": 1.0})
     assert lex.match("worthless") == (2.0, 0) and lex.match("wortless") == (2.0, 1) and lex.match("wrothless") is None
-    assert lex.match("idiots") is None and lex.match("lostrabc") == (1.0, 0) and lex.match("lostabc") == (1.0, 1) and lex.match("plain") is None
+    assert lex.match("idiots") is None and lex.match("lostrangbc") == (1.0, 0) and lex.match("lostangbc") == (1.0, 1) and lex.match("plain") is None
     abuse, quote = lex.features("you are an idiot , idiot"), lex.features('he said the word "idiot" once')
     assert abuse[0] > 0 and abuse[1] == 0 and quote[1] > 0 and quote[0] == 0 and lex.features(None) == [0.0] * 6
 
@@ -289,7 +289,7 @@ def test_jaccard_groups_equal_brute_force(spark, corpus, percent, n, hubs):
 
 def test_jaccard_representatives_and_nulls(spark):
     df = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (3, "A b c d"), (9, None), (8, ""), (3, "A b c d")], "doc_id long, text string")
-    assert sorted(str(r["doc_id"]) for r in jaccard.representatives(df).collect()) == ["3", "3", "8", "9", "None"]
+    assert sorted(str(r["doc_id"]) for r in jaccard.representatives(df).collect()) == ["3", "3", "8", "9"]
     assert jaccard.groups(df.limit(0)).count() == 0
 
 
