@@ -28,7 +28,7 @@ from codequarry.llm.common import forget, ship, slices, written
 
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Distinct words a Python worker keeps with their hashes; when full, the cache starts anew.
-CACHE = 1_000_000
+CACHE = 300_000
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -163,7 +163,7 @@ def dedup(docs: DataFrame, length: int = 35, start: int = 18, key_col: str = "do
     kind = dict(rows.dtypes)["doc_id"]
     hashed = rows.select("text", "t1", "t2", "doc_id").mapInArrow(lowest, f"t1 long, t2 long, doc_id {kind}, g array<long>, p array<int>")
     texts = hashed.groupBy("t1", "t2").agg(F.count("*").alias("m"), F.min("doc_id").alias("rep"), F.first(F.struct("g", "p")).alias("x"))
-    texts = written(texts.select("t1", "t2", "m", "rep", "x.g", "x.p", F.monotonically_increasing_id().alias("rid")), "texts")
+    texts = written(texts.select("t1", "t2", "m", "rep", "x.g", "x.p", F.monotonically_increasing_id().alias("rid")), "texts", large=True)
     spots = texts.select("rid", F.explode(F.arrays_zip("g", "p")).alias("x")).select("rid", "x.g", "x.p")
     twice = spots.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     hits = spots.join(twice, "g").groupBy("rid").agg(F.sort_array(F.collect_list("p")).alias("hits"))
@@ -206,7 +206,7 @@ def dedup(docs: DataFrame, length: int = 35, start: int = 18, key_col: str = "do
             )
 
     wide = met.mapInArrow(windows, f"doc_id {kind}, m long, n_words long, done string, text string, s array<int>, h1 array<long>, h2 array<long>")
-    wide = written(wide.withColumn("rid", F.monotonically_increasing_id()), "windows")
+    wide = written(wide.withColumn("rid", F.monotonically_increasing_id()), "windows", large=True)
     forget(texts)
     each = wide.select("rid", F.explode(F.arrays_zip("s", "h1", "h2")).alias("x")).select("rid", "x.s", "x.h1", "x.h2")
     again = each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
