@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from codequarry.shipping import ship
 
-__all__ = ["forget", "new_path", "release", "shared_dir", "ship", "slices", "table", "text_hash", "with_fields", "written"]
+__all__ = ["apart", "forget", "new_path", "release", "shared_dir", "ship", "slices", "table", "text_hash", "with_fields", "written"]
 
 _own_dir: list[str] = []
 
@@ -62,6 +62,11 @@ def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     return out
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df dealt out anew: a join on the key that it was grouped by then shuffles both sides, and Spark can split a hot key's rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables made by written() that no result reads any more."""
     for t in tables:

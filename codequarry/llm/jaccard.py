@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import forget, ship, slices, written
+from codequarry.llm.common import apart, forget, ship, slices, written
 from codequarry.llm.substring_dedup import _lists, mix, word_hashes
 
 #: Tokens in a share of the hash range come first in the order, and are counted: so many times the share that a prefix takes.
@@ -169,7 +169,7 @@ def groups(docs: DataFrame, percent: int = 90, n: int = 3, key_col: str = "doc_i
 
     index = written(classes.select("c", "n", "cand").mapInArrow(prefixes, "h long, c long, n long"), "prefixes")
     shared = index.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    active = written(index.join(shared, "h"), "buckets", large=True)
+    active = written(index.join(apart(shared), "h"), "buckets", large=True)
     light = written(classes.select("c", "s1", "s2", "least", "rh", "n", "sk"), "light")
     forget(index, classes)
     links: DataFrame | None = None
@@ -195,7 +195,7 @@ def groups(docs: DataFrame, percent: int = 90, n: int = 3, key_col: str = "doc_i
         rest = active.join(chosen.select("h", F.col("hub").alias("c")), ["h", "c"], "left_anti").select("h", "c", "n")
         rest = rest.join(labels, "c", "left").select("h", "c", "n", F.coalesce("label", "c").alias("label"))
         open_ = rest.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
-        left = written(rest.join(open_, "h"), "buckets")
+        left = written(rest.join(apart(open_), "h"), "buckets")
         forget(active, chosen)
         active = left
         if active.isEmpty():

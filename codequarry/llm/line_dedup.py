@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import text_hash
+from codequarry.llm.common import apart, text_hash
 
 SIZE = 3
 
@@ -25,7 +25,7 @@ def removals(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -
     rows = lines.select("key", "th", F.explode(windows).alias("x")).select("key", "th", "x.h1", "x.h2", "x.i")
     first = rows.groupBy("h1", "h2").agg(F.min(F.struct("key", "th", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     own = F.struct("key", "th", "i")
-    later = rows.join(first, ["h1", "h2"]).where(~own.eqNullSafe(F.col("first")))
+    later = rows.join(apart(first), ["h1", "h2"]).where(~own.eqNullSafe(F.col("first")))
     return later.groupBy("key", "th").agg(F.collect_set("i").alias("cover"))
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import forget, ship, slices, written
+from codequarry.llm.common import apart, forget, ship, slices, written
 
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Distinct words a Python worker keeps with their hashes; when full, the cache starts anew.
@@ -166,7 +166,7 @@ def dedup(docs: DataFrame, length: int = 35, start: int = 18, key_col: str = "do
     texts = written(texts.select("t1", "t2", "m", "rep", "x.g", "x.p", F.monotonically_increasing_id().alias("rid")), "texts", large=True)
     spots = texts.select("rid", F.explode(F.arrays_zip("g", "p")).alias("x")).select("rid", "x.g", "x.p")
     twice = spots.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    hits = spots.join(twice, "g").groupBy("rid").agg(F.sort_array(F.collect_list("p")).alias("hits"))
+    hits = spots.join(apart(twice), "g").groupBy("rid").agg(F.sort_array(F.collect_list("p")).alias("hits"))
     known = texts.select("t1", "t2", "m", "rep", "rid").join(hits, "rid", "left").drop("rid")
     met = rows.join(known.withColumnsRenamed({"t1": "k1", "t2": "k2"}), (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")))
     # only one row of a repeated text brings it along, unless it is short: then nothing goes from any
@@ -210,7 +210,7 @@ def dedup(docs: DataFrame, length: int = 35, start: int = 18, key_col: str = "do
     forget(texts)
     each = wide.select("rid", F.explode(F.arrays_zip("s", "h1", "h2")).alias("x")).select("rid", "x.s", "x.h1", "x.h2")
     again = each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    gone = each.join(again, ["h1", "h2"]).groupBy("rid").agg(F.collect_list("s").alias("gone"))
+    gone = each.join(apart(again), ["h1", "h2"]).groupBy("rid").agg(F.collect_list("s").alias("gone"))
     open_ = wide.where("done is null").select("rid", "doc_id", "n_words", "text").join(gone, "rid", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
