@@ -29,6 +29,8 @@ SKIP = frozenset("head script style noscript template nav header footer aside fo
 BLOCK = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre section article main figure figcaption address details summary hr body html fieldset center".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MARKS = frozenset("ad ads advert advertisement banner sponsor sponsored promo cookie cookies consent notice alert popup modal newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination toolbar footer header masthead comment comments discussion replies disqus share sharing social related recommended widget login signup search".split())
+#: Pages with shared lines up to which those are broadcast; beyond, Spark shuffles both sides.
+BROADCAST_ROWS = 100_000
 _WORD = re.compile(r"[a-z]+")
 _URL = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)")
 
@@ -160,53 +162,64 @@ def extract(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", ht
     kinds = dict(pages.select(F.col(key_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).dtypes)
     rows = pages.select(F.col(html_col).alias("html"), F.col(key_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
 
+    kind = kinds["page_id"]
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
-            hosts, paths, lines, fixed, hashes, ties = [], [], [], [], [], []
+            hosts, paths, fixed, hashes = [], [], [], []
             for html, url in zip(b.column("html").to_pylist(), b.column("url").to_pylist(), strict=True):
                 m = _URL.match(url or "")
                 hosts.append(m[1].lower() if m else "")
                 paths.append(m[2] if m else (url or ""))
                 own = blocks(html)
-                lines.append([t for t, _ in own])
                 fixed.append([x for _, x in own])
                 hashes.append([xxhash.xxh3_64_intdigest(t) - 2**63 for t, _ in own])
-                ties.append(xxhash.xxh3_64_intdigest(html or "") - 2**63)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("page_id"), b.column("url"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(ties, pa.int64()), pa.array(lines, pa.list_(pa.string())), pa.array(fixed, pa.list_(pa.bool_())), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["page_id", "url", "host", "path", "tie", "lines", "fixed", "hashes"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), b.column("tie"), pa.array(fixed, pa.list_(pa.bool_())), pa.array(hashes, pa.list_(pa.int64()))], names=["page_id", "host", "path", "tie", "fixed", "hashes"])
 
-    parsed = rows.mapInArrow(parse, f"page_id {kinds['page_id']}, url string, host string, path string, tie long, lines array<string>, fixed array<boolean>, hashes array<long>")
+    # only hashes of lines are sorted and set side by side; the pages are read again for their text
+    rows = rows.withColumn("tie", F.xxhash64("html", "url", F.col("html").isNull()))
+    light = written(rows.select("html", "url", "page_id", "tie").mapInArrow(parse, f"page_id {kind}, host string, path string, tie long, fixed array<boolean>, hashes array<long>"), "lines")
     order = ["host", "path", "page_id", "tie"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # ranges, not hosts, are dealt out: one host may hold most pages
-    parsed = written(written(parsed, "parsed").repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "pages")
+    light = written(light.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ranges")
     side = F.struct("host", "path", "hashes")
     w = Window.partitionBy("part").orderBy(*order)
-    edges = parsed.groupBy("part").agg(F.min(F.struct(*order, "hashes")).alias("first"), F.max(F.struct(*order, "hashes")).alias("last"))
+    edges = light.groupBy("part").agg(F.min(F.struct(*order, "hashes")).alias("first"), F.max(F.struct(*order, "hashes")).alias("last"))
     # a row per range
     over = Window.orderBy("part")
     edges = edges.select("part", F.lag("last").over(over).alias("l"), F.lead("first").over(over).alias("f"))
     edges = edges.select("part", F.struct("l.host", "l.path", "l.hashes").alias("prior"), F.struct("f.host", "f.path", "f.hashes").alias("later"))
-    beside = parsed.select("part", "page_id", "url", "host", "path", "lines", "fixed", "hashes", F.lag(side).over(w).alias("before"), F.lead(side).over(w).alias("after"))
+    beside = light.select("part", "page_id", "tie", "host", "path", "fixed", "hashes", F.lag(side).over(w).alias("before"), F.lead(side).over(w).alias("after"))
     beside = beside.join(F.broadcast(edges), "part", "left")  # as many rows as ranges
-    beside = beside.select("page_id", "url", "host", "path", "lines", "fixed", "hashes", F.coalesce("before", "prior").alias("before"), F.coalesce("after", "later").alias("after"))
+    beside = beside.select("page_id", "tie", "host", "path", "fixed", "hashes", F.coalesce("before", "prior").alias("before"), F.coalesce("after", "later").alias("after"))
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, 200):
                 part = b.slice(start, 200)
-                texts = []
-                for r in part.select(["host", "path", "lines", "fixed", "hashes", "before", "after"]).to_pylist():
-                    lines, gone = r["lines"], set()
+                gone = []
+                for r in part.select(["host", "path", "fixed", "hashes", "before", "after"]).to_pylist():
+                    own: list[int] = []
                     beside = [x for x in (r["before"], r["after"]) if x and x["host"] == r["host"] and x["hashes"]]
                     for x in sorted(beside, key=lambda x: -_near(r["path"], x["path"])):
                         shared = lcs(r["hashes"], x["hashes"])
-                        if 0 < len(shared) < copy_share * len(lines):
-                            gone = {i for i in shared if not r["fixed"][i]}
+                        if 0 < len(shared) < copy_share * len(r["hashes"]):
+                            own = [i for i in shared if not r["fixed"][i]]
                             break
-                    texts.append("\n".join(t for i, t in enumerate(lines) if i not in gone))
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                    gone.append(own or None)
+                out = pa.RecordBatch.from_arrays([part.column("page_id"), part.column("tie"), pa.array(gone, pa.list_(pa.int32()))], names=["page_id", "tie", "gone"])
+                yield out.filter(out.column("gone").is_valid())
+
+    gone = written(beside.mapInArrow(differ, f"page_id {kind}, tie long, gone array<int>").groupBy(F.col("page_id").alias("k"), F.col("tie").alias("t")).agg(F.min("gone").alias("gone")), "shared-lines")
 
-    return beside.mapInArrow(differ, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "html"):
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("tie"), pa.array([[t for t, _ in blocks(h)] for h in b.column("html").to_pylist()], pa.list_(pa.string()))], names=["page_id", "url", "tie", "lines"])
+
+    pages_ = rows.select("html", "url", "page_id", "tie").mapInArrow(texts, f"page_id {kind}, url string, tie long, lines array<string>")
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    out = pages_.join(few, F.col("page_id").eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t")), "left")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.col("lines")[i])
+    text = F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept), "\n")
+    return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
