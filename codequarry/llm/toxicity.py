@@ -16,6 +16,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,24 +30,28 @@ REPORTING = frozenset("said says called calls quoted quote word term wrote dit m
 ADDRESS = frozenset("you your youre u ur tu te toi vous du dich dir ihr usted ustedes ti".split())
 WINDOW = 8
 #: Distinct words a Python worker keeps with their hits; when full, the cache starts anew.
-CACHE = 500_000
+CACHE = 200_000
 _WORDS = re.compile(r"[^\W_]+").findall
 _TOKENS = re.compile(r"[^\W_]+|[\"“”„«»]").findall
 N_FEATURES = 6
 
 
 def allowed(entry: str) -> int:
-    """Edits allowed for an entry: none below 6 letters, 1 below 10, else 2."""
+    """Edits allowed for an entry: none for words below 6 letters, 1 below 10, else 2; for stems none below 8, else 1."""
     n = len(entry.rstrip("*"))
+    if entry.endswith("*"):
+        return 0 if n < 8 else 1
     return 0 if n < 6 else 1 if n < 10 else 2
 
 
 class Lexicon:
-    """Trie of entries with weights. A node: [children, weight of a word, weight of a stem, edits allowed below]."""
+    """Trie of entries with weights. A node: [children, (weight, edits) of a word, same of a stem, edits allowed below]."""
 
     def __init__(self, entries: dict[str, float]):
         self.root: list = [{}, None, None, 0]
-        pieces: set[str] = set()
+        self.exact = dict(entries)
+        self.stems = sorted({len(e) - 1 for e in entries if e.endswith("*")})
+        pieces: dict[str, list[tuple[int, int]]] = {}
         for entry, weight in entries.items():
             stem, k = entry.rstrip("*"), allowed(entry)
             node = self.root
@@ -55,15 +60,25 @@ class Lexicon:
                 node = node[0].setdefault(c, [{}, None, None, 0])
                 node[3] = max(node[3], k)
             node[2 if entry.endswith("*") else 1] = (weight, k)
-            cuts = [round(i * len(stem) / (k + 1)) for i in range(k + 2)]
-            pieces.update(stem[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
-        # k edits leave one of k + 1 pieces whole: a word without any piece can't match
-        self.may = re.compile("|".join(map(re.escape, sorted(pieces, key=lambda p: (-len(p), p)))) or r"(?!)").search
+            cuts = [round(i * len(stem) / (k + 1)) for i in range(k + 2)] if k else []
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                pieces.setdefault(stem[x:y], []).append((x, k))
+        self.pieces = ahocorasick.Automaton()
+        for piece, places in pieces.items():
+            self.pieces.add_word(piece, (len(piece), places))
+        self.pieces.make_automaton()
         self.cache: dict[str, tuple[float, int] | None] = {}
 
+    def near(self, word: str) -> bool:
+        """Whether some piece of an entry stands about where it should: k edits leave one of k + 1 pieces whole."""
+        return any(abs(end + 1 - n - at) <= k for end, (n, places) in self.pieces.iter(word) for at, k in places)
+
     def match(self, word: str) -> tuple[float, int] | None:
         """Best (weight, edits) of an entry that the word is, or opens with, within the edits allowed; None without one."""
-        if not self.may(word):
+        weights = [w for w in (self.exact.get(word), *(self.exact.get(word[:k] + "*") for k in self.stems)) if w is not None]
+        if weights:
+            return max(weights), 0
+        if not len(self.pieces) or not self.near(word):
             return None
         best: tuple[float, int] | None = None
         n = len(word)
@@ -155,7 +170,7 @@ def _choose(rows: list, toxic: int, clean: int, most: int) -> dict[str, float]:
     return {t: lift for t, (lift, _) in out.items()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, key_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6000, most: int = 200, lift: float = 8.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, key_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6000, most: int = 100, lift: float = 8.0) -> Model:
     """Learns from at most per_class labelled rows of either label among those where `learn` (on key_col) holds.
 
     The rows with the lowest key hashes are taken; a key with several labels counts as toxic if one says so. Null keys,
@@ -194,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key_col: str = "doc_i
     if not toxic or not clean:
         return Model({}, [3.0 if toxic else -3.0] + [0.0] * N_FEATURES)
     use = train.mapInArrow(terms, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    strong = use.where((F.col("a") >= max(3, toxic // 200)) & ((F.col("a") + 0.5) / (toxic + 1) >= lift * (F.col("b") + 0.5) / (clean + 1)))
+    strong = use.where((F.col("a") >= max(8, toxic // 50)) & ((F.col("a") + 0.5) / (toxic + 1) >= lift * (F.col("b") + 0.5) / (clean + 1)))
     rows = strong.orderBy(F.desc(F.col("a") * F.log((F.col("a") + 0.5) / (F.col("b") + 0.5))), "term").limit(40 * most).collect()
     entries = _choose([tuple(r) for r in rows], toxic, clean, most)
 
