@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from codequarry.llm.common import ship, slices, with_fields
 
 #: Stretches and pre-tokens kept with their ids by one Python worker; when full, a cache starts anew.
-CACHE = 600_000
+CACHE = 200_000
 #: Longer ones are encoded each time.
 CACHED_CHARS = 64
 #: Stretches that pre-tokens of word patterns never cross: a word with the blank before it, or white space.
@@ -175,20 +175,20 @@ def codec(rank_path: str, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
-def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """df with ids_col array<int>: the token ids of each whole text.
+def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", drop_text: bool = False) -> DataFrame:
+    """df with ids_col array<int>: the token ids of each whole text; without text_col if drop_text.
 
     A null or empty text gives an empty array. A column already named ids_col is
     replaced, all others are kept. Repeated rows are encoded each. rank_path must
     be readable on every executor.
     """
     ship(df.sparkSession)
-    schema = with_fields(df.schema, set(), (ids_col, T.ArrayType(T.IntegerType(), True)))
+    schema = with_fields(df.schema, {text_col} if drop_text else set(), (ids_col, T.ArrayType(T.IntegerType(), True)))
     kept = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(rank_path, pattern)
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, 2 << 20):
             ids = [own.encode(text) if text else b"" for text in b.column(text_col).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
@@ -210,8 +210,11 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", by
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(rank_path, pattern)
         for b in batches:
-            for start in range(0, b.num_rows, 500):
-                part = b.slice(start, 500)
+            ends, start = b.column(ids_col).offsets.to_numpy(), 0
+            while start < b.num_rows:  # about half a million ids at a time, one row at least
+                end = max(start + 1, int(np.searchsorted(ends, ends[start] + 500_000, side="right")) - 1)
+                part = b.slice(start, end - start)
+                start = end
                 lists = part.column(ids_col)
                 at, ok = lists.offsets.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
                 pieces = list(map(own.vocabulary.__getitem__, lists.values[at[0] : at[-1]].to_numpy(zero_copy_only=False).tolist()))
