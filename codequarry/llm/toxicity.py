@@ -37,64 +37,74 @@ N_FEATURES = 6
 
 
 def allowed(entry: str) -> int:
-    """Edits allowed for an entry: none for words below 6 letters, 1 below 10, else 2; for stems none below 8, else 1."""
+    """Edits allowed for an entry: none below 6 letters, 1 below 10, else 2."""
     n = len(entry.rstrip("*"))
-    if entry.endswith("*"):
-        return 0 if n < 8 else 1
     return 0 if n < 6 else 1 if n < 10 else 2
 
 
 class Lexicon:
-    """Trie of entries with weights. A node: [children, (weight, edits) of a word, same of a stem, edits allowed below]."""
+    """Trie of entries with weights. A node: [children, (weight, edits) of a word, same of a stem, edits allowed below, entries below as bits]."""
 
     def __init__(self, entries: dict[str, float]):
-        self.root: list = [{}, None, None, 0]
+        self.root: list = [{}, None, None, 0, 0]
         self.exact = dict(entries)
         self.stems = sorted({len(e) - 1 for e in entries if e.endswith("*")})
-        pieces: dict[str, list[tuple[int, int]]] = {}
-        for entry, weight in entries.items():
-            stem, k = entry.rstrip("*"), allowed(entry)
+        pieces: dict[str, list[tuple[int, int, int]]] = {}
+        for number, (entry, weight) in enumerate(entries.items()):
+            stem, k, bit = entry.rstrip("*"), allowed(entry), 1 << number
             node = self.root
             node[3] = max(node[3], k)
             for c in stem:
-                node = node[0].setdefault(c, [{}, None, None, 0])
+                node = node[0].setdefault(c, [{}, None, None, 0, 0])
                 node[3] = max(node[3], k)
+                node[4] |= bit
             node[2 if entry.endswith("*") else 1] = (weight, k)
             cuts = [round(i * len(stem) / (k + 1)) for i in range(k + 2)] if k else []
             for x, y in zip(cuts, cuts[1:], strict=False):
-                pieces.setdefault(stem[x:y], []).append((x, k))
+                pieces.setdefault(stem[x:y], []).append((x, k, bit))
         self.pieces = ahocorasick.Automaton()
         for piece, places in pieces.items():
             self.pieces.add_word(piece, (len(piece), places))
         self.pieces.make_automaton()
         self.cache: dict[str, tuple[float, int] | None] = {}
 
-    def near(self, word: str) -> bool:
-        """Whether some piece of an entry stands about where it should: k edits leave one of k + 1 pieces whole."""
-        return any(abs(end + 1 - n - at) <= k for end, (n, places) in self.pieces.iter(word) for at, k in places)
+    def near(self, word: str) -> int:
+        """Bits of the entries that have a piece about where it should stand: k edits leave one of k + 1 pieces whole."""
+        out = 0
+        for end, (n, places) in self.pieces.iter(word):
+            for at, k, bit in places:
+                if -k <= end + 1 - n - at <= k:
+                    out |= bit
+        return out
 
     def match(self, word: str) -> tuple[float, int] | None:
         """Best (weight, edits) of an entry that the word is, or opens with, within the edits allowed; None without one."""
         weights = [w for w in (self.exact.get(word), *(self.exact.get(word[:k] + "*") for k in self.stems)) if w is not None]
         if weights:
             return max(weights), 0
-        if not len(self.pieces) or not self.near(word):
+        may = self.near(word) if len(self.pieces) else 0
+        if not may:
             return None
         best: tuple[float, int] | None = None
         n = len(word)
-        stack = [(self.root, tuple(range(n + 1)))]
+        stack = [(self.root, list(range(n + 1)), 0)]
         while stack:
-            node, row = stack.pop()
+            node, row, depth = stack.pop()
             for end, edits in ((node[1], row[n]), (node[2], min(row))):
                 if end and edits <= end[1] and (best is None or (edits, -end[0]) < (best[1], -best[0])):
                     best = (end[0], edits)
+            depth += 1
             for c, child in node[0].items():
+                if not child[4] & may:
+                    continue
                 k = child[3]
-                new = [row[0] + 1]
-                for j in range(1, n + 1):
-                    new.append(min(new[j - 1] + 1, row[j] + 1, row[j - 1] + (word[j - 1] != c), k + 1))
+                new = [k + 1] * (n + 1)  # cells further than k from the diagonal are above k
+                if depth <= k:
+                    new[0] = depth
+                for j in range(max(1, depth - k), min(n, depth + k) + 1):
+                    new[j] = min(new[j - 1] + 1, row[j] + 1, row[j - 1] + (word[j - 1] != c), k + 1)
                 if min(new) <= k:
-                    stack.append((child, tuple(new)))
+                    stack.append((child, new, depth))
         return best
 
     def features(self, text: str | None) -> list[float]:
@@ -170,7 +180,7 @@ def _choose(rows: list, toxic: int, clean: int, most: int) -> dict[str, float]:
     return {t: lift for t, (lift, _) in out.items()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, key_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6000, most: int = 100, lift: float = 8.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, key_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6000, most: int = 200, lift: float = 8.0) -> Model:
     """Learns from at most per_class labelled rows of either label among those where `learn` (on key_col) holds.
 
     The rows with the lowest key hashes are taken; a key with several labels counts as toxic if one says so. Null keys,
@@ -209,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key_col: str = "doc_i
     if not toxic or not clean:
         return Model({}, [3.0 if toxic else -3.0] + [0.0] * N_FEATURES)
     use = train.mapInArrow(terms, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    strong = use.where((F.col("a") >= max(8, toxic // 50)) & ((F.col("a") + 0.5) / (toxic + 1) >= lift * (F.col("b") + 0.5) / (clean + 1)))
+    strong = use.where((F.col("a") >= max(3, toxic // 200)) & ((F.col("a") + 0.5) / (toxic + 1) >= lift * (F.col("b") + 0.5) / (clean + 1)))
     rows = strong.orderBy(F.desc(F.col("a") * F.log((F.col("a") + 0.5) / (F.col("b") + 0.5))), "term").limit(40 * most).collect()
     entries = _choose([tuple(r) for r in rows], toxic, clean, most)
 

@@ -212,6 +212,20 @@ def test_toxicity_held_out(spark):
     assert empty.score("anything") < 0.5
 
 
+def test_toxicity_lexicon_is_whole(spark):
+    """Stems of 6 and 7 letters have their edit; terms of few toxic rows and entries past the hundredth stay."""
+    stems = toxicity.Lexicon({"wretch*": 1.0, "scoundr*": 2.0})
+    assert stems.match("wrtchedly") == (1.0, 1) and stems.match("scoundrels") == (2.0, 0) and stems.match("scuondrels") is None and stems.match("scondrels") == (2.0, 1)
+    rng = random.Random(9)
+    heads = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]  # 150 terms without common stems, each in four toxic rows
+    terms = [h + h[::-1] + h for h in heads]
+    texts = [" ".join(words_of(rng, 30) + [terms[i // 4]] * 2) for i in range(600)] + [" ".join(words_of(rng, 30)) for _ in range(600)]
+    df = docs_of(spark, texts)
+    model = toxicity.fit(df, spark.createDataFrame([(i, 1, int(i < 600)) for i in range(1200)], "doc_id long, quality int, toxic int"), F.lit(True))
+    assert all(model.lexicon.match(t) for t in terms) and len(model.entries) > 100
+    assert all(model.score(x) >= 0.5 for x in texts[:600]) and not any(model.score(x) >= 0.5 for x in texts[600:])
+
+
 # decontamination
 
 
