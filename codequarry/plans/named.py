@@ -198,8 +198,8 @@ SELECT source, path, why AS skipped_reason FROM r"""
 
 @named("q_greedy_budget", GREEDY)
 def greedy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t(spark, sf_dir, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.col("n_chars").alias("size_bytes"), F.lit(False).alias("is_binary"), F.col("text").alias("content"))
-    return src.manifest(d, 10**6, 6000, 20000, "source").select("source", "path", "skipped_reason")
+    d = t(spark, sf_dir, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.col("n_chars").alias("size_bytes"), F.lit(False).alias("is_binary"), F.lit(None).cast("string").alias("content"))  # no text is asked for
+    return src.manifest(d, None, 6000, 20000, "source").select("source", "path", "skipped_reason")
 
 
 @named("q_dedup_first_wins", "SELECT doc_id, row_number() OVER (PARTITION BY regexp_replace(lower(text), '[^a-z0-9]', '', 'g') ORDER BY doc_id) = 1 AS first FROM documents")

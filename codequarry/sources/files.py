@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as X
 from codequarry.schemas import CHUNK_KINDS
+from codequarry.shipping import ship
 
 # Folders that are never read; any folder that starts with a dot is left out, too (fixed values).
 IGNORED = [".git", "node_modules", ".venv", "venv", "env", "__pycache__", ".pytest_cache", ".next", "dist", "build", "out", ".idea", ".vscode", ".coverage", "htmlcov", ".turbo", ".cache"]
@@ -33,14 +39,17 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(rel.alias("path"), F.col("length").alias("size_bytes"), binary.alias("is_binary"), F.when(~binary, text).alias("content")).where(~ignored(F.col("path")))
 
 
-def manifest(files: DataFrame, max_files: int = 5000, max_file_bytes: int = 1 << 20, max_bytes: int = 50 << 20, partition: str | None = None) -> DataFrame:
-    """AGG10, FLT7: path, language, size_bytes, lines_count, skipped_reason of the first max_files files by path.
+def manifest(files: DataFrame, max_files: int | None = 5000, max_file_bytes: int = 1 << 20, max_bytes: int = 50 << 20, partition: str | None = None) -> DataFrame:
+    """AGG10, FLT7: path, language, size_bytes, lines_count, skipped_reason of the first max_files files by path, or of all (None).
 
     The byte budget is greedy: a file that doesn't fit is skipped and later smaller ones may still fit, so it is an ordered
     fold and no running sum. Files over the size limit or binary take nothing of it. A repository is one group of
-    max_files rows at most; with a partition column each repository is folded by itself.
+    max_files rows at most; with a partition column each repository is folded by itself. Without max_files a repository
+    may be of any size: it is folded in ordered pieces (folded_by_pieces).
     """
     keys = [partition] if partition else []
+    if max_files is None:
+        return listed(folded_by_pieces(files, keys, max_file_bytes, max_bytes), keys)
     ranked = files.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("path"))).where(F.col("__n") <= max_files)
     item = F.struct("path", "size_bytes", "is_binary")
     init = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<path:string,reason:string>>").alias("out"))
@@ -53,10 +62,82 @@ def manifest(files: DataFrame, max_files: int = 5000, max_file_bytes: int = 1 <<
 
     folded = ranked.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(item)), init, step)["out"].alias("out"))
     reasons = folded.select(*keys, F.explode("out").alias("x")).select(*keys, "x.path", F.col("x.reason").alias("skipped_reason"))
-    out = ranked.join(reasons, [*keys, "path"])
+    return listed(ranked.join(reasons, [*keys, "path"]), keys)
+
+
+def listed(out: DataFrame, keys: list[str]) -> DataFrame:
+    """The columns of a manifest from files with their skipped_reason."""
     return out.select(*keys, "path", X.language(F.col("path")).alias("language"), "size_bytes", F.when(F.col("skipped_reason").isNull(), X.line_count(F.coalesce("content", F.lit("")))).alias("lines_count"), "is_binary", "skipped_reason", "content")
 
 
+def folded_by_pieces(files: DataFrame, keys: list[str], max_file_bytes: int, max_bytes: int, piece_rows: int = 250_000) -> DataFrame:
+    """files with skipped_reason, by the fold of manifest over all rows of a repository, in order of path, size and is_binary.
+
+    All rows are sorted into ranges (pieces). A piece that fits whole into what is left of the budget, or of which nothing
+    fits, hands the used bytes on by its sum and smallest size; any other is walked, a job for the next such piece of all
+    repositories at once. Then all pieces are walked side by side. The driver sees only repositories that span pieces:
+    two rows a piece at most.
+    """
+    spark = files.sparkSession
+    ship(spark)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), files.count() // piece_rows + 1)
+    order = [*keys, "path", "size_bytes", "is_binary"]
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='codequarry-')}/codequarry/manifest-{uuid.uuid4().hex}"
+    files.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    key = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    size, binary = F.col("size_bytes").cast("long"), F.coalesce("is_binary", F.lit(False))
+    light = rows.select(F.shiftright("__at", 33).alias("piece"), F.col("__at").alias("at"), key.alias("key"), size.alias("size"), binary.alias("binary"))
+    takes = ~F.col("binary") & F.coalesce(F.col("size") <= max_file_bytes, F.lit(True))
+    sums = light.groupBy("key", "piece").agg(
+        F.min("at").alias("first"), F.max("at").alias("last"), F.coalesce(F.sum(F.when(takes, F.col("size"))), F.lit(0)).alias("total"), F.min(F.when(takes & (F.col("size") > 0), F.col("size"))).alias("least"),
+        F.max(takes & (F.col("size").isNull() | (F.col("size") < 0))).alias("odd"))
+    spans = sums.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("piece", "first", "last", "total", "least", "odd"))).alias("pieces")).where(F.size("pieces") > 1).collect()
+
+    def walk(some: DataFrame, start: dict[int, int | None]) -> DataFrame:
+        """at, reason, used after each row; start: bytes used before the row where a repository goes on."""
+
+        def fold(table: pa.Table) -> pa.Table:
+            table = table.sort_by("at")
+            reasons, after, last, used = [], [], None, 0
+            for at, k, size, binary in zip(*(table.column(c).to_pylist() for c in ("at", "key", "size", "binary")), strict=True):
+                if k != last:
+                    last, used = k, start.get(at, 0)
+                known = size is not None
+                if known and used is not None and used + size > max_bytes:
+                    why = "byte budget exceeded"
+                else:
+                    why = "file too large" if known and size > max_file_bytes else "binary" if binary else None
+                    if why is None:  # an unknown size leaves the used bytes unknown
+                        used = used + size if known and used is not None else None
+                reasons.append(why)
+                after.append(used)
+            return pa.table({"at": table.column("at"), "reason": pa.array(reasons, pa.string()), "used": pa.array(after, pa.int64())})
+
+        return some.groupBy("piece").applyInArrow(fold, "at long, reason string, used long")
+
+    start: dict[int, int | None] = {}
+    going: list[tuple[Iterator, int | None]] = [(iter(r["pieces"]), 0) for r in spans]
+    while going:
+        stopped = []
+        for pieces, used in going:
+            for x in pieces:
+                start[x["first"]] = used
+                if used is None or (not x["odd"] and (x["least"] is None or used + x["least"] > max_bytes)):
+                    continue
+                if x["odd"] or used + x["total"] > max_bytes:
+                    stopped.append((pieces, x))
+                    break
+                used += x["total"]
+        if not stopped:
+            break
+        ends = walk(light.where(F.col("piece").isin([x["piece"] for _, x in stopped])), {x["first"]: start[x["first"]] for _, x in stopped}).where(F.col("at").isin([x["last"] for _, x in stopped]))
+        after = {r["at"]: r["used"] for r in ends.select("at", "used").collect()}
+        going = [(pieces, after[x["last"]]) for pieces, x in stopped]
+    reasons = walk(light, start).select(F.col("at").alias("__at"), F.col("reason").alias("skipped_reason"))
+    return rows.join(reasons, "__at")
+
+
 def language_counts(files: DataFrame, max_files: int = 5000) -> DataFrame:
     """AGG4: files by language before the guards, among the first max_files."""
     return files.orderBy("path").limit(max_files).groupBy(X.language(F.col("path")).alias("language")).agg(F.count("*").alias("n")).where("language is not null")

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +44,26 @@ def test_greedy_budget(spark):
     assert got == {"f0": None, "f1": "byte budget exceeded", "f2": None, "f3": "byte budget exceeded", "f4": None}
 
 
+def test_greedy_budget_by_pieces(spark):
+    """No row is left out however many there are, repeated paths and a null repository included; repositories span pieces."""
+    rng = random.Random(3)
+    rows = [(repo, f"f{i % 480:04d}", rng.choice([0, 1, 3, 40, 90, 200, 700]), i % 7 == 0) for repo, m in (("hot", 500), ("b", 30), (None, 60), ("c", 1)) for i in range(m)]
+    f = spark.createDataFrame([(*x, "x") for x in rows], "repo string, path string, size_bytes bigint, is_binary boolean, content string")
+    for budget in (50, 2000, 20000, 10**9):
+        want = []
+        for repo in {x[0] for x in rows}:
+            used = 0
+            for x in sorted(x for x in rows if x[0] == repo):
+                why = "byte budget exceeded" if used + x[2] > budget else "file too large" if x[2] > 500 else "binary" if x[3] else None
+                used += 0 if why else x[2]
+                want.append((*x, why))
+        for whole in (src.manifest(f, None, 500, budget, "repo"), src.listed(src.folded_by_pieces(f, ["repo"], 500, budget, 20), ["repo"])):
+            got = [tuple(r) for r in whole.select("repo", "path", "size_bytes", "is_binary", "skipped_reason").collect()]
+            assert sorted(map(str, got)) == sorted(map(str, want)), budget
+    one = f.where("repo = 'b'").drop("repo")
+    assert src.manifest(one, None, 500, 300).count() == 30
+
+
 def test_scan_and_frameworks(spark, tmp_path):
     for p, c in {"package.json": '{"dependencies": {"next": "14", "react": "18"}}', "requirements.txt": "# c\nfastapi==0.1\nunknown\n", "a/b.py": "x=1\n", "node_modules/x.js": "no", "pic.png": "a\0b"}.items():
         (tmp_path / p).parent.mkdir(exist_ok=True)
