@@ -177,6 +177,16 @@ def chunk_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", body.alias("content"), X.sha256(body).alias("content_hash"), X.line_count(F.col("text")).alias("lines_count"))
 
 
+@named("q_chunk_fallback_500", """WITH d AS (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS file_path, string_split(text, chr(10)) AS l, CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 0 ELSE 1 END AS INTEGER) AS n FROM documents WHERE text IS NOT NULL),
+c AS (SELECT file_path, CAST(least(500, greatest(1, n)) AS INTEGER) AS end_line, array_to_string(l[1:least(500, greatest(1, n))], chr(10)) AS content FROM d)
+SELECT file_path, end_line, content, sha256(content) AS content_hash FROM c WHERE trim(content) <> ''""")
+def chunk_fallback_500(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ11 whole, by the operator itself: the first 500 lines, where q_chunk_fallback and its SQL take five."""
+    d = t(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.lit(None).cast("string").alias("language"), F.col("text").alias("content"))
+    none = spark.createDataFrame([], "path string, name string, kind string, start_line int, end_line int")
+    return src.chunks(d, none, "0" * 40).select("file_path", "end_line", "content", "content_hash")
+
+
 @named("q_line_grep", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), i AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS line FROM l)
 SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, CAST(n AS INTEGER) AS line_number, line FROM i WHERE contains(lower(line), 'license') ORDER BY path, line_number LIMIT 50""")
 def line_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,6 +278,14 @@ def set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patching.new_identities(d.where("doc_id % 3 = 0"), d.where("doc_id % 3 = 1"), ["source", "lang"])
 
 
+@named("q_set_diff_parity", """WITH a AS (SELECT DISTINCT source, lang, n_chars FROM documents WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT source, lang, n_chars FROM documents WHERE (doc_id % 2) IS DISTINCT FROM 0)
+SELECT source, lang, n_chars, 'new' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT source, lang, n_chars, 'resolved' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
+def set_diff_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two parts that together hold every row, where q_set_diff_regression and its SQL leave out doc_id % 3 = 2."""
+    d, even = t(spark, sf_dir, "documents"), F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+    return patching.new_identities(d.where(even), d.where(~even), ["source", "lang", "n_chars"])
+
+
 @named("q_new_high_findings", """WITH f AS (SELECT d.doc_id, source AS tool, lang AS rule_id, source AS file_path, CASE WHEN toxic = 1 THEN 'HIGH' ELSE 'LOW' END AS severity, d.doc_id % 2 AS half FROM documents d JOIN labels l ON l.doc_id = d.doc_id)
 SELECT a.doc_id, a.tool, a.rule_id FROM f a WHERE half = 1 AND severity = 'HIGH' AND tool IN (SELECT tool FROM f WHERE half = 0) AND NOT EXISTS (SELECT 1 FROM f b WHERE b.half = 0 AND b.tool = a.tool AND b.rule_id = a.rule_id AND b.file_path = a.file_path AND b.severity = a.severity)""")
 def new_high(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,18 @@ def test_greedy_budget_by_pieces(spark):
     assert src.manifest(one, None, 500, 300).count() == 30
 
 
+def test_whole_chunks_and_parity(spark, tmp_path):
+    """Lines past the fifth are in the chunk, up to 500; rows of every remainder of doc_id are compared."""
+    from codequarry.plans import named
+
+    rows = [(1, "\n".join(f"l{i}" for i in range(7)) + "\n", "en", "s", 1), (2, "\n".join(map(str, range(600))), "en", "s", 2), (3, "a", "en", "s", 2), (5, "b", "fr", "s", 5), (6, " ", "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {int(r["file_path"]): r["content"].split("\n") for r in named.QUERIES["q_chunk_fallback_500"](spark, str(tmp_path)).collect()}
+    assert {k: len(v) for k, v in got.items()} == {1: 7, 2: 500, 3: 1, 5: 1} and got[2][-1] == "499"
+    diff = {tuple(r) for r in named.QUERIES["q_set_diff_parity"](spark, str(tmp_path)).collect()}
+    assert diff == {("s", "fr", 5, "new")}  # doc_id 5 leaves 2 by 3
+
+
 def test_scan_and_frameworks(spark, tmp_path):
     for p, c in {"package.json": '{"dependencies": {"next": "14", "react": "18"}}', "requirements.txt": "# c\nfastapi==0.1\nunknown\n", "a/b.py": "x=1\n", "node_modules/x.js": "no", "pic.png": "a\0b"}.items():
         (tmp_path / p).parent.mkdir(exist_ok=True)
