@@ -7,8 +7,12 @@ subsequence; what a page shares with the nearest neighbour is the site's frame,
 Structure goes first: what stands in elements for navigation, forms, notices, adverts or
 comments is never text, and where a page marks its article or main element, lines inside it are text even
 if a neighbour repeats them (copies of an article, licence lines), and lines outside are not. So
-differencing decides about pages, and parts of pages, that no element marks. A neighbour that shares nothing, or half of
-the lines or more (a copy), says nothing about the frame; then the other side is asked.
+differencing decides about pages, and parts of pages, that no element marks.
+
+Equal pages of a host (by a hash of their lines) count as one, so neighbours are distinct pages however many copies stand
+between. Two on either side are asked. The nearest that shares something, but less than half of the lines, gives the frame.
+Where all share half or more, a line is of the frame if at least two of these distinct pages share it; with only one
+such page a frame can't be told from an edited copy, and nothing is deleted.
 """
 
 from __future__ import annotations
@@ -150,12 +154,22 @@ def _near(a: str, b: str) -> int:
     return n
 
 
+def _place(url: str | None) -> tuple[str, str]:
+    m = _URL.match(url or "")
+    return (m[1].lower(), m[2]) if m else ("", url or "")
+
+
+def _sign(own: list[tuple[str, bool]]) -> int:
+    """Hash of a page's lines and marks."""
+    return xxhash.xxh3_64_intdigest("\n".join(f"{int(x)}{t}" for t, x in own)) - 2**63
+
+
 def extract(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", html_col: str = "html", copy_share: float = 0.5) -> DataFrame:
     """page_id, url, text, n_chars long: a row per row of pages.
 
     Blocks are joined by one newline; white space inside a block is one blank; character references are decoded. A null
     or empty html gives an empty text. A null or relative URL has the host "" and stands beside others of that kind; pages
-    without a neighbour on their host keep what structure leaves. Equal pages are ordered by a hash.
+    without a neighbour on their host keep what structure leaves. Equal pages of a host get the same text.
     """
     spark = pages.sparkSession
     ship(spark)
@@ -166,60 +180,72 @@ def extract(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", ht
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
-            hosts, paths, fixed, hashes = [], [], [], []
+            hosts, paths, sigs, fixed, hashes = [], [], [], [], []
             for html, url in zip(b.column("html").to_pylist(), b.column("url").to_pylist(), strict=True):
-                m = _URL.match(url or "")
-                hosts.append(m[1].lower() if m else "")
-                paths.append(m[2] if m else (url or ""))
+                host, path = _place(url)
                 own = blocks(html)
+                hosts.append(host)
+                paths.append(path)
+                sigs.append(_sign(own))
                 fixed.append([x for _, x in own])
                 hashes.append([xxhash.xxh3_64_intdigest(t) - 2**63 for t, _ in own])
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), b.column("tie"), pa.array(fixed, pa.list_(pa.bool_())), pa.array(hashes, pa.list_(pa.int64()))], names=["page_id", "host", "path", "tie", "fixed", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(sigs, pa.int64()), pa.array(fixed, pa.list_(pa.bool_())), pa.array(hashes, pa.list_(pa.int64()))], names=["page_id", "host", "path", "sig", "fixed", "hashes"])
 
     # only hashes of lines are sorted and set side by side; the pages are read again for their text
-    rows = rows.withColumn("tie", F.xxhash64("html", "url", F.col("html").isNull()))
-    light = written(rows.select("html", "url", "page_id", "tie").mapInArrow(parse, f"page_id {kind}, host string, path string, tie long, fixed array<boolean>, hashes array<long>"), "lines")
-    order = ["host", "path", "page_id", "tie"]
+    light = rows.mapInArrow(parse, f"page_id {kind}, host string, path string, sig long, fixed array<boolean>, hashes array<long>")
+    # equal pages of a host stand once
+    light = light.groupBy("host", "sig").agg(F.min(F.struct("path", "page_id", "fixed", "hashes")).alias("x")).select("host", "sig", "x.*")
+    light = written(light, "lines")
+    order = ["host", "path", "page_id", "sig"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # ranges, not hosts, are dealt out: one host may hold most pages
     light = written(light.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ranges")
     side = F.struct("host", "path", "hashes")
+    beyond = {"b1": F.lag(side, 1), "b2": F.lag(side, 2), "a1": F.lead(side, 1), "a2": F.lead(side, 2)}
     w = Window.partitionBy("part").orderBy(*order)
-    edges = light.groupBy("part").agg(F.min(F.struct(*order, "hashes")).alias("first"), F.max(F.struct(*order, "hashes")).alias("last"))
-    # a row per range
-    over = Window.orderBy("part")
-    edges = edges.select("part", F.lag("last").over(over).alias("l"), F.lead("first").over(over).alias("f"))
-    edges = edges.select("part", F.struct("l.host", "l.path", "l.hashes").alias("prior"), F.struct("f.host", "f.path", "f.hashes").alias("later"))
-    beside = light.select("part", "page_id", "tie", "host", "path", "fixed", "hashes", F.lag(side).over(w).alias("before"), F.lead(side).over(w).alias("after"))
-    beside = beside.join(F.broadcast(edges), "part", "left")  # as many rows as ranges
-    beside = beside.select("page_id", "tie", "host", "path", "fixed", "hashes", F.coalesce("before", "prior").alias("before"), F.coalesce("after", "later").alias("after"))
+    back = Window.partitionBy("part").orderBy(*[F.desc(c) for c in order])
+    edges = light.withColumn("up", F.row_number().over(w)).withColumn("down", F.row_number().over(back)).where("up <= 2 or down <= 2")
+    # four rows a range at most
+    over = Window.orderBy(*order)
+    edges = edges.select(F.col("host").alias("h"), F.col("sig").alias("s"), *[x.over(over).alias(f"edge_{k}") for k, x in beyond.items()])
+    beside = light.select("part", "sig", "host", "path", "fixed", "hashes", *[x.over(w).alias(k) for k, x in beyond.items()])
+    beside = beside.join(F.broadcast(edges), (F.col("host") == F.col("h")) & (F.col("sig") == F.col("s")), "left")
+    beside = beside.select("sig", "host", "path", "fixed", "hashes", *[F.coalesce(k, f"edge_{k}").alias(k) for k in beyond])
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, 200):
                 part = b.slice(start, 200)
                 gone = []
-                for r in part.select(["host", "path", "fixed", "hashes", "before", "after"]).to_pylist():
-                    own: list[int] = []
-                    beside = [x for x in (r["before"], r["after"]) if x and x["host"] == r["host"] and x["hashes"]]
-                    for x in sorted(beside, key=lambda x: -_near(r["path"], x["path"])):
+                for r in part.select(["host", "path", "fixed", "hashes", "b1", "b2", "a1", "a2"]).to_pylist():
+                    shared: list[int] = []
+                    beside = [x for x in (r["b1"], r["a1"], r["b2"], r["a2"]) if x and x["host"] == r["host"] and x["hashes"]]
+                    times: dict[int, int] = {}
+                    for x in sorted(beside, key=lambda x: -_near(r["path"], x["path"])) if not all(r["fixed"]) else ():
                         shared = lcs(r["hashes"], x["hashes"])
                         if 0 < len(shared) < copy_share * len(r["hashes"]):
-                            own = [i for i in shared if not r["fixed"][i]]
                             break
-                    gone.append(own or None)
-                out = pa.RecordBatch.from_arrays([part.column("page_id"), part.column("tie"), pa.array(gone, pa.list_(pa.int32()))], names=["page_id", "tie", "gone"])
+                        for i in shared:
+                            times[i] = times.get(i, 0) + 1
+                    else:
+                        shared = sorted(i for i, k in times.items() if k > 1)
+                        if len(shared) == len(r["hashes"]):  # all of it stands elsewhere, too: no frame can be told
+                            shared = []
+                    gone.append([i for i in shared if not r["fixed"][i]] or None)
+                out = pa.RecordBatch.from_arrays([part.column("host"), part.column("sig"), pa.array(gone, pa.list_(pa.int32()))], names=["host", "sig", "gone"])
                 yield out.filter(out.column("gone").is_valid())
 
-    gone = written(beside.mapInArrow(differ, f"page_id {kind}, tie long, gone array<int>").groupBy(F.col("page_id").alias("k"), F.col("tie").alias("t")).agg(F.min("gone").alias("gone")), "shared-lines")
+    gone = written(beside.mapInArrow(differ, "host string, sig long, gone array<int>").select(F.col("host").alias("h"), F.col("sig").alias("s"), "gone"), "shared-lines")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("tie"), pa.array([[t for t, _ in blocks(h)] for h in b.column("html").to_pylist()], pa.list_(pa.string()))], names=["page_id", "url", "tie", "lines"])
+            own = [blocks(h) for h in b.column("html").to_pylist()]
+            hosts = [_place(u)[0] for u in b.column("url").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(hosts, pa.string()), pa.array(map(_sign, own), pa.int64()), pa.array([[t for t, _ in o] for o in own], pa.list_(pa.string()))], names=["page_id", "url", "host", "sig", "lines"])
 
-    pages_ = rows.select("html", "url", "page_id", "tie").mapInArrow(texts, f"page_id {kind}, url string, tie long, lines array<string>")
+    pages_ = rows.mapInArrow(texts, f"page_id {kind}, url string, host string, sig long, lines array<string>")
     few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    out = pages_.join(few, F.col("page_id").eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t")), "left")
+    out = pages_.join(few, (F.col("host") == F.col("h")) & (F.col("sig") == F.col("s")), "left")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.col("lines")[i])
     text = F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept), "\n")
     return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -189,6 +189,20 @@ def test_line_dedup_equals_brute_force(spark):
 # toxicity
 
 
+def test_html_wide_frames_and_copies(spark):
+    """A frame of more than half the lines is deleted; copies on both sides of a page hide neither it nor the next page."""
+    frame = [f"<div>menu {i}</div>" for i in range(6)]
+    page = lambda i: "".join([*frame, *(f"<p>own {i} {j}</p>" for j in range(5)), "<div>foot</div>"])
+    own = lambda i: "\n".join(f"own {i} {j}" for j in range(5))
+    rows = [(k, f"http://h/p/{k:03d}", page(k // 9)) for k in range(36)]  # nine copies of each of four pages, side by side
+    small = lambda i: f"<div>menu</div><p>a {i}</p><p>b {i}</p>"
+    rows += [(100 + k, f"http://g/{k:03d}", small(k // 9)) for k in range(18)] + [(200, "http://two/1", page(1)), (201, "http://two/2", page(2))]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert len(got) == len(rows) and all(got[k] == own(k // 9) for k in range(36))
+    assert all(got[100 + k] == f"a {k // 9}\nb {k // 9}" for k in range(18))
+    assert got[200].startswith("menu 0") and got[200].endswith("foot")  # one distinct page says nothing about a frame so wide
+
+
 def test_levenshtein_automaton():
     lex = toxicity.Lexicon({"worthless": 2.0, "idiot": 3.0, "lostrang*": 1.0})
     assert lex.match("worthless") == (2.0, 0) and lex.match("wortless") == (2.0, 1) and lex.match("wrothless") is None
