@@ -5,8 +5,10 @@ length are looked at first, and of those only the ones that any window of
 length L must share: in every window of length L, the half window with the lowest
 hash (about a tenth of all positions). Half windows that repeat survive; only
 windows of twice the length around them become candidates of the next level, and
-windows that repeat there are removed. Doubling goes from `start` up to L
-in as many levels as that takes, and ends early when nothing survives.
+windows that repeat there are removed. A departure from level-wise doubling: one level
+alone is used, the first that `levels` gives for `start`, and its survivors are
+extended to L at once. The result is the same, as every repeated window of L words
+holds a repeated window of the first level; levels between would only sift candidates further.
 
 Texts that are equal stand once, with their number. Sequences are compared by
 128-bit hashes. What is shuffled is hashes and positions, and each text twice at
@@ -149,7 +151,7 @@ def dedup(docs: DataFrame, length: int = 35, start: int = 18, key_col: str = "do
         lengths = [max(1, length // 2), length]
     rows = docs.select(F.col(key_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(11), "text")})
-    first, second = lengths[0], lengths[1]
+    first = lengths[0]
 
     def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
