@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import shutil
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -19,16 +18,19 @@ from pyspark.sql import types as T
 
 from codequarry.shipping import ship
 
-__all__ = ["apart", "forget", "new_path", "release", "shared_dir", "ship", "slices", "table", "text_hash", "with_fields", "written"]
+__all__ = ["apart", "forget", "new_path", "shared_dir", "ship", "slices", "table", "text_hash", "unused", "with_fields", "written"]
 
 _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Unset, a new local one does for a local master; a cluster needs the setting."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="codequarry-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
@@ -39,24 +41,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/codequarry/{name}-{uuid.uuid4().hex}"
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver's next full collection."""
-    for _ in range(2):  # the listeners let go of an ended query a little later
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+#: Spark deletes an execution's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage is cut, lost executors cost nothing.
 
-    large: what its plan shuffled is worth deleting at once.
+    What its plan shuffled is deleted as soon as the table is complete.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    if large:
-        release(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
@@ -101,6 +102,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             start = end
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """n column names that df doesn't have, in any letter case."""
+    there, out, i = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if f"own_{i}" not in there:
+            out.append(f"own_{i}")
+        i += 1
+    return out
+
+
 def text_hash(column: str) -> "F.Column":
     """A row's text as a key: a null text has a key of its own."""
     return F.xxhash64(F.coalesce(F.concat(F.lit("t"), F.col(column)), F.lit("")))
