@@ -24,9 +24,7 @@ def remainder(key: str, mod: int) -> Column:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, ranks, pattern, drop_text=True)
-    out = bpe.decode(ids, ranks, pattern)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, ranks, pattern, with_ids=False)
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

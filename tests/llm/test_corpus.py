@@ -3,10 +3,11 @@ import hashlib
 import random
 import re
 import zlib
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -68,6 +69,44 @@ def test_bpe_of_one_long_pre_token():
     assert not any(codec.words)
 
 
+def test_bpe_with_a_pattern_that_joins_lines():
+    pattern = r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+    codec = bpe.codec(RANKS, pattern)
+    assert not codec.cut and bpe.codec(RANKS, PATTERN).cut
+    reference = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=codec.ranks, special_tokens={})
+    rng = random.Random(4)
+    texts = ["x();\n\ny", ""] + ["".join(rng.choice(["ab", "é", " ", "\n", "();", ".", ",", "12", "\t"]) for _ in range(rng.randrange(30))) for _ in range(500)]
+    assert codec.encode_all(pa.array(texts)).to_pylist() == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_ranks_that_no_training_gives():
+    """Where a longer token has a lower rank than its parts, the queue goes back to it."""
+    rng = random.Random(6)
+    tokens = list({"".join(rng.choice("abc") for _ in range(rng.randrange(2, 6))).encode() for _ in range(80)})
+    rng.shuffle(tokens)
+    codec = bpe.Codec({**{bytes([b]): b for b in range(256)}, **{t: 256 + i for i, t in enumerate(tokens)}}, PATTERN)
+
+    def brute(piece):
+        parts = [bytes([b]) for b in piece]
+        while ranked := [(codec.ranks[x + y], i) for i, (x, y) in enumerate(pairwise(parts)) if x + y in codec.ranks]:
+            i = min(ranked)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [codec.ranks[p] for p in parts]
+
+    pieces = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 40))).encode() for _ in range(400)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.merge(pieces)] == [brute(p) for p in pieces]
+
+
+def test_bpe_round_trip_of_nulls_repeated_rows_and_clashes(spark):
+    df = docs_of(spark, ["hello there", None, "", "hello there", "a " * 20_000]).withColumn("n_tokens", F.lit("clash"))
+    out = bpe.round_trip(df.withColumn("doc_id", F.when(F.col("doc_id") != 2, F.col("doc_id"))), RANKS, PATTERN).collect()
+    by = {r["doc_id"]: r for r in out}
+    assert len(out) == 5 and by[None]["n_tokens"] == by[1]["n_tokens"] == 0 and by[0]["ids"] == by[3]["ids"] and by[0]["th"] == "x"
+    assert by[1]["decoded_sha256"] == hashlib.sha256(b"").hexdigest() and by[4]["decoded_sha256"] == hashlib.sha256(b"a " * 20_000).hexdigest()
+    assert by[0]["ids_sha256"] == hashlib.sha256(np.array(by[0]["ids"], "<u4").tobytes()).hexdigest()
+    assert bpe.round_trip(df.limit(0), RANKS, PATTERN, with_ids=False).count() == 0
+
+
 def test_bpe_columns_nulls_and_clashes(spark):
     df = docs_of(spark, ["hello there", None, "", "hello there"])
     out = bpe.decode(bpe.encode(df, RANKS, PATTERN), RANKS, PATTERN).withColumn("sha", bpe.ids_sha256("ids")).orderBy("doc_id").collect()
