@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codequarry.llm.common import ship, slices, with_fields
+from codequarry.llm.common import claim, ship, slices, with_fields
 from codequarry.llm.units import Known, gathered, stretches
 
 #: Bytes of stretches kept with their ids by one Python worker; when full, they are dropped.
@@ -40,7 +40,7 @@ _OTHER_SPACE = r"[\t\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{20
 #: Characters of new pre-tokens that wait in one queue; a longer one waits alone.
 BATCH = 100_000
 #: Bytes of text taken at a time.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 class Codec:
@@ -218,6 +218,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
     kept = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", codec.cache_clear)
         own = codec(rank_path, pattern)
         for b in slices(batches, text_col, SLICE):
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), own.encode_all(b.column(text_col))], names=[*kept, ids_col])
@@ -248,6 +249,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", by
     kept = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", codec.cache_clear)
         own = codec(rank_path, pattern)
         for part in _few(batches, ids_col):
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), own.decode_all(part.column(ids_col))], names=[*kept, bytes_col])
@@ -272,6 +274,7 @@ def round_trip(df: DataFrame, rank_path: str, pattern: str, text_col: str = "tex
     kept = [f.name for f in schema.fields[: len(schema.fields) - len(new)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", codec.cache_clear)
         own = codec(rank_path, pattern)
         for b in slices(batches, text_col, SLICE):
             ids = own.encode_all(b.column(text_col))

@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from codequarry.shipping import ship
 
-__all__ = ["apart", "forget", "new_path", "shared_dir", "ship", "slices", "table", "text_hash", "unused", "with_fields", "written"]
+__all__ = ["apart", "claim", "forget", "new_path", "shared_dir", "ship", "slices", "table", "text_hash", "unused", "with_fields", "written"]
 
 _own_dir: list[str] = []
 
@@ -88,6 +88,17 @@ def with_fields(schema: T.StructType, drop: set[str], *extra: tuple[str, T.DataT
     return T.StructType([f for f in schema.fields if f.name.lower() not in gone] + [T.StructField(n, t) for n, t in extra])
 
 
+_held: dict[str, Callable[[], object]] = {}
+
+
+def claim(name: str, drop: Callable[[], object]) -> None:
+    """Said by a worker that starts on an operator's rows: what other operators have kept in this process is dropped, as drop() will drop this one's."""
+    for other in [x for x in _held if x != name]:
+        _held.pop(other)()
+    _held[name] = drop
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the strings of one column stay below about `most` bytes a slice; a longer row comes alone."""
     for b in batches:

@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import apart, forget, ship, slices, unused, written
-from codequarry.llm.substring_dedup import _lists, mix, word_hashes
+from codequarry.llm.common import apart, claim, forget, ship, slices, unused, written
+from codequarry.llm.substring_dedup import WORDS, _lists, mix, word_hashes
 
 #: Tokens in a share of the hash range come first in the order, and are counted: so many times the share that a prefix takes.
 COUNTED = 1.5
@@ -169,6 +169,7 @@ def groups(docs: DataFrame, percent: int = 90, n: int = 3, key_col: str = "doc_i
     kind = dict(rows.dtypes)["doc_id"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words", WORDS.clear)
         for b in slices(batches, "text"):
             s1, s2, sizes, cand, sketches = [], [], [], [], []
             for t in b.column("text").to_pylist():
@@ -311,6 +312,7 @@ def _sets(rows: DataFrame, light: DataFrame, needed: DataFrame, n: int) -> DataF
     held = spark.sparkContext.broadcast(bits)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words", WORDS.clear)
         known = held.value
         for b in slices(batches, "text"):
             # bit i of bucket k (from 1) stands for value (k - 1) * 32768 + i + 1; bucket 0 holds value 0

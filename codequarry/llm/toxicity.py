@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codequarry.llm.common import ship, slices, with_fields
+from codequarry.llm.common import claim, ship, slices, with_fields
 
 #: Words of reporting and of address: fixed values of this model.
 REPORTING = frozenset("said says called calls quoted quote word term wrote dit mot citation sagte wort zitat dijo palabra cita".split())
@@ -224,6 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key_col: str = "doc_i
     entries = _choose([tuple(r) for r in rows], toxic, clean, most)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity", bool)
         lexicon = Lexicon(entries)
         for b in slices(batches, "t"):
             x = [lexicon.features(t) for t in b.column("t").to_pylist()]
@@ -244,6 +245,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
     kept = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity", bool)
         own = Model(entries, beta)
         for b in slices(batches, text_col):
             out = [own.score(t) for t in b.column(text_col).to_pylist()]

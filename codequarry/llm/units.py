@@ -97,4 +97,5 @@ def gathered(pieces: pa.StringArray, per_text: np.ndarray, known: Known, ids_of:
     ids, place = known.look_up(coded.dictionary, ids_of)
     taken = pc.take(ids, pa.array(place[coded.indices.to_numpy()]))
     bounds = taken.offsets.to_numpy()[per_text] if len(taken) else np.zeros(len(per_text), np.int32)
+    pa.default_memory_pool().release_unused()
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), taken.values)
