@@ -1,18 +1,15 @@
 """Substring dedup by level-wise doubling.
 
-To find word windows of length L that repeat anywhere, windows of half that
-length are looked at first, and of those only the ones that any window of
-length L must share: in every window of length L, the half window with the lowest
-hash (about a tenth of all positions). Half windows that repeat survive; only
-windows of twice the length around them become candidates of the next level, and
-windows that repeat there are removed. A departure from level-wise doubling: one level
-alone is used, the first that `levels` gives for `start`, and its survivors are
-extended to L at once. The result is the same, as every repeated window of L words
-holds a repeated window of the first level; levels between would only sift candidates further.
-
-Texts that are equal stand once, with their number. Sequences are compared by
-128-bit hashes. What is shuffled is hashes and positions, and each text twice at
-most to meet them.
+To find word windows of length L that repeat anywhere, short windows are looked at first, and of those only the ones that any
+window of length L must share: in every window of length L, the short window with the lowest hash (2 of 28 positions, for
+9 words in 35). Short windows that repeat are extended to windows of twice the length around them, forwards (same start)
+and backwards (same end); those that repeat are extended again, and so on. Every window of length L holds the forward or the
+backward window of each length below L around its lowest short window, so it can only repeat if one of those does.
+The last level looks at the windows of length L themselves, around what has survived. A level without survivors ends the search.
+
+Texts that are equal stand once, with their number. Sequences are compared by 64-bit hashes while they are candidates, which
+can only let more through, and by 128-bit hashes at the last level. What is shuffled is hashes and positions, those of the
+later levels for survivors alone, and each text twice at most to meet them.
 """
 
 from __future__ import annotations
@@ -26,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import apart, forget, ship, slices, written
+from codequarry.llm.common import apart, claim, forget, ship, slices, written
 
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Distinct words a Python worker keeps with their hashes; when full, the cache starts anew.
@@ -136,49 +133,102 @@ def split(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 
 
-def dedup(docs: DataFrame, length: int = 35, start: int = 18, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words long, n_removed long, kept string, kept_sha256 string: a row per row of docs.
+def around(h: np.ndarray, p: np.ndarray, first: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of `size` that start where the windows of `first` at p start, and that end where they end; 0 where the text ends before."""
+    g = window_hashes(h, size)
+    g[g == 0] = 1
+    out = []
+    for start in (p, p + first - size):
+        there = (start >= 0) & (start < len(g))
+        out.append(np.where(there, g[np.clip(start, 0, max(len(g) - 1, 0))] if len(g) else 0, 0).astype(np.uint64))
+    return out[0], out[1]
+
+
+def _repeated(spots: DataFrame, column: str) -> DataFrame:
+    """The rows of spots whose value in column (not 0) stands in another row, too."""
+    twice = spots.where(F.col(column) != 0).groupBy(column).agg(F.count("*").alias("n")).where("n > 1").select(column)
+    return spots.join(apart(twice), column, "left_semi")
+
+
+def survivors(spots: DataFrame, sizes: list[int], trace: list[int] | None = None) -> DataFrame:
+    """rid, p of the short windows around which windows of all sizes below the last repeat.
+
+    spots: rid, p, g (hash of the short window), and f0, b0, f1, b1 .. (forward and backward hashes per size). trace, where
+    given, gets the number of rows that each level left; a level that leaves none is the last.
+    """
+    now = written(_repeated(spots, "g"), "level")
+    for i in range(len(sizes)):
+        if trace is not None:
+            trace.append(now.count())
+        if now.isEmpty():
+            return now.select("rid", "p")
+        sides = []
+        for side in (f"f{i}", f"b{i}"):
+            own = now.select("rid", "p", *[c for c in now.columns if c[0] == side[0] and c[1:].isdigit()])
+            sides.append(_repeated(own, side).select("rid", "p", F.lit(side[0]).alias("side")))
+        kept = sides[0].unionByName(sides[1]).groupBy("rid", "p").agg(F.max(F.col("side") == "f").alias("f"), F.max(F.col("side") == "b").alias("b"))
+        # only a side that repeats is extended on
+        later = [F.when(F.col(side), F.col(f"{side}{j}")).otherwise(F.lit(0)).alias(f"{side}{j}") for j in range(i + 1, len(sizes)) for side in "fb"]
+        last, now = now, written(now.join(kept, ["rid", "p"]).select("rid", "p", *later), "level")
+        forget(last)
+    if trace is not None:
+        trace.append(now.count())
+    return now.select("rid", "p")
+
+
+def dedup(docs: DataFrame, length: int = 35, start: int = 9, text_col: str = "text", with_text: bool = True, trace: list[int] | None = None) -> DataFrame:
+    """All columns of docs but text_col, and n_words long, n_removed long, kept_sha256 string, kept string: a row per row of docs.
 
     A word goes if it is in a window of `length` words whose sequence also starts anywhere else in docs. Null and empty
     texts have no words; texts of fewer than `length` words have no windows and stay. Repeated rows are
-    different rows, so their windows repeat; null keys are keys like others. kept holds the kept words joined by one space
-    (null stands for a text nothing was removed from, beside its hash).
+    different rows, so their windows repeat; null keys play no part. kept holds the kept words joined by one space; without
+    with_text, it is null. Columns with the names of the new ones are replaced. An empty table gives no rows. trace: see survivors().
     """
     spark = docs.sparkSession
     ship(spark)
     lengths = levels(length, start)
     if len(lengths) == 1:
         lengths = [max(1, length // 2), length]
-    rows = docs.select(F.col(key_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    first, sizes = lengths[0], lengths[1:-1]
+    new = {"n_words", "n_removed", "kept_sha256", "kept", text_col.lower()}
+    others = [c for c in docs.columns if c.lower() not in new]
+    telling = [F.col(c) for c, t in docs.dtypes if c in others and "map<" not in t and "variant" not in t]
+    rows = docs.select(F.struct(*others, F.lit(0).alias("none")).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.lit(3), *telling).alias("row"))
     rows = rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(11), "text")})
-    first = lengths[0]
+    kind = rows.schema["own"].dataType.simpleString()
+    names = ["g", *[f"{side}{i}" for i in range(len(sizes)) for side in "fb"]]
 
     def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words", WORDS.clear)
         for b in slices(batches, "text"):
-            ps, gs = [], []
+            ps: list[np.ndarray] = []
+            gs: list[list[np.ndarray]] = [[] for _ in names]
             for t in b.column("text").to_pylist():
-                p, g = selected(word_hashes(split(t)), first, length)
+                h = word_hashes(split(t))
+                p, g = selected(h, first, length)
+                found = [g, *[x for size in sizes for x in around(h, p, first, size)]]
                 ps.append(p.astype(np.int32))
-                gs.append(g.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("t1"), b.column("t2"), b.column("doc_id"), _lists(gs, pa.int64()), _lists(ps, pa.int32())], names=["t1", "t2", "doc_id", "g", "p"])
-
-    kind = dict(rows.dtypes)["doc_id"]
-    hashed = rows.select("text", "t1", "t2", "doc_id").mapInArrow(lowest, f"t1 long, t2 long, doc_id {kind}, g array<long>, p array<int>")
-    texts = hashed.groupBy("t1", "t2").agg(F.count("*").alias("m"), F.min("doc_id").alias("rep"), F.first(F.struct("g", "p")).alias("x"))
-    texts = written(texts.select("t1", "t2", "m", "rep", "x.g", "x.p", F.monotonically_increasing_id().alias("rid")), "texts")
-    spots = texts.select("rid", F.explode(F.arrays_zip("g", "p")).alias("x")).select("rid", "x.g", "x.p")
-    twice = spots.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    hits = spots.join(apart(twice), "g").groupBy("rid").agg(F.sort_array(F.collect_list("p")).alias("hits"))
+                for x, to in zip(found, gs, strict=True):
+                    to.append(x.view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("t1"), b.column("t2"), b.column("row"), _lists(ps, pa.int32()), *[_lists(x, pa.int64()) for x in gs]], names=["t1", "t2", "row", "p", *names])
+
+    lists = ", ".join(f"{x} array<long>" for x in names)
+    hashed = rows.select("text", "t1", "t2", "row").mapInArrow(lowest, f"t1 long, t2 long, row long, p array<int>, {lists}")
+    texts = hashed.groupBy("t1", "t2").agg(F.count("*").alias("m"), F.min("row").alias("rep"), F.first(F.struct("p", *names)).alias("x"))
+    texts = written(texts.select("t1", "t2", "m", "rep", "x.*", F.monotonically_increasing_id().alias("rid")), "texts")
+    spots = texts.select("rid", F.explode(F.arrays_zip("p", *names)).alias("x")).select("rid", "x.*")
+    hits = survivors(spots, sizes, trace).groupBy("rid").agg(F.sort_array(F.collect_list("p")).alias("hits"))
     known = texts.select("t1", "t2", "m", "rep", "rid").join(hits, "rid", "left").drop("rid")
     met = rows.join(known.withColumnsRenamed({"t1": "k1", "t2": "k2"}), (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")))
     # only one row of a repeated text brings it along, unless it is short: then nothing goes from any
     met = met.withColumn("n_words", F.when(F.col("m") > 1, F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+", -1), "")).cast("long")))
-    lead = (F.col("m") == 1) | F.col("doc_id").eqNullSafe(F.col("rep"))
-    met = met.select("doc_id", F.when(lead, F.col("text")).alias("text"), "n_words", F.when(~lead & (F.col("n_words") < length), F.col("text")).alias("short"), "m", "hits")
+    lead = (F.col("m") == 1) | (F.col("row") == F.col("rep"))
+    met = met.select("own", F.when(lead, F.col("text")).alias("text"), "n_words", F.when(~lead & (F.col("n_words") < length), F.col("text")).alias("short"), "m", "hits")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words", WORDS.clear)
         for b in slices(batches, "text"):
-            n_words, done, texts_, starts, h1s, h2s = [], [], [], [], [], []
+            n_words, done, texts_, keep, starts, h1s, h2s = [], [], [], [], [], [], []
             for text, known_n, short, m, at in zip(*(b.column(c).to_pylist() for c in ("text", "n_words", "short", "m", "hits")), strict=True):
                 none = np.zeros(0, np.int64)
                 s, h1, h2 = none, none, none
@@ -198,22 +248,23 @@ def dedup(docs: DataFrame, length: int = 35, start: int = 18, key_col: str = "do
                 else:  # nothing repeats, or a repeated text without windows
                     done.append(None if text is None and short is None else hashlib.sha256(b" ".join(words)).hexdigest())
                     texts_.append(None)
+                keep.append(None if not with_text or done[-1] is None else "" if done[-1] == _EMPTY else b" ".join(words).decode("utf-8"))
                 n_words.append(n)
                 starts.append(s.astype(np.int32))
                 h1s.append(h1)
                 h2s.append(h2)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("m"), pa.array(n_words, pa.int64()), pa.array(done, pa.string()), pa.array(texts_, pa.string()), _lists(starts, pa.int32()), _lists(h1s, pa.int64()), _lists(h2s, pa.int64())],
-                names=["doc_id", "m", "n_words", "done", "text", "s", "h1", "h2"],
+                [b.column("own"), b.column("m"), pa.array(n_words, pa.int64()), pa.array(done, pa.string()), pa.array(texts_, pa.string()), pa.array(keep, pa.string()), _lists(starts, pa.int32()), _lists(h1s, pa.int64()), _lists(h2s, pa.int64())],
+                names=["own", "m", "n_words", "done", "text", "keep", "s", "h1", "h2"],
             )
 
-    wide = met.mapInArrow(windows, f"doc_id {kind}, m long, n_words long, done string, text string, s array<int>, h1 array<long>, h2 array<long>")
+    wide = met.mapInArrow(windows, f"own {kind}, m long, n_words long, done string, text string, keep string, s array<int>, h1 array<long>, h2 array<long>")
     wide = written(wide.withColumn("rid", F.monotonically_increasing_id()), "windows")
     forget(texts)
     each = wide.select("rid", F.explode(F.arrays_zip("s", "h1", "h2")).alias("x")).select("rid", "x.s", "x.h1", "x.h2")
     again = each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     gone = each.join(apart(again), ["h1", "h2"]).groupBy("rid").agg(F.collect_list("s").alias("gone"))
-    open_ = wide.where("done is null").select("rid", "doc_id", "n_words", "text").join(gone, "rid", "left")
+    open_ = wide.where("done is null").select("rid", "own", "n_words", "text").join(gone, "rid", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -230,11 +281,12 @@ def dedup(docs: DataFrame, length: int = 35, start: int = 18, key_col: str = "do
                 else:
                     removed.append(0)
                 joined = b" ".join(words)
-                kept.append(joined.decode("utf-8") if removed[-1] else None)
+                kept.append(joined.decode("utf-8") if with_text else None)
                 sha.append(hashlib.sha256(joined).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("own"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string())], names=["own", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    cleaned = open_.select("doc_id", "n_words", "text", "gone").mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
+    cleaned = open_.select("own", "n_words", "text", "gone").mapInArrow(cut, f"own {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
     whole = (F.col("m") > 1) & (F.col("n_words") >= length)
-    settled = wide.where("done is not null").select("doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(whole, F.lit("")).alias("kept"), F.col("done").alias("kept_sha256"))
-    return settled.unionByName(cleaned)
+    kept = F.when(whole, F.lit("")).otherwise(F.col("keep")) if with_text else F.lit(None).cast("string")
+    settled = wide.where("done is not null").select("own", "n_words", F.when(whole, F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"), F.col("done").alias("kept_sha256"))
+    return settled.unionByName(cleaned).select(*[F.col("own")[c].alias(c) for c in others], "n_words", "n_removed", "kept_sha256", "kept")
