@@ -16,22 +16,25 @@ from codequarry.llm import bpe, decontam, html_extract, jaccard, langid, line_de
 from codequarry.llm.common import table
 
 
-def remainder(key: str, mod: int) -> Column:
+def remainder(key: str | Column, mod: int) -> Column:
     """crc32 of a key as text, modulo mod; null for a null key."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % mod
+    return F.crc32((F.col(key) if isinstance(key, str) else key).cast("string").cast("binary")) % mod
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of byte_bpe_50k and their round trip."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, ranks, pattern, with_ids=False)
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best of every 50th vector."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left without repeated windows of 35."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.dedup(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -62,10 +65,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left without repeated windows of three."""
     out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
@@ -84,13 +89,15 @@ FROM l LEFT JOIN g ON l.doc_id = g.doc_id
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four fifths of them."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.fit(docs, labels, remainder("k", 5) != 0)
+    model = toxicity.fit(docs, labels, lambda key: remainder(key, 5) != 0)
     scored = toxicity.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of benchmark windows in every document."""
     out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
@@ -113,6 +120,7 @@ FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents at similarity 0.9 of three-word shingles."""
     return jaccard.groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
@@ -131,12 +139,14 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id
 
 @F.arrow_udf(T.LongType())
 def ids_crc32(ids: pa.Array) -> pa.Array:
+    """Unsigned CRC-32 of each array's ids as little-endian unsigned 32-bit integers."""
     flat = np.asarray(ids.values.to_numpy(zero_copy_only=False), dtype="<u4")
     at = ids.offsets.to_numpy()
     return pa.array([zlib.crc32(flat[at[i] : at[i + 1]].tobytes()) for i in range(len(ids))], pa.int64())
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of word_bpe_49k, read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = token_files.default_folder(spark)
     manifest = token_files.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -144,6 +154,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(remainder("doc_id", 3) != 1))
     out = langid.predict(docs.select("doc_id", "text"), model)

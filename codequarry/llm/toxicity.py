@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from codequarry.llm.common import claim, ship, slices, with_fields
 
-#: Words of reporting and of address: fixed values of this model.
+#: Words of reporting and of address in five languages: fixed values of this model, not learned.
 REPORTING = frozenset("said says called calls quoted quote word term wrote dit mot citation sagte wort zitat dijo palabra cita".split())
 ADDRESS = frozenset("you your youre u ur tu te toi vous du dich dir ihr usted ustedes ti".split())
 WINDOW = 8
@@ -163,7 +163,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
     return [float(v) for v in beta]
 
 
-def _choose(rows: list, toxic: int, clean: int, most: int) -> dict[str, float]:
+def _choose(rows: list, toxic: int, clean: int, most: int | None) -> dict[str, float]:
     """Entries by strength, leaving out those that say what a stronger one says already."""
     out: dict[str, tuple[float, int]] = {}
     scored = []
@@ -172,7 +172,7 @@ def _choose(rows: list, toxic: int, clean: int, most: int) -> dict[str, float]:
         scored.append((a * lift, len(term.rstrip("*")), not term.endswith("*"), term, lift, a))
     for _, _, _, term, lift, a in sorted(scored, reverse=True):
         stem = term.rstrip("*")
-        if len(out) >= most:
+        if most is not None and len(out) >= most:
             break
         if any(stem.startswith(x.rstrip("*")) for x in out if x.endswith("*")) or any(x.startswith(stem) and 0.9 * a <= n for x, (_, n) in out.items()):
             continue
@@ -180,25 +180,29 @@ def _choose(rows: list, toxic: int, clean: int, most: int) -> dict[str, float]:
     return {t: lift for t, (lift, _) in out.items()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, key_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6000, most: int = 200, lift: float = 8.0) -> Model:
-    """Learns from at most per_class labelled rows of either label among those where `learn` (on key_col) holds.
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | Callable[[Column], Column], key_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6000, most: int | None = None, lift: float = 8.0) -> Model:
+    """Learns from at most per_class labelled rows of either label among those whose key `learn` lets in.
 
-    The rows with the lowest key hashes are taken; a key with several labels counts as toxic if one says so. Null keys,
-    labels and texts are left out. Without rows of both labels the model has no entries and scores every text alike, at
+    learn: a condition as a function of the key, or as a column over `k`, the key's name here. The rows with the lowest key
+    hashes are taken; a key with several labels counts as toxic if one says so, and of several texts of one key the first in
+    order stands for it. Null keys, labels and texts are left out. Entries are words of two letters and more, and stems of 4 to 8
+    letters, that stand in three toxic rows at least (a two-hundredth of the sample's, if that is more), `lift` times as often as in clean ones; as many as the sample
+    gives, unless `most` is given. Without rows of both labels the model has no entries and scores every text alike, at
     the share of toxic labels (0.5 without any, then rounded below 0.5).
     """
     spark = docs.sparkSession
     ship(spark)
     known = labels.select(F.col(key_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y is not null")
     known = known.groupBy("k").agg(F.max("y").alias("y"))
-    keyed = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t")).where(learn & F.col("t").isNotNull())
+    let_in = learn(F.col("k")) if callable(learn) else learn
+    keyed = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t")).where(let_in & F.col("t").isNotNull())
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
         return Model({}, [3.0 if counts.get(1) else -3.0] + [0.0] * N_FEATURES)
     h = F.xxhash64("k")
     few = [known.where(f"y = {y}").where(h <= F.lit(min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, (1.3 * per_class + 100) / counts[y]))))).orderBy(h, "k").limit(per_class) for y in (0, 1)]
     chosen = F.broadcast(few[0].unionByName(few[1]))  # 2 * per_class rows of two numbers at most
-    train = keyed.join(chosen, "k").select("t", "y")
+    train = keyed.join(chosen, "k").groupBy("k").agg(F.min("t").alias("t"), F.max("y").alias("y")).select("t", "y")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t", 1 << 20):
@@ -207,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key_col: str = "doc_i
             for text, y in zip(b.column("t").to_pylist(), b.column("y").to_pylist(), strict=True):
                 own = set()
                 for w in set(_WORDS(text.lower())):
-                    if 3 < len(w) < 40:
+                    if len(w) > 1:
                         own.add(w)
                         own.update(w[:k] + "*" for k in range(4, min(len(w), 9)))
                 out += own
@@ -220,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key_col: str = "doc_i
         return Model({}, [3.0 if toxic else -3.0] + [0.0] * N_FEATURES)
     use = train.mapInArrow(terms, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     strong = use.where((F.col("a") >= max(3, toxic // 200)) & ((F.col("a") + 0.5) / (toxic + 1) >= lift * (F.col("b") + 0.5) / (clean + 1)))
-    rows = strong.orderBy(F.desc(F.col("a") * F.log((F.col("a") + 0.5) / (F.col("b") + 0.5))), "term").limit(40 * most).collect()
+    rows = strong.collect()  # of words of 2 * per_class texts
     entries = _choose([tuple(r) for r in rows], toxic, clean, most)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
