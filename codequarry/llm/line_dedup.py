@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import apart, text_hash
+from codequarry.llm.common import apart, text_hash, unused
 
 SIZE = 3
 
@@ -37,15 +37,14 @@ def dedup(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", coun
     Null keys come first. Rows equal in key and text are one document listed more than once: each gets the same
     result. A document all of whose lines go stays, with an empty text.
     """
-    gone = removals(docs, key_col, text_col).withColumnsRenamed({"key": "__key", "th": "__th", "cover": "__cover"})
-    joined = docs.withColumn("__own", text_hash(text_col)).join(gone, F.col(key_col).eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__th")), "left")
-    covered = F.array_distinct(F.flatten(F.transform("__cover", lambda i: F.array(*[i + j for j in range(SIZE)]))))
-    joined = joined.withColumn("__lines", F.split(text_col, "\n", -1)).withColumn("__covered", covered)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__covered")), lambda i: F.col("__lines")[i])
-    out = joined.withColumn("__n", F.coalesce(F.size("__lines"), F.lit(0)).cast("long")).withColumn("__gone", F.coalesce(F.size("__covered"), F.lit(0)).cast("long"))
-    text = F.when(F.col("__cover").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = out.withColumn(text_col, text)
-    drop = ["__key", "__th", "__cover", "__own", "__n", "__gone", "__lines", "__covered"]
+    key, th, cover, lines, covered, all_, less = unused(docs, 7)
+    gone = removals(docs, key_col, text_col).withColumnsRenamed({"key": key, "th": th, "cover": cover})
+    joined = docs.join(gone, F.col(key_col).eqNullSafe(F.col(key)) & (text_hash(text_col) == F.col(th)), "left")
+    joined = joined.withColumns({lines: F.split(text_col, "\n", -1), covered: F.array_distinct(F.flatten(F.transform(cover, lambda i: F.array(*[i + j for j in range(SIZE)]))))})
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(covered)), lambda i: F.col(lines)[i])
+    none = F.lit(0)
+    out = joined.withColumns({all_: F.coalesce(F.size(lines), none).cast("long"), less: F.coalesce(F.size(covered), none).cast("long")})
+    out = out.withColumn(text_col, F.when(F.col(cover).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
     if counts:
-        out = out.withColumn("n_lines", F.col("__n")).withColumn("n_removed", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("__gone")).cast("long"))
-    return out.drop(*drop)
+        out = out.withColumns({"n_lines": F.col(all_), "n_removed": F.col(less)})
+    return out.drop(key, th, cover, lines, covered, all_, less)
