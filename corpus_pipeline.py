@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm import bpe, decontam, jaccard, line_dedup, toxicity
-from codequarry.llm.common import table, written
+from codequarry.llm.common import forget, table, unused, written
 from codequarry.llm.queries import remainder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents scored 0.5 or more; labels are learned from the same rows as in the query."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder("k", 5) != 0)
-    return toxicity.score(docs, model, score_col="__score").where("__score < 0.5").drop("__score").select(docs.columns)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lambda key: remainder(key, 5) != 0)
+    (score,) = unused(docs, 1)
+    return toxicity.score(docs, model, score_col=score).where(f"{score} < 0.5").select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +44,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and hashes of them and of the bytes that they decode to."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks, pattern, drop_text=True), ranks, pattern)
-    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs.select("doc_id", "text"), ranks, pattern)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -62,5 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        last, docs = docs, written(stage(spark, docs, sf_dir), name)
+        forget(last)
     return docs
