@@ -1,6 +1,7 @@
 """Column -> Column functions over strings, paths, URLs and hashes (STR*, HSH*, MTH*, DAT*, ARR* of the survey).
 
-All stay inside whole-stage code generation; a null argument gives the value named in each docstring.
+All are built-in expressions but char_histogram, which runs as a pandas function; those with transform, aggregate or filter over
+arrays are evaluated outside generated code. A null argument gives the value named in each docstring.
 """
 
 from __future__ import annotations
@@ -61,9 +62,16 @@ def _chain(c: Column, steps: list[tuple[str, str]]) -> Column:
 
 
 def route_path(c: Column) -> Column:
-    """STR1: a route or request path in canonical form; null and blank give /."""
-    x = F.trim(F.coalesce(c, F.lit("")))
-    x = _chain(x, [(r"^(?i:https?)://[^/?#]*", ""), (r"[?#].*$", ""), (r"\$\{[^}]*\}", "{param}"), (r":[a-zA-Z_][a-zA-Z0-9_]*", "{param}"), (r"\{[^}]*\}", "{param}"), (r"\[(\.\.\.)?[a-zA-Z0-9_]+\]", "{param}"), (r"/+", "/")])
+    """STR1: a route or request path in canonical form; null and blank give /.
+
+    Parameters are ${...}, :name, {name} and [name], [...name] with an identifier as name; [1] or ${} stay.
+    """
+    x = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    # of a whole URL the path alone counts, without ;parameters of its last segment
+    path = _chain(x, [(r"^https?://[^/?#]*", ""), (r"(?s)[?#].*$", ""), (r"(?s);[^/]*$", "")])
+    x = F.when(x.rlike(r"^https?://"), path).otherwise(F.regexp_replace(x, r"(?s)[?#].*$", ""))
+    name = "[a-zA-Z_][a-zA-Z0-9_]*"
+    x = _chain(x, [(r"\$\{[^}]+\}", "{param}"), (f":{name}", "{param}"), (rf"\{{{name}\}}", "{param}"), (rf"\[(?:\.\.\.)?{name}\]", "{param}"), (r"/+", "/")])
     x = F.when(x.startswith("/"), x).otherwise(F.concat(F.lit("/"), x))
     x = F.when(F.length(x) > 1, F.regexp_replace(x, r"/$", "")).otherwise(x)
     return F.lower(x)
@@ -134,8 +142,11 @@ def bounded(c: Column, most: int = 2000, mark: str = "... [truncated]") -> Colum
 
 
 def rule_title(c: Column) -> Column:
-    """STR11: last dotted part of a rule id in title case."""
-    return F.initcap(F.replace(F.element_at(F.split(c, r"\."), -1), F.lit("-"), F.lit(" ")))
+    """STR11: last dotted part of a rule id, - as blank, every run of letters capitalised; an id without a dot stays as it is."""
+    last = F.replace(F.element_at(F.split(c, r"\."), -1), F.lit("-"), F.lit(" "))
+    runs = F.regexp_extract_all(last, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
+    titled = F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 20)))), "")
+    return F.when(c.contains("."), titled).otherwise(c)
 
 
 def escape_markdown(c: Column) -> Column:
@@ -308,3 +319,51 @@ def char_histogram(texts: pd.Series) -> pd.Series:
         return counts / (np.linalg.norm(counts) or 1.0)
 
     return texts.map(one, na_action=None)
+
+
+def inline_code(c: Column) -> Column:
+    """A redacted text as inline code; one with backticks stands in double ones; null and empty give ``."""
+    x = escape_markdown(redact(c))
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit("``")).when(x.contains("`"), F.concat(F.lit("`` "), x, F.lit(" ``"))).otherwise(F.concat(F.lit("`"), x, F.lit("`")))
+
+
+def code_block(c: Column, lang: str = "") -> Column:
+    """A redacted text in a fence longer than any inside."""
+    x = redact(c)
+    mark = fence(x)
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit(f"```{lang}\n```")).otherwise(F.concat(mark, F.lit(f"{lang}\n"), x, F.lit("\n"), mark))
+
+
+def table_cell(c: Column) -> Column:
+    """A redacted text as a table cell; - for none."""
+    x = F.trim(escape_cell(redact(c)))
+    return F.when(x == "", F.lit("-")).otherwise(x)
+
+
+def github_url(c: Column) -> Column:
+    """FLT9: https://github.com/owner/repo.git of a public repository's URL; null for anything else."""
+    x = F.trim(c)
+    pattern = r"^https://github\.com/([a-zA-Z0-9_.-]+)/([a-zA-Z0-9_.-]+?)(?:\.git)?/?$"
+    owner, repo = F.regexp_extract(x, pattern, 1), F.regexp_extract(x, pattern, 2)
+    ok = x.rlike(pattern) & ~x.rlike(r"[\s;&|`$<>\\*?]") & ~owner.isin(".", "..") & ~repo.isin(".", "..")
+    return F.when(ok, F.concat(F.lit("https://github.com/"), owner, F.lit("/"), repo, F.lit(".git")))
+
+
+def uuid5_dns(c: Column) -> Column:
+    """PRJ17: a UUID as it is, lower-cased; of any other text, version 5 of it in the DNS namespace; null for null."""
+    plain = r"^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
+    dashed = lambda h: F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    h = F.sha1(F.concat(F.unhex(F.lit("6ba7b8109dad11d180b400c04fd430c8")), c.cast("binary")))
+    variant = F.element_at(F.split(F.lit("8,9,a,b"), ","), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1))
+    made = F.concat(F.substring(h, 1, 12), F.lit("5"), F.substring(h, 14, 3), variant, F.substring(h, 18, 15))
+    return F.when(c.rlike(plain), dashed(F.lower(F.replace(c, F.lit("-"), F.lit(""))))).when(c.isNotNull(), dashed(made))
+
+
+def clock(c: Column) -> Column:
+    """DAT2: HH:MM:SS of a timestamp in UTC."""
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "HH:mm:ss")
+
+
+def retrieval_date(c: Column) -> Column:
+    """DAT3: YYYY-MM-DD of a timestamp in UTC."""
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from codequarry.functions import text as X
 from codequarry.operators.retrieval import upsert
 
-# Suffixes a JavaScript module may leave out, in order (fixed values).
-JS_SUFFIXES = [".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", ".mjs"]
+# Suffixes a relative JavaScript module may leave out, in order, and those that a path ending in any other may have (fixed values).
+JS_SUFFIXES = [".ts", ".tsx", ".js", ".jsx", ".d.ts", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
+JS_TAILS = [".ts", ".tsx", ".js", "/index.ts", "/index.js"]
 HTTP_KINDS = ["FETCH_CALL", "AXIOS_CALL"]
 ROUTE_KINDS = ["FASTAPI_ROUTE", "EXPRESS_ROUTE"]
 
@@ -130,7 +131,10 @@ def folded(path: Column) -> Column:
 
 
 def resolve_modules(imports: DataFrame, files: DataFrame, python: bool) -> DataFrame:
-    """JN8 (python) or JN9: source, module, target; the first candidate path that exists, else the only file that ends in it."""
+    """JN8 (python) or JN9: source, module, target; the first candidate path that exists, else the only file that ends in it.
+
+    A relative JavaScript module only has candidates, any other only the files that end in it.
+    """
     paths = files.select(F.col("path").alias("target"))
     here = F.regexp_extract("source", r"^(.*)/[^/]*$", 1)
     mods = imports.select("source", "module").where("module is not null").distinct()
@@ -141,8 +145,9 @@ def resolve_modules(imports: DataFrame, files: DataFrame, python: bool) -> DataF
         mods, tails = mods.withColumn("rel", folded(up)).withColumn("near", dots > 0), [".py", "/__init__.py"]
     else:
         near = F.col("module").startswith(".")
-        mods, tails = mods.withColumn("rel", F.when(near, folded(F.concat(here, F.lit("/"), "module"))).otherwise(F.regexp_replace("module", r"^@/", ""))).withColumn("near", near), [*JS_SUFFIXES, ""]
-    cand = mods.select("source", "module", F.posexplode(F.array(*[F.concat("rel", F.lit(t)) for t in tails])).alias("prio", "target"))
+        mods, tails = mods.withColumn("rel", F.when(near, folded(F.concat(here, F.lit("/"), "module"))).otherwise(F.col("module"))).withColumn("near", near), JS_TAILS
+    cand = mods.where("near") if not python else mods
+    cand = cand.select("source", "module", F.posexplode(F.array(*[F.concat("rel", F.lit(t)) for t in (tails if python else [*JS_SUFFIXES, ""])])).alias("prio", "target"))
     found = cand.join(paths, "target").groupBy("source", "module").agg(F.min_by("target", "prio").alias("target"))
     rest = mods.join(found, ["source", "module"], "left_anti").where("not near and rel <> ''")
     return found.unionByName(_unique_suffix(rest, files, tails).select("source", "module", "target"))

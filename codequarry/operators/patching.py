@@ -186,20 +186,76 @@ def remediation_block(status: Column, commit: Column, verdict: Column) -> Column
     return F.when(F.coalesce(status, F.lit("")) != "COMPLETED", "SCAN_NOT_COMPLETED").when(F.coalesce(F.trim(commit), F.lit("")) == "", "COMMIT_UNKNOWN").when(F.coalesce(verdict, F.lit("")) != "CONFIRMED", "FINDING_NOT_CONFIRMED")
 
 
+#: Columns of delivery_block() that callers may leave out.
+LATER = {"remote_error": "string", "snapshot_error": "string", "reapply_error": "string", "patched_contents": "array<string>"}
+
+
 def delivery_block(rows: DataFrame) -> DataFrame:
-    """FLT13, JN22, SET2, FLT10: patch_id, failure_code of the first rule a delivery breaks; null where it breaks none.
+    """FLT13, JN22, SET2, FLT10: patch_id, failure_code of the first of fifteen rules a delivery breaks; null where it breaks none.
 
-    rows: patch_id, finding_id, scan_id (null: the join found none), patch_status, approved_by, machine_verdict, scan_status,
-    verdict, commit_hash, repository_url, branch, unified_diff, files_modified, head_sha.
+    rows: patch_id, finding_id, scan_id (null: the join found none), patch_status (null: no such patch), machine_verdict, commit_hash,
+    repository_url, branch (null or empty: main), unified_diff, files_modified, head_sha (of the remote branch; null: not asked), and, where known,
+    remote_error, snapshot_error, reapply_error (texts of what failed), patched_contents (array). Codes are fixed values.
     """
-    owner, repo = X.owner_repo(F.col("repository_url"))
-    same = F.array_sort(F.array_distinct(F.transform("files_modified", X.stripped_path))) == F.array_sort(F.transform(X.diff_files(F.col("unified_diff")), X.stripped_path))
-    d = F.coalesce("unified_diff", F.lit(""))
+    rows = rows.withColumns({c: F.lit(None).cast(k) for c, k in LATER.items() if c not in rows.columns})
+    path = lambda c: F.regexp_replace(F.trim(F.replace(c, F.lit("\\"), F.lit("/"))), r"^[./]+", "")
+    unique = lambda c: F.array_sort(F.array_distinct(F.transform(c, path)))
+    same = unique(F.coalesce("files_modified", F.array().cast("array<string>"))) == unique(X.diff_files(F.col("unified_diff")))
+    branch = F.coalesce(F.nullif(F.col("branch"), F.lit("")), F.lit("main"))
     rules = [
-        (F.col("finding_id").isNull(), "FINDING_NOT_FOUND"), (F.col("scan_id").isNull(), "SCAN_NOT_FOUND"), (F.col("patch_status") != "APPROVED", "PATCH_NOT_APPROVED"), (F.col("approved_by").isNull(), "APPROVAL_MISSING"),
-        (F.col("machine_verdict") == "REJECTED", "MACHINE_REJECTED"), (F.col("scan_status") != "COMPLETED", "SCAN_NOT_COMPLETED"), (F.coalesce("verdict", F.lit("")) != "CONFIRMED", "FINDING_NOT_CONFIRMED"),
-        (~F.coalesce("commit_hash", F.lit("")).rlike("^[0-9a-fA-F]{40}$"), "COMMIT_UNKNOWN"), ((owner == "") | (repo == ""), "REPOSITORY_UNSUPPORTED"),
-        (~F.coalesce("branch", F.lit("")).rlike(r"^(?!HEAD@)[A-Za-z0-9._/-]+$"), "BRANCH_INVALID"), (~X.is_unified_diff(d), "DIFF_INVALID"), (~F.coalesce(same, F.lit(False)), "FILES_MISMATCH"),
-        (F.size(X.patch_secrets(d)) > 0, "SECRET_IN_PATCH"), (X.redact(d) != d, "REDACTION_REQUIRED"), (F.col("head_sha").isNotNull() & (F.lower("head_sha") != F.lower("commit_hash")), "BASE_DRIFT"),
+        (F.col("patch_status").isNull(), "PATCH_NOT_FOUND"), (F.col("finding_id").isNull(), "FINDING_NOT_FOUND"), (F.col("scan_id").isNull(), "SCAN_NOT_FOUND"),
+        (F.col("patch_status") != "APPROVED", "PATCH_NOT_APPROVED"), (F.col("machine_verdict") == "REJECTED", "MACHINE_VERDICT_REJECTED"),
+        (F.length(F.coalesce("commit_hash", F.lit(""))) != 40, "INVALID_COMMIT_SHA"), (X.github_url(F.col("repository_url")).isNull(), "INVALID_REPOSITORY_URL"),
+        (~branch.rlike(r"^(?!HEAD@)[a-zA-Z0-9_.-]+(?:/[a-zA-Z0-9_.-]+)*$"), "INVALID_BASE_BRANCH"), (F.col("remote_error").isNotNull(), "REMOTE_BRANCH_UNRESOLVED"),
+        (F.col("head_sha") != F.col("commit_hash"), "BLOCKED_BASE_DRIFT"), (F.col("unified_diff").isNull(), "DIFF_PARSE_FAILED"), (~same, "FILE_SET_MISMATCH"),
+        (F.col("snapshot_error").isNotNull(), "SNAPSHOT_REHYDRATION_FAILED"), (F.col("reapply_error").isNotNull(), "PATCH_REAPPLY_FAILED"),
+        (F.exists("patched_contents", lambda x: X.redact(x) != x), "PATCH_CONTAINS_SECRETS"),
     ]
     return rows.select("patch_id", F.coalesce(*[F.when(c, F.lit(m)) for c, m in rules]).alias("failure_code"))
+
+
+#: Suffixes of files that no patch may touch (fixed values).
+BINARY = [".png", ".jpg", ".jpeg", ".gif", ".exe", ".bin", ".pyc", ".so", ".dll", ".db", ".sqlite"]
+
+
+def twelve_checks(rows: DataFrame, tools: DataFrame, enabled: int) -> DataFrame:
+    """PIP7: patch_id, check_name, status of the twelve checks of every patch, from what the single operators found.
+
+    rows: patch_id, errors (of validate_patch), unified_diff, plan_files, apply_error, syntax_errors (array), new_mismatches, target_before, target_after
+    (numbers of route mismatches: new ones, and the finding's own before and after), route_finding (boolean), graph_nodes, secrets (array), source_tool, detector_kind,
+    category, title, still_flagged (boolean), snippet_left (boolean; null: no snippet or its file isn't patched), new_high (number of new HIGH and CRITICAL findings).
+    tools: patch_id, tool, status of the scanners' runs over the patched files; enabled: how many should have run.
+    """
+    files = X.diff_files(F.coalesce("unified_diff", F.lit("")))
+    every = lambda test: (F.size(files) > 0) & F.forall(files, test)
+    ran = lambda *s: F.count_if(F.col("status").isin(*s))
+    t = tools.groupBy("patch_id").agg(ran("FAILED", "TIMEOUT").alias("failed"), ran("INVALID_OUTPUT").alias("invalid"), ran("UNAVAILABLE").alias("away"), ran("COMPLETED").alias("done"), F.map_from_entries(F.collect_list(F.struct("tool", "status"))).alias("by_tool"))
+    r = rows.join(t, "patch_id", "left").na.fill(0, ["failed", "invalid", "away", "done"])
+    verdict = lambda ok: F.when(F.coalesce(ok, F.lit(False)), "PASSED").otherwise("FAILED")
+    lower = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    routes = F.when(F.col("new_mismatches") > 0, "FAILED").when(F.col("route_finding"), verdict((F.col("target_before") > 0) & (F.col("target_after") == 0))).otherwise("PASSED")
+    clean = F.size("secrets") == 0
+    parsed = F.size("syntax_errors") == 0
+    scanned = F.when(F.col("failed") > 0, "FAILED").when(F.col("invalid") > 0, "NEEDS_REVIEW").when((F.col("away") > 0) & (F.col("done") == 0), "UNAVAILABLE").when(F.col("away") > 0, "NEEDS_REVIEW").when((F.col("done") > 0) & (F.col("done") == enabled), "PASSED").otherwise("NEEDS_REVIEW")
+    tool = F.try_element_at("by_tool", lower("source_tool"))
+    secret = (F.col("detector_kind") == "deterministic_secret") | lower("category").contains("secret") | lower("title").contains("secret")
+    resolved = (
+        F.when(tool == "COMPLETED", verdict(~F.col("still_flagged"))).when(tool == "UNAVAILABLE", "NEEDS_REVIEW").when(tool.isNotNull(), "FAILED")
+        .when(F.col("route_finding"), routes).when(F.coalesce(secret, F.lit(False)), verdict(clean)).when(F.col("snippet_left"), "FAILED").otherwise("NEEDS_REVIEW")
+    )
+    checks = {
+        "check_1_diff_syntax": verdict(F.size("errors") == 0),
+        "check_2_path_confinement": verdict(every(lambda p: ~p.rlike(r"^(/|\\|\.\.)"))),
+        "check_3_symlink_traversal_prevention": verdict(every(lambda p: ~p.contains("..") & ~p.rlike(r"^[/\\]"))),
+        "check_4_no_binary_modification": verdict(every(lambda p: ~reduce(lambda a, b: a | b, [F.lower(p).endswith(x) for x in BINARY]))),
+        "check_5_scope_confinement": verdict((F.size(files) > 0) & (F.size(F.array_except(files, F.transform("plan_files", X.stripped_path))) == 0)),
+        "check_6_tree_sitter_parse": verdict(F.col("apply_error").isNull() & parsed),
+        "check_7_route_contracts": routes,
+        "check_8_graph_rebuild": verdict(F.col("graph_nodes") > 0),
+        "check_9_finding_remediation": resolved,
+        "check_10_scanners_clean": scanned,
+        "check_11_no_secrets_introduced": verdict(clean),
+        "check_12_no_new_critical_findings": verdict(clean & parsed & (F.col("new_high") == 0)),
+    }
+    each = F.array(*[F.struct(F.lit(n).alias("check_name"), c.alias("status")) for n, c in checks.items()])
+    return r.select("patch_id", F.explode(each).alias("c")).select("patch_id", "c.check_name", "c.status")

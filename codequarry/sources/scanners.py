@@ -11,13 +11,13 @@ from codequarry.schemas import SEVERITIES
 # Exit codes that count as success, by tool (fixed values).
 EXIT_CODES = {"semgrep": [0, 1], "osv": [0, 1], "trivy": [0]}
 
-SEMGREP = "struct<results: array<struct<check_id: string, path: string, start: struct<line: int>, end: struct<line: int>, extra: struct<message: string, severity: string, lines: string, fix: string, metadata: struct<category: string, confidence: string>>>>>"
+SEMGREP = "struct<results: array<struct<check_id: string, path: string, start: struct<line: int>, end: struct<line: int>, extra: struct<message: string, severity: string, lines: string, metadata: struct<category: string, confidence: string, fix: string, remediation: string>>>>>"
 TRIVY_RESULT = (
-    "array<struct<Target: string, Vulnerabilities: array<struct<VulnerabilityID: string, PkgName: string, InstalledVersion: string, FixedVersion: string, Title: string, Description: string, Severity: string>>, "
-    "Secrets: array<struct<RuleID: string, Title: string, Severity: string, StartLine: int, EndLine: int, Match: string>>, "
-    "Misconfigurations: array<struct<ID: string, Title: string, Description: string, Severity: string, Resolution: string, CauseMetadata: struct<StartLine: int, EndLine: int>>>>>"
+    "array<struct<Target: string, Vulnerabilities: array<struct<VulnerabilityID: string, PkgName: string, InstalledVersion: string, FixedVersion: string, Title: string, Description: string, Severity: string, PrimaryURL: string>>, "
+    "Secrets: array<struct<RuleID: string, Title: string, Severity: string, StartLine: int, EndLine: int, Match: string, Code: struct<Lines: array<struct<Content: string>>>>>, "
+    "Misconfigurations: array<struct<ID: string, Title: string, Description: string, Message: string, Severity: string, Resolution: string>>>>"
 )
-OSV = "struct<results: array<struct<source: struct<path: string>, packages: array<struct<package: struct<name: string, version: string>, vulnerabilities: array<struct<id: string, summary: string, details: string, database_specific: struct<severity: string>>>>>>>>"
+OSV = "struct<results: array<struct<source: struct<path: string>, packages: array<struct<package: struct<name: string, version: string, ecosystem: string>, vulnerabilities: array<struct<id: string, summary: string, details: string, aliases: array<string>, database_specific: struct<severity: string>>>>>>>>"
 
 
 def raw(spark: SparkSession, path: str) -> DataFrame:
@@ -34,16 +34,18 @@ def status(tool: Column, enabled: Column, available: Column, timed_out: Column,
     return F.when(~enabled, "DISABLED").when(~available, "UNAVAILABLE").when(timed_out, "TIMEOUT").when(~accepted, "FAILED").when(blank | ~parsed, "INVALID_OUTPUT").otherwise("COMPLETED")
 
 
-def _finding(tool: str, rule: Column, title: Column, description: Column, sev: Column, category: Column, path: Column, start: Column, end: Column, snippet: Column, mitigation: Column, confidence: Column) -> list[Column]:
+def _finding(tool: str, rule: Column, title: Column, description: Column, sev: Column, category: Column, path: Column, start: Column, end: Column, snippet: Column, mitigation: Column, confidence: Column, notes: Column | None = None, kind: str | None = "static_scanner") -> list[Column]:
     none = F.lit(None).cast("string")
-    evidence = F.struct(X.stripped_path(path).alias("file_path"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), snippet.alias("code_snippet"), none.alias("context_notes"))
-    return [F.lit(tool).alias("tool"), rule.alias("rule_id"), title.alias("title"), description.alias("description"), X.severity(sev).alias("severity"), category.alias("category"), evidence.alias("evidence"), mitigation.alias("mitigation"), confidence.alias("confidence"), F.lit(tool).alias("source_tool"), rule.alias("detector_id"), F.lit("static").alias("detector_kind")]
+    evidence = F.struct(X.stripped_path(path).alias("file_path"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), snippet.alias("code_snippet"), (none if notes is None else notes).alias("context_notes"))
+    return [F.lit(tool).alias("tool"), rule.alias("rule_id"), title.alias("title"), description.alias("description"), X.severity(sev).alias("severity"), category.alias("category"), evidence.alias("evidence"), mitigation.alias("mitigation"), confidence.alias("confidence"), (F.lit(tool) if kind else none).alias("source_tool"), (rule if kind else none).alias("detector_id"), F.lit(kind).cast("string").alias("detector_kind")]
 
 
 def semgrep(df: DataFrame, json_col: str = "stdout") -> DataFrame:
     """SRC6: findings of Semgrep documents; unreadable ones give none."""
     r = df.select(F.explode(F.from_json(json_col, SEMGREP)["results"]).alias("r")).select("r.*")
-    return r.select(*_finding("semgrep", F.col("check_id"), X.rule_title(F.col("check_id")), F.col("extra.message"), F.col("extra.severity"), F.coalesce("extra.metadata.category", F.lit("sast")), F.col("path"), F.col("start.line"), F.col("end.line"), F.col("extra.lines"), F.col("extra.fix"), F.coalesce("extra.metadata.confidence", F.lit("MEDIUM"))))
+    given = lambda c: F.nullif(F.col(f"extra.metadata.{c}"), F.lit(""))
+    rule, message = F.coalesce("check_id", F.lit("unknown-rule")), F.coalesce("extra.message", F.lit("Semgrep rule match"))
+    return r.select(*_finding("semgrep", rule, X.rule_title(rule), message, F.col("extra.severity"), F.coalesce("extra.metadata.category", F.lit("sast")), F.coalesce("path", F.lit("")), F.col("start.line"), F.col("end.line"), F.col("extra.lines"), F.coalesce(given("fix"), F.col("extra.metadata.remediation")), F.upper(given("confidence")), message))
 
 
 def trivy(df: DataFrame, json_col: str = "stdout") -> DataFrame:
@@ -51,20 +53,37 @@ def trivy(df: DataFrame, json_col: str = "stdout") -> DataFrame:
     both = F.coalesce(F.when(F.ltrim(json_col).startswith("["), F.from_json(json_col, TRIVY_RESULT)), F.from_json(json_col, f"struct<Results: {TRIVY_RESULT}>")["Results"])
     r = df.select(F.explode(both).alias("r")).select("r.*")
     none, no = F.lit(None).cast("string"), F.lit(None).cast("int")
-    v = r.select("Target", F.explode("Vulnerabilities").alias("x"))
-    v = v.select(*_finding("trivy", F.col("x.VulnerabilityID"), F.coalesce("x.Title", "x.VulnerabilityID"), F.coalesce("x.Description", F.lit("")), F.col("x.Severity"), F.lit("dependency"), F.col("Target"), no, no, F.concat_ws("@", "x.PkgName", "x.InstalledVersion"), F.when(F.col("x.FixedVersion").isNotNull(), F.concat(F.lit("Upgrade to "), "x.FixedVersion")), F.lit("HIGH")))
-    s = r.select("Target", F.explode("Secrets").alias("x"))
-    s = s.select(*_finding("trivy", F.col("x.RuleID"), F.col("x.Title"), F.col("x.Title"), F.col("x.Severity"), F.lit("secrets"), F.col("Target"), F.col("x.StartLine"), F.col("x.EndLine"), X.redact(F.col("x.Match")), none, F.lit("HIGH")))
-    m = r.select("Target", F.explode("Misconfigurations").alias("x"))
-    m = m.select(*_finding("trivy", F.col("x.ID"), F.col("x.Title"), F.coalesce("x.Description", F.lit("")), F.col("x.Severity"), F.lit("misconfiguration"), F.col("Target"), F.col("x.CauseMetadata.StartLine"), F.col("x.CauseMetadata.EndLine"), none, F.col("x.Resolution"), F.lit("HIGH")))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    given = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), other)
+    target = F.coalesce("Target", F.lit("repository"))
+    v = r.select(target.alias("at"), F.explode("Vulnerabilities").alias("x")).select("at", "x.*")
+    rule, pkg, have = F.coalesce("VulnerabilityID", F.lit("UNKNOWN-CVE")), F.coalesce("PkgName", F.lit("package")), F.coalesce("InstalledVersion", F.lit(""))
+    fixed, url = F.nullif(F.col("FixedVersion"), F.lit("")), F.nullif(F.col("PrimaryURL"), F.lit(""))
+    upgrade = text("Upgrade ", pkg, " to version ", fixed)
+    advice = F.coalesce(text(upgrade, " (Ref: ", url, ")"), text("Reference: ", F.when(fixed.isNull(), url)), upgrade)
+    notes = text("Installed version: ", have, ", Fixed version: ", F.coalesce(fixed, F.lit("N/A")))
+    v = v.select(*_finding("trivy", rule, given(F.col("Title"), text(rule, " in ", pkg, " ", have)), given(F.col("Description"), text("Vulnerability ", rule, " detected in ", pkg, " (", have, ").")), F.col("Severity"), F.lit("vulnerability"), F.col("at"), no, no, text(pkg, "==", have), advice, none, notes))
+    s = r.select(target.alias("at"), F.explode("Secrets").alias("x")).select("at", "x.*")
+    rule = F.coalesce("RuleID", F.lit("exposed-secret"))
+    code = F.array_join(F.transform("Code.Lines", lambda x: F.coalesce(x["Content"], F.lit(""))), "\n")
+    snippet = X.redact(F.when(F.size("Code.Lines") > 0, code).otherwise(F.col("Match")))
+    s = s.select(*_finding("trivy", rule, F.coalesce("Title", text("Exposed Secret: ", rule)), F.lit("Hardcoded credential or private secret key found in source code."), F.coalesce("Severity", F.lit("CRITICAL")), F.lit("secret"), F.col("at"), F.col("StartLine"), F.col("EndLine"), snippet, F.lit("Revoke the credential immediately and migrate to secure environment variables or secret management."), none, F.lit("Hardcoded secret or credential token detected."), "deterministic_secret"))
+    m = r.select(target.alias("at"), F.explode("Misconfigurations").alias("x")).select("at", "x.*")
+    rule = F.coalesce("ID", F.lit("misconfiguration"))
+    m = m.select(*_finding("trivy", rule, F.coalesce("Title", text("Misconfiguration: ", rule)), given(F.col("Description"), F.coalesce("Message", F.lit(""))), F.col("Severity"), F.lit("misconfiguration"), F.col("at"), no, no, none, F.col("Resolution"), none, F.coalesce("Message", F.lit("Infrastructure misconfiguration")), None))
     return v.unionByName(s).unionByName(m)
 
 
 def osv(df: DataFrame, json_col: str = "stdout") -> DataFrame:
     """SRC8: vulnerabilities of OSV documents; without a severity they are MEDIUM."""
     r = df.select(F.explode(F.from_json(json_col, OSV)["results"]).alias("r")).select("r.source.path", F.explode("r.packages").alias("p")).select("path", "p.package", F.explode("p.vulnerabilities").alias("v"))
-    no = F.lit(None).cast("int")
-    return r.select(*_finding("osv", F.col("v.id"), F.coalesce("v.summary", "v.id"), F.coalesce("v.details", "v.summary", F.lit("")), F.coalesce("v.database_specific.severity", F.lit("MEDIUM")), F.lit("dependency"), F.col("path"), no, no, F.concat_ws("@", "package.name", "package.version"), F.lit(None).cast("string"), F.lit("HIGH")))
+    no, none = F.lit(None).cast("int"), F.lit(None).cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    rule, pkg, have = F.coalesce("v.id", F.lit("UNKNOWN-OSV")), F.coalesce("package.name", F.lit("package")), F.coalesce("package.version", F.lit("unknown"))
+    described = F.coalesce(F.nullif(F.col("v.summary"), F.lit("")), F.nullif(F.col("v.details"), F.lit("")), text("Vulnerability ", rule, " affects ", pkg, "."))
+    names = F.coalesce(F.nullif(F.array_join("v.aliases", ", "), F.lit("")), F.lit("None"))
+    notes = text("Vulnerable package ", pkg, " version ", have, ". Aliases: ", names)
+    return r.select(*_finding("osv", rule, text(rule, " in ", pkg, "@", have), described, F.coalesce("v.database_specific.severity", F.lit("MEDIUM")), F.lit("dependency"), F.coalesce("path", F.lit("")), no, no, text(pkg, "==", have, " (", F.coalesce("package.ecosystem", F.lit("")), ")"), text("Upgrade dependency ", pkg, " to a non-vulnerable release."), none, notes))
 
 
 def where(findings: DataFrame, file_path: str | None = None, severity: str | None = None, category: str | None = None, tool: str | None = None) -> DataFrame:

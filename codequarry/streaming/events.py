@@ -1,4 +1,4 @@
-"""The event log as a stream: cursor reads, replay, idempotence, lifecycle state (STM1-10, ORD3, ORD9, FLT18)."""
+"""The event log as a stream: cursor reads, replay, idempotence, lifecycle state (STM1-3, STM5-6, STM8, STM10, ORD3-4, ORD9, FLT18, SNK7)."""
 
 from __future__ import annotations
 
@@ -9,9 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# Prefixes of event types by timeline category; audit takes three patch events, too (fixed values).
-CATEGORIES = {"SCAN": ["SCAN_", "STAGE_"], "TOOL": ["TOOL_"], "MODEL": ["MODEL_", "LLM_"], "FINDING": ["FINDING_"], "PATCH": ["PATCH_", "PLAN_"], "DELIVERY": ["DELIVERY_", "PR_"], "HUMAN_AUDIT": ["HUMAN_", "AUDIT_"]}
-AUDIT_PATCH_EVENTS = ["PATCH_APPROVED", "PATCH_REJECTED", "PATCH_REVISION_REQUESTED"]
+# Prefixes and whole names of event types by timeline category (fixed values); ALL takes every event.
+CATEGORIES = {
+    "STAGES": (["STAGE_", "SCAN_", "TOOL_"], []),
+    "FINDINGS": ([], ["FINDING_CONFIRMED"]),
+    "PATCHES": (["PATCH_"], []),
+    "HUMAN_AUDIT": (["HUMAN_"], ["PATCH_APPROVED", "PATCH_REJECTED", "PATCH_REVISION_CREATED"]),
+    "DELIVERIES": (["DELIVERY_"], []),
+}
+TERMINAL = ["COMPLETED", "FAILED"]
 
 
 def cursor(last_event_id: Column, after_id: Column) -> Column:
@@ -25,12 +31,12 @@ def tail(events: DataFrame, after: int, limit: int = 100, id_col: str = "id") ->
 
 
 def in_category(event_type: Column, category: str) -> Column:
-    """FLT18"""
-    own = CATEGORIES[category]
-    hit = event_type.startswith(own[0])
-    for p in own[1:]:
+    """FLT18: whether an event belongs to a timeline category; to ALL and to unknown ones every event does."""
+    prefixes, names = CATEGORIES.get(category, ([""], []))
+    hit = event_type.isin(names) if names else F.lit(False)
+    for p in prefixes:
         hit = hit | event_type.startswith(p)
-    return hit | event_type.isin(AUDIT_PATCH_EVENTS) if category == "HUMAN_AUDIT" else hit
+    return hit
 
 
 def read(spark: SparkSession, path: str, schema: str, per_batch: int | None = None) -> DataFrame:
@@ -39,9 +45,30 @@ def read(spark: SparkSession, path: str, schema: str, per_batch: int | None = No
     return (r.option("maxFilesPerTrigger", per_batch) if per_batch else r).parquet(path)
 
 
-def after_cursor(stream: DataFrame, after: int, id_col: str = "id") -> DataFrame:
-    """STM1, STM6: events after a cursor, each id once."""
-    return stream.where(F.col(id_col) > after).dropDuplicates([id_col])
+def after_cursor(stream: DataFrame, after: int, id_col: str = "id", time_col: str | None = None, late: str = "1 hour") -> DataFrame:
+    """STM1, STM6: events after a cursor, each id once.
+
+    With time_col, an id is remembered for `late` behind the newest event, and older events are dropped as late; without, for ever.
+    """
+    own = stream.where(F.col(id_col) > after)
+    return own.withWatermark(time_col, late).dropDuplicatesWithinWatermark([id_col]) if time_col else own.dropDuplicates([id_col])
+
+
+def client_list(events: DataFrame, id_col: str = "id") -> DataFrame:
+    """ORD9: a client's list of events: each id once, the row that came first by its columns, in order."""
+    other = [c for c in events.columns if c != id_col]
+    one = events.groupBy(id_col).agg(F.min(F.struct(*other)).alias("e")) if other else events.distinct()
+    return one.select(id_col, *[F.col("e")[c].alias(c) for c in other]).orderBy(id_col)
+
+
+def finished(scans: DataFrame, events: DataFrame, cursors: DataFrame) -> DataFrame:
+    """STM3: scan_id, done: a scan's stream ends when it is terminal and nothing stands behind its cursor.
+
+    scans: id, status. cursors: scan_id, after. A scan without a cursor has read nothing.
+    """
+    last = events.groupBy("scan_id").agg(F.max("id").alias("last"))
+    s = scans.select(F.col("id").alias("scan_id"), "status").join(last, "scan_id", "left").join(cursors, "scan_id", "left")
+    return s.select("scan_id", (F.col("status").isin(TERMINAL) & (F.coalesce("last", F.lit(0)) <= F.coalesce("after", F.lit(0)))).alias("done"))
 
 
 def latest_state(events: DataFrame, key: str, status: Column, id_col: str = "id") -> DataFrame:

@@ -26,6 +26,21 @@ def test_scanner_documents(spark):
     assert counts == {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 0, "LOW": 0, "INFO": 0}
 
 
+def test_scanner_fields(spark):
+    """Mitigation, confidence, notes and titles as the three formats give them, or do without."""
+    doc = lambda x: spark.createDataFrame([(json.dumps(x),)], "stdout string")
+    sem = [{"check_id": "plain-id", "path": "a\\b.py", "extra": {"message": "m", "metadata": {"fix": "", "remediation": "do it", "confidence": "high"}}}, {"extra": {}}]
+    a, b = scanners.semgrep(doc({"results": sem})).collect()
+    assert (a["title"], a["mitigation"], a["confidence"], a["evidence"]["context_notes"], a["evidence"]["file_path"]) == ("plain-id", "do it", "HIGH", "m", "a/b.py")
+    assert (b["rule_id"], b["description"], b["confidence"], b["category"]) == ("unknown-rule", "Semgrep rule match", None, "sast")
+    vuln = {"VulnerabilityID": "C-1", "PkgName": "p", "InstalledVersion": "1", "FixedVersion": "2", "PrimaryURL": "u"}
+    rows = scanners.trivy(doc({"Results": [{"Target": "l", "Vulnerabilities": [vuln, {**vuln, "FixedVersion": ""}], "Misconfigurations": [{"ID": "M", "Message": "why"}]}]})).collect()
+    assert [r["mitigation"] for r in rows] == ["Upgrade p to version 2 (Ref: u)", "Reference: u", None]
+    assert rows[0]["title"] == "C-1 in p 1" and rows[1]["evidence"]["context_notes"] == "Installed version: 1, Fixed version: N/A" and (rows[2]["title"], rows[2]["description"], rows[2]["detector_kind"]) == ("Misconfiguration: M", "why", None)
+    o = scanners.osv(doc({"results": [{"packages": [{"package": {"name": "q"}, "vulnerabilities": [{"id": "G", "details": "d", "aliases": ["X", "Y"]}]}]}]})).first()
+    assert (o["title"], o["description"], o["evidence"]["code_snippet"], o["evidence"]["context_notes"]) == ("G in q@unknown", "d", "q==unknown ()", "Vulnerable package q version unknown. Aliases: X, Y")
+
+
 def test_scanner_status(spark):
     rows = [("semgrep", True, True, False, 1, "{}", "COMPLETED"), ("trivy", True, True, False, 1, "{}", "FAILED"), ("osv", True, True, False, 0, " ", "INVALID_OUTPUT"), ("osv", True, True, False, 0, "x{", "INVALID_OUTPUT"), ("osv", False, True, False, 0, "{}", "DISABLED"), ("osv", True, False, False, 0, "{}", "UNAVAILABLE"), ("osv", True, True, True, 0, "{}", "TIMEOUT")]
     df = spark.createDataFrame(rows, "t string, e boolean, a boolean, o boolean, c int, s string, want string")
@@ -112,10 +127,18 @@ def test_patch_rules(spark):
 
 def test_delivery_rules(spark):
     cols = "patch_id string, finding_id string, scan_id string, patch_status string, approved_by string, machine_verdict string, scan_status string, verdict string, commit_hash string, repository_url string, branch string, unified_diff string, files_modified array<string>, head_sha string"
-    ok = ("p", "f", "s", "APPROVED", "me", "PASSED", "COMPLETED", "CONFIRMED", "a" * 40, "https://github.com/o/r.git", "fix/x", DIFF, ["./x.py"], "A" * 40)
+    ok = ("p", "f", "s", "APPROVED", "me", "PASSED", "COMPLETED", "CONFIRMED", "a" * 40, "https://github.com/o/r.git", "fix/x", DIFF, ["./x.py"], "a" * 40)
     rows = [ok, (*ok[:3], "DRAFT", *ok[4:]), (*ok[:10], "HEAD@x", *ok[11:]), (*ok[:12], ["y"], ok[13]), (*ok[:13], "b" * 40)]
     df = spark.createDataFrame([(str(i), *r[1:]) for i, r in enumerate(rows)], cols)
-    assert [r["failure_code"] for r in patching.delivery_block(df).orderBy("patch_id").collect()] == [None, "PATCH_NOT_APPROVED", "BRANCH_INVALID", "FILES_MISMATCH", "BASE_DRIFT"]
+    assert [r["failure_code"] for r in patching.delivery_block(df).orderBy("patch_id").collect()] == [None, "PATCH_NOT_APPROVED", "INVALID_BASE_BRANCH", "FILE_SET_MISMATCH", "BLOCKED_BASE_DRIFT"]
+    more = [(*ok[:3], None, *ok[4:]), (ok[0], None, *ok[2:]), (*ok[:2], None, *ok[3:]), (*ok[:5], "REJECTED", *ok[6:]), (*ok[:8], "abc", *ok[9:]), (*ok[:9], "https://gitlab.com/o/r", *ok[10:]), (*ok[:11], None, *ok[12:]), (*ok[:10], None, *ok[11:])]
+    df = spark.createDataFrame([(str(i), *r[1:]) for i, r in enumerate(more)], cols)
+    want = ["PATCH_NOT_FOUND", "FINDING_NOT_FOUND", "SCAN_NOT_FOUND", "MACHINE_VERDICT_REJECTED", "INVALID_COMMIT_SHA", "INVALID_REPOSITORY_URL", "DIFF_PARSE_FAILED", None]
+    assert [r["failure_code"] for r in patching.delivery_block(df).orderBy("patch_id").collect()] == want
+    late = spark.createDataFrame([("0", *ok[1:])], cols)
+    for column, code in (("remote_error", "REMOTE_BRANCH_UNRESOLVED"), ("snapshot_error", "SNAPSHOT_REHYDRATION_FAILED"), ("reapply_error", "PATCH_REAPPLY_FAILED")):
+        assert patching.delivery_block(late.withColumn(column, F.lit("x"))).first()["failure_code"] == code
+    assert patching.delivery_block(late.withColumn("patched_contents", F.array(F.lit("ok"), F.lit("password='hunter22'")))).first()["failure_code"] == "PATCH_CONTAINS_SECRETS"
 
 
 def test_metrics(spark):
@@ -134,7 +157,13 @@ def test_sanitiser(spark):
     df = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cases)] + [(7, None), (8, "junk")], "i int, p string")
     got = [json.loads(r["o"]) for r in df.select("i", report.sanitised("p").alias("o")).orderBy("i").collect()]
     assert got[0] == cases[0] and got[1] == {"ok": 1} and len(got[2]) == 51 and got[2]["_truncated"] and len(got[3]["l"]) == 51 and len(got[4]["s"]) < 2100
-    assert "MAX_DEPTH" in json.dumps(got[5]) and got[6] == {"_truncated": True} and got[7] == got[8] == {}
+    assert "[truncated: max depth exceeded]" in json.dumps(got[5]) and got[7] == got[8] == {}
+    assert got[6] == {"_truncated": True, "reason": "Total metadata serialized bytes exceeded limit (65536 bytes)"}
+    assert got[3]["l"][-1] == "[truncated: max items exceeded]"
+    # sensitive keys don't count towards the entries, and strings are redacted
+    many = {f"my_token_{i}": i for i in range(60)} | {f"f{i}": "sk-abcdefghijklmnopqrst" for i in range(50)}
+    out = json.loads(spark.createDataFrame([(json.dumps(many),)], "p string").select(report.sanitised("p").alias("o")).first()["o"])
+    assert len(out) == 50 and set(out.values()) == {"sk-[REDACTED]"}
 
 
 def test_report_and_telemetry(spark):
@@ -154,6 +183,56 @@ def test_report_and_telemetry(spark):
     assert report.lineage(p).first()["child_id"] is None
 
 
+def test_whole_reports(spark):
+    """A scan with a finding, evidence, a patch and its delivery, and one without anything, as JSON and as Markdown."""
+    none = "cast(null as string)"
+    scans = spark.sql(f"select 's' id, 'https://github.com/o/r' repository_url, {none} commit_hash, 'main' branch, 'COMPLETED' status union all select 't', 'u', 'abc', null, 'FAILED'")
+    findings = spark.sql(f"select 'f' id, 's' scan_id, 'A <b>' title, 'password = \\'hunter22\\'' description, 'HIGH' severity, 'OPEN' status, 'r' rule_id, {none} category, 'do' mitigation_guidance, 'CONFIRMED' verification_verdict, {none} verification_reason, {none} source_tool, {none} detector_id")
+    evidences = spark.sql(f"select 'e' id, 'f' finding_id, 'x.py' file_path, 3 start_line, cast(null as int) end_line, {none} context_notes, 'a ``` b' code_snippet")
+    patches = spark.sql(f"select 'patch-123456' id, 'f' finding_id, 's' scan_id, 'APPROVED' status, 'PASSED' machine_verdict, 2 revision_number, 'me' approved_by, {none} approved_at, {none} rejected_reason, {none} user_feedback, array('x.py') files_modified, 'why' explanation, '--- a' unified_diff")
+    deliveries = spark.sql(f"select 'd' id, 'patch-123456' patch_id, 's' scan_id, 'PR_CREATED' status, 7 pr_number, 'http://p' pr_url, {none} head_branch")
+    events = spark.sql("select 1L id, 's' scan_id, 'TOOL_COMPLETED' event_type, cast(null as string) stage, 'semgrep' tool_name, 'a|b' message, timestamp'2024-01-01 10:00:00' created_at")
+    made = report.scan_reports(scans, findings, evidences, patches, deliveries, events)
+    texts = {r["scan_id"]: r["markdown"] for r in report.markdown(made, "Own").collect()}
+    s = texts["s"]
+    for line in ("# Own Evidence & Intelligence Report", "**Commit SHA**: `N/A`  ", "| **Total Findings** | 1 |", "| 🔄 Child Revisions | 1 |", "### 1. [HIGH] A &lt;b&gt;", "- **Category**: `General`", "- **Rule ID**: `r`", "password='[REDACTED]'", "**Source Evidences** (1):", "📁 `x.py` (lines 3-?)", "````", "#### Patch `patch-12` (Revision #2) — Status: `APPROVED`",
+                 "- **GitHub Delivery**: 1 delivery record(s)", "  - Status: `PR_CREATED` [PR #7](http://p) (Branch: `N/A`)", "```diff", "## Workflow Audit Trail (1 events)"):
+        assert line in s.split("\n"), line
+    assert "| `1` | " in s and "a\\|b" in s and "Detector / Source" not in s and "hunter22" not in s
+    assert "*No security or architectural findings were identified in this scan.*" in texts["t"] and texts["t"].rstrip().endswith("*No durable workflow events recorded.*") and "`default`" in texts["t"]
+    j = {r["scan_id"]: json.loads(r["json"]) for r in report.as_json(made).collect()}
+    assert j["s"]["findings"][0]["patches"][0]["deliveries"][0]["status"] == "PR_CREATED" and j["t"]["findings"] == [] and j["s"]["summary"]["pull_requests_created"] == 1
+    body = report.pr_body(spark.sql("select 'p' patch_id, 't|<' title, 'd' description, 'LOW' severity, cast(null as string) category, cast(null as string) verification_verdict, 'abc' commit_hash, 'e' explanation, 'b' expected_behavior_change, cast(null as array<string>) files_modified, cast(null as string) machine_verdict, 'me' approved_by, 'hi' notes"), "Own").first()["body"]
+    assert "- None recorded" in body and "**Category**: `Security/Quality`" in body and "Approved by `me`" in body and "### ✍️ Human Sign-Off Notes\n\nhi\n" in body
+    stored = report.event_rows(spark.createDataFrame([("sk-abcdefghijklmnopqrst" + "x" * 3000, '{"prompt": 1, "a": 2}'), (None, None)], "message string, metadata_payload string")).collect()
+    assert stored[0]["message"].startswith("sk-[REDACTED]") and stored[0]["metadata_payload"] == '{"a":2}' and stored[1]["message"] is None
+
+
+def test_text_of_ids_urls_and_times(spark):
+    import uuid
+
+    from codequarry.functions import text as X
+
+    ids = ["hello", "", "1B4E28BA-2FA1-11D2-883F-0016D3CCA427", "1b4e28ba2fa111d2883f0016d3cca427", "é"]
+    df = spark.createDataFrame([(x,) for x in [*ids, None]], "x string")
+    got = [r[0] for r in df.select(X.uuid5_dns(F.col("x"))).collect()]
+    assert got == [str(uuid.uuid5(uuid.NAMESPACE_DNS, x)) if len(x) < 32 else "1b4e28ba-2fa1-11d2-883f-0016d3cca427" for x in ids] + [None]
+    code = spark.createDataFrame([("a`b",), ("x<",), (None,)], "x string").select(X.inline_code(F.col("x")), X.code_block(F.col("x"), "py")).collect()
+    assert [r[0] for r in code] == ["`` a`b ``", "`x&lt;`", "``"] and code[2][1] == "```py\n```"
+
+
+def test_stream_ends_and_lists(spark, tmp_path):
+    e = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (2, "a", "b"), (5, "b", "z")], "id long, scan_id string, event_type string")
+    assert [tuple(r) for r in ev.client_list(e).collect()] == [(1, "a", "x"), (2, "a", "b"), (5, "b", "z")]
+    scans = spark.createDataFrame([("a", "COMPLETED"), ("b", "FAILED"), ("c", "RUNNING"), ("d", "COMPLETED")], "id string, status string")
+    done = {r["scan_id"]: r["done"] for r in ev.finished(scans, e, spark.createDataFrame([("a", 1), ("b", 5)], "scan_id string, after long")).collect()}
+    assert done == {"a": False, "b": True, "c": False, "d": True}
+    spark.sql("select id, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id,0) ts from range(20)").write.parquet(f"{tmp_path}/in")
+    spark.sql("select id, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id,0) ts from range(10)").write.mode("append").parquet(f"{tmp_path}/in")
+    out = run.drain(ev.after_cursor(ev.read(spark, f"{tmp_path}/in", "id long, ts timestamp"), 4, time_col="ts"))
+    assert sorted(r["id"] for r in out.collect()) == list(range(5, 20))
+
+
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"k{i % 3}", f"s{i}") for i in range(1, 11)], "id long, key string, status string")
     rows.repartition(3).write.parquet(f"{tmp_path}/in")
@@ -171,8 +250,9 @@ def test_streams(spark, tmp_path):
 def test_named_queries_match_their_sql(spark):
     import duckdb
 
-    from codequarry.plans import named
+    from codequarry.plans import named, rules
 
+    assert rules.QUERIES is named.QUERIES
     where = "/root/testdata/sf0.001"
     con = duckdb.connect()
     for name in "documents embeddings benchmark pages labels conversations region nation customer supplier part orders lineitem events".split():

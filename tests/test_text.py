@@ -18,6 +18,14 @@ def test_route_paths(spark):
     assert values(spark, X.route_path, list(table)) == list(table.values())
 
 
+def test_what_only_looks_like_a_route_parameter(spark):
+    table = {"/a/[1]": "/a/[1]", "/a/${}": "/a/${}", "/a/{not-one}": "/a/{not-one}", "HTTP://h/a": "/http:/h/a", "https://h": "/", "http://h/x;v=1": "/x", " \t/A/{b}/ ": "/a/{param}", "/x/[[...opt]]": "/x/[{param}]", "a:b": "/a{param}"}
+    assert values(spark, X.route_path, list(table)) == list(table.values())
+    assert values(spark, X.rule_title, ["a.b.sql_in-JECT", "no-dot", "x.", None]) == ["Sql_In Ject", "no-dot", "", None]
+    urls = ["https://github.com/o/r", " https://github.com/o/r.git/ ", "https://github.com/o", "git@github.com:o/r", "https://github.com/o/r?x", "https://github.com/../r", None]
+    assert values(spark, X.github_url, urls) == ["https://github.com/o/r.git"] * 2 + [None] * 5
+
+
 def test_redaction(spark):
     got = values(spark, X.redact, ["Bearer abcdefghijkl.x", "sk-abcdefghijklmnop1", "password = 'hunter22'", "C:\\Users\\bob\\x /home/eve/y", "ghp_" + "a" * 36, None])
     assert got == ["Bearer [REDACTED]", "sk-[REDACTED]", "password='[REDACTED]'", "[HOST_USER_DIR]\\x /home/[HOST_USER]/y", "[REDACTED_GITHUB_TOKEN]", ""]
