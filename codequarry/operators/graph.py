@@ -61,7 +61,7 @@ def trace(path: str, routes: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def nodes_of(files: DataFrame, symbols: DataFrame, frameworks: DataFrame) -> DataFrame:
-    """GRF1: FILE and TEST, ROUTE, FRONTEND_REQUEST, SYMBOL and DEPENDENCY nodes; the last write of an id stays."""
+    """GRF1: FILE, TEST, ROUTE with its handler, FRONTEND_REQUEST, SYMBOL and DEPENDENCY nodes; the last write of an id stays. A test is a FILE, too."""
     test = X.is_test_file(F.col("path"))
     seq = lambda step, *c: (F.lit(step) * F.lit(10**15) + F.coalesce(*c, F.lit(0))).cast("long")
     row = lambda df, s, i, kind, label, start=None, end=None, meta=None: df.select(
@@ -69,10 +69,12 @@ def nodes_of(files: DataFrame, symbols: DataFrame, frameworks: DataFrame) -> Dat
         (start if start is not None else F.lit(None)).cast("int").alias("start_line"), (end if end is not None else F.lit(None)).cast("int").alias("end_line"), (meta if meta is not None else F.lit(None)).cast("string").alias("metadata"))
     at = F.col("file_seq").cast("long") * 10**6 + F.coalesce(F.col("sym_seq"), F.lit(0))
     method, url = F.upper(F.coalesce("details.http_method", F.lit("GET"))), F.coalesce("details.url", F.lit("/"))
-    routes, http, plain = symbols.where(F.col("kind").isin(ROUTE_KINDS)), symbols.where(F.col("kind").isin(HTTP_KINDS)), symbols.where(F.col("kind").isin("FUNCTION", "CLASS", "METHOD"))
+    routes, http, plain = symbols.where(F.col("kind").isin(ROUTE_KINDS)), symbols.where(F.col("kind").isin(HTTP_KINDS)), symbols.where(~F.col("kind").isin(ROUTE_KINDS + HTTP_KINDS))
     rpath = F.coalesce("details.path", F.lit("/"))
     rows = [
-        row(files, seq(1, F.col("file_seq").cast("long")), F.concat(F.when(test, "test:").otherwise("file:"), "path"), F.when(test, F.lit("TEST")).otherwise("FILE"), F.col("path"), meta=F.to_json(F.struct("language"))),
+        row(files.where(test), seq(1, F.col("file_seq").cast("long")), F.concat(F.lit("test:"), "path"), F.lit("TEST"), X.base_name(F.col("path")), meta=F.to_json(F.struct("language"))),
+        row(files, seq(1, F.col("file_seq").cast("long")), F.concat(F.lit("file:"), "path"), F.lit("FILE"), F.col("path"), meta=F.to_json(F.struct("language"))),
+        row(routes, seq(2, at), handler_id(), F.lit("SYMBOL"), F.col("name"), F.col("start_line"), F.col("end_line"), F.to_json(F.struct(F.lit("FUNCTION").alias("kind"), F.lit(True).alias("route_handler")))),
         row(routes, seq(2, at), F.concat(F.lit("route:"), method, F.lit(":"), rpath), F.lit("ROUTE"), F.concat_ws(" ", method, rpath), F.col("start_line"), F.col("end_line"), F.to_json(F.struct(method.alias("method"), rpath.alias("path")))),
         row(http, seq(2, at), F.concat(F.lit("req:"), "path", F.lit(":"), "start_line", F.lit(":"), method, F.lit(":"), url), F.lit("FRONTEND_REQUEST"), F.concat_ws(" ", method, url), F.col("start_line"), F.col("end_line"), F.to_json(F.struct(method.alias("method"), url.alias("path")))),
         row(plain, seq(2, at), symbol_id(), F.lit("SYMBOL"), F.col("name"), F.col("start_line"), F.col("end_line"), F.to_json(F.struct("kind"))),
@@ -86,6 +88,125 @@ def symbol_id() -> Column:
     return F.concat(F.lit("symbol:"), "path", F.lit(":"), "kind", F.lit(":"), "name", F.lit(":"), F.col("start_line").cast("string"))
 
 
+def handler_id() -> Column:
+    """Id of the function behind a route symbol."""
+    return F.concat(F.lit("symbol:"), "path", F.lit(":FUNCTION:"), "name", F.lit(":"), F.col("start_line").cast("string"))
+
+
+# Files that name a repository's dependencies (fixed values).
+DEPENDENCY_FILES = ["package.json", "requirements.txt", "pyproject.toml", "Pipfile", "go.mod"]
+
+
+def structure_edges(files: DataFrame, symbols: DataFrame, frameworks: DataFrame) -> DataFrame:
+    """GRF2, JN10-12: CONTAINS, TESTS, DEPENDS_ON, EXPOSES_ROUTE and IMPORTS edges, in the schema of edges; last_edges() drops those without both ends.
+
+    frameworks has a row per known framework of the repository at most, and goes out to every manifest file.
+    """
+    file, at = F.concat(F.lit("file:"), "path"), F.col("file_seq").cast("long") * 10**6 + F.coalesce(F.col("sym_seq"), F.lit(0))
+    method = F.upper(F.coalesce("details.http_method", F.lit("GET")))
+    route = F.concat(F.lit("route:"), method, F.lit(":"), F.coalesce("details.path", F.lit("/")))
+    request = F.concat(F.lit("req:"), "path", F.lit(":"), "start_line", F.lit(":"), method, F.lit(":"), F.coalesce("details.url", F.lit("/")))
+    edge = lambda df, seq, source, target, kind, meta=None: df.select(seq.cast("long").alias("write_seq"), source.alias("source"), target.alias("target"), F.lit(kind).alias("kind"), (F.lit(None) if meta is None else meta).cast("string").alias("metadata"))
+    own = F.col("file_seq").cast("long") * 10**6
+    is_route, is_call = F.col("kind").isin(ROUTE_KINDS), F.col("kind").isin(HTTP_KINDS)
+    manifests = files.where(reduce(lambda a, b: a | b, [F.col("path").endswith(n) for n in DEPENDENCY_FILES]))
+    named = F.broadcast(frameworks.select(F.concat(F.lit("dep:"), F.lower("name")).alias("dep")))
+    seqs = files.select(file.alias("source"), own.alias("seq"))
+    tests = test_edges(files).join(seqs.select(F.replace("source", F.lit("file:"), F.lit("test:")).alias("source"), "seq"), "source")
+    imports = import_edges(symbols.where("kind = 'IMPORT'").select("path", "name"), files).join(seqs, "source")
+    parts = [
+        edge(files.where(X.is_test_file(F.col("path"))), own, file, F.concat(F.lit("test:"), "path"), "CONTAINS"),
+        edge(tests, F.col("seq"), F.col("source"), F.col("target"), "TESTS", F.lit('{"inferred":true}')),
+        edge(manifests.crossJoin(named), own, file, F.col("dep"), "DEPENDS_ON", F.lit('{"framework":true}')),
+        edge(symbols.where(is_route), at, file, route, "CONTAINS"), edge(symbols.where(is_route), at, file, handler_id(), "CONTAINS"), edge(symbols.where(is_route), at, handler_id(), route, "EXPOSES_ROUTE"),
+        edge(symbols.where(is_call), at, file, request, "CONTAINS"), edge(symbols.where(~is_route & ~is_call), at, file, symbol_id(), "CONTAINS"),
+        edge(imports, F.col("seq"), F.col("source"), F.col("target"), "IMPORTS"),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def callers(calls: DataFrame, nodes: DataFrame) -> DataFrame:
+    """JN7: file_seq, call_seq, caller: the symbol that a call stands in, by its kind or else as a function; the file where neither is a node."""
+    ident = lambda kind: F.concat(F.lit("symbol:"), "path", F.lit(":"), kind, F.lit(":"), "caller_name", F.lit(":"), F.col("caller_start_line").cast("string"))
+    c = calls.select("file_seq", "call_seq", F.concat(F.lit("file:"), "path").alias("file"), ident(F.coalesce("caller_kind", F.lit("FUNCTION"))).alias("own"), ident(F.lit("FUNCTION")).alias("plain"))
+    known = lambda name: nodes.select(F.col("id").alias(name)).withColumn(f"has_{name}", F.lit(True))
+    c = c.join(known("own"), "own", "left").join(known("plain"), "plain", "left")
+    return c.select("file_seq", "call_seq", F.when(F.col("has_own"), F.col("own")).when(F.col("has_plain"), F.col("plain")).otherwise(F.col("file")).alias("caller"))
+
+
+def call_edges(resolved: DataFrame, calls: DataFrame, nodes: DataFrame) -> DataFrame:
+    """GRF3: CALLS edges of resolve_calls()'s rows with a target."""
+    met = resolved.where("target is not null").join(callers(calls, nodes), ["file_seq", "call_seq"])
+    seq = F.col("file_seq").cast("long") * 10**6 + F.col("call_seq")
+    return met.select(seq.alias("write_seq"), F.col("caller").alias("source"), "target", F.lit("CALLS").alias("kind"), F.to_json(F.struct(F.col("path").alias("call_site_file"), F.col("line_number").alias("call_site_line"), F.col("callee").alias("callee_expression"), F.col("status").alias("resolution"))).alias("metadata"))
+
+
+def node(nodes: DataFrame, ident: str) -> DataFrame:
+    """GRF5: the node of an id."""
+    return nodes.where(F.col("id") == ident)
+
+
+def of_kind(df: DataFrame, kind: str) -> DataFrame:
+    """GRF5: nodes or edges of a kind."""
+    return df.where(F.col("kind") == kind)
+
+
+def incoming(edges: DataFrame, ident: str) -> DataFrame:
+    """GRF5"""
+    return edges.where(F.col("target") == ident)
+
+
+def outgoing(edges: DataFrame, ident: str) -> DataFrame:
+    """GRF5"""
+    return edges.where(F.col("source") == ident)
+
+
+def domain_data(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """GRF6-7: one row with totals, counts by kind and whether the graph is empty. Edges are those handed in: matches come later."""
+    total = lambda df, name: counts(df).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"total_{name}s"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias(f"{name}_counts_by_kind"))
+    return total(nodes, "node").crossJoin(total(edges, "edge")).withColumn("is_empty", F.col("total_nodes") == 0)
+
+
+def symbols_where(symbols: DataFrame, file_path: str | None = None, kind: str | None = None) -> DataFrame:
+    """FLT2"""
+    out = symbols if not file_path else symbols.where(F.col("path") == file_path.replace("\\", "/"))
+    return out if not kind else out.where(F.col("kind") == kind)
+
+
+def routes_of(symbols: DataFrame) -> DataFrame:
+    """FLT3: backend routes."""
+    return symbols.where(F.col("kind").isin(ROUTE_KINDS))
+
+
+def http_calls_of(symbols: DataFrame) -> DataFrame:
+    """FLT3: client calls."""
+    return symbols.where(F.col("kind").isin(HTTP_KINDS))
+
+
+def evidence_context(symbols: DataFrame, findings: DataFrame, file_path: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """PIP17: one row with the symbols and findings of a file region; of the whole file without bounds. findings: evidence with its lines."""
+    path = file_path.replace("\\", "/")
+    meets = lambda a, b: F.lit(True) if start is None and end is None else ~((F.col(b) < F.lit(start if start is not None else 1)) | (F.col(a) > F.lit(end if end is not None else 2**31 - 1)))
+    inside = symbols.where((F.col("path") == path) & meets("start_line", "end_line")).select("start_line", "end_line", "name", "kind")
+    lines = findings.where(F.col("evidence.file_path") == path).select(F.col("evidence.start_line").alias("start_line"), F.coalesce("evidence.end_line", "evidence.start_line").alias("end_line"), "title", "severity")
+    hits = lines.where(F.col("start_line").isNull() | meets("start_line", "end_line"))
+    pack = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
+    return pack(inside, "symbols").crossJoin(pack(hits, "findings"))  # one row each
+
+
+def framework_version(wanted: DataFrame, frameworks: DataFrame) -> DataFrame:
+    """JN29: framework, version of the first framework (by seq) whose name equals or contains the wanted one, or lies in it; in any case.
+
+    wanted: framework. frameworks: seq, name, version; known names only, so it is small and goes out to every row.
+    """
+    f = F.broadcast(frameworks.select("seq", F.lower("name").alias("known"), "version"))
+    w = wanted.select("framework").distinct()
+    low = F.lower("framework")
+    hit = w.join(f, (F.col("known") == low) | F.col("known").contains(low) | low.contains(F.col("known")))
+    first = hit.groupBy("framework").agg(F.min_by("version", "seq").alias("version"))
+    return w.join(first, "framework", "left")
+
+
 def last_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """WIN4, JN13: one edge for each pair of nodes, the last written; edges without either end are dropped."""
     ids = nodes.select("id")
@@ -96,30 +217,34 @@ def last_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def test_edges(files: DataFrame) -> DataFrame:
     """JN10: source, target of each test and the files it names: the same file name, or a path that ends in it.
 
-    endswith on names without a slash is an equi-join on the tails of each file's own name.
+    endswith on names without a slash is an equi-join on the tails of each file's own name, cut at the lengths that tests name.
     """
     tests = files.where(X.is_test_file(F.col("path"))).select(F.col("path").alias("test"), X.tested_name(F.col("path")).alias("name")).where("name is not null")
     own = files.where(~X.is_test_file(F.col("path"))).select(F.col("path").alias("target"), X.base_name(F.col("path")).alias("b"))
-    tails = own.select("target", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("b"), F.lit(1))), lambda i: F.substring(F.col("b"), i, F.length("b")))).alias("name"))
+    sizes = tests.agg(F.array_sort(F.collect_set(F.length("name"))).alias("sizes"))  # one row: lengths of file names
+    cut = F.transform(F.filter("sizes", lambda n: n <= F.length("b")), lambda n: F.substring(F.col("b"), F.length("b") - n + 1, n))
+    tails = own.crossJoin(F.broadcast(sizes)).select("target", F.explode(cut).alias("name"))
     return tests.join(tails, "name").select(F.concat(F.lit("test:"), "test").alias("source"), F.concat(F.lit("file:"), "target").alias("target")).distinct()
 
 
 def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     """JN11: source, target where a file's path starts with the import's path, or ends in it with .py, .ts or .js; not itself.
 
-    imports: path, name. Both halves are equi-joins: the prefixes of each path, and the tails of each path without its suffix.
+    imports: path, name. Only the lengths that imports have are cut from paths, and an import's path meets them in equi-joins.
     """
-    imp = imports.select("path", F.replace(F.replace("name", F.lit("."), F.lit("/")), F.lit("@/"), F.lit("")).alias("mod")).where("mod <> ''")
-    span = lambda c: F.sequence(F.lit(1), F.length(c))
-    heads = files.select(F.col("path").alias("target"), F.explode(F.transform(span("path"), lambda i: F.substring(F.col("path"), F.lit(1), i))).alias("mod"))
-    stem = F.regexp_replace("path", r"\.(py|ts|js)$", "")
-    tails = files.where(F.col("path").rlike(r"\.(py|ts|js)$")).withColumn("stem", stem).select(F.col("path").alias("target"), F.explode(F.transform(span("stem"), lambda i: F.substring(F.col("stem"), i, F.length("stem")))).alias("mod"))
+    imp = imports.select("path", F.replace(F.replace("name", F.lit("."), F.lit("/")), F.lit("@/"), F.lit("")).alias("mod")).where("mod <> ''").withColumn("n", F.length("mod"))
+    sizes = imp.agg(F.array_sort(F.collect_set("n")).alias("sizes"))  # one row: a path has some thousand characters at most
+    f = files.select(F.col("path").alias("target"), F.regexp_replace("path", r"\.(py|ts|js)$", "").alias("stem")).crossJoin(F.broadcast(sizes))
+    cut = lambda c: F.filter("sizes", lambda n: n <= F.length(c))
+    heads = f.select("target", F.explode(F.transform(cut("target"), lambda n: F.substring(F.col("target"), F.lit(1), n))).alias("mod"))
+    tails = f.where("stem <> target").select("target", F.explode(F.transform(cut("stem"), lambda n: F.substring(F.col("stem"), F.length("stem") - n + 1, n))).alias("mod"))
     return imp.join(heads.unionByName(tails), "mod").where("path <> target").select(F.concat(F.lit("file:"), "path").alias("source"), F.concat(F.lit("file:"), "target").alias("target")).distinct()
 
 
-def _unique_suffix(modules: DataFrame, files: DataFrame, tails: list[str]) -> DataFrame:
-    """module, source, target where just one file ends in the module's path with one of the tails."""
-    keys = files.select(F.col("path").alias("target"), F.explode(X.path_suffixes(F.concat(F.lit("/"), "path"))).alias("k"))
+def _unique_suffix(modules: DataFrame, files: DataFrame, tails: list[str], whole: bool) -> DataFrame:
+    """module, source, target where just one file ends in the module's path with one of the tails; or is it, if whole."""
+    ends = X.path_suffixes(F.concat(F.lit("/"), "path"))
+    keys = files.select(F.col("path").alias("target"), F.explode(ends if whole else F.slice(ends, F.lit(2), F.size(ends))).alias("k"))
     want = modules.select("source", "module", F.explode(F.array(*[F.concat(F.lit("/"), "rel", F.lit(t)) for t in tails])).alias("k"))
     return want.join(keys, "k").groupBy("source", "module").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target")).where("n = 1").drop("n")
 
@@ -150,7 +275,7 @@ def resolve_modules(imports: DataFrame, files: DataFrame, python: bool) -> DataF
     cand = cand.select("source", "module", F.posexplode(F.array(*[F.concat("rel", F.lit(t)) for t in (tails if python else [*JS_SUFFIXES, ""])])).alias("prio", "target"))
     found = cand.join(paths, "target").groupBy("source", "module").agg(F.min_by("target", "prio").alias("target"))
     rest = mods.join(found, ["source", "module"], "left_anti").where("not near and rel <> ''")
-    return found.unionByName(_unique_suffix(rest, files, tails).select("source", "module", "target"))
+    return found.unionByName(_unique_suffix(rest, files, tails, python).select("source", "module", "target"))
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -159,8 +284,8 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame) -> Dat
     A plain name is looked up in the imports in order: the first that names a function decides, and more than one
     candidate stops the search. Then in the caller's file. A member call is looked up under the module its base stands for.
     """
-    fn = symbols.where(F.col("kind").isin("FUNCTION", "METHOD", "CLASS")).select(F.col("path").alias("fpath"), F.col("name").alias("fname"), symbol_id().alias("fid"))
-    handlers = symbols.where(F.col("kind").isin(ROUTE_KINDS) & F.col("details.handler").isNotNull()).select(F.col("path").alias("fpath"), F.col("details.handler").alias("fname"), symbol_id().alias("fid"))
+    fn = symbols.where(F.col("kind").isin("FUNCTION", "METHOD")).select(F.col("path").alias("fpath"), F.col("name").alias("fname"), symbol_id().alias("fid"))
+    handlers = symbols.where(F.col("kind").isin(ROUTE_KINDS)).select(F.col("path").alias("fpath"), F.coalesce("details.handler", "name").alias("fname"), handler_id().alias("fid"))
     fn = fn.unionByName(handlers)
     imp = symbols.where("kind = 'IMPORT'").select("path", "sym_seq", F.coalesce("details.module", "details.source").alias("module"), "details.imported_names", "details.modules", "details.namespace_import", "details.default_import", (F.col("details.source").isNull()).alias("py"))
     sources = lambda py: imp.where(F.col("py") == py).select(F.col("path").alias("source"), "module")
@@ -174,14 +299,15 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame) -> Dat
     by_import = by_import.groupBy(*key).agg(F.min_by(F.struct("n", "fid"), "sym_seq").alias("i"))
     local = plain.join(fn.withColumnsRenamed({"fpath": "path", "fname": "callee_name"}), ["path", "callee_name"]).groupBy(*key).agg(F.struct(F.count_distinct("fid").alias("n"), F.min("fid").alias("fid")).alias("l"))
     bases = imp.select("path", "sym_seq", F.explode("modules").alias("callee_base", "module")).unionByName(imp.where("namespace_import is not null").select("path", "sym_seq", F.col("namespace_import").alias("callee_base"), "module"))
-    by_base = member.join(bases, ["path", "callee_base"]).join(where, ["path", "module"]).join(fn.withColumnRenamed("fname", "callee_name"), ["fpath", "callee_name"]).groupBy(*key).agg(F.struct(F.count_distinct("fid").alias("n"), F.min("fid").alias("fid")).alias("b"))
+    by_base = member.join(bases, ["path", "callee_base"]).join(where, ["path", "module"]).join(fn.withColumnRenamed("fname", "callee_name"), ["fpath", "callee_name"]).groupBy(*key, "sym_seq").agg(F.count_distinct("fid").alias("n"), F.min("fid").alias("fid"))
+    by_base = by_base.groupBy(*key).agg(F.min_by(F.struct("n", "fid"), "sym_seq").alias("b"))
     out = calls.select(*key, "path", "callee", "callee_base", "line_number").join(by_import, key, "left").join(local, key, "left").join(by_base, key, "left")
     status = (
-        F.when(F.col("callee_base").isNotNull(), F.when(F.col("b.n") == 1, "imported_module").otherwise("unresolved"))
+        F.when(F.col("callee_base").isNotNull(), F.when(F.col("b.n") == 1, "imported_member").otherwise("unresolved"))
         .when(F.col("i.n") == 1, "imported").when(F.col("i.n") > 1, "unresolved").when(F.col("l.n") == 1, "same_file").otherwise("unresolved")
     )
-    reason = F.when(F.col("callee_base").isNotNull(), "unresolved_receiver_method").when(F.col("i.n") > 1, "ambiguous_imported_target_functions").when(F.col("l.n") > 1, "ambiguous_local_functions").otherwise("unresolved_call")
-    target = F.when(status == "imported", F.col("i.fid")).when(status == "same_file", F.col("l.fid")).when(status == "imported_module", F.col("b.fid"))
+    reason = F.when(F.col("b.n") > 1, "ambiguous_imported_member_functions").when(F.col("callee_base").isNotNull(), "unresolved_receiver_method").when(F.col("i.n") > 1, "ambiguous_imported_target_functions").when(F.col("l.n") > 1, "ambiguous_local_functions").otherwise("unresolved_or_external")
+    target = F.when(status == "imported", F.col("i.fid")).when(status == "same_file", F.col("l.fid")).when(status == "imported_member", F.col("b.fid"))
     return out.select(*key, "path", "callee", "line_number", status.alias("status"), F.when(status == "unresolved", reason).alias("reason"), target.alias("target"))
 
 

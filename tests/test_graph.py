@@ -6,40 +6,85 @@ from codequarry.sources import files as src
 from codequarry.sources import parsers
 
 SOURCES = {
-    "main.py": "from services.auth import verify_token, validate as auth_validate\n\ndef local_helper():\n    pass\n\ndef run(user):\n    local_helper()\n    verify_token('abc')\n    auth_validate()\n    user.save()\n",
-    "services/auth.py": "def verify_token(t):\n    return t\n\ndef validate():\n    pass\n",
-    "services/data.py": "def validate():\n    pass\n",
-    "caller.py": "def go():\n    validate()\n",
-    "src/app.ts": "import { addNumbers } from './utils/math';\nfunction internalCompute(x) {\n  return addNumbers(x, 10);\n}\nconst run = () => { internalCompute(5); fetch('/api/v1/health', { method: 'POST' }); };\n",
-    "src/utils/math.ts": "export function addNumbers(a, b) { return a + b; }\n",
-    "routes.py": "@router.get('/users/{id}')\nasync def show(id):\n    return 1\n\nclass Svc:\n    def method(self):\n        pass\n",
+    "shop/order.py": "from shop.stock import reserve, price_of as cost\nimport shop.stock as depot\n\ndef total(items):\n    return sum(cost(i) for i in items)\n\ndef place(items):\n    total(items)\n    reserve(items)\n    depot.release(items)\n    items.sort()\n    missing(1)\n",
+    "shop/stock.py": "def reserve(x):\n    return x\n\ndef price_of(x):\n    return 1\n\ndef release(x):\n    pass\n",
+    "shop/legacy.py": "def twice(x):\n    return x\n\nif True:\n    def twice(x):\n        return x + x\n\ndef call():\n    twice(2)\n",
+    "shop/other.py": "from .legacy import twice\n\ndef far():\n    twice(3)\n\nclass Cart:\n    def add(self, x):\n        far()\n",
+    "web/cart.ts": "import { tax } from './lib/rates';\nimport * as money from './lib/money';\nfunction sumUp(x) {\n  return tax(x, 19);\n}\nconst show = () => { sumUp(5); money.format(3); fetch('/api/cart', { method: 'POST' }); };\n",
+    "web/lib/rates.ts": "export function tax(a, b) { return a * b; }\n",
+    "web/lib/money.ts": "export function format(a) { return a; }\n",
+    "api.py": "@router.get('/carts/{id}')\nasync def show(id):\n    return 1\n\nclass Svc:\n    def method(self):\n        pass\n",
     "broken.py": "def (:\n",
-    "tests/test_main.py": "import main\n",
+    "tests/test_order.py": "import shop.order\n",
+    "requirements.txt": "fastapi==1\n",
 }
 
 
 def files_of(spark):
-    rows = [(i, p, "python" if p.endswith(".py") else "typescript", c) for i, (p, c) in enumerate(SOURCES.items())]
+    rows = [(i, p, "python" if p.endswith(".py") else "typescript" if p.endswith(".ts") else None, c) for i, (p, c) in enumerate(SOURCES.items())]
     return spark.createDataFrame(rows, "file_seq int, path string, language string, content string")
 
 
 def test_symbols_and_calls(spark):
     f = files_of(spark)
     got = {(r["path"], r["kind"], r["name"]) for r in parsers.symbols(f).collect()}
-    assert {("routes.py", "FASTAPI_ROUTE", "GET /users/{id}"), ("routes.py", "FUNCTION", "show"), ("routes.py", "CLASS", "Svc"), ("routes.py", "METHOD", "method"), ("src/app.ts", "FETCH_CALL", "/api/v1/health"), ("src/app.ts", "FUNCTION", "internalCompute")} <= got
+    assert {("api.py", "FASTAPI_ROUTE", "GET /carts/{id}"), ("api.py", "FUNCTION", "show"), ("api.py", "CLASS", "Svc"), ("api.py", "METHOD", "method"), ("web/cart.ts", "FETCH_CALL", "/api/cart"), ("web/cart.ts", "FUNCTION", "sumUp")} <= got
     assert not any(p == "broken.py" for p, _, _ in got)
     assert parsers.symbols(f).schema.simpleString() == spark.createDataFrame([], schemas.SYMBOLS).schema.simpleString()
 
 
 def test_call_resolution(spark):
     f = files_of(spark)
-    got = {(r["path"], r["callee"]): (r["status"], r["reason"], r["target"]) for r in graph.resolve_calls(parsers.calls(f), parsers.symbols(f), f).collect()}
-    assert got["main.py", "local_helper"][0] == "same_file"
-    assert got["main.py", "verify_token"] == ("imported", None, "symbol:services/auth.py:FUNCTION:verify_token:1")
-    assert got["main.py", "auth_validate"][2] == "symbol:services/auth.py:FUNCTION:validate:4"
-    assert got["caller.py", "validate"][0] == "unresolved"
-    assert got["main.py", "user.save"][1] == "unresolved_receiver_method"
-    assert got["src/app.ts", "internalCompute"][0] == "same_file" and got["src/app.ts", "addNumbers"][2] == "symbol:src/utils/math.ts:FUNCTION:addNumbers:1"
+    rows = graph.resolve_calls(parsers.calls(f), parsers.symbols(f), f).collect()
+    got = {(r["path"], r["callee"]): (r["status"], r["reason"], r["target"]) for r in rows}
+    assert got["shop/order.py", "total"] == ("same_file", None, "symbol:shop/order.py:FUNCTION:total:4")
+    assert got["shop/order.py", "reserve"] == ("imported", None, "symbol:shop/stock.py:FUNCTION:reserve:1")
+    assert got["shop/order.py", "cost"][2] == "symbol:shop/stock.py:FUNCTION:price_of:4"
+    assert got["shop/order.py", "depot.release"] == ("imported_member", None, "symbol:shop/stock.py:FUNCTION:release:7")
+    assert got["shop/order.py", "items.sort"] == ("unresolved", "unresolved_receiver_method", None)
+    assert got["shop/order.py", "missing"] == ("unresolved", "unresolved_or_external", None)
+    assert got["shop/legacy.py", "twice"][1] == "ambiguous_local_functions" and got["shop/other.py", "twice"][1] == "ambiguous_imported_target_functions"
+    assert got["web/cart.ts", "sumUp"][0] == "same_file" and got["web/cart.ts", "tax"][2] == "symbol:web/lib/rates.ts:FUNCTION:tax:1"
+    assert got["web/cart.ts", "money.format"][0] == "imported_member"
+
+
+def test_call_graph_and_structure(spark):
+    f = files_of(spark)
+    symbols, calls = parsers.symbols(f), parsers.calls(f)
+    frameworks = spark.createDataFrame([("FastAPI", "1", "x")], "name string, version string, evidence string")
+    nodes = graph.nodes_of(f, symbols, frameworks)
+    edges = graph.structure_edges(f, symbols, frameworks).unionByName(graph.call_edges(graph.resolve_calls(calls, symbols, f), calls, nodes))
+    edges = graph.last_edges(edges, nodes).cache()
+    got = {(r["source"], r["target"]): r["kind"] for r in edges.collect()}
+    place = "symbol:shop/order.py:FUNCTION:place:7"
+    assert got[place, "symbol:shop/order.py:FUNCTION:total:4"] == got[place, "symbol:shop/stock.py:FUNCTION:release:7"] == "CALLS"
+    assert got["symbol:shop/other.py:METHOD:add:7", "symbol:shop/other.py:FUNCTION:far:3"] == "CALLS"
+    assert got["file:tests/test_order.py", "test:tests/test_order.py"] == "CONTAINS" and got["test:tests/test_order.py", "file:shop/order.py"] == "TESTS"
+    assert got["file:requirements.txt", "dep:fastapi"] == "DEPENDS_ON"
+    handler = "symbol:api.py:FUNCTION:GET /carts/{id}:2" if ("symbol:api.py:FUNCTION:GET /carts/{id}:2", "route:GET:/carts/{id}") in got else "symbol:api.py:FUNCTION:GET /carts/{id}:1"
+    assert got[handler, "route:GET:/carts/{id}"] == "EXPOSES_ROUTE" and got["file:api.py", "route:GET:/carts/{id}"] == got["file:api.py", handler] == "CONTAINS"
+    assert any(s == "file:web/cart.ts" and t.startswith("req:web/cart.ts:") and k == "CONTAINS" for (s, t), k in got.items())
+    assert {r["target"] for r in graph.outgoing(graph.of_kind(edges, "CALLS"), place).collect()} == {"symbol:shop/order.py:FUNCTION:total:4", "symbol:shop/stock.py:FUNCTION:reserve:1", "symbol:shop/stock.py:FUNCTION:release:7"}
+    assert graph.incoming(edges, "dep:fastapi").count() == 1 and graph.node(nodes, "dep:fastapi").first()["label"] == "FastAPI"
+    d = graph.domain_data(nodes, edges).first()
+    assert d["total_edges"] == len(got) and d["node_counts_by_kind"]["TEST"] == 1 and not d["is_empty"] and graph.domain_data(nodes.limit(0), edges.limit(0)).first()["is_empty"]
+    assert {r["path"] for r in graph.routes_of(symbols).collect()} == {"api.py"} and graph.http_calls_of(symbols).count() == 1
+    assert {r["name"] for r in graph.symbols_where(symbols, "api.py", "METHOD").collect()} == {"method"}
+    findings = spark.sql("select struct('api.py' file_path, 2 start_line, cast(null as int) end_line) evidence, 'a' title, 'LOW' severity union all select struct('api.py', 40, 41), 'b', 'LOW'")
+    region = graph.evidence_context(symbols, findings, "api.py", 1, 3).first()
+    assert "method" not in {x["name"] for x in region["symbols"]} and [x["title"] for x in region["findings"]] == ["a"]
+    known = spark.createDataFrame([(1, "React", "18"), (2, "React Native", "0.7"), (3, "FastAPI", None)], "seq int, name string, version string")
+    want = spark.createDataFrame([("react",), ("native",), ("FastAPI",), ("Vue",)], "framework string")
+    assert {r["framework"]: r["version"] for r in graph.framework_version(want, known).collect()} == {"react": "18", "native": "0.7", "FastAPI": None, "Vue": None}
+
+
+def test_js_modules_by_suffix(spark):
+    paths = ["a/b.ts", "a/c.d.ts", "a/lib/index.ts", "x/util/deep.tsx", "y/@/one.js", "z/two.js", "w/two.js", "a/style.css", "p/jsx.jsx"]
+    f = spark.createDataFrame([(p,) for p in paths], "path string")
+    cases = {"./b": "a/b.ts", "./c": "a/c.d.ts", "./lib": "a/lib/index.ts", "./style.css": "a/style.css", "../x/util/deep": "x/util/deep.tsx", "./none": None, "util/deep": "x/util/deep.tsx", "@/one": "y/@/one.js", "two": None, "jsx": None, "a/b": None}
+    imports = spark.createDataFrame([("a/main.ts", m) for m in cases], "source string, module string")
+    got = {r["module"]: r["target"] for r in graph.resolve_modules(imports, f, False).collect()}
+    assert {m: got.get(m) for m in cases} == cases
 
 
 def test_contract_matching(spark):
@@ -54,15 +99,15 @@ def test_nodes_edges_and_chunks(spark):
     f = files_of(spark)
     nodes = graph.nodes_of(f, parsers.symbols(f), spark.createDataFrame([("FastAPI", "1", "x")], "name string, version string, evidence string"))
     ids = {r["id"]: r["kind"] for r in nodes.collect()}
-    assert ids["test:tests/test_main.py"] == "TEST" and ids["dep:fastapi"] == "DEPENDENCY" and ids["route:GET:/users/{id}"] == "ROUTE" and "file:main.py" in ids
+    assert ids["test:tests/test_order.py"] == "TEST" and ids["dep:fastapi"] == "DEPENDENCY" and ids["route:GET:/carts/{id}"] == "ROUTE" and "file:shop/order.py" in ids
     edges = graph.test_edges(f)
-    assert [tuple(r) for r in edges.collect()] == [("test:tests/test_main.py", "file:main.py")]
-    imports = spark.createDataFrame([("caller.py", "services.auth"), ("main.py", "from x import y")], "path string, name string")
-    assert [tuple(r) for r in graph.import_edges(imports, f).collect()] == [("file:caller.py", "file:services/auth.py")]
-    e = spark.createDataFrame([(1, "file:main.py", "file:caller.py", "IMPORTS", None), (2, "file:main.py", "file:caller.py", "CALLS", None), (3, "file:main.py", "gone", "CALLS", None)], schemas.EDGES)
+    assert [tuple(r) for r in edges.collect()] == [("test:tests/test_order.py", "file:shop/order.py")]
+    imports = spark.createDataFrame([("shop/legacy.py", "shop.stock"), ("shop/order.py", "from x import y")], "path string, name string")
+    assert [tuple(r) for r in graph.import_edges(imports, f).collect()] == [("file:shop/legacy.py", "file:shop/stock.py")]
+    e = spark.createDataFrame([(1, "file:api.py", "file:broken.py", "IMPORTS", None), (2, "file:api.py", "file:broken.py", "CALLS", None), (3, "file:api.py", "gone", "CALLS", None)], schemas.EDGES)
     assert [r["kind"] for r in graph.last_edges(e, nodes).collect()] == ["CALLS"]
     c = src.chunks(f, parsers.symbols(f), "0123456789abcdef").collect()
-    assert {"0123456789ab:services/auth.py:validate:4", "0123456789ab:broken.py:broken.py:1"} <= {r["chunk_id"] for r in c}
+    assert {"0123456789ab:shop/stock.py:price_of:4", "0123456789ab:broken.py:broken.py:1"} <= {r["chunk_id"] for r in c}
 
 
 def test_fusion_values(spark):
