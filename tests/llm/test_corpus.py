@@ -139,6 +139,23 @@ def test_substring_dedup_equals_brute_force(spark, corpus, length):
     assert got == brute_substrings(corpus, length)
 
 
+def test_substring_dedup_goes_up_the_levels_and_ends_early(spark, corpus):
+    trace = []
+    rows = substring_dedup.dedup(docs_of(spark, corpus), 35, 5, trace=trace).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows} == brute_substrings(corpus, 35)
+    assert all(hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"] and r["lang"] is None and r["th"] == "x" for r in rows)
+    assert substring_dedup.levels(35, 5) == [5, 9, 18, 35] and len(trace) == 3 and trace[0] >= trace[1] >= trace[2] > 0
+    # a passage of 12 words repeats: windows of 5 and 9 words survive, those of 18 don't, and the last level sees nothing
+    rng = random.Random(1)
+    passage, trace = words_of(rng, 12), []
+    texts = [" ".join(f"{i}x{j}" for j in range(40)) + " " + " ".join(passage) + " " + " ".join(f"{i}y{j}" for j in range(40)) for i in range(30)]
+    assert sum(r["n_removed"] for r in substring_dedup.dedup(docs_of(spark, texts), 35, 5, trace=trace).collect()) == 0
+    assert trace[0] > 0 and trace[-1] == 0
+    trace = []
+    assert substring_dedup.dedup(docs_of(spark, [" ".join(f"{i}x{j}" for j in range(90)) for i in range(9)]), 35, 5, trace=trace).count() == 9
+    assert trace == [0]
+
+
 def test_substring_dedup_of_null_keys_and_repeated_rows(spark):
     text = " ".join(str(i) for i in range(50))
     df = spark.createDataFrame([(None, text), (None, text), (1, text + " end"), (1, "short"), (1, "short")], "doc_id long, text string")
@@ -167,6 +184,43 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.where("vec_id in (0, 1)"), F.col("vec_id") % 50 == 0, 5).count() == 1
 
 
+def test_top_k_reads_lists_until_outsiders_cannot_qualify():
+    rng = np.random.default_rng(2)
+    # few components carry the score: the cursors pass the best candidates soon
+    x = np.floor(256 * np.concatenate([rng.exponential(size=(4000, 3)) ** 3, rng.normal(size=(4000, 5)) / 100], axis=1))
+    lists = topk.Lists(x, np.arange(4000))
+    q = np.floor(256 * np.array([1, 2, 1, 0.01, 0, -0.01, 0.01, 0]))
+    want = sorted((-int(s), i) for i, s in enumerate((x @ q).tolist()) if i != 9)[:5]
+    ask = lambda q, own, lists, floor: topk.nra(q[None, :], np.array([own]), lists, 5, np.array([floor]))
+    [(ids, scores)], reads = ask(q, 9, lists, -np.inf)
+    assert topk._best(ids.tolist(), scores.tolist(), 5) == ([i for _, i in want], [-s for s, _ in want]) and 0 < reads[0] < 0.3 * 6 * 4000
+    [(again, _)], fewer = ask(q, 9, lists, float(-want[-1][0]))
+    assert set(ids) >= set(again) >= {i for _, i in want} and fewer[0] <= reads[0]
+    # nothing tells candidates apart: the lists are read to their ends
+    [(ids, scores)], reads = ask(np.ones(4), 0, topk.Lists(np.ones((300, 4)), np.arange(300)), -np.inf)
+    assert topk._best(ids.tolist(), scores.tolist(), 5)[0] == [1, 2, 3, 4, 5] and reads[0] == 4 * 300
+    # queries of one call stop by themselves
+    found, reads = topk.nra(np.array([q, np.floor(256 * rng.normal(size=8))]), np.array([9, 5000]), lists, 5, np.full(2, -np.inf))
+    assert reads[0] < reads[1] and {i for _, i in want} <= set(found[0][0])
+
+
+def test_top_k_of_large_components_and_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0]), (1, [5e13, 1.0]), (2, [0.5, 3.0]), (2, [0.5, 3.0]), (2, [0.25, 1.0]), (3, [-5e13, 2.0]), (50, [2.0, 2.0]), (50, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash"))
+    for sizes in ({}, {"block": 2, "query_block": 1}):
+        got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, 5, **sizes).collect()))
+        v = {(i, tuple(int(np.floor(256 * c)) for c in x)) for i, x in rows}
+        want = []
+        for i, q in sorted(v):
+            if i % 50 == 0:
+                best = sorted({(-sum(a * b for a, b in zip(q, x, strict=True)), j) for j, x in v if j != i})[:5]
+                want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+        assert got == want
+    big = spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond the range of a long"):
+        topk.top_k(big, F.col("vec_id") == 0, 5).collect()
+
+
 # HTML extraction
 
 
@@ -181,6 +235,100 @@ def test_html_structure():
     assert html_extract.blocks(None) == [] and [t for t, _ in html_extract.blocks("plain <i>text</i>")] == ["plain text"]
 
 
+def texts_of(html):
+    return [t for t, _ in html_extract.blocks(html)]
+
+
+def test_html_structure_is_evidence_and_loses_no_text():
+    long = "a long paragraph of the article " * 3
+    assert texts_of(f'<div class="layout has-sidebar"><article><p>{long}</article></div>') == [long.strip()]
+    assert texts_of(f'<div class="post no-ads"><p>{long}</div><div class="ads">Buy</div>') == [long.strip()]
+    assert texts_of(f'<form action="/"><nav>Menu</nav><p>{long}</p></form>') == [long.strip()]
+    assert texts_of(f'<article><div class="article-header"><h1>Title</h1></div><p class="alert">{long}</p></article>') == ["Title", long.strip()]
+    assert texts_of(f"<nav><a>Menu</a><article><p>{long}</article>") == ["Menu", long.strip()]  # never closed: differencing decides about the menu
+    assert texts_of(f"<form><input><p>{long}") == [long.strip()]
+    assert texts_of(f'<div class="sidebar">{long}{long}</div><p>short') == [f"{long}{long}".strip(), "short"]
+    assert texts_of(f'<article><header><h1>T</h1></header>{long}<div class="Comments">Nice</div><article class="comment">x</article></article>') == ["T", long.strip()]
+    assert texts_of("<body><script>x<p>y</script><style>p</style><p>kept<template>t</template>") == ["kept"]
+
+
+def test_html_differencing_equals_brute_force_over_whole_pages(spark):
+    """No article elements: shared lines alone decide. Copies, wide frames, lone pages, ties of URLs, null URLs and repeated rows."""
+    rng = random.Random(8)
+    rows = []
+    for host in ("h.example", "wide.example", "lone.example"):
+        frame_ = [f"{host} line {i}" for i in range({"h.example": 3, "wide.example": 12, "lone.example": 2}[host])]
+        for i in range(1 if host == "lone.example" else 9):
+            own = [f"{host} {i} own {j}" for j in range(rng.randrange(4, 8))]
+            lines = frame_[: len(frame_) // 2] + own + frame_[len(frame_) // 2 :]
+            rows.append((len(rows), f"http://{host}/x/{i // 2}", "".join(f"<div>{x}</div>" for x in lines)))
+    rows += [(len(rows), *rows[2][1:]), (len(rows) + 1, rows[2][1] + "z", rows[2][2]), (len(rows) + 2, None, "<p>no url"), (None, None, rows[0][2]), (None, None, rows[0][2]), (len(rows) + 5, "http://h.example/", "")]
+
+    def brute_lcs(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                t[i][j] = t[i + 1][j + 1] + 1 if a[i] == b[j] else max(t[i + 1][j], t[i][j + 1])
+        i = j = 0
+        out = []
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                out.append(i)
+                i, j = i + 1, j + 1
+            elif t[i + 1][j] >= t[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    pages = [(k, u, tuple(re.findall(r"<(?:div|p)>([^<]*)", h)), html_extract._place(u)) for k, u, h in rows]
+    want = {}
+    for host in {p[3][0] for p in pages}:
+        first = {}
+        for k, u, lines, (h, path) in pages:
+            if h == host:
+                at = (path, k is not None, k or 0)
+                first[lines] = min(first.get(lines, at), at)
+        distinct = sorted((at, lines) for lines, at in first.items())
+        for n, (at, lines) in enumerate(distinct):
+            beside = [distinct[m] for m in (n - 1, n + 1, n - 2, n + 2) if 0 <= m < len(distinct) and distinct[m][1]]
+            gone, counts = None, {}
+            for other in sorted(beside, key=lambda o: -html_extract._near(at[0], o[0][0])):
+                shared = brute_lcs(lines, other[1])
+                if 0 < len(shared) < len(lines) / 2:
+                    gone = shared
+                    break
+                for i in shared:
+                    counts[i] = counts.get(i, 0) + 1
+            if gone is None:
+                gone = [i for i, c in counts.items() if c > 1]
+                gone = [] if len(gone) == len(lines) else gone
+            want[host, lines] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_extract.extract(df).collect()
+    assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in got) == sorted((str(k), want[p[0], lines], len(want[p[0], lines])) for k, _, lines, p in pages)
+    # without differencing the frames would stay
+    assert any("h.example line" in h for _, u, h in rows if u) and not any("//h.example" in (r["url"] or "") and "h.example line" in r["text"] for r in got)
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_html_lines_outside_the_article_are_decided_by_differencing(spark):
+    page = lambda i: f"<div>Our site</div><h1>Title {i}</h1><article><p>Text {i}<p>Licence</article><div>Imprint</div>"
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(6)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()} == {i: f"Title {i}\nText {i}\nLicence" for i in range(6)}
+
+
+def test_lcs_in_halves(monkeypatch):
+    rng = random.Random(14)
+    cases = [([rng.randrange(9) for _ in range(60)], [rng.randrange(9) for _ in range(70)]) for _ in range(60)]
+    whole = [len(html_extract.lcs(a, b)) for a, b in cases]
+    monkeypatch.setattr(html_extract, "TABLE_BITS", 300)
+    for (a, b), n in zip(cases, whole, strict=True):
+        at = html_extract.lcs(a, b)
+        rest = iter(b)
+        assert len(at) == n and at == sorted(set(at)) and all(any(y == a[i] for y in rest) for i in at)
+
+
 def test_lcs_is_longest():
     rng = random.Random(4)
     for _ in range(300):
@@ -225,6 +373,20 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.dedup(docs_of(spark, texts)).columns == docs_of(spark, texts).columns
 
 
+def test_line_dedup_of_null_keys_repeated_rows_and_clashes(spark):
+    text = "l1\nl2\nl3\nl4"
+    rows = [(None, text), (1, text), (1, text), (2, "x\n" + text), (3, "y\n" * 30_000), (4, None), (5, "a\nb")]
+    names = ["__key", "__th", "__own", "__n", "__gone", "own_0", "own_3", "n_lines"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("kept") for c in names})
+    out = line_dedup.dedup(df)
+    assert out.columns == df.columns
+    got = sorted((str(r["doc_id"]), r["text"] if r["text"] is None else r["text"][:9]) for r in out.collect())
+    assert got == [("1", ""), ("1", ""), ("2", "x"), ("3", "y\n"), ("4", None), ("5", "a\nb"), ("None", text[:9])]
+    counted = line_dedup.dedup(df, counts=True).where("doc_id = 2").first()
+    assert (counted["n_lines"], counted["n_removed"], counted["__key"]) == (5, 4, "kept")
+    assert line_dedup.dedup(df.limit(0)).count() == 0
+
+
 # toxicity
 
 
@@ -265,6 +427,51 @@ def test_toxicity_held_out(spark):
     assert empty.score("anything") < 0.5
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_toxicity_matches_equal_edit_distances():
+    """The automaton along the trie finds just the entries that are within their edits, the fewest edits first."""
+    rng = random.Random(31)
+    for _ in range(40):
+        entries = {}
+        while len(entries) < 12:
+            e = "".join(rng.choice("abc") for _ in range(rng.randrange(2, 13)))
+            entries[e + "*" * rng.randrange(2)] = float(rng.randrange(1, 9))
+        lexicon = toxicity.Lexicon(entries)
+        for _ in range(60):
+            word = list(rng.choice(list(entries)).rstrip("*") + "".join(rng.choice("abc") for _ in range(rng.randrange(3))))
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(word) + 1)
+                word[at : at + rng.randrange(2)] = [rng.choice("abcd")] * rng.randrange(2)
+            word = "".join(word)
+            found = []
+            for e, weight in entries.items():
+                stem = e.rstrip("*")
+                k = min(edits(stem, word[:n]) for n in range(len(word) + 1)) if e.endswith("*") else edits(stem, word)
+                if k <= toxicity.allowed(e):
+                    found.append((k, -weight))
+            best = min(found, default=None)
+            assert lexicon.match(word) == (best and (-best[1], best[0])), (word, entries)
+
+
+def test_toxicity_of_null_keys_repeated_rows_and_long_texts(spark):
+    rows = [(i, "you vilevile " + "calm word " * 5 if i % 2 else "calm word " * 6, "clash") for i in range(60)]
+    rows += [(None, "you vilevile", "x"), (1, "you vilevile", "x"), (1, "you vilevile", "x"), (70, None, "x"), (71, "calm " * 40_000 + "you vilevile you vilevile", "x"), (72, "calm " * 40_000, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None), (1, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels, lambda key: key >= 0)
+    got = toxicity.score(df, model).collect()
+    assert len(got) == len(rows) and all((r["score"] >= 0.5) == ("vile" in (r["text"] or "")) for r in got if len(r["text"] or "") < 1000)
+    assert toxicity.score(df.limit(0), model).count() == 0
+
+
 def test_toxicity_lexicon_is_whole(spark):
     """Stems of 6 and 7 letters have their edit; terms of few toxic rows and entries past the hundredth stay."""
     stems = toxicity.Lexicon({"wretch*": 1.0, "scoundr*": 2.0})
@@ -315,6 +522,54 @@ def test_decontamination_equals_brute_force(spark, corpus):
     assert decontam.contamination(docs_of(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def brute_near(texts, items, rarest, span):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    docs = [split(t) for t in texts]
+    count = {}
+    for w in docs:
+        for x in w:
+            count[x] = count.get(x, 0) + 1
+    out = {d: set() for d in range(len(docs))}
+    for i, t in items:
+        w = split(t)
+        for s in range(max(1, len(w) - 12) if w and i is not None else 0):
+            terms = sorted({(count[x], x) for x in w[s : s + 13] if x in count})[:rarest]
+            for d, words in enumerate(docs):
+                places = [[p for p, x in enumerate(words) if x == t] for _, t in terms]
+                if terms and any(all(any(abs(p - q) < span for q in at) for at in places[1:]) for p in places[0]):
+                    out[d].add(i)
+    return {d: len(x) for d, x in out.items()}
+
+
+def test_decontamination_by_proximity(spark):
+    rng = random.Random(21)
+    item = [f"q{i}" for i in range(16)]
+    loose = item[:5] + ["inserted"] + item[5:9] + ["two", "more"] + item[9:]
+    texts = [" ".join(words_of(rng, 40) + x + words_of(rng, 40)) for x in (item, loose, item[:8] + words_of(rng, 60) + item[8:], list(reversed(item)), [])] + [None, "q3 q3", " ".join(item[:6] + ["q6q"] + item[7:])]
+    items = [(1, " ".join(item)), (2, " ".join(item[:3])), (3, "q3"), (4, None), (5, "unknown q1 words"), (None, "q1"), (6, " ".join(words_of(rng, 40)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontam.contamination(docs_of(spark, texts), bench, slop=4, rarest=3).collect()
+    assert {r["doc_id"]: r["n_near"] for r in rows} == brute_near(texts, items, 3, 17)
+    want = brute_contamination(texts, [x for x in items if x[0] is not None])
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in rows} == {d: x[:3] for d, x in want.items()}
+    by = {r["doc_id"]: r for r in rows}
+    assert by[1]["n_items"] < by[1]["n_near"]
+
+
+def test_decontamination_of_shared_windows_null_keys_and_clashes(spark):
+    """Many items of one text, repeated rows, null keys, and documents with columns of internal names."""
+    text = "a b c d e f g h i j k l m n o p"
+    items = [(i, text) for i in range(40)] + [(99, "the")]
+    rows = [(None, text), (None, text), (1, "the the " * 9), (1, "the the " * 9), (2, "nothing here"), (3, "x " * 50_000 + text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("own_0", "d", "h", "w", "p", "t", "__key", "__th")})
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontam.contamination(df, bench).collect())
+    assert got == [("1", 18, 18, 1, True)] * 2 + [("2", 2, 0, 0, False), ("3", 50_016, 16, 40, False)] + [("None", 16, 16, 40, True)] * 2
+    kept = decontam.clean(df, bench)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+    assert decontam.contamination(df.limit(0), bench).count() == 0
+
+
 def test_decontamination_plan_is_native(spark, corpus):
     plan = decontam.contamination(docs_of(spark, corpus), spark.createDataFrame([(1, "one two")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -323,6 +578,45 @@ def test_decontamination_plan_is_native(spark, corpus):
 # n-gram Jaccard join
 
 
+def test_jaccard_of_a_large_group_of_near_and_not_so_near_copies(spark):
+    """One base with copies at every distance: buckets are large, some copies link, some don't, and no pair is lost."""
+    rng = random.Random(41)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(160):
+        w = list(base)
+        for j in rng.sample(range(120), rng.randrange(0, 14)):
+            w[j] = f"x{i}y{j}"
+        texts.append(" ".join(w))
+    texts += [" ".join(rng.sample(base, 120)) for _ in range(20)] + [None, "", "b0 b1"]
+    for percent, n, hubs in ((90, 3, 4), (80, 5, 1)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.groups(docs_of(spark, texts), percent, n, hubs=hubs).collect()}
+        assert got == brute_groups(texts, percent, n)
+
+
+def test_jaccard_filters_lose_no_similar_pair():
+    rng = random.Random(43)
+    for _ in range(300):
+        n = rng.randrange(2, 120)
+        x = np.array(rng.sample(range(1, 2**40), n), np.uint64)
+        change = rng.randrange(0, max(1, n // 8) + 1)
+        y = np.concatenate([x[change:], np.array(rng.sample(range(2**41, 2**42), rng.randrange(0, change + 1)), np.uint64)])
+        same = len(set(x.tolist()) & set(y.tolist()))
+        for percent in (80, 90):
+            if len(y) and 100 * same >= percent * (len(x) + len(y) - same):
+                assert jaccard.may_be_similar(jaccard.sketch(x, percent), jaccard.sketch(y, percent), len(x), len(y), percent)
+
+
+def test_jaccard_of_null_keys_and_clashing_columns(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, a), (None, a + " end"), (None, b), (5, b), (5, b), (6, b + " end"), (7, c), (None, None), (8, "x " * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit(1) for x in ("own_0", "own_1", "r1", "r2", "__rh", "__own", "label", "c", "n")})
+    kept = jaccard.representatives(df)
+    assert kept.columns == df.columns
+    texts = sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect())
+    assert len(texts) == 6 and [k for k, _ in texts] == ["5", "5", "7", "8", "None", "None"]  # one of the two nameless copies, and the null text
+
+
 def brute_groups(texts, percent, n):
     sets = []
     for t in texts:
@@ -393,6 +687,18 @@ def test_word_batches_equal_the_library():
         assert np.frombuffer(x, "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_token_files_of_a_tokenizer_that_keeps_blanks(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc = token_files._Encoder(path)
+    assert not enc.parted
+    texts = ["two  blanks \n and lines\n\n", None, "", "x y", "x y", "long " * 30_000]
+    df = spark.createDataFrame([(None if i == 3 else i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, start string")
+    manifest = token_files.write(df, f"file://{tmp_path}/ids", path, end_id=1, shards=2)
+    got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["ids"]) for r in token_files.read(spark, manifest, f"file://{tmp_path}/ids").collect()))
+    want = sorted((-1 if i == 3 else i, enc.tokenizer.encode(t or "", add_special_tokens=False).ids + [1]) for i, t in enumerate(texts))
+    assert got == want
+
+
 # language identification
 
 
@@ -408,6 +714,38 @@ def test_language_id(spark):
     assert langid.fit(df.limit(0)).predict("the") == ("und", 0.0)
 
 
+def test_language_filters_hold_all_their_ngrams(spark):
+    """The bit-sliced filters say yes for every n-gram put in, and the corrected counts are near the exact sets'."""
+    rng = random.Random(17)
+    sound = {"aa": "abcdefg", "bb": "efghijk", "cc": "ijklmno"}
+    rows = [(i, " ".join("".join(rng.choice(sound[x]) for _ in range(rng.randrange(3, 8))) for _ in range(80)), x) for i in range(90) for x in (list(sound)[i % 3],)]
+    rows += [(None, rows[0][1], "aa"), (0, rows[0][1], "aa"), (200, "abc " * 50_000, "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("clash"))
+    model = langid.fit(df, per_lang=100_000)
+    use = {x: {} for x in sound}
+    for _, t, x in {r[:3] for r in rows}:
+        g, n = np.unique(langid.ngrams(t, model.sizes), return_counts=True)
+        for h, c in zip(g.tolist(), (n / n.sum()).tolist(), strict=True):
+            use[x][h] = use[x].get(h, 0) + c
+    total = {x: sum(u.values()) for x, u in use.items()}
+    share = {x: {h: c / total[x] for h, c in u.items()} for x, u in use.items()}
+    sets = {x: {h for h, c in u.items() if c >= 0.51 * sum(share[y].get(h, 0) for y in sound)} for x, u in share.items()}
+    masks = {x: 1 << i for i, x in enumerate(model.langs)}
+    for x, own in sets.items():
+        h = np.array(sorted(own), np.uint64)
+        held = np.full(len(h), 2**64 - 1, np.uint64)
+        for j in range(model.k):
+            held &= model.slots[0][model.slot(h, j)]
+        assert (held & np.uint64(masks[x]) != 0).mean() > 0.999
+    right = 0
+    for r in langid.predict(df, model).collect():
+        g = langid.ngrams(r["text"], model.sizes).tolist()
+        counts = {x: sum(h in sets[x] for h in g) for x in sound}
+        right += r["lang_pred"] == max(counts, key=counts.get) == r["lang"]
+    assert right == len(rows)
+    assert langid.predict(df.limit(0), model).count() == 0
+
+
 # queries and pipeline
 
 
