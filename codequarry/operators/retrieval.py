@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as X
+from codequarry.tables import kept
 
 
 def tokens_of(query: str) -> list[str]:
@@ -57,13 +58,27 @@ def graph(chunks: DataFrame, exact_hits: DataFrame, nodes: DataFrame, edges: Dat
     return chunks.join(weight, "file_path").select("chunk_id", "score").join(F.broadcast(top.select("chunk_id")), "chunk_id", "left_anti")
 
 
+def ranks(rows: DataFrame) -> DataFrame:
+    """rows (channel, score, chunk_id and others) with rank: the 1-based place in its channel by score, then id.
+
+    Rows are sorted into ranges over all tasks; a place is one in a range plus the rows of the ranges before, of which the driver's
+    plan has a number per range and channel.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["channel", F.desc("score"), "chunk_id"]
+    laid = kept(rows.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranks")
+    before = Window.partitionBy("channel").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = laid.groupBy("channel", "range").agg(F.count("*").alias("n")).select("channel", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("channel", "range").orderBy(F.desc("score"), "chunk_id"))
+    return laid.join(F.broadcast(sizes), ["channel", "range"]).withColumn("rank", own + F.col("before")).drop("range", "before")
+
+
 def fuse(channels: dict[str, DataFrame], k: int = 60) -> DataFrame:
     """chunk_id, score, channels: reciprocal rank fusion (WIN1, AGG12, SET7) of (chunk_id, score) channels."""
     rows = [df.select("chunk_id", "score", F.lit(n).alias("channel"), F.lit(i).alias("place")) for i, (n, df) in enumerate(channels.items())]
     every = reduce(lambda a, b: a.unionByName(b), rows)
-    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("score"), "chunk_id")))
     names = F.transform(F.array_sort(F.collect_set(F.struct("place", "channel"))), lambda x: x["channel"])
-    return ranked.groupBy("chunk_id").agg(F.sum(X.rrf(F.col("rank"), k)).alias("score"), names.alias("channels"))
+    return ranks(every).groupBy("chunk_id").agg(F.sum(X.rrf(F.col("rank"), k)).alias("score"), names.alias("channels"))
 
 
 def retrieve(chunks: DataFrame, query: str, top_k: int = 10, vectors: DataFrame | None = None, query_vector: list[float] | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, path_filter: str | None = None, kind_filter: str | None = None, rerank: DataFrame | None = None) -> DataFrame:
@@ -85,7 +100,10 @@ def retrieve(chunks: DataFrame, query: str, top_k: int = 10, vectors: DataFrame
 
 
 def within_budget(ranked: DataFrame, tokens: int, order: list[Column], size: Column, partition: list[str] | None = None) -> DataFrame:
-    """WIN3: the longest prefix whose characters fit in 4 * tokens; the first row always stays."""
+    """WIN3: the longest prefix whose characters fit in 4 * tokens; the first row always stays.
+
+    Without a partition the rows meet in one task: cut them to a top-k before, as context_bundle() does.
+    """
     w = Window.partitionBy(*(partition or [])).orderBy(*order)
     out = ranked.withColumn("__total", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__rank", F.row_number().over(w))
     return out.where((F.col("__total") <= 4 * tokens) | (F.col("__rank") == 1)).drop("__total", "__rank")

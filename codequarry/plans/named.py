@@ -306,7 +306,9 @@ def relevance(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     inner = F.slice(F.split("text", r"\s+"), F.lit(2), F.greatest(F.size(F.split("text", r"\s+")) - 2, F.lit(1)))
     key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     items = b.select("item_id", F.col("text").alias("item"), key.alias("k"))
-    hit = items.join(d.select("doc_id", "text", F.explode(split("text")).alias("k")), "k").where(F.col("text").contains(F.col("item"))).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"))
+    # words go out without their texts, and only pairs that share the word fetch them
+    pairs = d.select("doc_id", F.explode(split("text")).alias("k")).join(items.select("item_id", "k"), "k").select("item_id", "doc_id")
+    hit = pairs.join(items.select("item_id", "item"), "item_id").join(d, "doc_id").where(F.col("text").contains(F.col("item"))).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"))
     expected = b.select(F.col("item_id").alias("query_id")).join(hit, "query_id", "left")
     ranked = hit.withColumn("rank", (F.col("chunk_id") % 7 + 1).cast("int"))
     return ranked, expected

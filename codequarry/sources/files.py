@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import text as X
 from codequarry.schemas import CHUNK_KINDS
 from codequarry.shipping import ship
+from codequarry.tables import new_path
 
 # Folders that are never read; any folder that starts with a dot is left out, too (fixed values).
 IGNORED = [".git", "node_modules", ".venv", "venv", "env", "__pycache__", ".pytest_cache", ".next", "dist", "build", "out", ".idea", ".vscode", ".coverage", "htmlcov", ".turbo", ".cache"]
@@ -51,17 +50,20 @@ def manifest(files: DataFrame, max_files: int | None = 5000, max_file_bytes: int
     if max_files is None:
         return listed(folded_by_pieces(files, keys, max_file_bytes, max_bytes), keys)
     ranked = files.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("path"))).where(F.col("__n") <= max_files)
-    item = F.struct("path", "size_bytes", "is_binary")
-    init = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<path:string,reason:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        over, big = acc["used"] + x["size_bytes"] > max_bytes, x["size_bytes"] > max_file_bytes
-        why = F.when(over, "byte budget exceeded").when(big, "file too large").when(x["is_binary"], "binary")
-        used = acc["used"] + F.when(why.isNull(), x["size_bytes"]).otherwise(F.lit(0).cast("long"))
-        return F.struct(used.cast("long").alias("used"), F.concat(acc["out"], F.array(F.struct(x["path"].alias("path"), why.cast("string").alias("reason")))).alias("out"))
-
-    folded = ranked.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(item)), init, step)["out"].alias("out"))
-    reasons = folded.select(*keys, F.explode("out").alias("x")).select(*keys, "x.path", F.col("x.reason").alias("skipped_reason"))
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("path", "ascending"), ("size_bytes", "ascending"), ("is_binary", "ascending")])
+        used, reasons = 0, []
+        for size, binary in zip(table.column("size_bytes").to_pylist(), table.column("is_binary").to_pylist(), strict=True):
+            why = "byte budget exceeded" if used + size > max_bytes else "file too large" if size > max_file_bytes else "binary" if binary else None
+            used += 0 if why else size
+            reasons.append(why)
+        return table.append_column("skipped_reason", pa.array(reasons, pa.string()))
+
+    ship(files.sparkSession)
+    kind = lambda c: dict(files.dtypes)[c]
+    shape = ", ".join(f"{c} {kind(c)}" for c in (*keys, "path", "size_bytes", "is_binary"))
+    reasons = ranked.select(*keys, "path", "size_bytes", "is_binary").groupBy(*keys).applyInArrow(fold, f"{shape}, skipped_reason string").select(*keys, "path", "skipped_reason")
     return listed(ranked.join(reasons, [*keys, "path"]), keys)
 
 
@@ -82,7 +84,7 @@ def folded_by_pieces(files: DataFrame, keys: list[str], max_file_bytes: int, max
     ship(spark)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), files.count() // piece_rows + 1)
     order = [*keys, "path", "size_bytes", "is_binary"]
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='codequarry-')}/codequarry/manifest-{uuid.uuid4().hex}"
+    path = new_path(spark, "manifest")
     files.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)
     key = F.to_json(F.struct(*keys)) if keys else F.lit("")

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 
+from codequarry.tables import new_path
+
 
 def drain(stream: DataFrame, name: str = "stream") -> DataFrame:
     """All rows that are there now, as a batch table; the checkpoint beside it lets a lost run go on."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="codequarry-")
-    at = f"{root.rstrip('/')}/codequarry/{name}-{uuid.uuid4().hex}"
+    at = new_path(spark, name)
     q = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
