@@ -1,10 +1,15 @@
-"""Quality metrics of retrieval, findings and remediation (AGG14-17, JN21, PIP11-12)."""
+"""Quality metrics of retrieval, findings and remediation, and the runs that give them (AGG14-17, JN21, PIP11-12)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codequarry.functions import text as X
+from codequarry.operators import retrieval
+
 
 def ranking_metrics(ranked: DataFrame, expected: DataFrame, k: int = 5, by: list[str] | None = None) -> DataFrame:
     """AGG14, WIN9: query_id, recall, mrr. ranked: query_id, chunk_id, rank; expected: query_id, chunk_id (null: nothing is expected, recall 1)."""
@@ -47,3 +52,54 @@ def remediation(patches: DataFrame) -> DataFrame:
     """AGG17: per variant means. patches: variant, valid, resolved, fabricated, unnecessary, grounded (null: no plan), escalated, revisions, latency_ms."""
     rate = lambda c: F.round(F.avg(F.col(c).cast("double")), 4).alias(f"{c}_rate")
     return patches.groupBy("variant").agg(F.count("*").alias("patches"), rate("valid"), rate("resolved"), rate("grounded"), rate("escalated"), F.sum("fabricated").alias("fabricated"), F.sum("unnecessary").alias("unnecessary"), F.round(F.avg("revisions"), 4).alias("revisions"), F.round(F.avg("latency_ms"), 2).alias("latency_ms"))
+
+
+# Channels of the retrieval variants (fixed values); the last one falls back to the fused order where there are no rerank scores.
+VARIANTS = {"LEXICAL_ONLY": ["exact", "lexical"], "VECTOR_ONLY": ["dense"], "LEXICAL_VECTOR": ["exact", "lexical", "dense"], "LEXICAL_VECTOR_GRAPH": ["exact", "lexical", "dense", "graph"], "HYBRID_GRAPH_RERANKER": ["exact", "lexical", "dense", "graph"]}
+
+
+def variant_ranks(chunks: DataFrame, query: str, variant: str, k: int = 5, vectors: DataFrame | None = None, query_vector: list[float] | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """variant, chunk_id, rank: the k best chunks of a query with the channels of a variant."""
+    want = VARIANTS[variant]
+    found = {}
+    hits = retrieval.exact(chunks, query)
+    if "exact" in want:
+        found["exact"], found["lexical"] = hits, retrieval.lexical(chunks, query)
+    if "dense" in want and vectors is not None and query_vector is not None:
+        found["dense"] = retrieval.dense(vectors, query_vector, 2 * k)
+    if "graph" in want and nodes is not None and edges is not None:
+        found["graph"] = retrieval.graph(chunks, hits, nodes, edges)
+    top = retrieval.fuse(found).orderBy(F.desc("score"), "chunk_id").limit(k)
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id"))  # k rows at most
+    return top.select(F.lit(variant).alias("variant"), "chunk_id", rank.alias("rank"))
+
+
+def retrieval_benchmark(chunks: DataFrame, queries: dict[str, tuple[str, list[float] | None]], expected: DataFrame, k: int = 5, vectors: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """PIP11: variant, queries, recall, mrr of the five variants over a stated set of queries (id to text and vector).
+
+    expected: query_id, chunk_id (null: nothing is expected). A variant and query without any hit counts with recall and rank 0.
+    """
+    runs = [variant_ranks(chunks, text, v, k, vectors, vector, nodes, edges).withColumn("query_id", F.lit(q)) for q, (text, vector) in queries.items() for v in VARIANTS]
+    ranked = reduce(lambda a, b: a.unionByName(b), runs)
+    # every variant meets every query, also those that find nothing
+    each = expected.select("query_id").distinct().crossJoin(F.broadcast(chunks.sparkSession.createDataFrame([(v,) for v in VARIANTS], "variant string")))
+    per = ranking_metrics(ranked, expected, k, ["variant"])
+    full = each.join(per, ["query_id", "variant"], "left")
+    none = expected.groupBy("query_id").agg((F.count("chunk_id") == 0).alias("none"))
+    full = full.join(none, "query_id").select("query_id", "variant", F.coalesce("recall", F.when(F.col("none"), 1.0).otherwise(0.0)).alias("recall"), F.coalesce("mrr", F.lit(0.0)).alias("mrr"))
+    return variant_means(full, ["variant"])
+
+
+def patch_metrics(patches: DataFrame) -> DataFrame:
+    """PIP12: what remediation() averages, from the diffs themselves.
+
+    patches: variant, unified_diff, defect_snippet, known_files, expected_files, plan_files (null: no plan), escalated, revisions, latency_ms. A diff
+    that isn't one resolves nothing; fabricated files are those that the repository lacks, unnecessary ones those outside the expected.
+    """
+    d = F.coalesce("unified_diff", F.lit(""))
+    files = X.diff_files(d)
+    valid = X.is_unified_diff(d)
+    clean = lambda c: F.transform(c, lambda p: F.regexp_replace(F.replace(p, F.lit("\\"), F.lit("/")), "^/+", ""))
+    return patches.select(
+        "variant", valid.cast("int").alias("valid"), (valid & X.defect_removed(d, F.col("defect_snippet"))).cast("int").alias("resolved"), F.size(F.array_except(files, "known_files")).alias("fabricated"), F.size(F.array_except(files, clean("expected_files"))).alias("unnecessary"),
+        F.when(F.col("plan_files").isNotNull(), (F.size(F.array_except("plan_files", "known_files")) == 0).cast("int")).alias("grounded"), F.col("escalated").cast("int").alias("escalated"), "revisions", "latency_ms")

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as X
-from codequarry.operators import graph, patching, report
-from codequarry.plans.named import QUERIES, named, t
-from codequarry.sources import scanners
+from codequarry.operators import answers, evaluate, graph, patching, report, retrieval
+from codequarry.plans.named import DENSE, LEXICAL, QUERIES, QUERY, chunks, named, query_vector, t
+from codequarry.sources import files as src
+from codequarry.sources import parsers, scanners
 from codequarry.streaming import events as ev
 
 __all__ = ["QUERIES"]
@@ -481,3 +482,193 @@ def graph_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN18"""
     nodes, edges = supply_graph(spark, sf_dir)
     return graph.related(nodes, edges, "Nation2")
+
+
+# --- model answers and evidence
+
+
+@named("q_model_findings", f"""SELECT c_custkey, seq, title, severity, category, start_line FROM (
+ SELECT c_custkey, 0 AS seq, c_name AS title, CASE WHEN c_custkey % 5 = 4 THEN 'MEDIUM' ELSE {sql_pick(['LOW', 'HIGH', 'INFO', 'CRITICAL', 'x'], 'c_custkey')} END AS severity, c_mktsegment AS category, CASE WHEN c_nationkey > 0 THEN c_nationkey ELSE -1 END AS start_line FROM customer WHERE c_custkey % 4 < 3
+ UNION ALL SELECT c_custkey, 1, 'Untitled Issue', 'MEDIUM', 'own', -1 FROM customer WHERE c_custkey % 4 < 3)""")
+def model_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ16: lists, objects and fences; every fourth answer can't be read. -1 stands for no line."""
+    k = F.col("c_custkey")
+    one = F.to_json(F.struct(F.col("c_name").alias("title"), pick(["low", "HIGH", "Info", "critical", "odd"], k).alias("severity"), F.col("c_mktsegment").alias("category"), F.col("c_nationkey").cast("string").alias("start_line")))
+    both = F.concat(F.lit("["), one, F.lit(", {}]"))
+    text = F.when(k % 4 == 0, both).when(k % 4 == 1, F.concat(F.lit('{"findings": '), both, F.lit("}"))).when(k % 4 == 2, F.concat(F.lit("Here:\n```json\n"), both, F.lit("\n```\nDone"))).otherwise(F.concat(F.lit("{"), both))
+    a = t(spark, sf_dir, "customer").select(k.cast("string").alias("scan_id"), text.alias("content"), F.lit("own").alias("default_category"), F.lit(None).cast("string").alias("provider"), F.lit("m").alias("model_name"), "c_custkey")
+    keys = a.select(X.uuid5_dns(F.col("scan_id")).alias("scan_id"), "c_custkey")
+    return answers.findings_of(a).join(keys, "scan_id").select("c_custkey", "seq", "title", "severity", "category", F.coalesce("evidence.start_line", F.lit(-1)).alias("start_line"))
+
+
+@named("q_evidence_ranking", """WITH e AS (SELECT o_custkey AS query_id, o_orderkey AS seq, list_extract(['https://docs.python.org/3', 'https://nvd.nist.gov/v', 'https://blog.example/x', ' '], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS u, list_extract([1, 3, 5, 5], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS tier, (o_orderkey % 10) / 10.0 AS c FROM orders),
+f AS (SELECT query_id, u, tier, arg_min(c, seq) AS c FROM e WHERE u <> ' ' GROUP BY query_id, u, tier)
+SELECT query_id, u AS source_url, CAST(tier AS INTEGER) AS source_tier, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier, c DESC, u) AS INTEGER) AS rank FROM f""")
+def evidence_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN7, ORD5"""
+    k = F.col("o_orderkey")
+    e = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), k.alias("seq"), pick(["https://docs.python.org/3", " https://nvd.nist.gov/v", "https://blog.example/x", " "], k).alias("source_url"), ((k % 10) / 10).alias("confidence"))
+    return answers.ranked_evidence(e).select("query_id", "source_url", F.col("source_tier").cast("int").alias("source_tier"), "rank")
+
+
+@named("q_plan_defaults", """SELECT p_partkey AS plan_id, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'Remediate ' || p_brand END AS objective, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN 'cross_file' ELSE 'file' END AS scope, CASE WHEN p_partkey % 3 = 0 THEN 'step of ' || p_name WHEN p_partkey % 3 = 1 THEN 'Resolve ' || p_brand ELSE 'not JSON ' || p_name END AS step, CASE WHEN p_partkey % 3 = 0 THEN 'b.py' ELSE 'a.py' END AS file FROM part""")
+def plan_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ22"""
+    k = F.col("p_partkey")
+    full = F.to_json(F.struct(F.col("p_name").alias("objective"), F.array(F.lit("b.py")).alias("files_expected_to_change"), F.when(k % 2 == 0, "Cross_File").otherwise("galaxy").alias("estimated_scope"), F.array(F.struct(F.concat(F.lit("step of "), "p_name").alias("description"))).alias("ordered_changes")))
+    a = t(spark, sf_dir, "part").select(k.alias("plan_id"), F.when(k % 3 == 0, full).when(k % 3 == 1, "{}").otherwise(F.concat(F.lit("not JSON "), "p_name")).alias("content"), F.col("p_brand").alias("title"), F.lit("a.py").alias("file_path"))
+    return answers.plans_of(a).select("plan_id", "objective", F.col("estimated_scope").alias("scope"), F.col("ordered_changes")[0]["description"].alias("step"), F.col("ordered_changes")[0]["target_file"].alias("file"))
+
+
+@named("q_scanner_rows", f"""WITH s AS (SELECT o_orderkey AS scan_id, {sql_pick(['COMPLETED', 'UNAVAILABLE', 'TIMEOUT', 'INVALID_OUTPUT', 'FAILED'], 'o_custkey')} AS status, o_orderkey % 7 AS n FROM orders)
+SELECT scan_id, CASE status WHEN 'COMPLETED' THEN 'TOOL_COMPLETED' WHEN 'UNAVAILABLE' THEN 'TOOL_UNAVAILABLE' ELSE 'TOOL_FAILED' END AS event_type, 'Deterministic scanner trivy ' || CASE status WHEN 'COMPLETED' THEN 'completed with ' || n || ' findings' WHEN 'UNAVAILABLE' THEN 'is unavailable on host' WHEN 'TIMEOUT' THEN 'timed out' WHEN 'INVALID_OUTPUT' THEN 'produced invalid output' ELSE 'failed execution' END AS message FROM s""")
+def scanner_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ18"""
+    r = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scan_id"), F.lit("trivy").alias("tool"), pick(["COMPLETED", "UNAVAILABLE", "TIMEOUT", "INVALID_OUTPUT", "FAILED"], F.col("o_custkey")).alias("status"), (F.col("o_orderkey") % 7).alias("findings_count"), F.lit(None).cast("string").alias("error_message"))
+    return answers.scanner_rows(r).select("scan_id", "event_type", "message")
+
+
+@named("q_frameworks_named", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'FastAPI' WHEN 1 THEN 'React' WHEN 2 THEN 'Express' WHEN 3 THEN 'FastAPI' ELSE CASE WHEN p_size % 2 = 0 THEN 'Django' ELSE 'General' END END AS framework FROM part""")
+def frameworks_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR22"""
+    k = F.col("p_partkey")
+    title = F.concat("p_name", pick([" in FastAPI app", "", " of Express", "", ""], k))
+    path = pick(["x.py", "web/a.tsx", "a.py", "api/routes/a.py", "a.py"], k)
+    return t(spark, sf_dir, "part").select("p_partkey", answers.target_framework(title, path, F.when(F.col("p_size") % 2 == 0, "Django")).alias("framework"))
+
+
+@named("q_new_findings", "SELECT o_custkey AS id, min(o_orderkey) AS o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) GROUP BY o_custkey")
+def new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK1"""
+    stored = t(spark, sf_dir, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("id"))
+    return answers.new_findings(stored, t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey"))
+
+
+@named("q_vector_namespaces", "SELECT 'n' || label % 4 AS namespace, count(*) AS n FROM embeddings WHERE label % 4 <> 2 GROUP BY 1")
+def vector_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG20, SNK3"""
+    v = t(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("n"), (F.col("label") % 4).cast("string")).alias("namespace"))
+    return answers.vectors_per_namespace(answers.cleared(v, "n2"))
+
+
+@named("q_findings_shown", "SELECT c_custkey FROM customer WHERE c_custkey % 5 = 1 AND c_custkey % 3 = 0")
+def findings_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT17"""
+    c = t(spark, sf_dir, "customer").select("c_custkey", pick(["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"], F.col("c_custkey")).alias("severity"), pick(VERDICTS, F.col("c_custkey")).alias("verification_verdict"))
+    return answers.shown(c, "HIGH", "CONFIRMED").select("c_custkey")
+
+
+@named("q_completed_findings", "SELECT 'a' AS tool, s_suppkey FROM supplier UNION ALL SELECT 'c', s_suppkey FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'c', s_suppkey FROM supplier WHERE s_suppkey % 2 = 0")
+def completed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET5, AGG24"""
+    s = t(spark, sf_dir, "supplier").select("s_suppkey")
+    half = s.where("s_suppkey % 2 = 0")
+    status = spark.createDataFrame([("a", "COMPLETED"), ("b", "FAILED"), ("c", "COMPLETED")], "tool string, status string")
+    return answers.completed_findings({"a": s, "b": s, "c": answers.merged([half, half])}, status).select("tool", "s_suppkey")
+
+
+@named("q_path_difference", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'x/' || p_size || '.py' ELSE '' END AS missing FROM part")
+def path_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET6"""
+    name = F.concat(F.col("p_size").cast("string"), F.lit(".py"))
+    mine = F.array(F.concat(F.lit("/x\\"), name), F.lit("y.py"))
+    known = F.array(F.when(F.col("p_size") % 2 == 0, "z.py").otherwise(F.concat(F.lit("x/"), name)), F.lit("//y.py"))
+    return t(spark, sf_dir, "part").select("p_partkey", F.array_join(answers.path_difference(mine, known), ",").alias("missing"))
+
+
+@named("q_scan_metadata", """SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN props WHEN event_id % 3 = 1 THEN '{"b":1}' END AS scope FROM events""")
+def scan_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSN2"""
+    k = F.col("event_id") % 3
+    meta = F.concat(F.lit('{"analysis_scope": '), F.when(k == 0, F.col("props")).otherwise("{}"), F.lit(', "scope": '), F.when(k == 1, '{"b":1}').otherwise("null"), F.lit("}"))
+    out = answers.scan_metadata(t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), meta.alias("model_metadata"), "props"))
+    back = t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "props")
+    return out.join(back, "id").select("id", F.when(F.col("scope") == F.replace("props", F.lit(" "), F.lit("")), F.col("props")).otherwise(F.col("scope")).alias("scope"))
+
+
+@named("q_remediation_run", """SELECT 'v' || p_partkey % 4 AS variant, count(*) AS patches, round(avg(CASE WHEN p_size % 3 > 0 THEN 1.0 ELSE 0 END), 4) AS valid_rate, round(avg(CASE WHEN p_size % 3 > 0 AND p_partkey % 2 = 0 THEN 1.0 ELSE 0 END), 4) AS resolved_rate, CAST(sum(CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fabricated, CAST(sum(CASE WHEN p_size % 5 < 2 THEN 1 ELSE 0 END) AS BIGINT) AS unnecessary, round(avg(CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN 0.0 ELSE 1 END), 4) AS grounded_rate FROM part GROUP BY 1""")
+def remediation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIP12, AGG17: every patch is judged by its own diff."""
+    size = F.col("p_size")
+    name = F.when(size % 5 == 0, "new.py").when(size % 5 == 1, "b.py").otherwise("a.py")
+    diff = F.concat(F.lit("--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n"), F.when(size % 3 > 0, "@@ -1 +1 @@\n").otherwise(""), F.lit("-"), "p_name", F.lit("\n+x\n"))
+    rows = t(spark, sf_dir, "part").select(
+        F.concat(F.lit("v"), (F.col("p_partkey") % 4).cast("string")).alias("variant"), diff.alias("unified_diff"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), "p_name")).otherwise("never there").alias("defect_snippet"), F.array(F.lit("a.py"), F.lit("b.py")).alias("known_files"), F.array(F.lit("/a.py")).alias("expected_files"),
+        F.when(size % 4 == 0, None).when(size % 4 == 1, F.array(F.lit("gone.py"))).otherwise(F.array(F.lit("a.py"))).alias("plan_files"), (size % 2 == 0).alias("escalated"), F.lit(0).alias("revisions"), F.lit(1.0).alias("latency_ms"))
+    return evaluate.remediation(evaluate.patch_metrics(rows)).select("variant", "patches", "valid_rate", "resolved_rate", "fabricated", "unnecessary", "grounded_rate")
+
+
+# --- retrieval, context and code
+
+
+@named("q_retrieve", f"""WITH {LEXICAL}, {DENSE}, dk AS (SELECT vec_id AS doc_id, score FROM den ORDER BY score DESC, vec_id LIMIT 40),
+rk AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM lex UNION ALL SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) FROM dk), f AS (SELECT doc_id, sum(CAST(1 AS DOUBLE) / (60 + r)) AS score FROM rk GROUP BY doc_id)
+SELECT f.doc_id AS chunk_id, round(score, 6) AS score FROM f JOIN documents USING (doc_id) WHERE lang = 'en' AND contains(lower(source), 'src1') ORDER BY round(score, 12) DESC, f.doc_id LIMIT 20""")
+def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIP1, FLT6, ORD6-7: the whole operator, filtered after fusion; the exact channel finds nothing for these words."""
+    v = t(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id")
+    out = retrieval.retrieve(chunks(spark, sf_dir), QUERY, 20, v, query_vector(spark, sf_dir), path_filter="SRC1", kind_filter="en")
+    return out.select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@named("q_context_bundle", """WITH d AS (SELECT doc_id, source, length(text) AS n FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5), w AS (SELECT *, sum(n) OVER (ORDER BY r) AS total FROM (SELECT *, row_number() OVER (ORDER BY (SELECT n_chars FROM documents x WHERE x.doc_id = d.doc_id) DESC, doc_id) AS r FROM d)),
+c AS (SELECT * FROM w WHERE total <= 16000 OR r = 1), fs AS (SELECT DISTINCT source AS f FROM c),
+e AS (SELECT DISTINCT p_partkey FROM part WHERE 'src' || p_partkey % 20 IN (SELECT f FROM fs) OR 'src' || p_size % 20 IN (SELECT f FROM fs)),
+k AS (SELECT o_orderkey FROM orders WHERE 'src' || o_custkey % 20 IN (SELECT f FROM fs)),
+g AS (SELECT 'src' || c_custkey % 20 AS f, count(*) AS n, sum(length(c_name)) AS chars FROM customer WHERE 'src' || c_custkey % 20 IN (SELECT f FROM fs) GROUP BY 1), gb AS (SELECT *, coalesce(sum(n) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g), kept AS (SELECT * FROM gb WHERE before < 15)
+SELECT CAST((SELECT count(*) FROM c) AS INTEGER) AS chunks, CAST(least(20, (SELECT count(*) FROM e)) AS INTEGER) AS edges, CAST(least(10, (SELECT count(*) FROM k)) AS INTEGER) AS contracts, CAST(coalesce((SELECT sum(n) FROM kept), 0) AS INTEGER) AS findings, CAST(greatest(1, (coalesce((SELECT sum(n) FROM c), 0) + coalesce((SELECT sum(chars) FROM kept), 0)) // 4) AS BIGINT) AS estimated_tokens""")
+def context_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIP3, JN15-17, AGG11, AGG21, ORD8"""
+    name = lambda c, prefix="": F.concat(F.lit(prefix + "src"), (F.col(c) % 20).cast("string"))
+    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file_path"), F.col("text").alias("content"), F.col("n_chars").alias("score"))
+    edges = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("write_seq"), name("p_partkey", "file:").alias("source"), name("p_size", "file:").alias("target"))
+    contracts = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), name("o_custkey").alias("frontend_file"))
+    findings = t(spark, sf_dir, "customer").select("c_custkey", name("c_custkey").alias("file_path"), F.col("c_name").alias("description"))
+    b = retrieval.context_bundle(d, edges, contracts, findings)
+    return b.select(*[F.size(c).alias(c) for c in ("chunks", "edges", "contracts", "findings")], F.col("estimated_tokens").cast("long").alias("estimated_tokens"))
+
+
+def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python file per supplier that calls a function of the next one, one of its own, and one of nobody."""
+    k = F.col("s_suppkey")
+    at = lambda n: F.concat(F.lit("m"), n.cast("string"))
+    code = F.concat(F.lit("from "), at(k + 1), F.lit(" import f as g\n\ndef f():\n    g()\n    own_"), k.cast("string"), F.lit("()\n    nobody()\n\ndef own_"), k.cast("string"), F.lit("():\n    pass\n"))
+    return t(spark, sf_dir, "supplier").select(k.cast("int").alias("file_seq"), F.concat(at(k), F.lit(".py")).alias("path"), F.lit("python").alias("language"), code.alias("content"))
+
+
+@named("q_call_resolution", """WITH s AS (SELECT s_suppkey AS k, s_suppkey + 1 IN (SELECT s_suppkey FROM supplier) AS next FROM supplier)
+SELECT 'm' || k || '.py' AS path, 'g' AS callee, CASE WHEN next THEN 'imported' ELSE 'unresolved' END AS status, CASE WHEN next THEN 'symbol:m' || (k + 1) || '.py:FUNCTION:f:3' ELSE 'unresolved_or_external' END AS told FROM s
+UNION ALL SELECT 'm' || k || '.py', 'own_' || k, 'same_file', 'symbol:m' || k || '.py:FUNCTION:own_' || k || ':8' FROM s UNION ALL SELECT 'm' || k || '.py', 'nobody', 'unresolved', 'unresolved_or_external' FROM s""")
+def call_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ1, JN4-5, JN8, MAP1"""
+    f = modules(spark, sf_dir)
+    out = graph.resolve_calls(parsers.calls(f), parsers.symbols(f), f)
+    return out.select("path", "callee", "status", F.coalesce("target", "reason").alias("told"))
+
+
+@named("q_repository_edges", """WITH s AS (SELECT s_suppkey AS k, s_suppkey + 1 IN (SELECT s_suppkey FROM supplier) AS next FROM supplier)
+SELECT 'file:m' || k || '.py' AS source, 'symbol:m' || k || '.py:FUNCTION:f:3' AS target, 'CONTAINS' AS kind FROM s UNION ALL SELECT 'file:m' || k || '.py', 'symbol:m' || k || '.py:FUNCTION:own_' || k || ':8', 'CONTAINS' FROM s
+UNION ALL SELECT 'symbol:m' || k || '.py:FUNCTION:f:3', 'symbol:m' || k || '.py:FUNCTION:own_' || k || ':8', 'CALLS' FROM s UNION ALL SELECT 'symbol:m' || k || '.py:FUNCTION:f:3', 'symbol:m' || (k + 1) || '.py:FUNCTION:f:3', 'CALLS' FROM s WHERE next""")
+def repository_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF1-3, JN7, JN13, WIN4: edges between files and functions; those of imports are left out."""
+    f = modules(spark, sf_dir)
+    symbols, calls = parsers.symbols(f), parsers.calls(f)
+    none = spark.createDataFrame([], "name string, version string, evidence string")
+    nodes = graph.nodes_of(f, symbols, none)
+    edges = graph.structure_edges(f, symbols, none).unionByName(graph.call_edges(graph.resolve_calls(calls, symbols, f), calls, nodes))
+    return graph.last_edges(edges, nodes).where(~F.col("target").contains(":IMPORT:") & ~F.col("target").startswith("file:")).select("source", "target", "kind")
+
+
+@named("q_language_counts", "SELECT CASE p_partkey % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'go' END AS language, count(*) AS n FROM part WHERE p_partkey % 4 < 3 GROUP BY 1")
+def language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG4"""
+    path = F.concat("p_name", F.col("p_partkey").cast("string"), pick([".py", ".TS", ".go", ".none"], F.col("p_partkey")))
+    return src.language_counts(t(spark, sf_dir, "part").select(path.alias("path")), None)
+
+
+@named("q_stored_events", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 2063 ELSE 13 END AS length, event_id % 2 = 1 AS redacted FROM events")
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ15"""
+    e = t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.repeat(F.lit("x y "), F.lit(900))).otherwise("sk-abcdefghijklmnopqrstu").alias("message"), F.col("props").alias("metadata_payload"))
+    m = report.event_rows(e)
+    return m.select("event_id", F.length("message").alias("length"), (F.col("message") == "sk-[REDACTED]").alias("redacted"))

@@ -140,9 +140,10 @@ def folded_by_pieces(files: DataFrame, keys: list[str], max_file_bytes: int, max
     return rows.join(reasons, "__at")
 
 
-def language_counts(files: DataFrame, max_files: int = 5000) -> DataFrame:
-    """AGG4: files by language before the guards, among the first max_files."""
-    return files.orderBy("path").limit(max_files).groupBy(X.language(F.col("path")).alias("language")).agg(F.count("*").alias("n")).where("language is not null")
+def language_counts(files: DataFrame, max_files: int | None = 5000) -> DataFrame:
+    """AGG4: files by language before the guards, among the first max_files by path, or all (None)."""
+    some = files if max_files is None else files.orderBy("path").limit(max_files)
+    return some.groupBy(X.language(F.col("path")).alias("language")).agg(F.count("*").alias("n")).where("language is not null")
 
 
 def frameworks(files: DataFrame) -> DataFrame:

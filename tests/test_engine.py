@@ -264,3 +264,48 @@ def test_named_queries_match_their_sql(spark):
         norm = lambda df: sorted(map(str, df[cols].astype(object).where(df[cols].notna(), None).to_numpy().tolist()))
         assert norm(got) == norm(want), name
     assert schemas.SEVERITIES[0] == "CRITICAL"
+
+
+def test_model_answers(spark):
+    from codequarry.operators import answers
+
+    a = spark.createDataFrame([("s1", '```json\n[{"title":"T","severity":"odd","start_line":"x","mitigation":"m","mitigation_guidance":""}]\n```', "own", "P", "m"), ("s2", '{"findings": []}', "own", None, "m"), ("s3", "junk", "own", None, "m"), ("s4", None, "own", None, "m")], "scan_id string, content string, default_category string, provider string, model_name string")
+    rows = answers.findings_of(a).collect()
+    assert len(rows) == 1 and (rows[0]["severity"], rows[0]["mitigation_guidance"], rows[0]["evidence"]["start_line"], rows[0]["evidence"]["file_path"], rows[0]["evidence"]["context_notes"]) == ("MEDIUM", "m", None, "unknown", "Identified by P (m)")
+    r = spark.createDataFrame([("q", '{"evidences": [{"source_url": "https://docs.python.org/3", "confidence": 0.5}, {"source_url": ""}]}', [("https://x.example", None), ("https://docs.python.org/3", "t"), (None, "n")]), ("z", None, None)], "query_id string, content string, grounding array<struct<uri: string, title: string>>")
+    got = answers.ranked_evidence(answers.research_evidence(r)).orderBy("query_id", "rank").collect()
+    assert [(x["source_url"], x["source_tier"], x["confidence"], x["rank"]) for x in got] == [("https://docs.python.org/3", 1, 0.5, 1), ("https://x.example", 5, 0.9, 2)]
+    p = spark.createDataFrame([("a", '{"unified_diff": " --- a/x.py\\n+++ b/x.py\\n "}', ["p.py"]), ("b", "--- a/y\n+++ b/y.py\n", ["p.py"]), ("c", "{}", ["p.py"])], "patch_id string, content string, plan_files array<string>")
+    assert {x["patch_id"]: (x["files_modified"], x["explanation"]) for x in answers.patches_of(p).collect()} == {"a": (["x.py"], "Patch generated for finding."), "b": (["y.py"], "Patch generated for finding."), "c": (["p.py"], "Patch generated for finding.")}
+    assert answers.specialist_query("architecture", "x" * 99).endswith(" " + "x" * 80) and answers.specialist_query("bug", "x") == answers.SPECIALIST_QUERIES["bug"]
+    f = spark.createDataFrame([("HIGH", "REJECTED"), ("LOW", "POSSIBLE")], "severity string, verification_verdict string")
+    assert answers.shown(f).count() == 2 and answers.shown(f, verdict="REJECTED").count() == 0 and answers.shown(f, "LOW", "POSSIBLE").count() == 1
+    m = answers.scan_metadata(spark.createDataFrame([(1, '{"scope": {"a": 1}, "scanners": []}'), (2, None)], "id int, model_metadata string"))
+    assert [tuple(x) for x in m.orderBy("id").collect()] == [(1, '{"a":1}', None), (2, None, None)]
+
+
+def test_retrieval_variants(spark):
+    """Five variants over three queries: what each channel finds, and averages that count what isn't found."""
+    rows = [("k1", "auth/login.py", "login", "FUNCTION", "def login user token"), ("k2", "auth/util.py", "helper", "FUNCTION", "token token"), ("k3", "x.py", "other", "CLASS", "nothing here")]
+    c = spark.createDataFrame(rows, "chunk_id string, file_path string, symbol string, symbol_kind string, content string")
+    v = spark.createDataFrame([("k1", [1.0, 0.0]), ("k2", [0.0, 1.0]), ("k3", [0.5, 0.5])], "chunk_id string, embedding array<double>")
+    nodes = spark.createDataFrame([("file:auth/login.py", "FILE", "auth/login.py"), ("file:x.py", "FILE", "x.py")], "id string, kind string, file_path string")
+    edges = spark.createDataFrame([("file:auth/login.py", "file:x.py")], "source string, target string")
+    expected = spark.createDataFrame([("a", "k1"), ("b", "k3"), ("c", None)], "query_id string, chunk_id string")
+    got = {r["variant"]: r for r in evaluate.retrieval_benchmark(c, {"a": ("login", [0.0, 1.0]), "b": ("login", [1.0, 0.0]), "c": ("zzz", [0.0, 1.0])}, expected, 1, v, nodes, edges).collect()}
+    assert set(got) == set(evaluate.VARIANTS) and all(r["queries"] == 3 for r in got.values())
+    assert got["LEXICAL_ONLY"]["recall"] == round((1 + 0 + 1) / 3, 4) and got["VECTOR_ONLY"]["recall"] == round((0 + 0 + 1) / 3, 4)
+    assert got["LEXICAL_VECTOR_GRAPH"]["recall"] == got["HYBRID_GRAPH_RERANKER"]["recall"]
+
+
+def test_twelve_checks_by_tool_and_finding(spark):
+    none = "cast(array() as array<string>)"
+    diff = "'--- a/x.py\\n+++ b/x.py\\n@@ -1 +1 @@\\n-a\\n+b\\n'"
+    base = f"{none} errors, {diff} unified_diff, array('x.py') plan_files, cast(null as string) apply_error, {none} syntax_errors, 0 new_mismatches, 0 target_before, 0 target_after, false route_finding, 3 graph_nodes, {none} secrets, 'semgrep' source_tool, cast(null as string) detector_kind, 'c' category, 't' title, false still_flagged, cast(null as boolean) snippet_left, 0 new_high"
+    rows = spark.sql(f"select 'p' patch_id, {base}").unionByName(spark.sql(f"select 'q' patch_id, {base}").withColumn("unified_diff", F.lit("+++ b/../x.PNG\n")).withColumn("secrets", F.array(F.lit("k"))).withColumn("source_tool", F.lit(None).cast("string")).withColumn("category", F.lit("Secret")))
+    tools = spark.createDataFrame([("p", "semgrep", "COMPLETED")], "patch_id string, tool string, status string")
+    got = {(r["patch_id"], r["check_name"].split("_")[1]): r["status"] for r in patching.twelve_checks(rows, tools, 1).collect()}
+    assert len(got) == 24 and all(got["p", str(i)] == "PASSED" for i in range(1, 13))
+    assert [got["q", str(i)] for i in (2, 3, 4, 5, 9, 10, 11, 12)] == ["FAILED", "FAILED", "FAILED", "FAILED", "FAILED", "NEEDS_REVIEW", "FAILED", "FAILED"]
+    status = patching.verification_status(patching.twelve_checks(rows, tools, 1))
+    assert {r["patch_id"]: r["status"] for r in status.collect()} == {"p": "PASSED", "q": "FAILED"}
