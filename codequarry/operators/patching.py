@@ -99,15 +99,27 @@ def apply(lines: DataFrame, files: DataFrame) -> DataFrame:
     return joined.groupBy("patch_id", "file_idx").applyInPandas(patch, "patch_id string, path string, content string, error string")
 
 
+def allowed_files(planned: Column, steps: Column) -> Column:
+    """SET4: files that a plan lets change, those of its steps among them; null without a plan."""
+    clean = lambda c: F.transform(c, lambda p: F.regexp_replace(F.replace(p, F.lit("\\"), F.lit("/")), "^/+", ""))
+    return F.when(planned.isNotNull(), F.array_union(clean(planned), clean(F.coalesce(steps, F.array().cast("array<string>")))))
+
+
 def validate_patch(patches: DataFrame) -> DataFrame:
-    """FLT14, JN26: patch_id, errors. patches: patch_id, unified_diff, files_modified, known_files, plan_files (arrays; a null one isn't checked)."""
+    """FLT14, JN26: patch_id, errors. patches: patch_id, unified_diff, files_modified, known_files, plan_files (arrays; a null one isn't checked), and step_files where known.
+
+    A file that is neither known nor planned is fabricated; one that isn't planned is outside the plan. An empty diff has no further errors.
+    """
     d = F.coalesce("unified_diff", F.lit(""))
     files = X.diff_files(d)
-    beyond = lambda name: F.size(F.array_except(files, F.transform(name, X.stripped_path)))
+    plan = allowed_files(F.col("plan_files"), F.col("step_files") if "step_files" in patches.columns else F.lit(None).cast("array<string>"))
+    known = F.array_union(F.transform("known_files", X.stripped_path), F.coalesce(plan, F.array().cast("array<string>")))
+    beyond = lambda allowed: F.coalesce(F.size(F.array_except(files, allowed)) > 0, F.lit(False))
+    there = d.rlike(r"\S")
     rules = [
-        (F.trim(d) == "", "empty diff"), (~d.rlike(r"(?m)^--- ") | ~d.rlike(r"(?m)^\+\+\+ "), "missing file headers"),
-        (~d.rlike(r"(?m)^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@"), "missing hunk header"), (~d.rlike(r"(?m)^[+-](?!\+\+|--)"), "no changed lines"),
-        (F.coalesce(beyond("known_files") > 0, F.lit(False)), "fabricated files"), (F.coalesce(beyond("plan_files") > 0, F.lit(False)), "files outside the plan"),
+        (~there, "empty diff"), (there & (~d.rlike(r"(?m)^--- \S") | ~d.rlike(r"(?m)^\+\+\+ \S")), "missing file headers"),
+        (there & ~d.rlike(r"(?m)^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@"), "missing hunk header"), (there & ~d.rlike(r"(?m)^[+-](?!\+\+|--)"), "no changed lines"),
+        (there & (F.size("known_files") > 0) & beyond(known), "fabricated files"), (there & beyond(plan), "files outside the plan"),
     ]
     return patches.select("patch_id", F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in rules])).alias("errors"))
 

@@ -146,6 +146,20 @@ def added_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patching.added_secrets(lines).select("patch_id", F.array_join("secrets", ",").alias("secrets"))
 
 
+@named("q_patch_errors", """SELECT p_partkey AS patch_id, CASE WHEN p_size % 6 = 0 THEN 'empty diff' ELSE array_to_string(list_filter([CASE WHEN p_size % 6 = 1 THEN 'missing hunk header' END, CASE WHEN p_size % 6 = 2 THEN 'no changed lines' END,
+ CASE WHEN p_partkey % 4 = 1 THEN 'fabricated files' END, CASE WHEN p_partkey % 4 IN (1, 2) AND p_partkey % 3 > 0 THEN 'files outside the plan' END], lambda x: x IS NOT NULL), ',') END AS errors FROM part""")
+def patch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT14, JN26, SET4, STR19-20: known, planned, step and fabricated files."""
+    size, k = F.col("p_size") % 6, F.col("p_partkey")
+    name = pick(["plan.py", "new.py", "known.py", "step.py"], k)
+    diff = F.concat(F.lit("--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n"), F.when(size == 1, "").otherwise("@@ -1 +1 @@\n"), F.when(size == 2, " same\n").otherwise("-a\n+b\n"))
+    none = F.lit(None).cast("array<string>")
+    rows = t(spark, sf_dir, "part").select(
+        k.alias("patch_id"), F.when(size == 0, " \n").otherwise(diff).alias("unified_diff"), F.array(F.lit("known.py")).alias("files_modified"), F.when(k % 3 > 0, F.array(F.lit("known.py"))).otherwise(F.array(F.lit("known.py"), F.lit("plan.py"), F.lit("step.py"))).alias("known_files"),
+        F.when(k % 3 > 0, F.array(F.lit("/plan.py"))).otherwise(none).alias("plan_files"), F.array(F.lit("step.py")).alias("step_files"))
+    return patching.validate_patch(rows).select("patch_id", F.array_join("errors", ",").alias("errors"))
+
+
 # --- diffs of varied files
 
 
