@@ -121,7 +121,9 @@ def _components(edges: DataFrame) -> DataFrame:
         last = sign
     own = now.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("c"), "label")
     roots = now.select(F.col("v").alias("c")).distinct().join(now.select(F.col("u").alias("c")).distinct(), "c", "left_anti")
-    return own.unionByName(roots.select("c", F.col("c").alias("label")))
+    out = written(own.unionByName(roots.select("c", F.col("c").alias("label"))), "labels")
+    forget(now)
+    return out
 
 
 def _overlap(n: str, m: str, percent: int) -> str:
@@ -278,13 +280,16 @@ def _by_frequency(sets: DataFrame, percent: int) -> DataFrame:
 def _relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     """labels (c, label) with the links found joined in."""
     if labels is None:
-        return written(_components(found), "labels")
+        return _components(found)
     end = lambda x: labels.select(F.col("c").alias(x), F.col("label").alias(f"l{x}"))
     edges = found.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    above = written(_components(edges), "labels").withColumnsRenamed({"label": "higher"})
+    found_above = _components(edges)
+    above = found_above.withColumnsRenamed({"label": "higher"})
     new = labels.join(above.withColumnsRenamed({"c": "label"}), "label", "left").select("c", F.coalesce("higher", "label").alias("label"))
     fresh = above.join(labels.select("c"), "c", "left_anti").select("c", F.col("higher").alias("label"))
-    return written(new.unionByName(fresh), "labels")
+    out = written(new.unionByName(fresh), "labels")
+    forget(labels, found_above)
+    return out
 
 
 def _sifted(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
