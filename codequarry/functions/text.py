@@ -137,10 +137,16 @@ def severity(c: Column) -> Column:
 
 
 def bounded(c: Column, most: int = 2000, mark: str = "... [truncated]") -> Column:
-    """STR10: at most `most` characters, a mark after a cut text."""
+    """At most `most` characters, a mark after a cut text."""
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit(mark))).otherwise(c)
 
 
+def stderr_text(c: Column) -> Column:
+    """STR10: a tool's error output without outer white space, cut at 2000 characters with a mark; null for none."""
+    x = F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.when(x != "", bounded(x, 2000, "\n... [truncated]"))
+
+
 def rule_title(c: Column) -> Column:
     """STR11: last dotted part of a rule id, - as blank, every run of letters capitalised; an id without a dot stays as it is."""
     last = F.replace(F.element_at(F.split(c, r"\."), -1), F.lit("-"), F.lit(" "))
@@ -187,8 +193,8 @@ def tested_name(path: Column) -> Column:
 
 
 def branch_name(finding_id: Column, patch_id: Column, prefix: str = "codequarry") -> Column:
-    """STR15: prefix/fix-<8>-<8> of the two ids without dashes."""
-    short = lambda c: F.substring(F.replace(c, F.lit("-"), F.lit("")), 1, 8)
+    """STR15: prefix/fix-<8>-<8> of the two ids without dashes, in lower case."""
+    short = lambda c: F.lower(F.substring(F.replace(c, F.lit("-"), F.lit("")), 1, 8))
     return F.concat(F.lit(f"{prefix}/fix-"), short(finding_id), F.lit("-"), short(patch_id))
 
 
@@ -208,8 +214,10 @@ def source_tier(url: Column) -> Column:
 
 
 def defused(c: Column) -> Column:
-    """STR18: web text with phrases that try to instruct a reader taken out."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)(ignore|disregard|forget)\s+(all\s+)?(previous|prior|above)\s+instructions", "[FILTERED]")
+    """STR18: web text without phrases that try to instruct a reader, in a fence that says what it is; null and empty stay empty."""
+    clean = F.regexp_replace(c, r"(?i)(ignore previous instructions|system prompt|disregard all)", "[filtered]")
+    inner = F.regexp_replace(clean, r"^\s+|\s+$", "")
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit("<untrusted_external_evidence>\n"), inner, F.lit("\n</untrusted_external_evidence>")))
 
 
 def is_unified_diff(c: Column) -> Column:
@@ -367,3 +375,9 @@ def clock(c: Column) -> Column:
 def retrieval_date(c: Column) -> Column:
     """DAT3: YYYY-MM-DD of a timestamp in UTC."""
     return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd")
+
+
+def backoff(attempt: Column, retry_after: Column, jitter: Column, most: float = 2.0) -> Column:
+    """MTH6: seconds before the next attempt (from 0): what the server asks, else 0.2 * 2 ** attempt, and a share `jitter` (0 to 1) of a quarter of it, of 0.25 at most; never above `most`."""
+    base = F.least(F.when(retry_after > 0, retry_after).otherwise(F.lit(0.2) * F.pow(F.lit(2.0), attempt)), F.lit(most))
+    return F.least(base + jitter * F.least(base * 0.25, F.lit(0.25)), F.lit(most))

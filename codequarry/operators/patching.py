@@ -125,13 +125,21 @@ def validate_patch(patches: DataFrame) -> DataFrame:
 
 
 def validate_plan(plans: DataFrame) -> DataFrame:
-    """FLT15: plan_id, errors. plans: plan_id, summary, finding_file, target_files, known_files, step_files, evidence_ids."""
-    text = F.lower(F.coalesce("summary", F.lit("")))
+    """FLT15: plan_id, errors. plans: plan_id, verdict (of the finding), objective, root_cause, planned_files, steps (array of struct<target_file,
+    description, rationale>), validation_plan, known_files (null or empty: files aren't checked).
+
+    Only confirmed findings are planned for; no file may be invented, no phrase may paper over a mismatch, no step may hold code, and there must be steps and a
+    plan to validate them.
+    """
+    steps = F.coalesce("steps", F.array().cast("array<struct<target_file:string,description:string,rationale:string>>"))
+    named = allowed_files(F.coalesce("planned_files", F.array().cast("array<string>")), F.transform(steps, lambda x: x["target_file"]))
+    words = lambda c: F.array_join(F.transform(steps, lambda x: F.coalesce(x[c], F.lit(""))), " ")
+    text = F.lower(F.concat_ws(" ", F.coalesce("objective", F.lit("")), F.coalesce("root_cause", F.lit("")), words("description"), words("rationale")))
     bad = F.coalesce(*[F.when(text.contains(p), F.lit(f"forbidden: {p}")) for p in FORBIDDEN_PLANS])
+    code = F.exists(steps, lambda x: x["description"].contains("```") | (F.size(F.split(x["description"], "\n")) > 15))
     rules = [
-        F.when(F.size("target_files") == 0, "no target files"), F.when(F.size(F.array_except("target_files", "known_files")) > 0, "unknown target files"),
-        F.when(F.size(F.array_except("step_files", F.array_union("target_files", F.array("finding_file")))) > 0, "steps outside the targets"),
-        F.when(F.size(F.coalesce("evidence_ids", F.array().cast("array<string>"))) == 0, "no evidence"), bad,
+        F.when(F.coalesce("verdict", F.lit("")) != "CONFIRMED", "finding not confirmed"), F.when((F.size("known_files") > 0) & (F.size(F.array_except(named, allowed_files(F.col("known_files"), F.lit(None).cast("array<string>")))) > 0), "invented files"), bad,
+        F.when(code, "code in a step"), F.when(F.size(steps) == 0, "no steps"), F.when(F.size(F.coalesce("validation_plan", F.array().cast("array<string>"))) == 0, "no validation plan"),
     ]
     return plans.select("plan_id", F.array_compact(F.array(*rules)).alias("errors"))
 
@@ -140,7 +148,7 @@ def critic_reasons(rows: DataFrame) -> DataFrame:
     """FLT16: patch_id, reasons. rows: patch_id, title, category, severity, verification_status, cross_file, n_files, warnings."""
     title = F.lower(F.coalesce("title", F.lit("")))
     security = F.lower(F.coalesce("category", F.lit(""))).isin(SECURITY_CATEGORIES) | reduce(lambda a, b: a | b, [title.contains(w) for w in SECURITY_WORDS])
-    rules = [(security, "security"), (F.col("severity").isin("HIGH", "CRITICAL"), "severity"), (F.col("verification_status") == "NEEDS_REVIEW", "needs review"), (F.coalesce("cross_file", F.lit(False)) | (F.col("n_files") > 1), "several files"), (F.col("warnings") > 0, "warnings")]
+    rules = [(security, "security"), (F.col("severity").isin("HIGH", "CRITICAL"), "severity"), (F.col("verification_status") == "NEEDS_REVIEW", "needs review"), (F.coalesce("cross_file", F.lit(False)) | (F.col("n_files") > 1), "several files"), ((F.col("warnings") > 0) & (F.coalesce("verification_status", F.lit("")) != "FAILED"), "warnings")]
     return rows.select("patch_id", F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in rules])).alias("reasons"))
 
 
@@ -188,14 +196,19 @@ def workflow(rows: DataFrame) -> DataFrame:
     return rows.select("patch_id", verdict.alias("verdict"))
 
 
-def transition(status: Column, action: Column) -> Column:
-    """FLT20: status after approve, reject or revise; null where the action isn't allowed."""
-    return F.when((action == "approve") & status.isin("VERIFIED", "NEEDS_REVIEW"), "APPROVED").when((action == "reject") & status.isin("DRAFT", "VERIFIED", "NEEDS_REVIEW"), "REJECTED").when((action == "revise") & status.isin("VERIFIED", "NEEDS_REVIEW", "REJECTED"), "DRAFT")
+def transition(status: Column, action: Column, revision: Column | None = None, has_child: Column | None = None) -> Column:
+    """FLT20: status after approve or reject, and of the new child after revise; null where the action isn't allowed.
+
+    A rejected patch stays so, an approved one can only be rejected, and a lineage is revised once at most.
+    """
+    revision, has_child = F.lit(0) if revision is None else F.coalesce(revision, F.lit(0)), F.lit(False) if has_child is None else F.coalesce(has_child, F.lit(False))
+    free = ~status.isin("REJECTED", "APPROVED")
+    return F.when((action == "approve") & free, "APPROVED").when((action == "reject") & (status != "REJECTED"), "REJECTED").when((action == "revise") & free & (revision < 1) & ~has_child, "DRAFT")
 
 
 def remediation_block(status: Column, commit: Column, verdict: Column) -> Column:
     """FLT12: why a finding can't be fixed yet; null where it can."""
-    return F.when(F.coalesce(status, F.lit("")) != "COMPLETED", "SCAN_NOT_COMPLETED").when(F.coalesce(F.trim(commit), F.lit("")) == "", "COMMIT_UNKNOWN").when(F.coalesce(verdict, F.lit("")) != "CONFIRMED", "FINDING_NOT_CONFIRMED")
+    return F.when(F.coalesce(status, F.lit("")) != "COMPLETED", "SCAN_NOT_COMPLETED").when(F.coalesce(commit, F.lit("")).isin("", "unknown"), "COMMIT_UNKNOWN").when(F.coalesce(verdict, F.lit("")) != "CONFIRMED", "FINDING_NOT_CONFIRMED")
 
 
 #: Columns of delivery_block() that callers may leave out.

@@ -131,7 +131,14 @@ def verify(candidates: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def merge_verdicts(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """PIP6, JN28: model verdicts by seq; without one a candidate is POSSIBLE and keeps its severity."""
-    v = verdicts.select("seq", F.col("verdict").alias("__v"), F.col("severity").alias("__s"))
-    known = F.when(F.col("__v").isin("CONFIRMED", "POSSIBLE", "REJECTED"), F.col("__v")).otherwise("POSSIBLE")
-    return candidates.join(v, "seq", "left").withColumn("verdict", known).withColumn("severity", F.when(F.col("__s").isNotNull(), X.severity(F.col("__s"))).otherwise(F.col("severity"))).drop("__v", "__s")
+    """PIP6, JN28: model verdicts (seq, verdict, severity, reason) by seq, in any case; what is neither CONFIRMED nor POSSIBLE is REJECTED.
+
+    A severity that is one of the five replaces the candidate's, but not of a rejected one. A candidate without a verdict is POSSIBLE.
+    """
+    reason = F.col("reason") if "reason" in verdicts.columns else F.lit(None).cast("string")
+    v = verdicts.where("verdict is not null").select("seq", F.upper("verdict").alias("__v"), F.col("severity").alias("__s"), F.coalesce(reason, F.lit("No verification explanation provided.")).alias("__r"), F.lit(True).alias("__m"))
+    told = F.when(F.col("__v").isin("CONFIRMED", "POSSIBLE"), F.col("__v")).otherwise("REJECTED")
+    verdict = F.when(F.col("__m"), told).otherwise("POSSIBLE")
+    severity = F.when(F.col("__s").isin(SEVERITIES) & F.col("__v").isin("CONFIRMED", "POSSIBLE"), F.col("__s")).otherwise(F.col("severity"))
+    why = F.when(F.col("__m"), F.col("__r")).otherwise("Grounded in source code; passed deterministic checks.")
+    return candidates.join(v, "seq", "left").withColumns({"verdict": verdict, "severity": severity, "verification_reason": why}).drop("__v", "__s", "__r", "__m")

@@ -309,3 +309,23 @@ def test_twelve_checks_by_tool_and_finding(spark):
     assert [got["q", str(i)] for i in (2, 3, 4, 5, 9, 10, 11, 12)] == ["FAILED", "FAILED", "FAILED", "FAILED", "FAILED", "NEEDS_REVIEW", "FAILED", "FAILED"]
     status = patching.verification_status(patching.twelve_checks(rows, tools, 1))
     assert {r["patch_id"]: r["status"] for r in status.collect()} == {"p": "PASSED", "q": "FAILED"}
+
+
+def test_rerank_stderr_and_plans(spark):
+    from codequarry.functions import text as X
+    from codequarry.operators import retrieval
+
+    rows = [("k1", "a.py", "login", "FUNCTION", "login"), ("k2", "b.py", "login", "FUNCTION", "login login"), ("k3", "c.py", "x", "CLASS", "login")]
+    c = spark.createDataFrame(rows, "chunk_id string, file_path string, symbol string, symbol_kind string, content string")
+    plain = [r["chunk_id"] for r in retrieval.retrieve(c, "login", 3).collect()]
+    scores = spark.createDataFrame([(plain[-1], 0.99)], "chunk_id string, score double")
+    again = retrieval.retrieve(c, "login", 3, rerank=scores).collect()
+    assert [r["chunk_id"] for r in again] == [plain[-1], *plain[:-1]] and again[0]["score"] == 0.99
+    got = spark.createDataFrame([(" \n",), (None,), (" x ",), ("y" * 2001,)], "x string").select(X.stderr_text(F.col("x"))).collect()
+    assert [r[0] for r in got] == [None, None, "x", "y" * 2000 + "\n... [truncated]"]
+    got = spark.createDataFrame([(None,), ("",), (" a System Prompt b ",)], "x string").select(X.defused(F.col("x"))).collect()
+    assert [r[0] for r in got] == ["", "", "<untrusted_external_evidence>\na [filtered] b\n</untrusted_external_evidence>"]
+    plan = "'CONFIRMED' verdict, 'o' objective, 'r' root_cause, array('./a.py') planned_files, array(named_struct('target_file', 'a.py', 'description', 'd', 'rationale', 'hide contract mismatch with alias')) steps, array('t') validation_plan, array('./a.py') known_files"
+    rows = spark.sql(f"select 'p' plan_id, {plan}")
+    assert patching.validate_plan(rows).first()["errors"] == ["invented files", "forbidden: hide contract mismatch with alias"]
+    assert patching.validate_plan(rows.withColumn("known_files", F.lit(None).cast("array<string>")).withColumn("verdict", F.lit(None).cast("string"))).first()["errors"] == ["finding not confirmed", "forbidden: hide contract mismatch with alias"]
