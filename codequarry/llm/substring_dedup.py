@@ -27,7 +27,7 @@ from codequarry.llm.common import apart, claim, forget, ship, slices, written
 
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Distinct words a Python worker keeps with their hashes; when full, the cache starts anew.
-CACHE = 300_000
+CACHE = 200_000
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
