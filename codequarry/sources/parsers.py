@@ -148,7 +148,7 @@ def javascript(source: str) -> tuple[list[tuple], list[tuple]]:
         url = re.match(r"\s*(['\"`])(.*?)\1", rest, re.S)
         if callee == "fetch" or re.match(r"axios(\.\w+)?$", callee):
             method = re.search(r"method\s*:\s*['\"](\w+)['\"]", rest[: rest.find(")") + 1 or 400]) if callee == "fetch" else None
-            details = {"url": url[2] if url else None, "target": callee} | ({"http_method": method[1].upper() if method else "GET"} if callee == "fetch" else {})
+            details = {"url": url[2] if url else "unknown", "target": callee} | ({"http_method": method[1].upper() if method else "GET"} if callee == "fetch" else {})
             add(url[2] if url else callee, "FETCH_CALL" if callee == "fetch" else "AXIOS_CALL", m.start(), b, **details)
         elif (r := _EXPRESS.match(callee)) and url:
             add(f"{r[1].upper()} {url[2]}", "EXPRESS_ROUTE", m.start(), b, http_method=r[1].upper(), path=url[2])

@@ -125,3 +125,19 @@ def test_retrieval_and_budget(spark):
     assert retrieval.lexical(c, "!").count() == 0 and retrieval.dense(v, [1.0, 0.0], 0).count() == 0
     kept = retrieval.within_budget(c, 1, [F.col("chunk_id")], F.length("content"))
     assert [r["chunk_id"] for r in kept.collect()] == ["k1"]
+
+
+def test_javascript_and_http_client_symbols(spark):
+    """Express routes, kinds of imports, fetch and axios calls, and Python's HTTP clients."""
+    js = "import def, { one, two as deux } from './m';\nimport * as ns from './n';\nconst express = require('express');\nrouter.get('/a/:id', (req, res) => { res.send(1); });\napp.post(\"/b\", handler);\naxios.put('/c', { x: 1 });\naxios({ url: '/d', method: 'delete' });\nfetch('/e');\nother.get('/no');\n"
+    py = "import requests, httpx\n\ndef pull(client):\n    requests.get('http://h/x')\n    httpx.post('/y')\n    client.delete('/z')\n"
+    f = spark.createDataFrame([(0, "s.js", "javascript", js), (1, "h.py", "python", py)], "file_seq int, path string, language string, content string")
+    rows = parsers.symbols(f).collect()
+    routes = {(r["details"]["http_method"], r["details"]["path"]) for r in rows if r["kind"] == "EXPRESS_ROUTE"}
+    assert routes == {("GET", "/a/:id"), ("POST", "/b")}
+    http = {(r["kind"], r["details"]["http_method"], r["details"]["url"]) for r in rows if r["kind"] in ("FETCH_CALL", "AXIOS_CALL")}
+    assert {("FETCH_CALL", "GET", "/e"), ("AXIOS_CALL", None, "/c"), ("AXIOS_CALL", None, "unknown")} <= http
+    imports = {r["details"]["source"]: r["details"] for r in rows if r["kind"] == "IMPORT" and r["details"]["source"]}
+    assert imports["./m"]["imported_names"] == {"one": "one", "deux": "two"} and imports["./m"]["default_import"] == "def" and imports["./n"]["namespace_import"] == "ns"
+    own = [r["details"] for r in rows if r["path"] == "h.py" and r["kind"] == "FETCH_CALL"]
+    assert len(own) == 2 and all(d["snippet"] and d["url"] is None for d in own)  # client.delete is none of them
