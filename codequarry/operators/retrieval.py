@@ -66,7 +66,8 @@ def ranks(rows: DataFrame) -> DataFrame:
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["channel", F.desc("score"), "chunk_id"]
-    laid = kept(rows.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranks")
+    # the ranges are told from a sample: the channels are worked out once, not once more for that
+    laid = kept(kept(rows, "scores").repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranks")
     before = Window.partitionBy("channel").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = laid.groupBy("channel", "range").agg(F.count("*").alias("n")).select("channel", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("channel", "range").orderBy(F.desc("score"), "chunk_id"))
