@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codequarry.llm import bpe, decontam, html_extract, jaccard, langid, line_dedup, substring_dedup, token_files, topk, toxicity
+from codequarry.llm import bpe, conversations, decontam, divergence, html_extract, jaccard, langid, line_dedup, simhash, substring_dedup, token_files, topk, toxicity
 from codequarry.llm.common import table
 
 
@@ -161,9 +161,52 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source of a language strays from it and from its other sources."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+m AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM m GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT m.lang, m.source, m.term, count(*) AS n FROM m JOIN k ON m.lang = k.lang AND m.term = k.term GROUP BY m.lang, m.source, m.term),
+g AS (SELECT DISTINCT lang, source FROM d),
+party AS (SELECT lang, source, false AS whole FROM g UNION ALL SELECT DISTINCT lang, NULL, true FROM g),
+cells AS (SELECT p.lang, p.source, p.whole, k.term,
+                 CAST(coalesce((SELECT sum(c.n) FROM c WHERE c.lang = p.lang AND c.term = k.term AND (p.whole OR c.source = p.source)), 0) AS HUGEINT) AS n
+          FROM party p JOIN k ON p.lang = k.lang),
+sized AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, whole) AS total FROM cells),
+s AS (SELECT sized.lang, source, whole, term, n, 1 + (1000000000 * (n + 2)) // (CAST(total AS HUGEINT) + 2 * v.v) AS p FROM sized JOIN v ON sized.lang = v.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+      FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND NOT a.whole AND NOT b.whole AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT a.lang, a.source, a.term AS item, CAST(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p) AS BIGINT) AS value
+          FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND NOT a.whole AND b.whole WHERE a.n > 0 AND a.p > b.p),
+r AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+      UNION ALL
+      SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, and groups linked by two differing bits or fewer."""
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage that its keys decide."""
+    originals = table(spark, sf_dir, "conversations")
+    return conversations.summary(originals, conversations.repair(conversations.damage(originals)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_substring_dedup": op2_substring_dedup, "op3_topk": op3_topk, "op4_html_extract": op4_html_extract, "op5_line_dedup": op5_line_dedup, "op6_toxicity": op6_toxicity, "op7_decontam": op7_decontam, "op8_jaccard": op8_jaccard, "op9_token_files": op9_token_files, "op10_langid": op10_langid}
+    return {"op1_bpe": op1_bpe, "op2_substring_dedup": op2_substring_dedup, "op3_topk": op3_topk, "op4_html_extract": op4_html_extract, "op5_line_dedup": op5_line_dedup, "op6_toxicity": op6_toxicity, "op7_decontam": op7_decontam, "op8_jaccard": op8_jaccard, "op9_token_files": op9_token_files, "op10_langid": op10_langid, "op11_source_divergence": op11_source_divergence, "op12_simhash": op12_simhash, "op13_conversation_repair": op13_conversation_repair}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op3_topk": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_decontam": OP7_SQL, "op8_jaccard": OP8_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_topk": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_decontam": OP7_SQL, "op8_jaccard": OP8_SQL, "op11_source_divergence": OP11_SQL}
