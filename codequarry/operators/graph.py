@@ -17,26 +17,42 @@ HTTP_KINDS = ["FETCH_CALL", "AXIOS_CALL"]
 ROUTE_KINDS = ["FASTAPI_ROUTE", "EXPRESS_ROUTE"]
 
 
-def contracts(requests: DataFrame, routes: DataFrame) -> DataFrame:
-    """request_id, path, method, status, route_ids, methods: JN1-3.
+def related_paths(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, lp, rp: canonical paths of left (keys, p) and right (keys, p) that are equal, or of which one is a suffix of the other, / left out.
 
-    requests: request_id, path, method. routes: route_seq, route_id, path, method. A request meets the routes of its
+    Suffixes are exploded on either side and meet in equi-joins.
+    """
+    a, b = left.select(*keys, F.col("p").alias("lp")).distinct(), right.select(*keys, F.col("p").alias("rp")).distinct()
+    tails = lambda df, c: df.where(F.col(c) != "/").select(*keys, c, F.explode(X.path_suffixes(F.col(c))).alias("k"))
+    same = a.join(b.withColumn("lp", F.col("rp")), [*keys, "lp"])
+    longer = tails(a, "lp").join(b.where("rp <> '/'").withColumn("k", F.col("rp")), [*keys, "k"])
+    shorter = tails(b, "rp").join(a.where("lp <> '/'").withColumn("k", F.col("lp")), [*keys, "k"])
+    cut = lambda df: df.select(*keys, "lp", "rp")
+    return cut(same).unionByName(cut(longer)).unionByName(cut(shorter)).distinct()
+
+
+def contracts(requests: DataFrame, routes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, request_id, path, method, status, route_ids, methods: JN1-3.
+
+    requests: keys, request_id, path, method. routes: keys, route_seq, route_id, path, method. A request meets the routes of its
     canonical path; without any, those of the first route path (by route_seq) that is a suffix of its own or the other way
-    round, / left out. The suffix join is an equi-join on exploded suffixes. Rows with null methods match none.
+    round, / left out. The suffix join is an equi-join on exploded suffixes. Rows with null methods match none. keys (none: one repository a
+    call) name the repository: nothing meets across them.
     """
-    req = requests.select("request_id", X.route_path(F.col("path")).alias("p"), F.upper("method").alias("m"))
-    rt = routes.select("route_seq", "route_id", X.route_path(F.col("path")).alias("p"), F.upper("method").alias("rm"))
-    paths = rt.groupBy("p").agg(F.min("route_seq").alias("first"))
-    direct = req.join(paths.select("p"), "p", "left_semi").select("request_id", "p", "m", F.col("p").alias("rp"))
-    rest = req.join(paths.select("p"), "p", "left_anti")
+    keys = keys or []
+    req = requests.select(*keys, "request_id", X.route_path(F.col("path")).alias("p"), F.upper("method").alias("m"))
+    rt = routes.select(*keys, "route_seq", "route_id", X.route_path(F.col("path")).alias("p"), F.upper("method").alias("rm"))
+    paths = rt.groupBy(*keys, "p").agg(F.min("route_seq").alias("first"))
+    direct = req.join(paths.select(*keys, "p"), [*keys, "p"], "left_semi").select(*keys, "request_id", "p", "m", F.col("p").alias("rp"))
+    rest = req.join(paths.select(*keys, "p"), [*keys, "p"], "left_anti")
     open_ = rest.where("p <> '/'")
     named = paths.where("p <> '/'")
-    longer = open_.select("request_id", F.explode(X.path_suffixes(F.col("p"))).alias("k")).join(named.withColumnRenamed("p", "k"), "k").select("request_id", "first", F.col("k").alias("rp"))
-    shorter = named.select(F.col("p").alias("rp"), "first", F.explode(X.path_suffixes(F.col("p"))).alias("k")).join(open_.select("request_id", F.col("p").alias("k")), "k").select("request_id", "first", "rp")
-    best = longer.unionByName(shorter).groupBy("request_id").agg(F.min_by("rp", "first").alias("rp"))
-    cand = direct.unionByName(rest.join(best, "request_id", "left").select("request_id", "p", "m", "rp"))
-    met = cand.join(rt.select(F.col("p").alias("rp"), "route_seq", "route_id", "rm"), "rp", "left")
-    g = met.groupBy("request_id", "p", "m").agg(
+    longer = open_.select(*keys, "request_id", F.explode(X.path_suffixes(F.col("p"))).alias("k")).join(named.withColumnRenamed("p", "k"), [*keys, "k"]).select(*keys, "request_id", "first", F.col("k").alias("rp"))
+    shorter = named.select(*keys, F.col("p").alias("rp"), "first", F.explode(X.path_suffixes(F.col("p"))).alias("k")).join(open_.select(*keys, "request_id", F.col("p").alias("k")), [*keys, "k"]).select(*keys, "request_id", "first", "rp")
+    best = longer.unionByName(shorter).groupBy(*keys, "request_id").agg(F.min_by("rp", "first").alias("rp"))
+    cand = direct.unionByName(rest.join(best, [*keys, "request_id"], "left").select(*keys, "request_id", "p", "m", "rp"))
+    met = cand.join(rt.select(*keys, F.col("p").alias("rp"), "route_seq", "route_id", "rm"), [*keys, "rp"], "left")
+    g = met.groupBy(*keys, "request_id", "p", "m").agg(
         F.count("route_id").alias("n"), F.count_if(F.col("rm") == F.col("m")).alias("same"),
         F.array_sort(F.collect_list(F.when(F.col("rm") == F.col("m"), F.struct("route_seq", "route_id")))).alias("hit"),
         F.array_sort(F.collect_list(F.when(F.col("route_id").isNotNull(), F.struct("route_seq", "route_id")))).alias("every"),
@@ -44,7 +60,7 @@ def contracts(requests: DataFrame, routes: DataFrame) -> DataFrame:
     )
     status = F.when(F.col("n") == 0, "UNMATCHED_FRONTEND_REQUEST").when(F.col("same") == 1, "MATCHED").when(F.col("same") > 1, "AMBIGUOUS_MATCH").otherwise("METHOD_MISMATCH")
     ids = F.transform(F.when(F.col("same") > 0, F.col("hit")).otherwise(F.col("every")), lambda x: x["route_id"])
-    return g.select("request_id", F.col("p").alias("path"), F.col("m").alias("method"), status.alias("status"), ids.alias("route_ids"), "methods")
+    return g.select(*keys, "request_id", F.col("p").alias("path"), F.col("m").alias("method"), status.alias("status"), ids.alias("route_ids"), "methods")
 
 
 def contract_totals(matched: DataFrame) -> DataFrame:
@@ -60,13 +76,24 @@ def trace(path: str, routes: DataFrame, calls: DataFrame) -> DataFrame:
     return side(routes, "route").unionByName(side(calls, "request"))
 
 
-def nodes_of(files: DataFrame, symbols: DataFrame, frameworks: DataFrame) -> DataFrame:
-    """GRF1: FILE, TEST, ROUTE with its handler, FRONTEND_REQUEST, SYMBOL and DEPENDENCY nodes; the last write of an id stays. A test is a FILE, too."""
+def nodes_of(files: DataFrame, symbols: DataFrame, frameworks: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """GRF1: FILE, TEST, ROUTE with its handler, FRONTEND_REQUEST, SYMBOL and DEPENDENCY nodes; the last write of an id stays. A test is a FILE, too.
+
+    keys (columns of all three) name the repository: equal ids of two are two nodes.
+    """
+    keys = keys or []
+    every = node_rows(files, symbols, frameworks, keys).drop("path")
+    return upsert(every, every.limit(0), [*keys, "id"])
+
+
+def node_rows(files: DataFrame, symbols: DataFrame, frameworks: DataFrame, keys: list[str]) -> DataFrame:
+    """Every write of a node, with the path of the file that it comes from (null: a framework)."""
     test = X.is_test_file(F.col("path"))
     seq = lambda step, *c: (F.lit(step) * F.lit(10**15) + F.coalesce(*c, F.lit(0))).cast("long")
+    path = lambda df: F.col("path") if "path" in df.columns else F.lit(None).cast("string")
     row = lambda df, s, i, kind, label, start=None, end=None, meta=None: df.select(
-        s.alias("write_seq"), i.alias("id"), kind.alias("kind"), label.alias("label"), F.col("path").alias("file_path") if "path" in df.columns else F.lit(None).cast("string").alias("file_path"),
-        (start if start is not None else F.lit(None)).cast("int").alias("start_line"), (end if end is not None else F.lit(None)).cast("int").alias("end_line"), (meta if meta is not None else F.lit(None)).cast("string").alias("metadata"))
+        *keys, s.alias("write_seq"), i.alias("id"), kind.alias("kind"), label.alias("label"), path(df).alias("file_path"),
+        (start if start is not None else F.lit(None)).cast("int").alias("start_line"), (end if end is not None else F.lit(None)).cast("int").alias("end_line"), (meta if meta is not None else F.lit(None)).cast("string").alias("metadata"), path(df).alias("path"))
     at = F.col("file_seq").cast("long") * 10**6 + F.coalesce(F.col("sym_seq"), F.lit(0))
     method, url = F.upper(F.coalesce("details.http_method", F.lit("GET"))), F.coalesce("details.url", F.lit("/"))
     routes, http, plain = symbols.where(F.col("kind").isin(ROUTE_KINDS)), symbols.where(F.col("kind").isin(HTTP_KINDS)), symbols.where(~F.col("kind").isin(ROUTE_KINDS + HTTP_KINDS))
@@ -75,13 +102,26 @@ def nodes_of(files: DataFrame, symbols: DataFrame, frameworks: DataFrame) -> Dat
         row(files.where(test), seq(1, F.col("file_seq").cast("long")), F.concat(F.lit("test:"), "path"), F.lit("TEST"), X.base_name(F.col("path")), meta=F.to_json(F.struct("language"))),
         row(files, seq(1, F.col("file_seq").cast("long")), F.concat(F.lit("file:"), "path"), F.lit("FILE"), F.col("path"), meta=F.to_json(F.struct("language"))),
         row(routes, seq(2, at), handler_id(), F.lit("SYMBOL"), F.col("name"), F.col("start_line"), F.col("end_line"), F.to_json(F.struct(F.lit("FUNCTION").alias("kind"), F.lit(True).alias("route_handler")))),
-        row(routes, seq(2, at), F.concat(F.lit("route:"), method, F.lit(":"), rpath), F.lit("ROUTE"), F.concat_ws(" ", method, rpath), F.col("start_line"), F.col("end_line"), F.to_json(F.struct(method.alias("method"), rpath.alias("path")))),
-        row(http, seq(2, at), F.concat(F.lit("req:"), "path", F.lit(":"), "start_line", F.lit(":"), method, F.lit(":"), url), F.lit("FRONTEND_REQUEST"), F.concat_ws(" ", method, url), F.col("start_line"), F.col("end_line"), F.to_json(F.struct(method.alias("method"), url.alias("path")))),
+        row(routes, seq(2, at), route_id(), F.lit("ROUTE"), F.concat_ws(" ", method, rpath), F.col("start_line"), F.col("end_line"), F.to_json(F.struct(method.alias("method"), rpath.alias("path")))),
+        row(http, seq(2, at), request_id(), F.lit("FRONTEND_REQUEST"), F.concat_ws(" ", method, url), F.col("start_line"), F.col("end_line"), F.to_json(F.struct(method.alias("method"), url.alias("path")))),
         row(plain, seq(2, at), symbol_id(), F.lit("SYMBOL"), F.col("name"), F.col("start_line"), F.col("end_line"), F.to_json(F.struct("kind"))),
         row(frameworks, seq(3), F.concat(F.lit("dep:"), F.lower("name")), F.lit("DEPENDENCY"), F.col("name"), meta=F.to_json(F.struct("version"))),
     ]
-    every = reduce(lambda a, b: a.unionByName(b), rows)
-    return upsert(every, every.limit(0), ["id"])
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+def _method() -> Column:
+    return F.upper(F.coalesce("details.http_method", F.lit("GET")))
+
+
+def route_id() -> Column:
+    """Id of a route symbol's node: one for each method and path of a repository."""
+    return F.concat(F.lit("route:"), _method(), F.lit(":"), F.coalesce("details.path", F.lit("/")))
+
+
+def request_id() -> Column:
+    """Id of a client call's node."""
+    return F.concat(F.lit("req:"), "path", F.lit(":"), "start_line", F.lit(":"), _method(), F.lit(":"), F.coalesce("details.url", F.lit("/")))
 
 
 def symbol_id() -> Column:

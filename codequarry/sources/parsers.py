@@ -189,6 +189,23 @@ def _rows(files: DataFrame, schema: str, which: int) -> DataFrame:
     return files.where(F.col("language").isin("python", "javascript", "typescript", "tsx")).select("file_seq", "path", "language", "content").mapInPandas(run, schema)
 
 
+def unparsed(files: DataFrame) -> DataFrame:
+    """path of the Python files (path, content) that don't parse."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            bad = []
+            for path, content in zip(b.path, b.content, strict=True):
+                try:
+                    ast.parse(content or "")
+                except (SyntaxError, ValueError, RecursionError):
+                    bad.append(path)
+            yield pd.DataFrame({"path": bad}, dtype="object")
+
+    return files.select("path", "content").mapInPandas(run, "path string")
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """PRJ1-8: file_seq, path, language, content -> symbols."""
     return _rows(files, SYMBOLS, 0)
