@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as X
-from codequarry.operators import retrieval
+from codequarry.operators import batch, retrieval
 
 
 def ranking_metrics(ranked: DataFrame, expected: DataFrame, k: int = 5, by: list[str] | None = None) -> DataFrame:
@@ -75,12 +75,15 @@ def variant_ranks(chunks: DataFrame, query: str, variant: str, k: int = 5, vecto
 
 
 def retrieval_benchmark(chunks: DataFrame, queries: dict[str, tuple[str, list[float] | None]], expected: DataFrame, k: int = 5, vectors: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
-    """PIP11: variant, queries, recall, mrr of the five variants over a stated set of queries (id to text and vector).
+    """PIP11: variant, queries, recall, mrr of the five variants over a stated set of queries (id to text and vector), in one plan.
 
     expected: query_id, chunk_id (null: nothing is expected). A variant and query without any hit counts with recall and rank 0.
     """
-    runs = [variant_ranks(chunks, text, v, k, vectors, vector, nodes, edges).withColumn("query_id", F.lit(q)) for q, (text, vector) in queries.items() for v in VARIANTS]
-    ranked = reduce(lambda a, b: a.unionByName(b), runs)
+    spark = chunks.sparkSession
+    rows = [("", q, text, None if vector is None else [float(x) for x in vector]) for q, (text, vector) in queries.items()]
+    asked = spark.createDataFrame(rows, "repo string, query_id string, text string, vector array<double>")
+    of = lambda df: None if df is None else df.withColumn("repo", F.lit(""))
+    ranked = batch.retrieve(asked, of(chunks), k, of(vectors), of(nodes), of(edges), VARIANTS).select("variant", "query_id", "chunk_id", "rank")
     # every variant meets every query, also those that find nothing
     each = expected.select("query_id").distinct().crossJoin(F.broadcast(chunks.sparkSession.createDataFrame([(v,) for v in VARIANTS], "variant string")))
     per = ranking_metrics(ranked, expected, k, ["variant"])

@@ -58,20 +58,21 @@ def graph(chunks: DataFrame, exact_hits: DataFrame, nodes: DataFrame, edges: Dat
     return chunks.join(weight, "file_path").select("chunk_id", "score").join(F.broadcast(top.select("chunk_id")), "chunk_id", "left_anti")
 
 
-def ranks(rows: DataFrame) -> DataFrame:
+def ranks(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """rows (channel, score, chunk_id and others) with rank: the 1-based place in its channel by score, then id.
 
-    Rows are sorted into ranges over all tasks; a place is one in a range plus the rows of the ranges before, of which the driver's
-    plan has a number per range and channel.
+    Rows are sorted into ranges over all tasks; a place is one in a range plus the rows of the ranges before, of which there is a number per
+    range and channel. keys (channel alone, if not given) name what is ranked by itself, such as each query's channels.
     """
+    keys = keys or ["channel"]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["channel", F.desc("score"), "chunk_id"]
+    order = [*keys, F.desc("score"), "chunk_id"]
     # the ranges are told from a sample: the channels are worked out once, not once more for that
     laid = kept(kept(rows, "scores").repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranks")
-    before = Window.partitionBy("channel").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = laid.groupBy("channel", "range").agg(F.count("*").alias("n")).select("channel", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("channel", "range").orderBy(F.desc("score"), "chunk_id"))
-    return laid.join(F.broadcast(sizes), ["channel", "range"]).withColumn("rank", own + F.col("before")).drop("range", "before")
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = laid.groupBy(*keys, "range").agg(F.count("*").alias("n")).select(*keys, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "range").orderBy(F.desc("score"), "chunk_id"))
+    return laid.join(sizes, [*keys, "range"]).withColumn("rank", own + F.col("before")).drop("range", "before")
 
 
 def fuse(channels: dict[str, DataFrame], k: int = 60) -> DataFrame:

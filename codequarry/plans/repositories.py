@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.operators import applying, verifying
+from codequarry.operators import applying, batch, verifying
 from codequarry.plans.named import QUERIES, named, t
 from codequarry.plans.rules import pick
 
@@ -76,3 +76,54 @@ def twelve_checks_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     frameworks = p.select("repo").distinct().withColumn("name", F.lit("FastAPI")).withColumn("version", nothing)
     ran = p.select("repo").distinct().select("repo", F.explode(F.array(F.lit("semgrep"), F.lit("trivy"))).alias("tool"), F.lit("COMPLETED").alias("status"))
     return verifying.verify(patches, _files(p), frameworks, tools, found.drop("k"), found.where("k % 16 = 0").drop("patch_id", "k"), ran, 2)
+
+
+# --- retrieval for a table of queries: languages are repositories, nations ask
+
+ASKED = ["the of src1", "src1", "The the, and!", "de la src12", "zzzqqq", "x", "on an src3 the"]
+BATCH = f"""ask AS (SELECT n_nationkey AS query_id, ['en', 'fr', 'de', 'es'][CAST(n_nationkey % 4 + 1 AS INTEGER)] AS repo, lower({ASKED}[CAST(n_nationkey % {len(ASKED)} + 1 AS INTEGER)]) AS q FROM nation),
+d AS (SELECT doc_id, lang AS repo, lower(text) AS c, lower(source) AS s FROM documents),
+tok AS (SELECT query_id, repo, unnest(regexp_extract_all(q, '[a-z0-9_]{{2,}}')) AS t FROM ask), n AS (SELECT repo, count(*) AS n FROM d GROUP BY repo),
+tf AS (SELECT repo, doc_id, t, CAST((length(c) - length(replace(c, t, ''))) // length(t) AS DOUBLE) + 3.0 * ((length(s) - length(replace(s, t, ''))) // length(t)) AS tf FROM d JOIN (SELECT DISTINCT repo, t FROM tok) USING (repo)),
+df AS (SELECT repo, t, count(*) AS df FROM tf WHERE tf > 0 GROUP BY repo, t),
+lex AS (SELECT query_id, repo, doc_id, round(sum((ln((n.n + 1.0) / (df.df + 1.0)) + 1.0) * (tf / (tf + 1.2))), 9) AS score FROM tok JOIN tf USING (repo, t) JOIN df USING (repo, t) JOIN n USING (repo) WHERE tf > 0 GROUP BY query_id, repo, doc_id),
+ex AS (SELECT query_id, repo, doc_id, CASE WHEN s = q THEN 1.0 ELSE 0.8 END AS score FROM ask JOIN d USING (repo) WHERE contains(s, q)),
+rk AS (SELECT query_id, repo, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r, 0 AS c FROM ex UNION ALL SELECT query_id, repo, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id), 1 FROM lex),
+f AS (SELECT query_id, repo, doc_id, round(sum(CAST(1 AS DOUBLE) / (60 + r)), 12) AS score, array_to_string(list_transform(list_sort(list(c)), lambda x: ['exact', 'lexical'][x + 1]), ',') AS channels FROM rk GROUP BY query_id, repo, doc_id),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    return t(spark, sf_dir, "nation").select(k.alias("query_id"), pick(["en", "fr", "de", "es"], k).alias("repo"), pick(ASKED, k).alias("text"))
+
+
+def _retrieved(spark: SparkSession, sf_dir: str, top_k: int = 10) -> tuple[DataFrame, DataFrame]:
+    c = t(spark, sf_dir, "documents").select(F.col("lang").alias("repo"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("file_path"), F.col("source").alias("symbol"), F.lit("FILE").alias("symbol_kind"), F.col("text").alias("content"))
+    return batch.retrieve(_asked(spark, sf_dir), c, top_k, digits=9), c
+
+
+@named("q_batch_retrieval", f"WITH {BATCH} SELECT repo, query_id, CAST(rank AS INTEGER) AS rank, doc_id AS chunk_id, round(score, 6) AS score, channels FROM top WHERE rank <= 10")
+def batch_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIP1, PIP4, AGG9, SET7: every nation's query in its own repository, the channels with it."""
+    return _retrieved(spark, sf_dir)[0].select("repo", "query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), F.array_join("channels", ",").alias("channels"))
+
+
+@named("q_batch_contexts", f"""WITH {BATCH}, b AS (SELECT repo, query_id, rank, doc_id, source, text FROM top JOIN documents USING (doc_id) WHERE rank <= 4), w AS (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM b), c AS (SELECT * FROM w WHERE total <= 12000 OR rank = 1),
+fs AS (SELECT DISTINCT repo, query_id, source FROM c), p AS (SELECT p_partkey AS k, ['en', 'fr', 'de', 'es'][CAST(p_partkey % 4 + 1 AS INTEGER)] AS repo, 'src' || p_size % 20 AS a, 'src' || (p_partkey // 4) % 20 AS z, p_name FROM part),
+e AS (SELECT query_id, k, row_number() OVER (PARTITION BY query_id ORDER BY k) AS r FROM (SELECT DISTINCT query_id, k FROM fs JOIN p ON p.repo = fs.repo AND (p.a = fs.source OR p.z = fs.source))), m AS (SELECT query_id, k, row_number() OVER (PARTITION BY query_id ORDER BY k) AS r FROM fs JOIN p ON p.repo = fs.repo AND p.a = fs.source),
+g AS (SELECT query_id, source, count(*) AS n, sum(length(p_name)) AS chars FROM fs JOIN p ON p.repo = fs.repo AND p.z = fs.source GROUP BY query_id, source), gb AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g), gk AS (SELECT query_id, sum(n) AS n, sum(chars) AS chars FROM gb WHERE before < 15 GROUP BY query_id),
+cs AS (SELECT repo, query_id, string_agg(doc_id, ',' ORDER BY rank) AS chunks, sum(length(text)) AS chars FROM c GROUP BY repo, query_id)
+SELECT repo, query_id, chunks, (SELECT string_agg(k, ',' ORDER BY k) FROM e WHERE e.query_id = cs.query_id AND r <= 20) AS edges, (SELECT string_agg(k, ',' ORDER BY k) FROM m WHERE m.query_id = cs.query_id AND r <= 10) AS contracts, CAST(coalesce(gk.n, 0) AS INTEGER) AS findings,
+ CAST(greatest(1, (cs.chars + coalesce(gk.chars, 0)) // 4) AS BIGINT) AS estimated_tokens FROM cs LEFT JOIN gk USING (query_id)""")
+def batch_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIP3, PIP14, JN15-17, ORD8, AGG11: a context for every query."""
+    found, c = _retrieved(spark, sf_dir, 4)
+    k = F.col("p_partkey")
+    p = t(spark, sf_dir, "part").select(pick(["en", "fr", "de", "es"], k).alias("repo"), k.alias("write_seq"), F.expr("concat('src', p_size % 20)").alias("a"), F.expr("concat('src', (p_partkey div 4) % 20)").alias("z"), "p_name")
+    edges = p.select("repo", "write_seq", F.concat(F.lit("file:"), "a").alias("source"), F.concat(F.lit("file:"), "z").alias("target"))
+    contracts = p.select("repo", F.col("write_seq").alias("request_id"), F.col("a").alias("frontend_file"))
+    findings = p.select("repo", F.col("z").alias("file_path"), F.col("p_name").alias("description"))
+    b = batch.bundles(found, c, edges, contracts, findings)
+    listed = lambda c, x: F.nullif(F.array_join(F.transform(c, lambda r: r[x].cast("string")), ","), F.lit("")).alias(c)
+    return b.select("repo", "query_id", listed("chunks", "chunk_id"), listed("edges", "write_seq"), listed("contracts", "request_id"), F.size("findings").alias("findings"), F.col("estimated_tokens").cast("long").alias("estimated_tokens"))
