@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as X
+from codequarry.operators.ordering import prefix_pairs
 from codequarry.operators.retrieval import upsert
 
 # Suffixes a relative JavaScript module may leave out, in order, and those that a path ending in any other may have (fixed values).
@@ -137,48 +138,49 @@ def handler_id() -> Column:
 DEPENDENCY_FILES = ["package.json", "requirements.txt", "pyproject.toml", "Pipfile", "go.mod"]
 
 
-def structure_edges(files: DataFrame, symbols: DataFrame, frameworks: DataFrame) -> DataFrame:
-    """GRF2, JN10-12: CONTAINS, TESTS, DEPENDS_ON, EXPOSES_ROUTE and IMPORTS edges, in the schema of edges; last_edges() drops those without both ends.
+def structure_edges(files: DataFrame, symbols: DataFrame, frameworks: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """GRF2, JN10-12: keys and CONTAINS, TESTS, DEPENDS_ON, EXPOSES_ROUTE and IMPORTS edges, in the schema of edges; last_edges() drops those without both ends.
 
-    frameworks has a row per known framework of the repository at most, and goes out to every manifest file.
+    frameworks has a row per known framework of a repository at most, and goes out to every manifest file. keys (columns of all three) name the repository.
     """
+    keys = keys or []
     file, at = F.concat(F.lit("file:"), "path"), F.col("file_seq").cast("long") * 10**6 + F.coalesce(F.col("sym_seq"), F.lit(0))
-    method = F.upper(F.coalesce("details.http_method", F.lit("GET")))
-    route = F.concat(F.lit("route:"), method, F.lit(":"), F.coalesce("details.path", F.lit("/")))
-    request = F.concat(F.lit("req:"), "path", F.lit(":"), "start_line", F.lit(":"), method, F.lit(":"), F.coalesce("details.url", F.lit("/")))
-    edge = lambda df, seq, source, target, kind, meta=None: df.select(seq.cast("long").alias("write_seq"), source.alias("source"), target.alias("target"), F.lit(kind).alias("kind"), (F.lit(None) if meta is None else meta).cast("string").alias("metadata"))
+    edge = lambda df, seq, source, target, kind, meta=None: df.select(*keys, seq.cast("long").alias("write_seq"), source.alias("source"), target.alias("target"), F.lit(kind).alias("kind"), (F.lit(None) if meta is None else meta).cast("string").alias("metadata"))
     own = F.col("file_seq").cast("long") * 10**6
     is_route, is_call = F.col("kind").isin(ROUTE_KINDS), F.col("kind").isin(HTTP_KINDS)
     manifests = files.where(reduce(lambda a, b: a | b, [F.col("path").endswith(n) for n in DEPENDENCY_FILES]))
-    named = F.broadcast(frameworks.select(F.concat(F.lit("dep:"), F.lower("name")).alias("dep")))
-    seqs = files.select(file.alias("source"), own.alias("seq"))
-    tests = test_edges(files).join(seqs.select(F.replace("source", F.lit("file:"), F.lit("test:")).alias("source"), "seq"), "source")
-    imports = import_edges(symbols.where("kind = 'IMPORT'").select("path", "name"), files).join(seqs, "source")
+    named = frameworks.select(*keys, F.concat(F.lit("dep:"), F.lower("name")).alias("dep"))
+    needs = manifests.join(named, keys) if keys else manifests.crossJoin(F.broadcast(named))
+    seqs = files.select(*keys, file.alias("source"), own.alias("seq"))
+    tests = test_edges(files, keys).join(seqs.select(*keys, F.replace("source", F.lit("file:"), F.lit("test:")).alias("source"), "seq"), [*keys, "source"])
+    imports = import_edges(symbols.where("kind = 'IMPORT'").select(*keys, "path", "name"), files, keys).join(seqs, [*keys, "source"])
     parts = [
         edge(files.where(X.is_test_file(F.col("path"))), own, file, F.concat(F.lit("test:"), "path"), "CONTAINS"),
         edge(tests, F.col("seq"), F.col("source"), F.col("target"), "TESTS", F.lit('{"inferred":true}')),
-        edge(manifests.crossJoin(named), own, file, F.col("dep"), "DEPENDS_ON", F.lit('{"framework":true}')),
-        edge(symbols.where(is_route), at, file, route, "CONTAINS"), edge(symbols.where(is_route), at, file, handler_id(), "CONTAINS"), edge(symbols.where(is_route), at, handler_id(), route, "EXPOSES_ROUTE"),
-        edge(symbols.where(is_call), at, file, request, "CONTAINS"), edge(symbols.where(~is_route & ~is_call), at, file, symbol_id(), "CONTAINS"),
+        edge(needs, own, file, F.col("dep"), "DEPENDS_ON", F.lit('{"framework":true}')),
+        edge(symbols.where(is_route), at, file, route_id(), "CONTAINS"), edge(symbols.where(is_route), at, file, handler_id(), "CONTAINS"), edge(symbols.where(is_route), at, handler_id(), route_id(), "EXPOSES_ROUTE"),
+        edge(symbols.where(is_call), at, file, request_id(), "CONTAINS"), edge(symbols.where(~is_route & ~is_call), at, file, symbol_id(), "CONTAINS"),
         edge(imports, F.col("seq"), F.col("source"), F.col("target"), "IMPORTS"),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def callers(calls: DataFrame, nodes: DataFrame) -> DataFrame:
-    """JN7: file_seq, call_seq, caller: the symbol that a call stands in, by its kind or else as a function; the file where neither is a node."""
+def callers(calls: DataFrame, nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """JN7: keys, file_seq, call_seq, caller: the symbol that a call stands in, by its kind or else as a function; the file where neither is a node."""
+    keys = keys or []
     ident = lambda kind: F.concat(F.lit("symbol:"), "path", F.lit(":"), kind, F.lit(":"), "caller_name", F.lit(":"), F.col("caller_start_line").cast("string"))
-    c = calls.select("file_seq", "call_seq", F.concat(F.lit("file:"), "path").alias("file"), ident(F.coalesce("caller_kind", F.lit("FUNCTION"))).alias("own"), ident(F.lit("FUNCTION")).alias("plain"))
-    known = lambda name: nodes.select(F.col("id").alias(name)).withColumn(f"has_{name}", F.lit(True))
-    c = c.join(known("own"), "own", "left").join(known("plain"), "plain", "left")
-    return c.select("file_seq", "call_seq", F.when(F.col("has_own"), F.col("own")).when(F.col("has_plain"), F.col("plain")).otherwise(F.col("file")).alias("caller"))
+    c = calls.select(*keys, "file_seq", "call_seq", F.concat(F.lit("file:"), "path").alias("file"), ident(F.coalesce("caller_kind", F.lit("FUNCTION"))).alias("own"), ident(F.lit("FUNCTION")).alias("plain"))
+    known = lambda name: nodes.select(*keys, F.col("id").alias(name)).withColumn(f"has_{name}", F.lit(True))
+    c = c.join(known("own"), [*keys, "own"], "left").join(known("plain"), [*keys, "plain"], "left")
+    return c.select(*keys, "file_seq", "call_seq", F.when(F.col("has_own"), F.col("own")).when(F.col("has_plain"), F.col("plain")).otherwise(F.col("file")).alias("caller"))
 
 
-def call_edges(resolved: DataFrame, calls: DataFrame, nodes: DataFrame) -> DataFrame:
-    """GRF3: CALLS edges of resolve_calls()'s rows with a target."""
-    met = resolved.where("target is not null").join(callers(calls, nodes), ["file_seq", "call_seq"])
+def call_edges(resolved: DataFrame, calls: DataFrame, nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """GRF3: keys and CALLS edges of resolve_calls()'s rows with a target."""
+    keys = keys or []
+    met = resolved.where("target is not null").join(callers(calls, nodes, keys), [*keys, "file_seq", "call_seq"])
     seq = F.col("file_seq").cast("long") * 10**6 + F.col("call_seq")
-    return met.select(seq.alias("write_seq"), F.col("caller").alias("source"), "target", F.lit("CALLS").alias("kind"), F.to_json(F.struct(F.col("path").alias("call_site_file"), F.col("line_number").alias("call_site_line"), F.col("callee").alias("callee_expression"), F.col("status").alias("resolution"))).alias("metadata"))
+    return met.select(*keys, seq.alias("write_seq"), F.col("caller").alias("source"), "target", F.lit("CALLS").alias("kind"), F.to_json(F.struct(F.col("path").alias("call_site_file"), F.col("line_number").alias("call_site_line"), F.col("callee").alias("callee_expression"), F.col("status").alias("resolution"))).alias("metadata"))
 
 
 def node(nodes: DataFrame, ident: str) -> DataFrame:
@@ -247,46 +249,48 @@ def framework_version(wanted: DataFrame, frameworks: DataFrame) -> DataFrame:
     return w.join(first, "framework", "left")
 
 
-def last_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """WIN4, JN13: one edge for each pair of nodes, the last written; edges without either end are dropped."""
-    ids = nodes.select("id")
-    kept = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    return upsert(kept, kept.limit(0), ["source", "target"]).select("write_seq", "source", "target", "kind", "metadata")
+def last_edges(edges: DataFrame, nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """WIN4, JN13: one edge for each pair of nodes, the last written; edges without either end are dropped. keys name the repository."""
+    keys = keys or []
+    ids = nodes.select(*keys, "id")
+    kept = edges.join(ids.withColumnRenamed("id", "source"), [*keys, "source"], "left_semi").join(ids.withColumnRenamed("id", "target"), [*keys, "target"], "left_semi")
+    return upsert(kept, kept.limit(0), [*keys, "source", "target"]).select(*keys, "write_seq", "source", "target", "kind", "metadata")
 
 
-def test_edges(files: DataFrame) -> DataFrame:
-    """JN10: source, target of each test and the files it names: the same file name, or a path that ends in it.
+def test_edges(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """JN10: keys, source, target of each test and the files it names: the same file name, or one that ends in it.
 
-    endswith on names without a slash is an equi-join on the tails of each file's own name, cut at the lengths that tests name.
+    A name's end is the beginning of it reversed: a prefix join by order.
     """
-    tests = files.where(X.is_test_file(F.col("path"))).select(F.col("path").alias("test"), X.tested_name(F.col("path")).alias("name")).where("name is not null")
-    own = files.where(~X.is_test_file(F.col("path"))).select(F.col("path").alias("target"), X.base_name(F.col("path")).alias("b"))
-    sizes = tests.agg(F.array_sort(F.collect_set(F.length("name"))).alias("sizes"))  # one row: lengths of file names
-    cut = F.transform(F.filter("sizes", lambda n: n <= F.length("b")), lambda n: F.substring(F.col("b"), F.length("b") - n + 1, n))
-    tails = own.crossJoin(F.broadcast(sizes)).select("target", F.explode(cut).alias("name"))
-    return tests.join(tails, "name").select(F.concat(F.lit("test:"), "test").alias("source"), F.concat(F.lit("file:"), "target").alias("target")).distinct()
+    keys = keys or []
+    tests = files.where(X.is_test_file(F.col("path"))).select(*keys, F.col("path").alias("test"), F.reverse(X.tested_name(F.col("path"))).alias("prefix")).where("prefix <> ''")
+    own = files.where(~X.is_test_file(F.col("path"))).select(*keys, F.col("path").alias("target"), F.reverse(X.base_name(F.col("path"))).alias("string"))
+    met = prefix_pairs(tests, own, keys)
+    out = tests.join(met, [*keys, "prefix"]).join(own, [*keys, "string"])
+    return out.select(*keys, F.concat(F.lit("test:"), "test").alias("source"), F.concat(F.lit("file:"), "target").alias("target")).distinct()
 
 
-def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """JN11: source, target where a file's path starts with the import's path, or ends in it with .py, .ts or .js; not itself.
+def import_edges(imports: DataFrame, files: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """JN11: keys, source, target where a file's path starts with the import's path, or ends in it with .py, .ts or .js; not itself.
 
-    imports: path, name. Only the lengths that imports have are cut from paths, and an import's path meets them in equi-joins.
+    imports: keys, path, name. Two prefix joins by order, the second of reversed paths.
     """
-    imp = imports.select("path", F.replace(F.replace("name", F.lit("."), F.lit("/")), F.lit("@/"), F.lit("")).alias("mod")).where("mod <> ''").withColumn("n", F.length("mod"))
-    sizes = imp.agg(F.array_sort(F.collect_set("n")).alias("sizes"))  # one row: a path has some thousand characters at most
-    f = files.select(F.col("path").alias("target"), F.regexp_replace("path", r"\.(py|ts|js)$", "").alias("stem")).crossJoin(F.broadcast(sizes))
-    cut = lambda c: F.filter("sizes", lambda n: n <= F.length(c))
-    heads = f.select("target", F.explode(F.transform(cut("target"), lambda n: F.substring(F.col("target"), F.lit(1), n))).alias("mod"))
-    tails = f.where("stem <> target").select("target", F.explode(F.transform(cut("stem"), lambda n: F.substring(F.col("stem"), F.length("stem") - n + 1, n))).alias("mod"))
-    return imp.join(heads.unionByName(tails), "mod").where("path <> target").select(F.concat(F.lit("file:"), "path").alias("source"), F.concat(F.lit("file:"), "target").alias("target")).distinct()
+    keys = keys or []
+    imp = imports.select(*keys, "path", F.replace(F.replace("name", F.lit("."), F.lit("/")), F.lit("@/"), F.lit("")).alias("mod")).where("mod <> ''")
+    mods = imp.select(*keys, "mod").distinct()
+    heads = prefix_pairs(mods.withColumnRenamed("mod", "prefix"), files.select(*keys, F.col("path").alias("string")), keys).select(*keys, F.col("prefix").alias("mod"), F.col("string").alias("target"))
+    stems = files.where(F.col("path").rlike(r"\.(py|ts|js)$")).select(*keys, F.col("path").alias("target"), F.reverse(F.regexp_replace("path", r"\.(py|ts|js)$", "")).alias("string"))
+    tails = prefix_pairs(mods.select(*keys, F.reverse("mod").alias("prefix")), stems, keys).join(stems, [*keys, "string"]).select(*keys, F.reverse("prefix").alias("mod"), "target")
+    met = imp.join(heads.unionByName(tails), [*keys, "mod"]).where("path <> target")
+    return met.select(*keys, F.concat(F.lit("file:"), "path").alias("source"), F.concat(F.lit("file:"), "target").alias("target")).distinct()
 
 
-def _unique_suffix(modules: DataFrame, files: DataFrame, tails: list[str], whole: bool) -> DataFrame:
-    """module, source, target where just one file ends in the module's path with one of the tails; or is it, if whole."""
+def _unique_suffix(modules: DataFrame, files: DataFrame, tails: list[str], whole: bool, keys: list[str]) -> DataFrame:
+    """keys, module, source, target where just one file ends in the module's path with one of the tails; or is it, if whole."""
     ends = X.path_suffixes(F.concat(F.lit("/"), "path"))
-    keys = files.select(F.col("path").alias("target"), F.explode(ends if whole else F.slice(ends, F.lit(2), F.size(ends))).alias("k"))
-    want = modules.select("source", "module", F.explode(F.array(*[F.concat(F.lit("/"), "rel", F.lit(t)) for t in tails])).alias("k"))
-    return want.join(keys, "k").groupBy("source", "module").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target")).where("n = 1").drop("n")
+    known = files.select(*keys, F.col("path").alias("target"), F.explode(ends if whole else F.slice(ends, F.lit(2), F.size(ends))).alias("k"))
+    want = modules.select(*keys, "source", "module", F.explode(F.array(*[F.concat(F.lit("/"), "rel", F.lit(t)) for t in tails])).alias("k"))
+    return want.join(known, [*keys, "k"]).groupBy(*keys, "source", "module").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target")).where("n = 1").drop("n")
 
 
 def folded(path: Column) -> Column:
@@ -295,14 +299,15 @@ def folded(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
-def resolve_modules(imports: DataFrame, files: DataFrame, python: bool) -> DataFrame:
-    """JN8 (python) or JN9: source, module, target; the first candidate path that exists, else the only file that ends in it.
+def resolve_modules(imports: DataFrame, files: DataFrame, python: bool, keys: list[str] | None = None) -> DataFrame:
+    """JN8 (python) or JN9: keys, source, module, target; the first candidate path that exists, else the only file that ends in it.
 
     A relative JavaScript module only has candidates, any other only the files that end in it.
     """
-    paths = files.select(F.col("path").alias("target"))
+    keys = keys or []
+    paths = files.select(*keys, F.col("path").alias("target"))
     here = F.regexp_extract("source", r"^(.*)/[^/]*$", 1)
-    mods = imports.select("source", "module").where("module is not null").distinct()
+    mods = imports.select(*keys, "source", "module").where("module is not null").distinct()
     if python:
         dots = F.length(F.regexp_extract("module", r"^(\.*)", 1))
         body = F.replace(F.regexp_replace("module", r"^\.+", ""), F.lit("."), F.lit("/"))
@@ -312,34 +317,35 @@ def resolve_modules(imports: DataFrame, files: DataFrame, python: bool) -> DataF
         near = F.col("module").startswith(".")
         mods, tails = mods.withColumn("rel", F.when(near, folded(F.concat(here, F.lit("/"), "module"))).otherwise(F.col("module"))).withColumn("near", near), JS_TAILS
     cand = mods.where("near") if not python else mods
-    cand = cand.select("source", "module", F.posexplode(F.array(*[F.concat("rel", F.lit(t)) for t in (tails if python else [*JS_SUFFIXES, ""])])).alias("prio", "target"))
-    found = cand.join(paths, "target").groupBy("source", "module").agg(F.min_by("target", "prio").alias("target"))
-    rest = mods.join(found, ["source", "module"], "left_anti").where("not near and rel <> ''")
-    return found.unionByName(_unique_suffix(rest, files, tails, python).select("source", "module", "target"))
+    cand = cand.select(*keys, "source", "module", F.posexplode(F.array(*[F.concat("rel", F.lit(t)) for t in (tails if python else [*JS_SUFFIXES, ""])])).alias("prio", "target"))
+    found = cand.join(paths, [*keys, "target"]).groupBy(*keys, "source", "module").agg(F.min_by("target", "prio").alias("target"))
+    rest = mods.join(found, [*keys, "source", "module"], "left_anti").where("not near and rel <> ''")
+    return found.unionByName(_unique_suffix(rest, files, tails, python, keys).select(*keys, "source", "module", "target"))
 
 
-def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """JN4-7: file_seq, call_seq, path, callee, status, reason, target (symbol id): each call's function, or why there is none.
+def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame, repo: list[str] | None = None) -> DataFrame:
+    """JN4-7: repo (the columns that name a repository), file_seq, call_seq, path, callee, status, reason, target (symbol id): each call's function, or why there is none.
 
     A plain name is looked up in the imports in order: the first that names a function decides, and more than one
     candidate stops the search. Then in the caller's file. A member call is looked up under the module its base stands for.
     """
-    fn = symbols.where(F.col("kind").isin("FUNCTION", "METHOD")).select(F.col("path").alias("fpath"), F.col("name").alias("fname"), symbol_id().alias("fid"))
-    handlers = symbols.where(F.col("kind").isin(ROUTE_KINDS)).select(F.col("path").alias("fpath"), F.coalesce("details.handler", "name").alias("fname"), handler_id().alias("fid"))
+    repo = repo or []
+    fn = symbols.where(F.col("kind").isin("FUNCTION", "METHOD")).select(*repo, F.col("path").alias("fpath"), F.col("name").alias("fname"), symbol_id().alias("fid"))
+    handlers = symbols.where(F.col("kind").isin(ROUTE_KINDS)).select(*repo, F.col("path").alias("fpath"), F.coalesce("details.handler", "name").alias("fname"), handler_id().alias("fid"))
     fn = fn.unionByName(handlers)
-    imp = symbols.where("kind = 'IMPORT'").select("path", "sym_seq", F.coalesce("details.module", "details.source").alias("module"), "details.imported_names", "details.modules", "details.namespace_import", "details.default_import", (F.col("details.source").isNull()).alias("py"))
-    sources = lambda py: imp.where(F.col("py") == py).select(F.col("path").alias("source"), "module")
-    aliased = imp.where("py").select(F.col("path").alias("source"), F.explode(F.map_values("modules")).alias("module"))
-    where = resolve_modules(sources(True).unionByName(aliased), files, True).unionByName(resolve_modules(sources(False), files, False)).withColumnsRenamed({"source": "path", "target": "fpath"})
-    names = imp.select("path", "sym_seq", "module", F.explode("imported_names").alias("callee_name", "fname"))
-    names = names.unionByName(imp.where("default_import is not null").select("path", "sym_seq", "module", F.col("default_import").alias("callee_name"), F.col("default_import").alias("fname")))
-    key = ["file_seq", "call_seq"]
+    imp = symbols.where("kind = 'IMPORT'").select(*repo, "path", "sym_seq", F.coalesce("details.module", "details.source").alias("module"), "details.imported_names", "details.modules", "details.namespace_import", "details.default_import", (F.col("details.source").isNull()).alias("py"))
+    sources = lambda py: imp.where(F.col("py") == py).select(*repo, F.col("path").alias("source"), "module")
+    aliased = imp.where("py").select(*repo, F.col("path").alias("source"), F.explode(F.map_values("modules")).alias("module"))
+    where = resolve_modules(sources(True).unionByName(aliased), files, True, repo).unionByName(resolve_modules(sources(False), files, False, repo)).withColumnsRenamed({"source": "path", "target": "fpath"})
+    names = imp.select(*repo, "path", "sym_seq", "module", F.explode("imported_names").alias("callee_name", "fname"))
+    names = names.unionByName(imp.where("default_import is not null").select(*repo, "path", "sym_seq", "module", F.col("default_import").alias("callee_name"), F.col("default_import").alias("fname")))
+    key = [*repo, "file_seq", "call_seq"]
     plain, member = calls.where("callee_base is null"), calls.where("callee_base is not null")
-    by_import = plain.join(names, ["path", "callee_name"]).join(where, ["path", "module"]).join(fn, ["fpath", "fname"]).groupBy(*key, "sym_seq").agg(F.count_distinct("fid").alias("n"), F.min("fid").alias("fid"))
+    by_import = plain.join(names, [*repo, "path", "callee_name"]).join(where, [*repo, "path", "module"]).join(fn, [*repo, "fpath", "fname"]).groupBy(*key, "sym_seq").agg(F.count_distinct("fid").alias("n"), F.min("fid").alias("fid"))
     by_import = by_import.groupBy(*key).agg(F.min_by(F.struct("n", "fid"), "sym_seq").alias("i"))
-    local = plain.join(fn.withColumnsRenamed({"fpath": "path", "fname": "callee_name"}), ["path", "callee_name"]).groupBy(*key).agg(F.struct(F.count_distinct("fid").alias("n"), F.min("fid").alias("fid")).alias("l"))
-    bases = imp.select("path", "sym_seq", F.explode("modules").alias("callee_base", "module")).unionByName(imp.where("namespace_import is not null").select("path", "sym_seq", F.col("namespace_import").alias("callee_base"), "module"))
-    by_base = member.join(bases, ["path", "callee_base"]).join(where, ["path", "module"]).join(fn.withColumnRenamed("fname", "callee_name"), ["fpath", "callee_name"]).groupBy(*key, "sym_seq").agg(F.count_distinct("fid").alias("n"), F.min("fid").alias("fid"))
+    local = plain.join(fn.withColumnsRenamed({"fpath": "path", "fname": "callee_name"}), [*repo, "path", "callee_name"]).groupBy(*key).agg(F.struct(F.count_distinct("fid").alias("n"), F.min("fid").alias("fid")).alias("l"))
+    bases = imp.select(*repo, "path", "sym_seq", F.explode("modules").alias("callee_base", "module")).unionByName(imp.where("namespace_import is not null").select(*repo, "path", "sym_seq", F.col("namespace_import").alias("callee_base"), "module"))
+    by_base = member.join(bases, [*repo, "path", "callee_base"]).join(where, [*repo, "path", "module"]).join(fn.withColumnRenamed("fname", "callee_name"), [*repo, "fpath", "callee_name"]).groupBy(*key, "sym_seq").agg(F.count_distinct("fid").alias("n"), F.min("fid").alias("fid"))
     by_base = by_base.groupBy(*key).agg(F.min_by(F.struct("n", "fid"), "sym_seq").alias("b"))
     out = calls.select(*key, "path", "callee", "callee_base", "line_number").join(by_import, key, "left").join(local, key, "left").join(by_base, key, "left")
     status = (

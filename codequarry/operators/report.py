@@ -257,6 +257,8 @@ def sanitised(payload: pd.Series) -> pd.Series:
 
 
 def event_rows(events: DataFrame) -> DataFrame:
-    """PRJ15: events as they are stored: metadata sanitised, messages redacted and cut at 2048 characters."""
+    """PRJ15: events as they are stored: metadata sanitised, messages redacted and cut at 2048 characters; a delivery_id that is missing comes from the metadata, if events have that column."""
     message = X.redact(F.col("message"))
+    if "delivery_id" in events.columns:
+        events = events.withColumn("delivery_id", F.coalesce(F.nullif(F.col("delivery_id").cast("string"), F.lit("")), F.get_json_object("metadata_payload", "$.delivery_id")))
     return events.withColumns({"message": F.when(F.col("message").isNull(), None).otherwise(X.bounded(message, MAX_STRING)), "metadata_payload": sanitised("metadata_payload")})

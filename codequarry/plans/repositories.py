@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.operators import applying, batch, verifying
+from codequarry.operators import applying, batch, delivering, telemetry, verifying
 from codequarry.plans.named import QUERIES, named, t
 from codequarry.plans.rules import pick
+from codequarry.sources import vectors
+from codequarry.tables import new_path
 
 __all__ = ["QUERIES"]
 
@@ -127,3 +129,93 @@ def batch_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = batch.bundles(found, c, edges, contracts, findings)
     listed = lambda c, x: F.nullif(F.array_join(F.transform(c, lambda r: r[x].cast("string")), ","), F.lit("")).alias(c)
     return b.select("repo", "query_id", listed("chunks", "chunk_id"), listed("edges", "write_seq"), listed("contracts", "request_id"), F.size("findings").alias("findings"), F.col("estimated_tokens").cast("long").alias("estimated_tokens"))
+
+
+# --- stores and lifecycles
+
+
+@named("q_vector_store", """WITH v AS (SELECT vec_id AS id, 'n' || vec_id % 7 AS namespace, list_sum(list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))) AS s FROM embeddings),
+w AS (SELECT id, namespace, CASE WHEN id % 3 = 0 AND namespace IN ('n1', 'n2') THEN -s ELSE s END AS s FROM v WHERE namespace <> 'n3'), n AS (SELECT id, 'n/ew 1' AS namespace, s FROM v WHERE id % 11 = 0)
+SELECT namespace, count(*) AS n, CAST(sum(s) AS BIGINT) AS total FROM (SELECT * FROM w UNION ALL SELECT * FROM n) GROUP BY namespace""")
+def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC12, SNK2-3: all vectors in seven namespaces, then some written over, a new one added and one cleared."""
+    path = new_path(spark, "vector-store")
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("double"))
+    e = t(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").alias("k"), whole.alias("embedding"), F.lit(None).cast("string").alias("metadata"), F.lit("m").alias("model_name"))
+    size = e.select(F.size("embedding")).first()[0]
+    first = e.withColumns({"write_seq": F.lit(1).cast("long"), "namespace": F.concat(F.lit("n"), (F.col("k") % 7).cast("string"))})
+    vectors.upsert(first, path, size)
+    over = first.where("k % 3 = 0 and namespace in ('n1', 'n2')").withColumns({"write_seq": F.lit(2).cast("long"), "embedding": F.transform("embedding", lambda x: -x)})
+    vectors.upsert(over.unionByName(first.where("k % 11 = 0").withColumn("namespace", F.lit("n/ew 1"))), path, size)
+    vectors.clear(spark, path, "n3")
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    return vectors.read(spark, path).groupBy("namespace").agg(F.count("*").alias("n"), F.sum(total).cast("long").alias("total"))
+
+
+@named("q_deliveries", """WITH a AS (SELECT o_custkey % 300 AS p, o_orderkey AS id, o_orderdate AS at, o_orderkey % 5 > 0 AS ok, CASE WHEN o_orderkey % 5 = 0 THEN ['BLOCKED_BASE_DRIFT', NULL, 'PATCH_NOT_APPROVED'][CAST(o_custkey % 3 + 1 AS INTEGER)] END AS code, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey END AS pr, CASE WHEN o_orderkey % 3 > 0 THEN 'u' || o_orderkey % 10 END AS who FROM orders),
+s AS (SELECT *, CASE WHEN NOT ok THEN coalesce(code, 'VALIDATION_FAILED') WHEN pr IS NULL THEN 'DELIVERY_FAILED' END AS f FROM a), o AS (SELECT *, CASE WHEN f = 'BLOCKED_BASE_DRIFT' THEN 'BLOCKED' WHEN f IS NOT NULL THEN 'FAILED' ELSE 'PR_CREATED' END AS status FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY at, id) AS r FROM o), u AS (SELECT p, min(CASE WHEN status <> 'FAILED' THEN r END) AS u FROM r GROUP BY p), c AS (SELECT r.* FROM r JOIN u USING (p) WHERE u.u IS NULL OR r.r <= u.u)
+SELECT 'p' || p AS patch_id, coalesce(arg_max(who, r) FILTER (WHERE who IS NOT NULL), 'user') AS requested_by, count(*) AS attempt_count, arg_max(status, r) AS status, arg_max(coalesce(f, ''), r) AS failure_code, CASE WHEN arg_max(status, r) = 'PR_CREATED' THEN arg_max(pr, r) ELSE -1 END AS pr_number, CAST(min(at) AS DATE) AS first_attempt_at, CAST(max(at) AS DATE) AS last_attempt_at FROM c GROUP BY p""")
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIP16: orders are attempts, in no order and some of them listed twice; keys are patches."""
+    k = F.col("o_orderkey")
+    o = t(spark, sf_dir, "orders")
+    a = o.select(
+        F.format_string("p%d", F.col("o_custkey") % 300).alias("patch_id"), F.lit("Own").alias("owner"), F.lit("repo").alias("repo"), F.lit("main").alias("base_branch"), F.lit("sha").alias("base_sha"), F.when(k % 3 > 0, F.format_string("u%d", k % 10)).alias("requested_by"), k.alias("attempt_id"), F.col("o_orderdate").alias("requested_at"),
+        (k % 5 > 0).alias("eligible"), F.when(k % 5 == 0, pick(["BLOCKED_BASE_DRIFT", None, "PATCH_NOT_APPROVED"], F.col("o_custkey"))).alias("failure_code"), F.when(k % 4 == 0, k).alias("pr_number"))
+    twice = a.unionByName(a.where("attempt_id % 6 = 0")).repartition("attempt_id")
+    d = delivering.deliveries(twice)
+    return d.select("patch_id", "requested_by", "attempt_count", "status", F.coalesce("failure_code", F.lit("")).alias("failure_code"), F.coalesce("pr_number", F.lit(-1)).alias("pr_number"), F.col("first_attempt_at").cast("date").alias("first_attempt_at"), F.col("last_attempt_at").cast("date").alias("last_attempt_at"))
+
+
+# --- telemetry: nations are scans, customers findings, suppliers patches and deliveries, orders events
+
+META = ["NULL", """'{"prompt_tokens": 3, "completion_tokens": null}'""", """'{"retries": [1, 2], "fallbacks_attempted": null, "provider_fallbacks": 2}'""", """'{"total_tokens": 10, "llm_calls": 0, "calls": 4}'""", """'{"retry_count": 0, "llm_retries": 5, "fallbacks_attempted": [{}]}'""", "'[1]'", """'{"llm_calls": null}'"""]
+SCAN_META = ["NULL", """'{"scanner_coverage": [{"tool": "semgrep", "status": "completed", "findings_count": 2}, {"scanner": "trivy", "status": "TIMEOUT", "error_category": "slow"}]}'""", """'{"scope": {"truncated": true, "reason": "big"}, "prompt_tokens": 1}'""", """'{"scanner_coverage": [], "scanners": [{"status": "UNAVAILABLE"}]}'"""]
+KINDS = ["TOOL_COMPLETED", "STAGE_STARTED", "TOOL_FAILED", "TOOL_UNAVAILABLE", "TOOL_STARTED"]
+
+
+def _nth(values: list[str], by: str) -> str:
+    return "CASE " + by + f" % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+USED = f"""src AS (SELECT n_nationkey AS s, {_nth(SCAN_META, 'n_nationkey')} AS m FROM nation UNION ALL SELECT c_nationkey, {_nth(META, 'c_custkey')} FROM customer WHERE c_nationkey % 5 > 0 UNION ALL SELECT s_nationkey, {_nth(META, 's_suppkey')} FROM supplier WHERE s_nationkey % 5 > 0 UNION ALL SELECT o_custkey % 25, {_nth(META[:3], 'o_orderkey')} FROM orders WHERE o_custkey % 25 < 20),
+k AS (SELECT s, CASE m WHEN {META[1]} THEN 1 WHEN {META[2]} THEN 2 WHEN {META[3]} THEN 3 WHEN {META[4]} THEN 4 WHEN {META[6]} THEN 6 WHEN {SCAN_META[2]} THEN 7 ELSE 0 END AS k FROM src),
+u AS (SELECT s, CASE WHEN bool_or(k IN (3, 6)) THEN 4 * count(*) FILTER (WHERE k = 3) END AS llm_calls, CASE WHEN bool_or(k IN (2, 4)) THEN 2 * count(*) FILTER (WHERE k = 2) + 5 * count(*) FILTER (WHERE k = 4) END AS llm_retries, CASE WHEN bool_or(k IN (2, 4)) THEN 2 * count(*) FILTER (WHERE k = 2) + count(*) FILTER (WHERE k = 4) END AS provider_fallbacks,
+ CASE WHEN bool_or(k IN (1, 3, 7)) THEN 3 * count(*) FILTER (WHERE k = 1) + count(*) FILTER (WHERE k = 7) END AS prompt_tokens, CASE WHEN bool_or(k IN (1, 3, 7)) THEN 0 END AS completion_tokens, CASE WHEN bool_or(k = 3) THEN 10 * count(*) FILTER (WHERE k = 3) WHEN bool_or(k IN (1, 7)) THEN 3 * count(*) FILTER (WHERE k = 1) + count(*) FILTER (WHERE k = 7) END AS total_tokens FROM k GROUP BY s)"""
+
+
+def _scan_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    meta = lambda values, by: F.expr(_nth(values, by))
+    scans = t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.when(F.col("n_nationkey") % 3 == 0, "RUNNING").otherwise("COMPLETED").alias("status"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"), F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, n_nationkey)").alias("completed_at"), meta(SCAN_META, "n_nationkey").alias("model_metadata"))
+    findings = t(spark, sf_dir, "customer").where("c_nationkey % 5 > 0").select(F.col("c_nationkey").cast("long").alias("scan_id"), pick(["CONFIRMED", "POSSIBLE", None], F.col("c_custkey")).alias("verification_verdict"), meta(META, "c_custkey").alias("model_metadata"))
+    s = t(spark, sf_dir, "supplier").where("s_nationkey % 5 > 0")
+    patches = s.select(F.col("s_nationkey").cast("long").alias("scan_id"), pick(["APPROVED", "REJECTED", "NEEDS_REVIEW", "DRAFT"], F.col("s_suppkey")).alias("status"), pick(["PASSED", "REJECTED", None], F.col("s_suppkey")).alias("machine_verdict"), meta(META, "s_suppkey").alias("model_metadata"))
+    sent = s.select(F.col("s_nationkey").cast("long").alias("scan_id"), pick(["BLOCKED", "PR_CREATED", "FAILED", "PENDING"], F.col("s_suppkey")).alias("status"))
+    o = t(spark, sf_dir, "orders").withColumn("s", F.col("o_custkey") % 25).where("s < 20")
+    events = o.select(F.col("o_orderkey").alias("id"), F.col("s").cast("long").alias("scan_id"), pick(KINDS, F.col("o_orderkey")).alias("event_type"), pick([None, "", "map", "find"], F.col("o_orderkey")).alias("stage"), pick(["semgrep", "trivy", "osv"], F.col("o_orderkey")).alias("tool_name"), meta(META[:3], "o_orderkey").alias("metadata_payload"))
+    return scans, events, findings, patches, sent
+
+
+@named("q_scan_telemetry", f"""WITH {USED}, e AS (SELECT o_custkey % 25 AS s, count(*) AS event_count, count(DISTINCT CASE o_orderkey % 4 WHEN 2 THEN 'map' WHEN 3 THEN 'find' END) AS stage_count, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS c, count(*) FILTER (WHERE o_orderkey % 5 = 2) AS f, count(*) FILTER (WHERE o_orderkey % 5 = 3) AS u FROM orders WHERE o_custkey % 25 < 20 GROUP BY 1),
+f AS (SELECT c_nationkey AS s, count(*) FILTER (WHERE c_custkey % 3 = 0) AS confirmed_findings, count(*) FILTER (WHERE c_custkey % 3 = 1) AS possible_findings FROM customer WHERE c_nationkey % 5 > 0 GROUP BY 1),
+p AS (SELECT s_nationkey AS s, count(*) AS n, count(*) FILTER (WHERE s_suppkey % 4 = 0 OR s_suppkey % 3 = 0) AS v, count(*) FILTER (WHERE s_suppkey % 4 = 2) AS r, count(*) FILTER (WHERE s_suppkey % 4 = 0) AS a, count(*) FILTER (WHERE s_suppkey % 4 = 1 OR s_suppkey % 3 = 1) AS j, count(*) FILTER (WHERE s_suppkey % 4 = 1) AS one, count(*) FILTER (WHERE s_suppkey % 4 = 2) AS two FROM supplier WHERE s_nationkey % 5 > 0 GROUP BY 1),
+x AS (SELECT n_nationkey AS s, n_nationkey % 4 AS m, coalesce(e.c + e.f + e.u, 0) > 0 AS told, e.* EXCLUDE (s) FROM nation LEFT JOIN e ON e.s = n_nationkey)
+SELECT CAST(x.s AS BIGINT) AS scan_id, CASE WHEN x.s % 3 = 0 THEN 'RUNNING' ELSE 'COMPLETED' END AS status, CASE WHEN x.s % 3 > 0 THEN CAST(1000 * x.s AS BIGINT) END AS total_duration_ms,
+ CASE WHEN told THEN c WHEN m = 1 THEN 1 ELSE 0 END AS tools_completed, CASE WHEN told THEN f WHEN m = 1 THEN 1 ELSE 0 END AS tools_failed, CASE WHEN told THEN u WHEN m = 3 THEN 1 ELSE 0 END AS tools_unavailable, coalesce(event_count, 0) AS event_count, coalesce(stage_count, 0) AS stage_count,
+ coalesce(confirmed_findings, 0) AS confirmed_findings, coalesce(possible_findings, 0) AS possible_findings, CAST(0 AS BIGINT) AS rejected_findings, coalesce(n, 0) AS patches_generated, coalesce(v, 0) AS patches_verified, coalesce(r, 0) AS patches_needing_review, coalesce(a, 0) AS patches_approved, coalesce(j, 0) AS patches_rejected,
+ coalesce(n, 0) AS deliveries_requested, coalesce(a, 0) AS deliveries_blocked, coalesce(one, 0) AS pull_requests_created, coalesce(two, 0) AS delivery_failures, CAST(llm_calls AS BIGINT) AS llm_calls, CAST(llm_retries AS BIGINT) AS llm_retries, CAST(provider_fallbacks AS BIGINT) AS provider_fallbacks, CAST(prompt_tokens AS BIGINT) AS prompt_tokens, CAST(completion_tokens AS BIGINT) AS completion_tokens, CAST(total_tokens AS BIGINT) AS total_tokens,
+ m = 2 AS analysis_truncated, CASE WHEN m = 2 THEN 'big' END AS analysis_truncation_reason FROM x LEFT JOIN f USING (s) LEFT JOIN p USING (s) LEFT JOIN u USING (s)""")
+def scan_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG6, PIP10: five sources of metadata."""
+    return telemetry.scan_telemetry(*_scan_tables(spark, sf_dir))
+
+
+@named("q_scanner_coverage", f"""WITH e AS (SELECT o_custkey % 25 AS s, o_orderkey AS id, ['semgrep', 'trivy', 'osv'][CAST(o_orderkey % 3 + 1 AS INTEGER)] AS tool, o_orderkey % 5 AS k FROM orders WHERE o_custkey % 25 < 20 AND o_orderkey % 5 IN (0, 2, 3) AND (o_custkey % 25) % 4 IN (0, 2)),
+f AS (SELECT *, row_number() OVER (PARTITION BY s, tool ORDER BY id) AS n FROM e)
+SELECT CAST(n_nationkey AS BIGINT) AS scan_id, CAST(x.at AS INTEGER) AS at, x.tool, x.status, CAST(x.n AS INTEGER) AS findings_count, x.reason AS failure_reason FROM nation, (VALUES (1, 0, 'semgrep', 'completed', 2, NULL), (1, 1, 'trivy', 'TIMEOUT', 0, 'slow'), (3, 0, 'unknown', 'UNAVAILABLE', 0, NULL)) x(m, at, tool, status, n, reason) WHERE n_nationkey % 4 = x.m
+UNION ALL SELECT CAST(s AS BIGINT), CAST(row_number() OVER (PARTITION BY s ORDER BY id) - 1 AS INTEGER), tool, CASE k WHEN 0 THEN 'COMPLETED' WHEN 2 THEN 'FAILED' ELSE 'UNAVAILABLE' END, 0, NULL FROM f WHERE n = 1""")
+def scanner_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG23: from the metadata of half of the scans, from events of the others."""
+    scans, events, *_ = _scan_tables(spark, sf_dir)
+    return telemetry.scanner_coverage(scans, events).drop("execution_time_ms")

@@ -140,40 +140,69 @@ def folded_by_pieces(files: DataFrame, keys: list[str], max_file_bytes: int, max
     return rows.join(reasons, "__at")
 
 
+#: Why a file isn't read, as a stored manifest says it, for the reasons of manifest() (fixed values).
+SKIPPED = {"byte budget exceeded": "total_source_byte_budget_exceeded", "file too large": "exceeds_max_size", "binary": "binary_file"}
+
+
+def manifests(files: DataFrame, max_files: int = 5000, max_file_bytes: int = 1 << 20, max_bytes: int = 50 << 20) -> tuple[DataFrame, DataFrame]:
+    """SRC1, FLT7, AGG4, AGG10 for many repositories: the files of each, and its totals.
+
+    files: repo, path, size_bytes, is_binary, content. Files: those of manifest(), with skipped_reason as SKIPPED says. Totals: repo, truncated, reason, files_processed,
+    source_bytes_processed, total_observed_files, total_observed_bytes, languages. In order of path, files are observed until one is beyond max_files: that one is
+    still counted, and its limit is then the reason; else the byte budget is, if a file didn't fit. Languages count the files observed within the limit, read or not.
+    """
+    names = F.create_map(*[F.lit(x) for kv in SKIPPED.items() for x in kv])
+    entries = manifest(files, max_files, max_file_bytes, max_bytes, "repo").withColumn("skipped_reason", names[F.col("skipped_reason")])
+    w = Window.partitionBy("repo").orderBy("path")
+    seen = files.select("repo", "path", "size_bytes").withColumn("n", F.row_number().over(w)).where(F.col("n") <= max_files + 1)
+    observed = seen.groupBy("repo").agg(F.count("*").alias("total_observed_files"), F.sum("size_bytes").alias("total_observed_bytes"))
+    read = F.col("skipped_reason").isNull()
+    sums = entries.groupBy("repo").agg(F.count_if(read).alias("files_processed"), F.sum(F.when(read, F.col("size_bytes")).otherwise(0)).alias("source_bytes_processed"), F.bool_or(F.coalesce(F.col("skipped_reason") == SKIPPED["byte budget exceeded"], F.lit(False))).alias("over_bytes"))
+    per = entries.where("language is not null").groupBy("repo", "language").agg(F.count("*").alias("n")).groupBy("repo").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "n")))).alias("languages"))
+    over = F.col("total_observed_files") > max_files
+    reason = F.when(over, f"exceeded_max_repo_files ({max_files})").when(F.col("over_bytes"), f"exceeded_max_total_source_bytes ({max_bytes} bytes)")
+    totals = observed.join(sums, "repo").join(per, "repo", "left").select("repo", (over | F.col("over_bytes")).alias("truncated"), reason.alias("reason"), "files_processed", "source_bytes_processed", "total_observed_files", "total_observed_bytes", F.coalesce("languages", F.create_map().cast("map<string,bigint>")).alias("languages"))
+    return entries, totals
+
+
 def language_counts(files: DataFrame, max_files: int | None = 5000) -> DataFrame:
     """AGG4: files by language before the guards, among the first max_files by path, or all (None)."""
     some = files if max_files is None else files.orderBy("path").limit(max_files)
     return some.groupBy(X.language(F.col("path")).alias("language")).agg(F.count("*").alias("n")).where("language is not null")
 
 
-def frameworks(files: DataFrame) -> DataFrame:
-    """SRC13, JSN3, WIN8: name, version, evidence of the frameworks that the manifests in the root declare, first seen first."""
+def frameworks(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """SRC13, JSN3, WIN8: keys, name, version, evidence of the frameworks that the manifests in the root declare, first seen first."""
+    keys = keys or []
     js = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("name"), F.lit(i).alias("i")) for i, (k, v) in enumerate(JS_FRAMEWORKS.items())])
     py = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("name"), F.lit(i).alias("i")) for i, (k, v) in enumerate(PYTHON_FRAMEWORKS.items())])
     dep = "map<string,string>"
-    parsed = files.where("path = 'package.json'").select(F.from_json("content", f"struct<dependencies: {dep}, devDependencies: {dep}>").alias("j"))
+    parsed = files.where("path = 'package.json'").select(*keys, F.from_json("content", f"struct<dependencies: {dep}, devDependencies: {dep}>").alias("j"))
     maps = [F.coalesce(F.map_entries(F.col(f"j.{c}")), F.array().cast("array<struct<key:string,value:string>>")) for c in ("dependencies", "devDependencies")]
-    a = parsed.select(F.posexplode(F.concat(*maps)).alias("pos", "d")).select("pos", "d.*", F.explode(js).alias("s")).where(F.lower("key").contains(F.col("s.k")))
-    a = a.select(F.lit(1).alias("prio"), "pos", "s.i", "s.name", F.col("value").alias("version"), F.concat(F.lit("Declared '"), "key", F.lit("' in package.json")).alias("evidence"))
-    lines = files.where("path = 'requirements.txt'").select(F.posexplode(F.split("content", "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
+    a = parsed.select(*keys, F.posexplode(F.concat(*maps)).alias("pos", "d")).select(*keys, "pos", "d.*", F.explode(js).alias("s")).where(F.lower("key").contains(F.col("s.k")))
+    a = a.select(*keys, F.lit(1).alias("prio"), "pos", "s.i", "s.name", F.col("value").alias("version"), F.concat(F.lit("Declared '"), "key", F.lit("' in package.json")).alias("evidence"))
+    lines = files.where("path = 'requirements.txt'").select(*keys, F.posexplode(F.split("content", "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
     name, version = X.requirement(F.col("line"))
-    b = lines.select("pos", "line", name.alias("pkg"), version.alias("version"), F.explode(py).alias("s")).where("pkg = s.k").select(F.lit(2).alias("prio"), "pos", "s.i", "s.name", "version", F.concat(F.lit("Declared '"), "line", F.lit("' in requirements.txt")).alias("evidence"))
-    c = files.where("path = 'pyproject.toml'").select("content", F.explode(py).alias("s")).where(F.lower("content").contains(F.col("s.k")))
-    c = c.select(F.lit(3).alias("prio"), F.lit(0).alias("pos"), "s.i", "s.name", F.lit(None).cast("string").alias("version"), F.concat(F.lit("Referenced '"), "s.k", F.lit("' in pyproject.toml")).alias("evidence"))
-    w = Window.partitionBy("name").orderBy("prio", "pos", "i")
-    return a.unionByName(b).unionByName(c).withColumn("n", F.row_number().over(w)).where("n = 1").select("name", "version", "evidence")
-
-
-def chunks(files: DataFrame, symbols: DataFrame, commit: str, most_lines: int = 500) -> DataFrame:
-    """PRJ10-13: a chunk per function, class, method and route; of a file without any, one of its first lines. Blank ones are left out."""
+    b = lines.select(*keys, "pos", "line", name.alias("pkg"), version.alias("version"), F.explode(py).alias("s")).where("pkg = s.k").select(*keys, F.lit(2).alias("prio"), "pos", "s.i", "s.name", "version", F.concat(F.lit("Declared '"), "line", F.lit("' in requirements.txt")).alias("evidence"))
+    c = files.where("path = 'pyproject.toml'").select(*keys, "content", F.explode(py).alias("s")).where(F.lower("content").contains(F.col("s.k")))
+    c = c.select(*keys, F.lit(3).alias("prio"), F.lit(0).alias("pos"), "s.i", "s.name", F.lit(None).cast("string").alias("version"), F.concat(F.lit("Referenced '"), "s.k", F.lit("' in pyproject.toml")).alias("evidence"))
+    w = Window.partitionBy(*keys, "name").orderBy("prio", "pos", "i")
+    return a.unionByName(b).unionByName(c).withColumn("n", F.row_number().over(w)).where("n = 1").select(*keys, "name", "version", "evidence")
+
+
+def chunks(files: DataFrame, symbols: DataFrame, commit: str | Column, most_lines: int = 500, keys: list[str] | None = None) -> DataFrame:
+    """PRJ10-13: keys, and a chunk per function, class, method and route; of a file without any, one of its first lines. Blank ones are left out. commit: one for all, or a
+    column of files, each repository's own; keys name the repository."""
+    keys = keys or []
+    files = files.withColumn("commit_sha", commit if isinstance(commit, Column) else F.lit(commit))
     kind = F.create_map(*[F.lit(x) for kv in CHUNK_KINDS.items() for x in kv])[F.col("kind")]
-    own = symbols.withColumn("symbol_kind", kind).where("symbol_kind is not null").select("path", F.col("name").alias("symbol"), "symbol_kind", "start_line", "end_line")
-    met = own.join(files.select("path", "language", "content"), "path").where("content is not null")
-    whole = files.where("content is not null").join(own, "path", "left_anti").select("path", X.base_name(F.col("path")).alias("symbol"), F.lit("FILE").alias("symbol_kind"), F.lit(1).alias("start_line"), F.least(F.lit(most_lines), F.greatest(F.lit(1), X.line_count(F.col("content")))).alias("end_line"), "language", "content")
+    own = symbols.withColumn("symbol_kind", kind).where("symbol_kind is not null").select(*keys, "path", F.col("name").alias("symbol"), "symbol_kind", "start_line", "end_line")
+    met = own.join(files.select(*keys, "path", "commit_sha", "language", "content"), [*keys, "path"]).where("content is not null")
+    whole = files.where("content is not null").join(own, [*keys, "path"], "left_anti").select(*keys, "path", X.base_name(F.col("path")).alias("symbol"), F.lit("FILE").alias("symbol_kind"), F.lit(1).alias("start_line"), F.least(F.lit(most_lines), F.greatest(F.lit(1), X.line_count(F.col("content")))).alias("end_line"), "commit_sha", "language", "content")
     body = X.line_slice(F.col("content"), F.col("start_line"), F.col("end_line"))
     out = met.unionByName(whole).withColumn("content", body).where(F.trim("content") != "")
-    ident = F.concat_ws(":", F.lit(commit[:12]), "path", "symbol", F.col("start_line").cast("string"))
-    return out.select(ident.alias("chunk_id"), F.lit(commit).alias("commit_sha"), F.col("path").alias("file_path"), "language", "symbol", "symbol_kind", "start_line", "end_line", "content", X.sha256(F.col("content")).alias("content_hash"))
+    ident = F.concat_ws(":", F.left("commit_sha", F.lit(12)), "path", "symbol", F.col("start_line").cast("string"))
+    return out.select(*keys, ident.alias("chunk_id"), "commit_sha", F.col("path").alias("file_path"), "language", "symbol", "symbol_kind", "start_line", "end_line", "content", X.sha256(F.col("content")).alias("content_hash"))
 
 
 def grep(files: DataFrame, text: str, limit: int = 50) -> DataFrame:

@@ -31,4 +31,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables made by kept() that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(t.kept_path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
