@@ -38,28 +38,28 @@ def _named(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def _exact(column: str) -> Column:
-    return F.col(column).cast("decimal(20,0)")
+def shares(groups: DataFrame, counted: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every party's smoothed share of every term kept, those it lacks included; parties and terms go by numbers.
 
-
-def shares(groups: DataFrame, counted: DataFrame, min_docs: int) -> DataFrame:
-    """lang, source (null: the language as a whole), term, n, p: each party's smoothed share of every term kept, those it lacks included.
-
-    A language without kept terms has no rows. p is 1 + floor(SCALE * (n + 2) / (N + 2 V)).
+    parties: g, lang, source (null: the language as a whole), v (terms kept), total (their occurrences). terms: t, lang, term. shares: g, t, n, p, whole. A
+    language without kept terms has none of them. p is 1 + floor(SCALE * (n + 2) / (total + 2 v)).
     """
-    kept = written(counted.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term", "n"), "vocabulary")
-    here = counted.join(kept.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "source", "term", "n")
+    kept = counted.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
+    kept = written(kept.select("lang", "term", "n", F.monotonically_increasing_id().alias("t")), "vocabulary")
+    here = written(counted.join(kept.select("lang", "term", "t"), ["lang", "term"]).select("lang", "source", "t", "n"), "counts-kept")
     sums = here.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("whole"))
     parties = groups.join(langs, "lang").join(sums, ["lang", "source"], "left").select("lang", "source", "v", F.coalesce("total", F.lit(0)).alias("total"))
-    parties = written(parties.unionByName(langs.select("lang", F.lit(None).cast("string").alias("source"), "v", F.col("whole").alias("total"))), "parties")
-    dense = parties.where("source is not null").join(kept.select("lang", "term"), "lang").join(here, ["lang", "source", "term"], "left")
-    dense = dense.select("lang", "source", "term", F.coalesce("n", F.lit(0)).alias("n"), "v", "total")
-    whole = parties.where("source is null").join(kept, "lang").select("lang", "source", "term", "n", "v", "total")
+    parties = parties.unionByName(langs.select("lang", F.lit(None).cast("string").alias("source"), "v", F.col("whole").alias("total")))
+    parties = written(parties.withColumn("g", F.monotonically_increasing_id()), "parties")
+    dense = parties.where("source is not null").select("lang", "g", "v", "total").join(kept.select("lang", "t"), "lang").drop("lang")
+    own = here.join(parties.select("lang", "source", "g"), ["lang", "source"]).select("g", "t", "n")
+    dense = dense.join(own, ["g", "t"], "left").select("g", "t", F.coalesce("n", F.lit(0)).alias("n"), "v", "total", F.lit(False).alias("whole"))
+    whole = parties.where("source is null").select("lang", "g", "v", "total").join(kept.select("lang", "t", "n"), "lang").select("g", "t", "n", "v", "total", F.lit(True).alias("whole"))
     p = F.expr(f"1 + (cast(n + 2 as decimal(20,0)) * {SCALE}) div (total + 2 * v)")
-    out = written(dense.unionByName(whole).select("lang", "source", "term", "n", p.alias("p")), "shares")
-    forget(kept, parties)
-    return out
+    out = written(dense.unionByName(whole).select("g", "t", "n", p.alias("p"), "whole"), "shares")
+    forget(here)
+    return parties, kept.select("t", "lang", "term"), out
 
 
 def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -74,18 +74,19 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, text_col: str = "t
     """
     counted = written(counts(docs, text_col, lang_col, source_col), "counts")
     groups = written(docs.select(_named(lang_col).alias("lang"), _named(source_col).alias("source")).distinct(), "groups")
-    dense = shares(groups, counted, min_docs)
+    parties, vocabulary, dense = shares(groups, counted, min_docs)
     forget(counted)
-    other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
+    other = dense.select("t", F.col("g").alias("og"), F.col("p").alias("q"), F.col("whole").alias("o_whole"))
     value = F.expr("((p - q) * (p - q)) div (p + q)")
-    parted = dense.where("source is not null")
-    half = parted.join(other.where("item is not null"), ["lang", "term"]).where("source < item").groupBy("lang", "source", "item").agg(F.sum(value).alias("value"))
-    half = written(half, "pairs")
+    parted = dense.where("not whole")
+    half = parted.join(other.where("not o_whole"), "t").where("g < og").groupBy("g", "og").agg(F.sum(value).alias("value"))
+    name = lambda g, c: parties.select(F.col("g").alias(g), F.col("lang").alias("lang" if c == "source" else "ol"), F.col("source").alias(c))
+    half = written(half.join(name("g", "source"), "g").join(name("og", "item"), "og").select("lang", "source", "item", "value"), "pairs")
     sums = half.unionByName(half.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value"))
     pairs = groups.join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item").join(sums, ["lang", "source", "item"], "left")
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value")).withColumn("rank", F.row_number().over(ranked))
-    above = parted.where("n > 0").join(other.where("item is null").drop("item"), ["lang", "term"]).where("p > q")
-    terms = above.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), value.alias("value"))
-    terms = terms.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
+    above = parted.where("n > 0").join(other.where("o_whole"), "t").where("p > q").select("g", "t", value.alias("value"))
+    terms = above.join(vocabulary.select("t", F.col("term").alias("item")), "t").join(name("g", "source"), "g")
+    terms = terms.select("lang", "source", F.lit("term").alias("part"), "item", "value").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
     return pairs.unionByName(terms)

@@ -41,7 +41,8 @@ def test_divergence_is_exact_in_large_numbers(spark):
     groups = spark.createDataFrame([("x", "a"), ("x", "b")], "lang string, source string")
     many = 3 * 10**14
     counted = spark.createDataFrame([("x", "a", "t", many + 1, 10), ("x", "b", "t", many, 10), ("x", "b", "u", 1, 10), ("x", "a", "v", 5, 9)], "lang string, source string, term string, n long, docs long")
-    got = {(r["source"], r["term"]): r["p"] for r in divergence.shares(groups, counted, 10).collect()}
+    parties, terms, dense = divergence.shares(groups, counted, 10)
+    got = {(r["source"], r["term"]): r["p"] for r in dense.join(parties, "g").join(terms.drop("lang"), "t").collect()}
     share = lambda n, total: 1 + int(Fraction(10**9 * (n + 2), total + 4))
     assert got == {("a", "t"): share(many + 1, many + 1), ("a", "u"): share(0, many + 1), ("b", "t"): share(many, many + 1), ("b", "u"): share(1, many + 1), (None, "t"): share(2 * many + 1, 2 * many + 2), (None, "u"): share(1, 2 * many + 2)}
 
