@@ -51,6 +51,10 @@ class Lists:
             _, first = np.unique(np.column_stack([ids.astype(np.float64), ids >> 53, vectors]), axis=0, return_index=True)
             vectors, ids = vectors[first], ids[first]
         self.vectors, self.ids = vectors, ids
+        by_id = np.argsort(ids, kind="stable")
+        starts = np.flatnonzero(np.r_[True, ids[by_id][1:] != ids[by_id][:-1]]) if len(ids) else np.zeros(0, np.int64)
+        #: rows in order of their ids and where each id's begin; None where no id is repeated
+        self.same = (by_id, starts) if len(starts) < len(ids) else None
         order = np.argsort(vectors, axis=0, kind="stable")
         self.sorted = np.take_along_axis(vectors, order, axis=0)
         #: place of each candidate in each list, from the low end
@@ -85,8 +89,10 @@ def nra(queries: np.ndarray, own: np.ndarray, lists: Lists, k: int, floors: np.n
             upper = lower = part[open_]
         upper, lower = (np.where(other[open_], v, -np.inf) for v in (upper, lower))
         need = floors[open_]
-        if n > k:
-            need = np.maximum(need, np.partition(lower, n - k, axis=1)[:, n - k])
+        # rows of one id with equal scores are one result, so only different ids make up the k-th best
+        sure = lower if lists.same is None else np.maximum.reduceat(lower[:, lists.same[0]], lists.same[1], axis=1)
+        if sure.shape[1] > k:
+            need = np.maximum(need, np.partition(sure, sure.shape[1] - k, axis=1)[:, sure.shape[1] - k])
         left = []
         for i, bound, least in zip(open_, upper, need, strict=True):
             inside = np.flatnonzero((bound >= least) & other[i])
@@ -157,7 +163,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     Components become floor(scale * x). Rows with a null id, or a vector that is null, empty or holds null or
     non-finite components, take no part; vectors meet only vectors of their own length. A query's own id is no
     candidate of it. Rows equal in id and vector count once, as queries and as candidates; of different vectors of one id, each
-    is a query, and equal scores of one candidate id count once. Fewer candidates than k give fewer rows, an empty table none.
+    is a query, and equal scores of one candidate id count once, so that the result is the k highest different (score, id), however rows lie in blocks. Fewer candidates than k give fewer rows, an empty table none.
     Scores are exact whatever the size of components; one beyond a long raises. block: candidates in one set of lists;
     query_block: queries in a chunk, fewer where their bytes pass CHUNK_BYTES.
     """
