@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -63,7 +64,8 @@ def parted_by_blanks(spec: dict) -> bool:
     split, *later = pres
     cut = split["type"] == "Split" and split["pattern"] == {"Regex": _APART_PATTERN} and split["behavior"] == "Removed" and split["invert"]
     plain = all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in later)
-    added = all(not any(c.isspace() for c in t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec.get("added_tokens") or [])
+    # a token that holds white space, or . or , behind a letter, would be cut before the library could see it
+    added = all(not re.search(r"\s|[A-Za-z][.,]", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec.get("added_tokens") or [])
     return bool(cut and plain and added and not spec.get("truncation") and not spec.get("padding") and not model.get("dropout"))
 
 

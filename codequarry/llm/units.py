@@ -36,7 +36,14 @@ class Known:
 
 
 def _bytes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts in a row, and where each starts (one more entry: the end). No nulls."""
+    """The bytes of all texts in a row, and where each starts (one more entry: the end). No nulls.
+
+    Strings with 64-bit ends (spark.sql.execution.arrow.useLargeVarTypes) are taken as well, as long as they make up 2 GB at most; more raises, as any other type does.
+    """
+    if pa.types.is_large_string(texts.type):
+        texts = texts.cast(pa.string())
+    elif not pa.types.is_string(texts.type):
+        raise TypeError(f"texts are {texts.type}, not strings")
     at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
     return data, at.astype(np.int64) - at[0]

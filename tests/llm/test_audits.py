@@ -9,12 +9,15 @@ from functools import cache
 from itertools import pairwise
 
 import duckdb
+import numpy as np
 import pandas as pd
+import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from codequarry.llm import conversations, divergence, queries, simhash
+from codequarry.llm import bpe, conversations, divergence, queries, simhash, token_files, topk, units
 
 # source divergence
 
@@ -281,3 +284,49 @@ def test_conversation_tables_walks_and_chains_agree():
         edits, state = conversations.walk(turns, conversations.END, 0)
         audit = "".join(edits) + conversations.ending(state)
         assert conversations.END[state] < conversations.INF and set(audit) <= set("KRDI")
+
+
+# repeated ids, large strings, added tokens
+
+
+def test_top_k_of_repeated_ids_is_whole_in_any_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(0, [1.0, 1.0])] + [(7, [4.0 + i, 4.0 - i]) for i in range(40)] + [(100 + i, rng.normal(size=2).tolist()) for i in range(400)] + [(9, [3.0, 3.0]), (9, [2.0, 4.0]), (9, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+    want = sorted({(-int(x[0][1] @ v), i) for i, v in x if i != 0})[:5]
+    for block in (8192, 20, 3):
+        got = topk.top_k(df, F.col("vec_id") == 0, 5, block=block).orderBy("rank").collect()
+        assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]
+
+
+def test_texts_with_64_bit_ends_encode_alike(spark):
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    texts = ["hello there, world", "", "É x. y, z", "a " * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = "spark.sql.execution.arrow.useLargeVarTypes"
+    seen = []
+    for large in ("false", "true"):
+        spark.conf.set(own, large)
+        try:
+            one = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in bpe.round_trip(df, ranks, pattern).collect()}
+            folder = token_files.default_folder(spark)
+            manifest = token_files.write(df, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+            two = {r["doc_id"]: list(r["ids"]) for r in token_files.read(spark, manifest, folder).collect()}
+        finally:
+            spark.conf.set(own, "false")
+        seen.append((one, two))
+    assert seen[0] == seen[1] and seen[0][0][0][0] > 0 and len(seen[0][1][3]) > 5000
+    with pytest.raises(TypeError, match="not strings"):
+        units.stretches(pa.array([b"x"]))
+
+
+def test_added_tokens_that_blanks_do_not_part():
+    import json
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert token_files.parted_by_blanks(spec)
+    token = {"id": 10**6, "content": "<x>", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    for content, ok in (("<x>", True), ("<a.b>", False), ("Mr,", False), ("a b", False), ("1.5", True)):
+        assert token_files.parted_by_blanks(spec | {"added_tokens": [*spec["added_tokens"], token | {"content": content}]}) == ok
