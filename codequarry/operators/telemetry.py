@@ -90,21 +90,21 @@ def scan_telemetry(scans: DataFrame, events: DataFrame, findings: DataFrame, pat
 
 
 def scanner_coverage(scans: DataFrame, events: DataFrame) -> DataFrame:
-    """AGG23: scan_id, at, tool, status, findings_count, execution_time_ms, failure_reason: the scanners of each scan, from its metadata, else from the first event
+    """AGG23: scan_id, place, tool, status, findings_count, execution_time_ms, failure_reason: the scanners of each scan, from its metadata, else from the first event
     of each tool that says how its run ended. Reasons and names are redacted and cut at 512 and 128 characters; a run that completed has no reason of its event."""
     cut = lambda c, n: F.when(c.isNotNull(), F.left(X.redact(c), F.lit(n)))
-    listed = scans.select(F.col("id").alias("scan_id"), F.posexplode(scanners(F.col("model_metadata"))).alias("at", "x"))
+    listed = scans.select(F.col("id").alias("scan_id"), F.posexplode(scanners(F.col("model_metadata"))).alias("place", "x"))
     own = listed.select(
-        "scan_id", "at", cut(F.coalesce(F.nullif("x.tool", F.lit("")), F.nullif("x.scanner", F.lit("")), F.lit("unknown")), 128).alias("tool"), F.coalesce(F.nullif("x.status", F.lit("")), F.lit("UNKNOWN")).alias("status"), F.coalesce("x.findings_count", F.lit(0)).alias("findings_count"), F.col("x.execution_time_ms").alias("execution_time_ms"),
+        "scan_id", "place", cut(F.coalesce(F.nullif("x.tool", F.lit("")), F.nullif("x.scanner", F.lit("")), F.lit("unknown")), 128).alias("tool"), F.coalesce(F.nullif("x.status", F.lit("")), F.lit("UNKNOWN")).alias("status"), F.coalesce("x.findings_count", F.lit(0)).alias("findings_count"), F.col("x.execution_time_ms").alias("execution_time_ms"),
         cut(F.coalesce(F.nullif("x.failure_reason", F.lit("")), F.col("x.error_category")), 512).alias("failure_reason"))
     told = events.where(F.col("event_type").isin(*TOOL_EVENTS) & (F.col("tool_name") != "")).join(own.select("scan_id").distinct(), "scan_id", "left_anti")
     # the first event of each tool, without bringing a scan's events together
     first = told.groupBy("scan_id", "tool_name").agg(F.min(F.struct("id", "event_type", "metadata_payload")).alias("e"))
-    at = F.row_number().over(Window.partitionBy("scan_id").orderBy("e.id")) - 1
+    place = F.row_number().over(Window.partitionBy("scan_id").orderBy("e.id")) - 1
     status = F.create_map(*[F.lit(x) for kv in TOOL_EVENTS.items() for x in kv])[F.col("e.event_type")]
     meta = F.col("e.metadata_payload")
     reason = F.coalesce(_filled(_get(meta, "reason")), _get(meta, "status"))
-    fallback = first.select("scan_id", at.alias("at"), cut(F.col("tool_name"), 128).alias("tool"), status.alias("status"), F.coalesce(_get(meta, "findings_count").cast("int"), F.lit(0)).alias("findings_count"), _get(meta, "execution_time_ms").cast("double").alias("execution_time_ms"), F.when(status != "COMPLETED", cut(reason, 512)).alias("failure_reason"))
+    fallback = first.select("scan_id", place.alias("place"), cut(F.col("tool_name"), 128).alias("tool"), status.alias("status"), F.coalesce(_get(meta, "findings_count").cast("int"), F.lit(0)).alias("findings_count"), _get(meta, "execution_time_ms").cast("double").alias("execution_time_ms"), F.when(status != "COMPLETED", cut(reason, 512)).alias("failure_reason"))
     return own.unionByName(fallback)
 
 

@@ -152,10 +152,10 @@ def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.read(spark, path).groupBy("namespace").agg(F.count("*").alias("n"), F.sum(total).cast("long").alias("total"))
 
 
-@named("q_deliveries", """WITH a AS (SELECT o_custkey % 300 AS p, o_orderkey AS id, o_orderdate AS at, o_orderkey % 5 > 0 AS ok, CASE WHEN o_orderkey % 5 = 0 THEN ['BLOCKED_BASE_DRIFT', NULL, 'PATCH_NOT_APPROVED'][CAST(o_custkey % 3 + 1 AS INTEGER)] END AS code, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey END AS pr, CASE WHEN o_orderkey % 3 > 0 THEN 'u' || o_orderkey % 10 END AS who FROM orders),
+@named("q_deliveries", """WITH a AS (SELECT o_custkey % 300 AS p, o_orderkey AS id, o_orderdate AS ts, o_orderkey % 5 > 0 AS ok, CASE WHEN o_orderkey % 5 = 0 THEN ['BLOCKED_BASE_DRIFT', NULL, 'PATCH_NOT_APPROVED'][CAST(o_custkey % 3 + 1 AS INTEGER)] END AS code, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey END AS pr, CASE WHEN o_orderkey % 3 > 0 THEN 'u' || o_orderkey % 10 END AS who FROM orders),
 s AS (SELECT *, CASE WHEN NOT ok THEN coalesce(code, 'VALIDATION_FAILED') WHEN pr IS NULL THEN 'DELIVERY_FAILED' END AS f FROM a), o AS (SELECT *, CASE WHEN f = 'BLOCKED_BASE_DRIFT' THEN 'BLOCKED' WHEN f IS NOT NULL THEN 'FAILED' ELSE 'PR_CREATED' END AS status FROM s),
-r AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY at, id) AS r FROM o), u AS (SELECT p, min(CASE WHEN status <> 'FAILED' THEN r END) AS u FROM r GROUP BY p), c AS (SELECT r.* FROM r JOIN u USING (p) WHERE u.u IS NULL OR r.r <= u.u)
-SELECT 'p' || p AS patch_id, coalesce(arg_max(who, r) FILTER (WHERE who IS NOT NULL), 'user') AS requested_by, count(*) AS attempt_count, arg_max(status, r) AS status, arg_max(coalesce(f, ''), r) AS failure_code, CASE WHEN arg_max(status, r) = 'PR_CREATED' THEN arg_max(pr, r) ELSE -1 END AS pr_number, CAST(min(at) AS DATE) AS first_attempt_at, CAST(max(at) AS DATE) AS last_attempt_at FROM c GROUP BY p""")
+r AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY ts, id) AS r FROM o), u AS (SELECT p, min(CASE WHEN status <> 'FAILED' THEN r END) AS u FROM r GROUP BY p), c AS (SELECT r.* FROM r JOIN u USING (p) WHERE u.u IS NULL OR r.r <= u.u)
+SELECT 'p' || p AS patch_id, coalesce(arg_max(who, r) FILTER (WHERE who IS NOT NULL), 'user') AS requested_by, count(*) AS attempt_count, arg_max(status, r) AS status, arg_max(coalesce(f, ''), r) AS failure_code, CASE WHEN arg_max(status, r) = 'PR_CREATED' THEN arg_max(pr, r) ELSE -1 END AS pr_number, CAST(min(ts) AS DATE) AS first_attempt_at, CAST(max(ts) AS DATE) AS last_attempt_at FROM c GROUP BY p""")
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PIP16: orders are attempts, in no order and some of them listed twice; keys are patches."""
     k = F.col("o_orderkey")
@@ -213,7 +213,7 @@ def scan_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @named("q_scanner_coverage", f"""WITH e AS (SELECT o_custkey % 25 AS s, o_orderkey AS id, ['semgrep', 'trivy', 'osv'][CAST(o_orderkey % 3 + 1 AS INTEGER)] AS tool, o_orderkey % 5 AS k FROM orders WHERE o_custkey % 25 < 20 AND o_orderkey % 5 IN (0, 2, 3) AND (o_custkey % 25) % 4 IN (0, 2)),
 f AS (SELECT *, row_number() OVER (PARTITION BY s, tool ORDER BY id) AS n FROM e)
-SELECT CAST(n_nationkey AS BIGINT) AS scan_id, CAST(x.at AS INTEGER) AS at, x.tool, x.status, CAST(x.n AS INTEGER) AS findings_count, x.reason AS failure_reason FROM nation, (VALUES (1, 0, 'semgrep', 'completed', 2, NULL), (1, 1, 'trivy', 'TIMEOUT', 0, 'slow'), (3, 0, 'unknown', 'UNAVAILABLE', 0, NULL)) x(m, at, tool, status, n, reason) WHERE n_nationkey % 4 = x.m
+SELECT CAST(n_nationkey AS BIGINT) AS scan_id, CAST(x.place AS INTEGER) AS place, x.tool, x.status, CAST(x.n AS INTEGER) AS findings_count, x.reason AS failure_reason FROM nation, (VALUES (1, 0, 'semgrep', 'completed', 2, NULL), (1, 1, 'trivy', 'TIMEOUT', 0, 'slow'), (3, 0, 'unknown', 'UNAVAILABLE', 0, NULL)) x(m, place, tool, status, n, reason) WHERE n_nationkey % 4 = x.m
 UNION ALL SELECT CAST(s AS BIGINT), CAST(row_number() OVER (PARTITION BY s ORDER BY id) - 1 AS INTEGER), tool, CASE k WHEN 0 THEN 'COMPLETED' WHEN 2 THEN 'FAILED' ELSE 'UNAVAILABLE' END, 0, NULL FROM f WHERE n = 1""")
 def scanner_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG23: from the metadata of half of the scans, from events of the others."""
