@@ -12,6 +12,7 @@ A logistic regression over the window scores gives the score.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -43,46 +44,44 @@ def allowed(entry: str) -> int:
 
 
 class Lexicon:
-    """Trie of entries with weights. A node: [children, (weight, edits) of a word, same of a stem, edits allowed below, entries below as bits]."""
+    """Trie of entries with weights. A node: [children, (weight, edits) of a word, same of a stem, edits allowed below, first entry below, last entry below].
+
+    Entries are numbered in the trie's order, so those below a node are a range of numbers, whatever the lexicon's size.
+    """
 
     def __init__(self, entries: dict[str, float]):
-        self.root: list = [{}, None, None, 0, 0]
+        self.root: list = [{}, None, None, 0, 0, len(entries) - 1]
         self.exact = dict(entries)
         self.stems = sorted({len(e) - 1 for e in entries if e.endswith("*")})
         pieces: dict[str, list[tuple[int, int, int]]] = {}
-        for number, (entry, weight) in enumerate(entries.items()):
-            stem, k, bit = entry.rstrip("*"), allowed(entry), 1 << number
+        for number, entry in enumerate(sorted(entries, key=lambda e: (e.rstrip("*"), e))):
+            stem, k = entry.rstrip("*"), allowed(entry)
             node = self.root
             node[3] = max(node[3], k)
             for c in stem:
-                node = node[0].setdefault(c, [{}, None, None, 0, 0])
+                node = node[0].setdefault(c, [{}, None, None, 0, number, number])
                 node[3] = max(node[3], k)
-                node[4] |= bit
-            node[2 if entry.endswith("*") else 1] = (weight, k)
+                node[5] = number
+            node[2 if entry.endswith("*") else 1] = (entries[entry], k)
             cuts = [round(i * len(stem) / (k + 1)) for i in range(k + 2)] if k else []
             for x, y in zip(cuts, cuts[1:], strict=False):
-                pieces.setdefault(stem[x:y], []).append((x, k, bit))
+                pieces.setdefault(stem[x:y], []).append((x, k, number))
         self.pieces = ahocorasick.Automaton()
         for piece, places in pieces.items():
             self.pieces.add_word(piece, (len(piece), places))
         self.pieces.make_automaton()
         self.cache: dict[str, tuple[float, int] | None] = {}
 
-    def near(self, word: str) -> int:
-        """Bits of the entries that have a piece about where it should stand: k edits leave one of k + 1 pieces whole."""
-        out = 0
-        for end, (n, places) in self.pieces.iter(word):
-            for at, k, bit in places:
-                if -k <= end + 1 - n - at <= k:
-                    out |= bit
-        return out
+    def near(self, word: str) -> list[int]:
+        """Numbers, rising, of the entries that have a piece about where it should stand: k edits leave one of k + 1 pieces whole."""
+        return sorted({number for end, (n, places) in self.pieces.iter(word) for at, k, number in places if -k <= end + 1 - n - at <= k})
 
     def match(self, word: str) -> tuple[float, int] | None:
         """Best (weight, edits) of an entry that the word is, or opens with, within the edits allowed; None without one."""
         weights = [w for w in (self.exact.get(word), *(self.exact.get(word[:k] + "*") for k in self.stems)) if w is not None]
         if weights:
             return max(weights), 0
-        may = self.near(word) if len(self.pieces) else 0
+        may = self.near(word) if len(self.pieces) else []
         if not may:
             return None
         best: tuple[float, int] | None = None
@@ -95,7 +94,8 @@ class Lexicon:
                     best = (end[0], edits)
             depth += 1
             for c, child in node[0].items():
-                if not child[4] & may:
+                first = bisect.bisect_left(may, child[4])
+                if first == len(may) or may[first] > child[5]:
                     continue
                 k = child[3]
                 new = [k + 1] * (n + 1)  # cells further than k from the diagonal are above k
@@ -165,19 +165,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
 
 def _choose(rows: list, toxic: int, clean: int, most: int | None) -> dict[str, float]:
     """Entries by strength, leaving out those that say what a stronger one says already."""
-    out: dict[str, tuple[float, int]] = {}
     scored = []
     for term, a, b in rows:
         lift = math.log((a + 0.5) / (toxic + 1) / ((b + 0.5) / (clean + 1)))
         scored.append((a * lift, len(term.rstrip("*")), not term.endswith("*"), term, lift, a))
+    out: dict[str, float] = {}
+    #: chosen stems and their lengths; and for each beginning of a chosen entry, the most rows of one that begins so
+    stems, sizes, use = set(), set(), {}
     for _, _, _, term, lift, a in sorted(scored, reverse=True):
         stem = term.rstrip("*")
         if most is not None and len(out) >= most:
             break
-        if any(stem.startswith(x.rstrip("*")) for x in out if x.endswith("*")) or any(x.startswith(stem) and 0.9 * a <= n for x, (_, n) in out.items()):
+        if any(stem[:k] in stems for k in sizes) or use.get(stem, -1) >= 0.9 * a:
             continue
-        out[term] = (lift, a)
-    return {t: lift for t, (lift, _) in out.items()}
+        out[term] = lift
+        if stem != term:
+            stems.add(stem)
+            sizes.add(len(stem))
+        for k in range(len(term) + 1):
+            use[term[:k]] = max(a, use.get(term[:k], a))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | Callable[[Column], Column], key_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6000, most: int | None = None, lift: float = 8.0) -> Model:

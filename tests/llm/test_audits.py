@@ -17,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from codequarry.llm import bpe, conversations, divergence, queries, simhash, token_files, topk, units
+from codequarry.llm import bpe, conversations, divergence, queries, simhash, token_files, topk, toxicity, units
 
 # source divergence
 
@@ -330,3 +330,65 @@ def test_added_tokens_that_blanks_do_not_part():
     token = {"id": 10**6, "content": "<x>", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
     for content, ok in (("<x>", True), ("<a.b>", False), ("Mr,", False), ("a b", False), ("1.5", True)):
         assert token_files.parted_by_blanks(spec | {"added_tokens": [*spec["added_tokens"], token | {"content": content}]}) == ok
+
+
+# toxicity lexicons of any size
+
+
+def test_toxicity_lexicon_grows_in_proportion():
+    import sys
+    import time
+
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 14)))
+    entries = {word() + rng.choice(["", "*"]): rng.random() for _ in range(50_000)}
+    began = time.time()
+    lexicon = toxicity.Lexicon(entries)
+    assert time.time() - began < 30
+    size, todo = 0, [lexicon.root]
+    while todo:
+        node = todo.pop()
+        size += sys.getsizeof(node) + sys.getsizeof(node[0]) + 2 * 32
+        todo += node[0].values()
+    assert size < 250 << 20  # without entries as bits; those took 1.5 GB
+    few = dict(list(entries.items())[:300])
+    small = toxicity.Lexicon(few)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            row, last = [i, *row[1:]], row
+            for j, d in enumerate(b, 1):
+                row[j] = min(row[j - 1] + 1, last[j] + 1, last[j - 1] + (c != d))
+        return row
+
+    for _ in range(300):
+        w = list(rng.choice(sorted(few)).rstrip("*"))
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = rng.choice("abcq")
+        w = "".join(w) + rng.choice(["", "ab"])
+        found = []
+        for e, weight in few.items():
+            row = distance(e.rstrip("*"), w)
+            edits = min(row) if e.endswith("*") else row[-1]
+            if edits <= toxicity.allowed(e):
+                found.append((edits, -weight))
+        got = small.match(w)
+        assert (None if got is None else (got[1], -got[0])) == (min(found) if found else None), w
+
+
+def test_toxicity_choice_equals_comparing_all():
+    rng = random.Random(11)
+    rows = [("".join(rng.choice("ab") for _ in range(rng.randrange(2, 9))) + rng.choice(["", "*"]), rng.randrange(3, 60), rng.randrange(3)) for _ in range(400)]
+    rows = list({r[0]: r for r in rows}.values())
+    out = {}
+    scored = []
+    for term, a, b in rows:
+        lift = __import__("math").log((a + 0.5) / 101 / ((b + 0.5) / 201))
+        scored.append((a * lift, len(term.rstrip("*")), not term.endswith("*"), term, lift, a))
+    for _, _, _, term, lift, a in sorted(scored, reverse=True):
+        stem = term.rstrip("*")
+        if any(stem.startswith(x.rstrip("*")) for x in out if x.endswith("*")) or any(x.startswith(stem) and 0.9 * a <= n for x, (_, n) in out.items()):
+            continue
+        out[term] = (lift, a)
+    assert toxicity._choose(rows, 100, 200, None) == {t: x for t, (x, _) in out.items()} and 5 < len(out) < len(rows)
