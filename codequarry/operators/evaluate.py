@@ -24,8 +24,9 @@ def ranking_metrics(ranked: DataFrame, expected: DataFrame, k: int = 5, by: list
 
 
 def variant_means(metrics: DataFrame, by: list[str]) -> DataFrame:
-    """AGG15: means per variant, to 4 places."""
-    return metrics.groupBy(*by).agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 4).alias("recall"), F.round(F.avg("mrr"), 4).alias("mrr"))
+    """AGG15: means per variant, to 4 places; of latency_ms, where metrics have it, to 2."""
+    latency = [F.round(F.avg("latency_ms"), 2).alias("latency_ms")] if "latency_ms" in metrics.columns else []
+    return metrics.groupBy(*by).agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 4).alias("recall"), F.round(F.avg("mrr"), 4).alias("mrr"), *latency)
 
 
 def match_truth(findings: DataFrame, truth: DataFrame, tolerance: int = 5) -> DataFrame:
@@ -106,3 +107,45 @@ def patch_metrics(patches: DataFrame) -> DataFrame:
     return patches.select(
         "variant", valid.cast("int").alias("valid"), (valid & X.defect_removed(d, F.col("defect_snippet"))).cast("int").alias("resolved"), F.size(F.array_except(files, "known_files")).alias("fabricated"), F.size(F.array_except(files, clean("expected_files"))).alias("unnecessary"),
         F.when(F.col("plan_files").isNotNull(), (F.size(F.array_except("plan_files", "known_files")) == 0).cast("int")).alias("grounded"), F.col("escalated").cast("int").alias("escalated"), "revisions", "latency_ms")
+
+
+# The remediation pipelines that are compared, and what the first, without a plan, changes beside the fix (fixed values).
+PIPELINES = ["DIRECT_LLM", "FIXPLAN_PATCH", "FIXPLAN_PATCH_VERIFICATION", "FULL_PIPELINE"]
+STRAY = "\n--- a/README.md\n+++ b/README.md\n@@ -1,1 +1,2 @@\n # Project\n+## Fixed issues\n"
+
+
+def remediation_variants(fixtures: DataFrame) -> DataFrame:
+    """PIP12: what each pipeline makes of each fixture, without a model: variant and the columns that patch_rates() reads.
+
+    fixtures: issue_id, good_diff, defect_snippet, expected_files, known_files, category, and latency_ms where measured. The first pipeline strays into
+    another file and has no plan; the others plan the expected files; the last two are verified; the last lets a critic see what concerns security.
+    """
+    v, security = F.col("variant"), F.coalesce(F.col("category") == "security", F.lit(False))
+    rows = fixtures.select("*", F.explode(F.array(*map(F.lit, PIPELINES))).alias("variant"))
+    return rows.select(
+        "variant", "issue_id", F.when(v == PIPELINES[0], F.concat("good_diff", F.lit(STRAY))).otherwise(F.col("good_diff")).alias("unified_diff"), "defect_snippet", "expected_files", "known_files", F.when(v != PIPELINES[0], F.col("expected_files")).alias("plan_files"),
+        F.when(v.isin(PIPELINES[2:]), F.lit(False)).alias("verifier_rejected"), F.when(v == PIPELINES[3], security).alias("critic_invoked"), F.lit(False).alias("revision_applied"),
+        F.when(v == PIPELINES[0], 1).when((v == PIPELINES[3]) & security, 3).otherwise(2).alias("model_calls"), (F.col("latency_ms") if "latency_ms" in fixtures.columns else F.lit(0.0)).alias("latency_ms"))
+
+
+def patch_rates(patches: DataFrame) -> DataFrame:
+    """variant, issue_id, valid, resolved, grounded (null: no plan), fabricated_rate, unnecessary_rate and what else patches have of a run: one row a patch. A diff that isn't one names no files and resolves nothing."""
+    d = F.coalesce("unified_diff", F.lit(""))
+    valid = X.is_unified_diff(d)
+    files = F.when(valid, X.diff_files(d)).otherwise(F.array().cast("array<string>"))
+    clean = lambda c: F.transform(c, lambda p: F.regexp_replace(F.replace(p, F.lit("\\"), F.lit("/")), "^/+", ""))
+    share = lambda beyond: F.round(F.coalesce(F.try_divide(F.size(F.array_except(files, beyond)), F.size(files)), F.lit(0.0)), 4)
+    return patches.select(
+        "variant", "issue_id", valid.alias("valid"), (valid & X.defect_removed(d, F.col("defect_snippet"))).alias("resolved"), F.when(F.col("plan_files").isNotNull(), F.size(F.array_except("plan_files", "known_files")) == 0).alias("grounded"),
+        share(F.col("known_files")).alias("fabricated_rate"), share(clean("expected_files")).alias("unnecessary_rate"), "verifier_rejected", "critic_invoked", "revision_applied", "model_calls", "latency_ms")
+
+
+def pipeline_report(rates: DataFrame) -> DataFrame:
+    """PIP12, AGG17: a row per pipeline with the counts and means of patch_rates(); a pipeline without patches has none."""
+    n = lambda c: F.count_if(F.col(c))
+    mean = lambda c, places: F.round(F.avg(F.col(c).cast("double")), places)
+    count = F.count("*")
+    return rates.groupBy("variant").agg(
+        count.alias("total_findings"), n("valid").alias("valid_diff_count"), F.round(n("valid") / count, 4).alias("valid_diff_rate"), mean("fabricated_rate", 4).alias("fabricated_path_rate"), n("resolved").alias("target_resolution_count"), F.round(n("resolved") / count, 4).alias("target_resolution_rate"),
+        mean("unnecessary_rate", 4).alias("unnecessary_file_change_rate"), mean("grounded", 4).alias("plan_evidence_grounding_rate"), n("verifier_rejected").alias("verifier_rejection_count"), F.round(n("verifier_rejected") / count, 4).alias("verifier_rejection_rate"), n("critic_invoked").alias("critic_invocations"),
+        n("revision_applied").alias("patch_revision_count"), F.round(n("revision_applied") / count, 4).alias("patch_revision_rate"), mean("model_calls", 2).alias("avg_model_calls"), mean("latency_ms", 2).alias("avg_latency_ms"))

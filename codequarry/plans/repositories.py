@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.operators import applying, batch, delivering, telemetry, verifying
+from codequarry.operators import applying, batch, delivering, evaluate, patching, telemetry, verifying
 from codequarry.plans.named import QUERIES, named, t
 from codequarry.plans.rules import pick
 from codequarry.sources import vectors
@@ -219,3 +219,36 @@ def scanner_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG23: from the metadata of half of the scans, from events of the others."""
     scans, events, *_ = _scan_tables(spark, sf_dir)
     return telemetry.scanner_coverage(scans, events).drop("execution_time_ms")
+
+
+# --- benchmarks and regressions
+
+
+@named("q_remediation_benchmark", """WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS k, p_size % 3 > 0 AS ok, v FROM part, (VALUES (0), (1), (2), (3)) x(v)), r AS (SELECT *, ok OR v = 0 AS valid,
+ CASE WHEN v = 0 THEN (CASE WHEN k % 5 = 0 THEN 2 ELSE 1 END) / 2.0 WHEN ok AND k % 5 = 0 THEN 1.0 ELSE 0 END AS f, CASE WHEN v = 0 THEN (CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END) / 2.0 WHEN ok AND k % 4 = 0 THEN 1.0 ELSE 0 END AS u FROM p)
+SELECT ['DIRECT_LLM', 'FIXPLAN_PATCH', 'FIXPLAN_PATCH_VERIFICATION', 'FULL_PIPELINE'][v + 1] AS variant, count(*) AS total_findings, count(*) FILTER (WHERE valid) AS valid_diff_count, round(count(*) FILTER (WHERE valid) / count(*), 4) AS valid_diff_rate, round(avg(f), 4) AS fabricated_path_rate,
+ count(*) FILTER (WHERE valid AND k % 2 = 0) AS target_resolution_count, round(count(*) FILTER (WHERE valid AND k % 2 = 0) / count(*), 4) AS target_resolution_rate, round(avg(u), 4) AS unnecessary_file_change_rate, CASE WHEN v > 0 THEN round(count(*) FILTER (WHERE k % 4 > 0 AND k % 5 > 0) / count(*), 4) END AS plan_evidence_grounding_rate,
+ CAST(0 AS BIGINT) AS verifier_rejection_count, CAST(0 AS DOUBLE) AS verifier_rejection_rate, count(*) FILTER (WHERE v = 3 AND k % 6 = 0) AS critic_invocations, CAST(0 AS BIGINT) AS patch_revision_count, CAST(0 AS DOUBLE) AS patch_revision_rate,
+ round(avg(CASE WHEN v = 0 THEN 1.0 WHEN v = 3 AND k % 6 = 0 THEN 3 ELSE 2 END), 2) AS avg_model_calls, round(avg(k % 16 / 4.0), 2) AS avg_latency_ms FROM r GROUP BY v""")
+def remediation_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIP12, AGG15, AGG17: four pipelines over a fixture for every part."""
+    k = F.col("p_partkey").cast("long")
+    name = F.format_string("d/%d.py", k)
+    diff = F.concat(F.lit("--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n"), F.when(F.col("p_size") % 3 > 0, "@@ -1 +1 @@\n").otherwise(""), F.lit("-"), "p_name", F.lit("\n+x\n"))
+    fixtures = t(spark, sf_dir, "part").select(
+        k.alias("issue_id"), diff.alias("good_diff"), F.when(k % 2 == 0, F.col("p_name")).otherwise("never there").alias("defect_snippet"), F.array(F.when(k % 4 == 0, "x.py").otherwise(name)).alias("expected_files"), F.array(F.when(k % 5 == 0, "other.py").otherwise(name)).alias("known_files"),
+        F.when(k % 6 == 0, "security").otherwise("bug").alias("category"), (k % 16 / 4.0).alias("latency_ms"))
+    return evaluate.pipeline_report(evaluate.patch_rates(evaluate.remediation_variants(fixtures)))
+
+
+@named("q_new_high_varied", """WITH f AS (SELECT c_custkey AS k, ['semgrep', 'trivy', 'osv'][CAST(c_custkey % 3 + 1 AS INTEGER)] AS tool, 'r' || c_nationkey AS rule_id, 'f' || c_custkey % 17 AS file_path, ['HIGH', 'CRITICAL', 'LOW', 'MEDIUM'][CAST(c_custkey // 3 % 4 + 1 AS INTEGER)] AS severity FROM customer),
+b AS (SELECT DISTINCT tool, rule_id, file_path, severity FROM f WHERE k // 12 % 2 = 0) SELECT k AS finding_id, f.tool, f.severity FROM f LEFT JOIN b ON b.tool = f.tool AND b.rule_id = f.rule_id AND b.file_path = f.file_path AND b.severity = f.severity WHERE f.tool <> 'osv' AND f.severity IN ('HIGH', 'CRITICAL') AND b.tool IS NULL""")
+def new_high_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN24: findings of three tools, one of which didn't complete before; half of them were there."""
+    k = F.col("c_custkey").cast("long")
+    after = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("finding_id"), pick(["semgrep", "trivy", "osv"], k).alias("tool"), F.format_string("r%s", F.col("c_nationkey").cast("string")).alias("rule_id"), F.format_string("f%d", k % 17).alias("file_path"), pick(["HIGH", "CRITICAL", "LOW", "MEDIUM"], F.floor(k / 3)).alias("severity"))
+    tools = after.select("tool").distinct()
+    ran = tools.withColumn("status", F.lit("COMPLETED"))
+    before = ran.withColumn("status", F.when(F.col("tool") == "osv", "FAILED").otherwise("COMPLETED"))
+    was = after.where(F.floor(F.col("finding_id") / 12) % 2 == 0).drop("finding_id")
+    return patching.new_high_findings(was, after, before, ran).select("finding_id", "tool", "severity")

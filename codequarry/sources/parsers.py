@@ -23,8 +23,12 @@ _JS_IMPORT = re.compile(r"import\s+(?:type\s+)?(?:(?P<default>[\w$]+)\s*,?\s*)?(
 _JS_FUNCTION = re.compile(r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]+)\s*(?:<[^>]*>)?\(|(?:export\s+)?(?:const|let|var)\s+(?P<arrow>[\w$]+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>")
 _JS_CLASS = re.compile(r"(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>[\w$]+)[^{]*\{")
 _JS_CALL = re.compile(r"(?<![\w$.])(?P<callee>[\w$]+(?:\s*\.\s*[\w$]+)*)\s*\(")
-_JS_WORDS = frozenset("if for while switch catch function return typeof new await constructor super import".split())
-_EXPRESS = re.compile(r"^(?:app|router|apiRouter|server|routes|\w*Router)\.(get|post|put|delete|patch|options|head|all)$")
+_JS_WORDS = frozenset("async if for while switch catch function return typeof new await constructor super import".split())
+_JS_METHOD = re.compile(r"(?:(?:async|static|get|set|public|private|protected|readonly|override)\s+)*\*?\s*(?P<name>#?[\w$]+)\s*(?:<[^>]*>)?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^{;=]+)?\{")
+# Objects and members of calls that make a route or a request (fixed values).
+_EXPRESS = re.compile(r"^(?:app|router|apiRouter|server|routes|[\w$.]*Router)\.(get|post|put|delete|patch|use|all)$", re.I)
+_AXIOS = re.compile(r"^axios(?:\.(?:get|post|put|delete|patch|request))?$")
+_FETCH_METHODS = ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"]
 
 
 def _text(node: ast.AST) -> str | None:
@@ -75,17 +79,23 @@ class _Python(ast.NodeVisitor):
     def visit_Call(self, node: ast.Call) -> None:
         callee = _dotted(node.func)
         base, _, name = callee.rpartition(".")
-        if re.match(r"^(requests|httpx)\.|client\.(get|post)$", callee):
-            self.add(node, callee, "FETCH_CALL", snippet=(ast.get_source_segment(self.source, node) or "")[:200])
+        text = ast.get_source_segment(self.source, node) or ""
+        if text.startswith(("requests.", "httpx.", "client.get", "client.post")):
+            self.add(node, callee, "FETCH_CALL", snippet=(text.splitlines() or [""])[0])
         caller = self.scope[-1] if self.scope else (None, None, None)
         if name.isidentifier():
             self.calls.append((callee, name, base or None, node.lineno, node.col_offset, *caller))
         self.generic_visit(node)
 
 
-def _blank(source: str) -> str:
-    """The source with comments and template texts blanked, lines and columns unchanged."""
-    return re.sub(r"//[^\n]*|/\*.*?\*/", lambda m: re.sub(r"[^\n]", " ", m[0]), source, flags=re.S)
+#: A string, a template or a comment: whichever begins first.
+_QUOTED = re.compile(r"""'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`|//[^\n]*|/\*.*?\*/""", re.S)
+
+
+def _blank(source: str, strings: bool = False) -> str:
+    """The source with comments blanked, and what stands in strings and templates as well if wanted; lines and columns unchanged."""
+    space = lambda text: re.sub(r"[^\n]", " ", text)
+    return _QUOTED.sub(lambda m: space(m[0]) if m[0][0] == "/" else m[0][0] + space(m[0][1:-1]) + m[0][-1] if strings else m[0], source)
 
 
 def _end(source: str, start: int) -> int:
@@ -110,8 +120,18 @@ def _end(source: str, start: int) -> int:
     return len(source)
 
 
+def _closed(source: str, at: int) -> int:
+    """Position after the bracket that closes the one before at; the end of the source without one."""
+    depth = 1
+    for m in re.compile(r"[()]").finditer(source, at):
+        depth += 1 if m[0] == "(" else -1
+        if not depth:
+            return m.end()
+    return len(source)
+
+
 def javascript(source: str) -> tuple[list[tuple], list[tuple]]:
-    code = _blank(source)
+    code, bare = _blank(source), _blank(source, strings=True)
     starts = [0, *[m.end() for m in re.finditer("\n", code)]]
     import bisect
 
@@ -132,29 +152,47 @@ def javascript(source: str) -> tuple[list[tuple], list[tuple]]:
             if words[0].strip():
                 names[words[-1].strip()] = words[0].strip()
         add(" ".join(m[0].split()), "IMPORT", m.start(), m.end(), source=m["source"], imported_names=names, namespace_import=m["ns"], default_import=m["default"], modules={})
-    for m in _JS_CLASS.finditer(code):
-        add(m["name"], "CLASS", m.start(), _end(code, m.end() - 1))
-    for m in _JS_FUNCTION.finditer(code):
-        name, b = m["name"] or m["arrow"], _end(code, m.end())
+    heads = set()
+    for m in _JS_CLASS.finditer(bare):
+        end = _end(bare, m.end() - 1)
+        add(m["name"], "CLASS", m.start(), end)
+        spans.append((m.start(), end, m["name"], "CLASS", place(m.start())[0]))
+        at = m.end()
+        while (x := _JS_METHOD.search(bare, at, end)) is not None:
+            if x["name"] in _JS_WORDS - {"constructor"} or bare[at : x.start()].count("{") != bare[at : x.start()].count("}"):
+                at = x.end() if x["name"] in _JS_WORDS else _end(bare, bare.index("{", at))
+                continue
+            at, start = _end(bare, x.end() - 1), x.end() - len(x[0].lstrip())
+            heads.add(x.start("name"))
+            add(x["name"], "METHOD", start, at)
+            spans.append((start, at, x["name"], "METHOD", place(start)[0]))
+    for m in _JS_FUNCTION.finditer(bare):
+        name, b = m["name"] or m["arrow"], _end(bare, m.end())
         add(name, "FUNCTION", m.start(), b)
         spans.append((m.start(), b, name, "FUNCTION", place(m.start())[0]))
     calls = []
-    for m in _JS_CALL.finditer(code):
+    for m in _JS_CALL.finditer(bare):
         callee = re.sub(r"\s", "", m["callee"])
-        if callee.split(".")[0] in _JS_WORDS or re.search(r"function\s*\*?\s*$", code[: m.start()]):
+        if callee.split(".")[0] in _JS_WORDS or m.start() in heads or re.search(r"(?:function\s*\*?|\bnew)\s*$", bare[max(0, m.start() - 40) : m.start()]):
             continue
-        b = code.find(")", m.end()) + 1 or len(code)
-        rest = code[m.end() : m.end() + 2000]
-        url = re.match(r"\s*(['\"`])(.*?)\1", rest, re.S)
-        if callee == "fetch" or re.match(r"axios(\.\w+)?$", callee):
-            method = re.search(r"method\s*:\s*['\"](\w+)['\"]", rest[: rest.find(")") + 1 or 400]) if callee == "fetch" else None
-            details = {"url": url[2] if url else "unknown", "target": callee} | ({"http_method": method[1].upper() if method else "GET"} if callee == "fetch" else {})
-            add(url[2] if url else callee, "FETCH_CALL" if callee == "fetch" else "AXIOS_CALL", m.start(), b, **details)
-        elif (r := _EXPRESS.match(callee)) and url:
-            add(f"{r[1].upper()} {url[2]}", "EXPRESS_ROUTE", m.start(), b, http_method=r[1].upper(), path=url[2])
-        base, _, name = callee.rpartition(".")
-        caller = max((s for s in spans if s[0] < m.start() < s[1]), default=(0, 0, None, None, None), key=lambda s: s[0])
-        calls.append((callee, name, base or None, *place(m.start()), *caller[2:]))
+        b = _closed(bare, m.end())
+        inside = code[m.end() : b - 1]
+        text = re.match(r"\s*(?:(['\"`])(.*?)\1|([\w$]+)\s*(?:,|$))", inside, re.S)
+        literal = text[2] if text and text[1] else None
+        if callee == "fetch" or _AXIOS.match(callee):
+            url = (literal if literal is not None else text[3]) if text else "unknown"
+            details = {"url": url, "target": url}
+            if callee == "fetch":
+                method = re.search(r"['\"]?method['\"]?\s*:\s*['\"`](\w+)['\"`]", inside)
+                details["http_method"] = method[1].upper() if method and method[1].upper() in _FETCH_METHODS else "GET"
+            add(url if literal is not None else callee, "FETCH_CALL" if callee == "fetch" else "AXIOS_CALL", m.start(), b, **details)
+        elif r := _EXPRESS.match(callee):
+            path = literal if literal is not None else "unknown"
+            add(f"{r[1].upper()} {path}", "EXPRESS_ROUTE", m.start(), b, http_method=r[1].upper(), path=path)
+        else:
+            base, _, name = callee.rpartition(".")
+            caller = max((s for s in spans if s[0] < m.start() < s[1]), default=(0, 0, None, None, None), key=lambda s: s[0])
+            calls.append((callee, name, base or None, *place(m.start()), *caller[2:]))
     symbols.sort(key=lambda s: (s[2], s[4]))
     return symbols, calls
 

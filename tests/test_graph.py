@@ -141,3 +141,20 @@ def test_javascript_and_http_client_symbols(spark):
     assert imports["./m"]["imported_names"] == {"one": "one", "deux": "two"} and imports["./m"]["default_import"] == "def" and imports["./n"]["namespace_import"] == "ns"
     own = [r["details"] for r in rows if r["path"] == "h.py" and r["kind"] == "FETCH_CALL"]
     assert len(own) == 2 and all(d["snippet"] and d["url"] is None for d in own)  # client.delete is none of them
+
+
+def test_javascript_strings_comments_methods_and_routes():
+    source = """fetch('https://api.x.com/v1/items', {method: 'POST'}); // fetch('/gone')
+const s = "fetch('/inside')"; /* axios.get('/gone') */
+class Svc extends Base {
+  constructor(x) { super(x); if (x) { run(x); } }
+  async load(id: string): Promise<void> { await fetch(url); return new Svc(); }
+}
+app.use(cors()); app.use('/api', r); v1Router.all('/z', h); app.options('/no', h); axios.request(conf);
+"""
+    symbols, calls = parsers.javascript(source)
+    got = {(s[1], s[0], s[2]) for s in symbols}
+    assert got == {("FETCH_CALL", "https://api.x.com/v1/items", 1), ("CLASS", "Svc", 3), ("METHOD", "constructor", 4), ("METHOD", "load", 5), ("FETCH_CALL", "fetch", 5), ("EXPRESS_ROUTE", "USE unknown", 7), ("EXPRESS_ROUTE", "USE /api", 7), ("EXPRESS_ROUTE", "ALL /z", 7), ("AXIOS_CALL", "axios.request", 7)}
+    details = {s[0]: s[6] for s in symbols}
+    assert details["https://api.x.com/v1/items"] == {"url": "https://api.x.com/v1/items", "target": "https://api.x.com/v1/items", "http_method": "POST"} and details["fetch"]["url"] == "url" and details["axios.request"]["url"] == "conf"
+    assert [(c[0], *c[5:7]) for c in calls] == [("run", "constructor", "METHOD"), ("cors", None, None), ("app.options", None, None)]

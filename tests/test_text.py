@@ -65,3 +65,10 @@ def test_diff_grammar(spark):
 def test_cosine(spark, a, b, want):
     df = spark.createDataFrame([(a, b)], "a array<double>, b array<double>")
     assert df.select(X.cosine(F.col("a"), F.col("b"))).first()[0] == pytest.approx(want)
+
+
+def test_owner_and_repository(spark):
+    urls = {"https://github.com/own/repo": ("own", "repo"), "https://github.com/own/repo.git/": ("own", "repo"), "git@github.com:own/re.po.git": ("own", "re.po"), "http://github.com/a/b/": ("a", "b"), "https://gitlab.com/a/b": ("", ""), "": ("", "")}
+    owner, name = X.owner_repo(F.col("u"))
+    got = {r["u"]: (r["o"], r["n"]) for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", owner.alias("o"), name.alias("n")).collect()}
+    assert got == urls
