@@ -18,6 +18,8 @@ from codequarry.tables import kept
 
 #: Characters of a gram, and how many of a string's rarest grams are intersected before it is verified.
 GRAM, RAREST = 3, 2
+#: Grams that a text is asked for one by one.
+FEW = 256
 #: Channels in order of their names in a result.
 CHANNELS = ["exact", "lexical", "dense", "graph"]
 QUERY = ["repo", "query_id"]
@@ -29,11 +31,21 @@ def grams(text: Column, size: int = GRAM) -> Column:
 
 
 def postings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """repo, chunk_id, gram: where texts (repo, chunk_id, text) hold a gram of wanted (repo, gram)."""
-    sizes = [r[0] for r in wanted.select(F.length("gram").alias("n")).distinct().collect()]  # GRAM numbers at most
-    parts = [texts.select("repo", "chunk_id", F.explode(grams(F.col("text"), n)).alias("gram")) for n in sorted(sizes)]
-    every = reduce(lambda a, b: a.unionByName(b), parts) if parts else texts.select("repo", "chunk_id", F.lit("").alias("gram")).limit(0)
-    return every.join(wanted.distinct(), ["repo", "gram"], "left_semi")
+    """repo, chunk_id, gram: where texts (repo, chunk_id, text) hold a gram of wanted (repo, gram).
+
+    Where a repository's queries want FEW grams or fewer, each text is asked for them; beyond, its own grams are listed and those wanted stay.
+    """
+    wanted = wanted.distinct()
+    counted = kept(wanted.join(wanted.groupBy("repo").agg(F.count("*").alias("n")), "repo"), "grams-wanted")
+    few = counted.where(F.col("n") <= FEW).groupBy("repo").agg(F.collect_list("gram").alias("grams"))
+    asked = texts.join(few, "repo").select("repo", "chunk_id", F.explode(F.filter("grams", lambda g: F.contains(F.col("text"), g))).alias("gram"))
+    many = counted.where(F.col("n") > FEW)
+    sizes = [r[0] for r in many.select(F.length("gram").alias("n")).distinct().collect()]  # GRAM numbers at most
+    if not sizes:
+        return asked
+    rest = texts.join(many.select("repo").distinct(), "repo", "left_semi")
+    listed = reduce(lambda a, b: a.unionByName(b), [rest.select("repo", "chunk_id", F.explode(grams(F.col("text"), n)).alias("gram")) for n in sorted(sizes)])
+    return asked.unionByName(listed.join(many.select("repo", "gram"), ["repo", "gram"], "left_semi").select("repo", "chunk_id", "gram"))
 
 
 def occurrences(chunks: DataFrame, strings: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from codequarry.operators import batch, retrieval
@@ -19,7 +20,9 @@ def table(spark):
     return spark.createDataFrame(rows, CHUNKS)
 
 
-def test_occurrences_equal_a_scan_for_every_string(spark):
+@pytest.mark.parametrize("few", [256, 12])
+def test_occurrences_equal_a_scan_for_every_string(spark, monkeypatch, few):
+    monkeypatch.setattr(batch, "FEW", few)
     c = table(spark)
     strings = ["login", "log", "aa", "a", "u", "ser_id", "é", "\U0001d538b", "foo.bar route", "web/app", "nowhere", "in l"]
     df = spark.createDataFrame([(r, x) for r in ("one", "two") for x in strings[: None if r == "one" else 6]], "repo string, string string")
