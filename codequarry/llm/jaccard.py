@@ -4,7 +4,7 @@ Two sets of n tokens with Jaccard similarity of at least t must share a token am
 the first n - ceil(t n) + 1 of each, under any one order of all tokens, and their first shared
 token stands no later than their sizes allow. A pair is only compared if it passes under every order used:
 
-1. A hash order, with tokens known as frequent last, finds buckets of documents that share a prefix token. Buckets of a
+1. A hash order, with tokens known as frequent last (the most frequent by their counts, all others by a map of their hashes), finds buckets of documents that share a prefix token. Buckets of a
    few documents propose their pairs at once. Documents of larger buckets go on to
 2. the order by rising document frequency, counted over all tokens of these documents. Tokens that one document alone
    holds come first there, so an edited copy that is too far from the others has none of their tokens in its prefix,
@@ -32,8 +32,10 @@ from codequarry.llm.substring_dedup import WORDS, _lists, mix, word_hashes
 
 #: Tokens in a share of the hash range come first in the order, and are counted: so many times the share that a prefix takes.
 COUNTED = 1.5
-#: Frequent tokens whose counts order the prefixes; fixed, so their broadcast is bounded (16 bytes each).
+#: The most frequent tokens, whose counts order the prefixes; fixed, so their broadcast is bounded (16 bytes each). All others that
+#: FREQUENT_FROM classes hold stand between those and the rare ones, as marks in a map of USUAL_BITS bits for each, MOST_USUAL in all (32 MB).
 FREQUENT, FREQUENT_FROM = 100_000, 4
+USUAL_BITS, MOST_USUAL = 16, 1 << 28
 #: Buckets of up to so many documents propose all their pairs at once.
 SMALL = 8
 #: Bits of the map that says which rows' sets are needed again (2 MB for any corpus).
@@ -192,19 +194,24 @@ def groups(docs: DataFrame, percent: int = 90, n: int = 3, key_col: str = "doc_i
     members = written(each.select("doc_id", "r1", "r2", "s1", "s2", "n"), "members")
     forget(each)
     counted = classes.select(F.explode("cand").alias("h")).where((F.col("h") >= 0) & (F.col("h") < limit)).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT_FROM)
+    counted = written(counted, "counted")
     top = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas().sort_values("h")  # FREQUENT rows at most
-    frequent = spark.sparkContext.broadcast((top.h.to_numpy(np.int64), top.n.to_numpy(np.int64)))
+    bits = min(MOST_USUAL, 1 << max(15, (USUAL_BITS * counted.count()).bit_length()))
+    usual = _marks(counted.select(F.pmod("h", F.lit(bits)).alias("s")), bits)
+    forget(counted)
+    frequent = spark.sparkContext.broadcast((top.h.to_numpy(np.int64), top.n.to_numpy(np.int64), usual))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = frequent.value
+        known, count, usual = frequent.value
         for b in batches:
             lists = b.column("cand")
             at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            use = np.zeros(len(flat), np.int64)
+            late = ~((flat >= 0) & (flat < limit))
+            # any function of the token orders all sets alike, so tokens that share a mark with a usual one only stand later
+            use = np.where(late, 0, _marked(usual, flat % bits).astype(np.int64))
             if len(known):
                 where = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                use = np.where(known[where] == flat, count[where], 0)
-            late = ~((flat >= 0) & (flat < limit))
+                use = np.where(known[where] == flat, count[where], use)
             sizes = b.column("n").to_numpy()
             take = prefix_size(sizes, percent)
             out = []
@@ -304,27 +311,35 @@ def _sifted(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a", "nx", "x"), "a").join(side("b", "ny", "y"), "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(sift, "a long, b long")
 
 
+def _marks(values: DataFrame, size: int) -> np.ndarray:
+    """A map of the values (s) below size."""
+    parts = values.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
+    bits = np.zeros(size // 8 + 8192, np.uint8)
+    for r in parts.toLocalIterator():  # at most size / 32768 + 1 maps of 4 KB
+        m = np.frombuffer(r["m"], np.uint8)
+        bits[r["b"] * 4096 : r["b"] * 4096 + len(m)] |= m
+    return bits
+
+
+def _marked(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Which of s are in a map of _marks()."""
+    # bit i of bucket k (from 1) stands for value (k - 1) * 32768 + i + 1; bucket 0 holds value 0
+    bucket, bit = np.where(s > 0, 1 + (s - 1) // 32768, 0), np.where(s > 0, (s - 1) % 32768, 0)
+    return ((bits[bucket * 4096 + bit // 8] >> (bit % 8).astype(np.uint8)) & 1).astype(bool)
+
+
 def _sets(rows: DataFrame, light: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     """c, s (sorted tokens) of the classes in needed, from the texts: the corpus is read once more."""
     spark = rows.sparkSession
     needed = written(light.join(needed, "c", "left_semi").select("c", "r1", "r2"), "needed")
-    slot = F.pmod("r1", F.lit(1 << MAP_BITS))
-    parts = needed.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
-    bits = np.zeros((1 << MAP_BITS) // 8 + 8192, np.uint8)
-    for r in parts:  # at most 2 ** (MAP_BITS - 15) + 1 maps of 4 KB
-        m = np.frombuffer(r["m"], np.uint8)
-        bits[r["b"] * 4096 : r["b"] * 4096 + len(m)] |= m
+    bits = _marks(needed.select(F.pmod("r1", F.lit(1 << MAP_BITS)).alias("s")), 1 << MAP_BITS)
     held = spark.sparkContext.broadcast(bits)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("words", WORDS.clear)
         known = held.value
         for b in slices(batches, "text"):
-            # bit i of bucket k (from 1) stands for value (k - 1) * 32768 + i + 1; bucket 0 holds value 0
-            s = np.mod(b.column("r1").to_numpy(), 1 << MAP_BITS)
-            bucket, bit = np.where(s > 0, 1 + (s - 1) // 32768, 0), np.where(s > 0, (s - 1) % 32768, 0)
-            ok = (known[bucket * 4096 + bit // 8] >> (bit % 8).astype(np.uint8)) & 1
-            part = b.filter(pa.array(ok.astype(bool)))
+            part = b.filter(pa.array(_marked(known, np.mod(b.column("r1").to_numpy(), 1 << MAP_BITS))))
             if part.num_rows:
                 yield pa.RecordBatch.from_arrays([part.column("r1"), part.column("r2"), _lists([shingles(t, n).view(np.int64) for t in part.column("text").to_pylist()], pa.int64())], names=["r1", "r2", "s"])
 

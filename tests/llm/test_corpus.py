@@ -814,3 +814,23 @@ def test_pipeline_stages(spark):
             assert after == {ids[d] for d, x in want.items() if not x[4]}
         if name in ("line_dedup", "byte_bpe"):
             assert after == set(before)
+
+
+def test_jaccard_usual_tokens_beyond_the_counted_ones_keep_out_of_prefixes(spark, monkeypatch):
+    """A corpus with more repeated tokens than the table of counts holds: its documents don't go on to the second order for that."""
+    rng = random.Random(8)
+    phrases = [" ".join(f"p{k}_{i}" for i in range(6)) for k in range(120)]
+    docs = [(i, " ".join([f"w{rng.random()}" for _ in range(300)] + rng.sample(phrases, 8))) for i in range(300)]
+    docs.append((300, docs[0][1] + " more"))
+    crowded, plain = [], jaccard.written
+
+    def seen(df, name):
+        out = plain(df, name)
+        crowded.extend([out.count()] if name == "many" else [])
+        return out
+
+    monkeypatch.setattr(jaccard, "FREQUENT", 1)
+    monkeypatch.setattr(jaccard, "written", seen)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(300)} | {300: 0}
+    assert crowded[0] < 30
