@@ -32,36 +32,54 @@ def related_paths(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
     return cut(same).unionByName(cut(longer)).unionByName(cut(shorter)).distinct()
 
 
+def _routed(requests: DataFrame, routes: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Requests (keys, request_id, p, m, rp: the route path that they meet, null for none) and routes (keys, rp, rm, route_seq, route_id).
+
+    Paths are matched once each, whatever the number of requests and routes that share them: suffixes of either side meet in equi-joins.
+    """
+    req = requests.select(*keys, "request_id", X.route_path(F.col("path")).alias("p"), F.upper("method").alias("m")).distinct()
+    rt = routes.select(*keys, "route_seq", "route_id", X.route_path(F.col("path")).alias("rp"), F.upper("method").alias("rm"))
+    paths = rt.groupBy(*keys, F.col("rp").alias("p")).agg(F.min("route_seq").alias("first"))
+    open_ = req.where("p <> '/'").select(*keys, "p").distinct().join(paths, [*keys, "p"], "left_anti")
+    named = paths.where("p <> '/'")
+    longer = open_.select(*keys, "p", F.explode(X.path_suffixes(F.col("p"))).alias("k")).join(named.withColumnRenamed("p", "k"), [*keys, "k"]).select(*keys, "p", "first", F.col("k").alias("rp"))
+    ends = named.select(*keys, F.col("p").alias("rp"), "first", F.explode(X.path_suffixes(F.col("p"))).alias("p")).groupBy(*keys, "p").agg(F.min_by("rp", "first").alias("rp"), F.min("first").alias("first"))
+    best = longer.unionByName(open_.join(ends, [*keys, "p"])).groupBy(*keys, "p").agg(F.min_by("rp", "first").alias("rp"))
+    return req.join(paths.select(*keys, "p", F.col("p").alias("rp")).unionByName(best), [*keys, "p"], "left"), rt
+
+
+def contract_counts(requests: DataFrame, routes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, request_id, path, method, status, n (routes of the path that the request meets), same (those of its method): contracts() without its lists.
+
+    Routes are counted by path and method before requests meet them, so many of both on one path cost no more than their rows.
+    """
+    keys = keys or []
+    req, rt = _routed(requests, routes, keys)
+    every = rt.groupBy(*keys, "rp").agg(F.count("route_id").alias("n"))
+    own = rt.groupBy(*keys, "rp", F.col("rm").alias("m")).agg(F.count("*").alias("same"))
+    out = req.join(every, [*keys, "rp"], "left").join(own, [*keys, "rp", "m"], "left").na.fill(0, ["n", "same"])
+    status = F.when(F.col("n") == 0, "UNMATCHED_FRONTEND_REQUEST").when(F.col("same") == 1, "MATCHED").when(F.col("same") > 1, "AMBIGUOUS_MATCH").otherwise("METHOD_MISMATCH")
+    return out.select(*keys, "request_id", F.col("p").alias("path"), F.col("m").alias("method"), status.alias("status"), "n", "same")
+
+
 def contracts(requests: DataFrame, routes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, request_id, path, method, status, route_ids, methods: JN1-3.
 
     requests: keys, request_id, path, method. routes: keys, route_seq, route_id, path, method. A request meets the routes of its
     canonical path; without any, those of the first route path (by route_seq) that is a suffix of its own or the other way
-    round, / left out. The suffix join is an equi-join on exploded suffixes. Rows with null methods match none. keys (none: one repository a
-    call) name the repository: nothing meets across them.
+    round, / left out. Rows with null methods match none. keys (none: one repository a
+    call) name the repository: nothing meets across them. Every request lists its routes: where many of both share a path the result is their product;
+    contract_counts() is not.
     """
     keys = keys or []
-    req = requests.select(*keys, "request_id", X.route_path(F.col("path")).alias("p"), F.upper("method").alias("m"))
-    rt = routes.select(*keys, "route_seq", "route_id", X.route_path(F.col("path")).alias("p"), F.upper("method").alias("rm"))
-    paths = rt.groupBy(*keys, "p").agg(F.min("route_seq").alias("first"))
-    direct = req.join(paths.select(*keys, "p"), [*keys, "p"], "left_semi").select(*keys, "request_id", "p", "m", F.col("p").alias("rp"))
-    rest = req.join(paths.select(*keys, "p"), [*keys, "p"], "left_anti")
-    open_ = rest.where("p <> '/'")
-    named = paths.where("p <> '/'")
-    longer = open_.select(*keys, "request_id", F.explode(X.path_suffixes(F.col("p"))).alias("k")).join(named.withColumnRenamed("p", "k"), [*keys, "k"]).select(*keys, "request_id", "first", F.col("k").alias("rp"))
-    shorter = named.select(*keys, F.col("p").alias("rp"), "first", F.explode(X.path_suffixes(F.col("p"))).alias("k")).join(open_.select(*keys, "request_id", F.col("p").alias("k")), [*keys, "k"]).select(*keys, "request_id", "first", "rp")
-    best = longer.unionByName(shorter).groupBy(*keys, "request_id").agg(F.min_by("rp", "first").alias("rp"))
-    cand = direct.unionByName(rest.join(best, [*keys, "request_id"], "left").select(*keys, "request_id", "p", "m", "rp"))
-    met = cand.join(rt.select(*keys, F.col("p").alias("rp"), "route_seq", "route_id", "rm"), [*keys, "rp"], "left")
-    g = met.groupBy(*keys, "request_id", "p", "m").agg(
-        F.count("route_id").alias("n"), F.count_if(F.col("rm") == F.col("m")).alias("same"),
-        F.array_sort(F.collect_list(F.when(F.col("rm") == F.col("m"), F.struct("route_seq", "route_id")))).alias("hit"),
-        F.array_sort(F.collect_list(F.when(F.col("route_id").isNotNull(), F.struct("route_seq", "route_id")))).alias("every"),
-        F.array_sort(F.collect_set("rm")).alias("methods"),
-    )
-    status = F.when(F.col("n") == 0, "UNMATCHED_FRONTEND_REQUEST").when(F.col("same") == 1, "MATCHED").when(F.col("same") > 1, "AMBIGUOUS_MATCH").otherwise("METHOD_MISMATCH")
-    ids = F.transform(F.when(F.col("same") > 0, F.col("hit")).otherwise(F.col("every")), lambda x: x["route_id"])
-    return g.select(*keys, "request_id", F.col("p").alias("path"), F.col("m").alias("method"), status.alias("status"), ids.alias("route_ids"), "methods")
+    req, rt = _routed(requests, routes, keys)
+    lists = rt.groupBy(*keys, "rp").agg(F.array_sort(F.collect_list(F.struct("route_seq", "route_id", "rm"))).alias("all"), F.array_sort(F.collect_set("rm")).alias("methods"))
+    counts = contract_counts(requests, routes, keys).select(*keys, "request_id", F.col("path").alias("p"), F.col("method").alias("m"), "status", "same")
+    on = [req[k].eqNullSafe(counts[k]) for k in (*keys, "request_id", "p", "m")]
+    met = req.join(counts, on).select(*[req[c] for c in req.columns], "status", "same").join(lists, [*keys, "rp"], "left")
+    ids = F.transform(F.filter("all", lambda x: F.when(F.col("same") > 0, F.coalesce(x["rm"] == F.col("m"), F.lit(False))).otherwise(x["route_id"].isNotNull())), lambda x: x["route_id"])
+    none = lambda c, like: F.coalesce(c, F.array().cast(like))
+    return met.select(*keys, "request_id", F.col("p").alias("path"), F.col("m").alias("method"), "status", none(ids, f"array<{dict(rt.dtypes)['route_id']}>").alias("route_ids"), none(F.col("methods"), "array<string>").alias("methods"))
 
 
 def contract_totals(matched: DataFrame) -> DataFrame:

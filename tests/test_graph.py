@@ -158,3 +158,12 @@ app.use(cors()); app.use('/api', r); v1Router.all('/z', h); app.options('/no', h
     details = {s[0]: s[6] for s in symbols}
     assert details["https://api.x.com/v1/items"] == {"url": "https://api.x.com/v1/items", "target": "https://api.x.com/v1/items", "http_method": "POST"} and details["fetch"]["url"] == "url" and details["axios.request"]["url"] == "conf"
     assert [(c[0], *c[5:7]) for c in calls] == [("run", "constructor", "METHOD"), ("cors", None, None), ("app.options", None, None)]
+
+
+def test_contract_counts_of_many_requests_and_routes_on_one_path(spark):
+    """Counts don't pair requests with routes: 200 million pairs on one path here."""
+    n = 20000
+    req = spark.range(n).selectExpr("id as request_id", "concat('/a/', '{id}') as path", "'get' as method").unionByName(spark.createDataFrame([(-1, "/x/only", "PUT"), (-2, "/none", "GET")], "request_id long, path string, method string"))
+    routes = spark.range(n // 2).selectExpr("id as route_seq", "id as route_id", "'/a/{k}' as path", "if(id = 7, 'GET', 'POST') as method").unionByName(spark.createDataFrame([(50000, 50000, "/only", "PUT")], "route_seq long, route_id long, path string, method string"))
+    got = {tuple(r) for r in graph.contract_counts(req, routes).groupBy("path", "method", "status", "n", "same").count().collect()}
+    assert got == {("/a/{param}", "GET", "MATCHED", n // 2, 1, n), ("/x/only", "PUT", "MATCHED", 1, 1, 1), ("/none", "GET", "UNMATCHED_FRONTEND_REQUEST", 0, 0, 1)}
