@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,38 +68,49 @@ def hunk_errors(lines: DataFrame) -> DataFrame:
     return h.withColumn("error", error).where("error is not null").select("patch_id", "path", "hunk_idx", "error")
 
 
+def _applied(original: str | None, path: str, lines: list[dict]) -> tuple[str | None, str | None]:
+    """A file's content after its lines of a diff, in order, or the reason why they can't be applied."""
+    out, at = [], 0
+    source = original.split("\n") if original is not None else []
+    error = "path leaves the repository" if re.search(r"(^|/)\.\.(/|$)|^/|^[A-Za-z]:", path) else None
+    for _, part in groupby(lines, key=itemgetter("hunk_idx")):
+        h = list(part)
+        start = max(0, h[0]["orig_start"] - (1 if h[0]["orig_count"] else 0))
+        if start < at:
+            error = error or "overlapping hunks"
+            break
+        old = [x["content"] for x in h if x["prefix"] != "+"]
+        new = [x["content"] for x in h if x["prefix"] != "-"]
+        if len(old) != h[0]["orig_count"] or len(new) != h[0]["new_count"]:
+            error = error or "count mismatch"
+            break
+        if source[start : start + len(old)] != old:
+            error = error or "context mismatch"
+            break
+        out += source[at:start] + new
+        at = start + len(old)
+    return (None if error else "\n".join(out + source[at:])), error
+
+
 def apply(lines: DataFrame, files: DataFrame) -> DataFrame:
     """SNK9: patch_id, path, content, error: each patched file, strictly: context and removed lines must stand where the header says.
 
-    files: path, content. A group is one file of one patch. A file that doesn't exist may only be created.
+    files: path, content. The lines of one file of one patch become a row, which meets that file's content once. A file that doesn't exist may only be created.
     """
-    joined = lines.join(files.select("path", F.col("content").alias("original")), "path", "left")
-
-    def patch(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["hunk_idx", "line_idx"])
-        first = pdf.iloc[0]
-        error, out, at = None, [], 0
-        source = first.original.split("\n") if isinstance(first.original, str) else []
-        if re.search(r"(^|/)\.\.(/|$)|^/|^[A-Za-z]:", first.path):
-            error = "path leaves the repository"
-        for _, h in pdf.groupby("hunk_idx"):
-            start = max(0, int(h.orig_start.iloc[0]) - (1 if h.orig_count.iloc[0] else 0))
-            if start < at:
-                error = error or "overlapping hunks"
-                break
-            old = [c for p, c in zip(h.prefix, h.content, strict=True) if p != "+"]
-            new = [c for p, c in zip(h.prefix, h.content, strict=True) if p != "-"]
-            if len(old) != h.orig_count.iloc[0] or len(new) != h.new_count.iloc[0]:
-                error = error or "count mismatch"
-                break
-            if source[start : start + len(old)] != old:
-                error = error or "context mismatch"
-                break
-            out += source[at:start] + new
-            at = start + len(old)
-        return pd.DataFrame([(first.patch_id, first.path, None if error else "\n".join(out + source[at:]), error)], columns=["patch_id", "path", "content", "error"])
-
-    return joined.groupBy("patch_id", "file_idx").applyInPandas(patch, "patch_id string, path string, content string, error string")
+    ship(lines.sparkSession)
+    told = F.array_sort(F.collect_list(F.struct("hunk_idx", "line_idx", "orig_start", "orig_count", "new_count", "prefix", "content")))
+    each = lines.groupBy("patch_id", "file_idx").agg(F.min("path").alias("path"), told.alias("lines"))
+    met = each.join(files.select("path", F.col("content").alias("original")), "path", "left").select("patch_id", "path", "original", "lines")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                done = [_applied(r["original"], r["path"], r["lines"]) for r in part.select(["path", "original", "lines"]).to_pylist()]
+                texts = [pa.array([x[i] for x in done], pa.string()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column("patch_id"), part.column("path"), *texts], names=["patch_id", "path", "content", "error"])
+
+    return met.mapInArrow(run, "patch_id string, path string, content string, error string")
 
 
 def allowed_files(planned: Column, steps: Column) -> Column:
