@@ -48,7 +48,7 @@ def _nodes(routes: DataFrame, keys: list[str]) -> DataFrame:
 
 def matched(requests: DataFrame, routes: DataFrame, keys: list[str]) -> DataFrame:
     """keys, request_id, file, method, url, status of every request."""
-    found = graph.contracts(requests, _nodes(routes, keys), keys).select(*keys, "request_id", "status")
+    found = graph.contract_counts(requests, _nodes(routes, keys), keys).select(*keys, "request_id", "status")
     return requests.withColumnRenamed("path", "url").join(found, [*keys, "request_id"])
 
 
@@ -77,12 +77,14 @@ def contract_changes(base: DataFrame, requests: DataFrame, routes: DataFrame, to
     # routes that could serve those, the changed files' as they are afterwards
     wanted = canon(again, *PATCH).distinct()
     every = graph.related_paths(wanted.select("repo", "p").distinct(), canon(routes, "repo"), ["repo"])
-    could = wanted.withColumnRenamed("p", "lp").join(every, ["repo", "lp"]).select(*PATCH, "rp").distinct()
+    could = kept(wanted.withColumnRenamed("p", "lp").join(every, ["repo", "lp"]).select(*PATCH, "rp").distinct(), "paths-again")
     still = could.join(routes.withColumn("rp", X.route_path(F.col("path"))), ["repo", "rp"]).join(changed, [*PATCH, "file"], "left_anti")
     cols = [*PATCH, "route_id", "file", "route_seq", "method", "path"]
-    after = _defects(matched(again, still.select(cols).unionByName(new_routes.select(cols)), PATCH), PATCH)
+    # written down, as each is read more than once: plans that repeat them grow with every step
+    still = kept(still.select(cols).unionByName(new_routes.select(cols)), "routes-again")
+    after = kept(_defects(matched(again, still, PATCH), PATCH), "defects-after")
     own = changed.join(base, ["repo", "file"]).unionByName(outside.select(*PATCH, "request_id").join(base, ["repo", "request_id"]), allowMissingColumns=True)
-    before = _defects(own, PATCH)
+    before = kept(_defects(own, PATCH), "defects-before")
     return patching.new_identities(before, after, [*PATCH, "file", "method", "url", "status"])
 
 
@@ -172,8 +174,11 @@ def verify(patches: DataFrame, files: DataFrame, frameworks: DataFrame, tools: D
     known = clean(findings_before).select("repo", "tool", F.coalesce("rule_id", F.lit("")).alias("rule"), "file_path", "severity")
     high = after.where(F.col("severity").isin("HIGH", "CRITICAL")).withColumn("rule", F.coalesce("rule_id", F.lit(""))).join(both, [*PATCH, "tool"], "left_semi").join(known, ["repo", "tool", "rule", "file_path", "severity"], "left_anti").groupBy(*PATCH).agg(F.count("*").alias("new_high"))
 
-    paths = files.groupBy("repo").agg(F.collect_set("path").alias("known_files"))
-    checked = patches.join(paths, "repo", "left").select(F.struct(*PATCH).alias("patch_id"), "unified_diff", F.lit(None).cast("array<string>").alias("files_modified"), "known_files", "plan_files")
+    # of a repository's files a patch is shown those that its diff names, and one more: it says that files are known
+    some = files.groupBy("repo").agg(F.min("path").alias("one"))
+    met = named.join(files.select("repo", X.stripped_path(F.col("path")).alias("path")).distinct(), ["repo", "path"], "left_semi").groupBy(*PATCH).agg(F.collect_set("path").alias("met"))
+    known = F.array_compact(F.concat(F.coalesce("met", F.array().cast("array<string>")), F.array("one"))).alias("known_files")
+    checked = patches.join(some, "repo", "left").join(met, PATCH, "left").select(F.struct(*PATCH).alias("patch_id"), "unified_diff", F.lit(None).cast("array<string>").alias("files_modified"), known, "plan_files")
     errs = patching.validate_patch(checked).select("patch_id.*", "errors")
     nodes = node_counts(files, base_symbols, frameworks, applied, new_files, new_symbols)
     plain = graph.nodes_of(files, base_symbols, frameworks, ["repo"]).groupBy("repo").agg(F.count("*").alias("plain_nodes"))
