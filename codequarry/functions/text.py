@@ -1,6 +1,6 @@
 """Column -> Column functions over strings, paths, URLs and hashes (STR*, HSH*, MTH*, DAT*, ARR* of the survey).
 
-All are built-in expressions but char_histogram, which runs as a pandas function; those with transform, aggregate or filter over
+All are built-in expressions but char_histogram, which runs as an Arrow function; those with transform, aggregate or filter over
 arrays are evaluated outside generated code. A null argument gives the value named in each docstring.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +39,9 @@ REDACTIONS = [
     (r"/home/[^\s/:]+", "/home/[HOST_USER]"),
 ]
 
+# Texts without any of these, in lower case, hold nothing that a pattern of REDACTIONS finds: each pattern needs one of them.
+REDACTION_HINTS = ["bearer", "sk-", "gsk_", "hf_", "nvapi-", "aiza", "ghp_", "github_pat_", "eyj", "'", '"', ":\\users\\", "/home/"]
+
 # Patterns whose presence in a patch fails it (fixed values).
 PATCH_SECRETS = [
     (r"(?i)(api[_-]?key|secret[_-]?key|access[_-]?token)\s*=\s*['\"][A-Za-z0-9_\-]{16,}['\"]", "Hardcoded API/Secret Key"),
@@ -107,7 +110,9 @@ def title_key(c: Column) -> Column:
 
 def redact(c: Column) -> Column:
     """STR6: text without secrets and host paths; null gives an empty text."""
-    return _chain(F.coalesce(c, F.lit("")), REDACTIONS)
+    low = F.lower(c)
+    hinted = reduce(lambda a, b: a | b, [low.contains(h) for h in REDACTION_HINTS])
+    return F.when(hinted, _chain(c, REDACTIONS)).otherwise(F.coalesce(c, F.lit("")))
 
 
 def patch_secrets(c: Column) -> Column:
@@ -317,8 +322,8 @@ def event_frame(id_: Column, kind: Column, data: Column) -> Column:
     return F.format_string("id: %d\nevent: %s\ndata: %s\n\n", id_, kind, data)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def char_histogram(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def char_histogram(texts: pa.Array) -> pa.Array:
     """PRJ20: unit vector of code points modulo 16 of the lower-cased text; zeros for an empty or null one."""
 
     def one(text: str | None) -> np.ndarray:
@@ -326,7 +331,11 @@ def char_histogram(texts: pd.Series) -> pd.Series:
         counts = np.bincount(codes, minlength=16).astype(float)
         return counts / (np.linalg.norm(counts) or 1.0)
 
-    return texts.map(one, na_action=None)
+    # a text at a time: a batch is never held as Python strings beside its Arrow buffers
+    flat = np.empty((len(texts), 16))
+    for i, x in enumerate(texts):
+        flat[i] = one(x.as_py())
+    return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * 16, flat.ravel())
 
 
 def inline_code(c: Column) -> Column:

@@ -72,3 +72,23 @@ def test_owner_and_repository(spark):
     owner, name = X.owner_repo(F.col("u"))
     got = {r["u"]: (r["o"], r["n"]) for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", owner.alias("o"), name.alias("n")).collect()}
     assert got == urls
+
+
+def test_every_redaction_has_its_hint(spark):
+    """Texts without a hint are left alone, so each pattern's text must hold one, in either letter case."""
+    from codequarry.operators import report
+
+    secrets = ["BEARER abcdefghijk", "sk-" + "a" * 16, "gsk_" + "a" * 16, "hf_" + "a" * 16, "nvapi-" + "a" * 16, "AIza" + "a" * 20, "ghp_" + "a" * 36, "github_pat_" + "a" * 22, "eyJ" + "a" * 10 + ".eyJ" + "a" * 10 + "." + "a" * 10, "Password: 'abcdefg'", 'api_key="abcdefg"', "C:\\Users\\me", "/home/me"]
+    got = [r["x"] for r in spark.createDataFrame([(s,) for s in [*secrets, "plain", None]], "s string").select(X.redact(F.col("s")).alias("x")).collect()]
+    assert all("[" in x for x in got[:-2]) and got[-2:] == ["plain", ""]
+    assert [report._redacted(s) for s in [*secrets, "plain"]] == got[:-1]
+
+
+def test_redaction_skips_texts_without_a_hint(spark):
+    assert "contains" in str(X.redact(F.col("s")))[:4000].lower()
+
+
+def test_char_histogram_of_null_empty_and_wide_texts(spark):
+    got = [r["v"] for r in spark.createDataFrame([(None,), ("",), ("Aq\U0001f600",)], "s string").select(X.char_histogram(F.col("s")).alias("v")).collect()]
+    assert got[0] == got[1] == [0.0] * 16
+    assert len(got[2]) == 16 and got[2][1] > 0.8 and X.char_histogram.evalType == 250
