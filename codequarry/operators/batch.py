@@ -36,7 +36,7 @@ def postings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     Where a repository's queries want FEW grams or fewer, each text is asked for them; beyond, its own grams are listed and those wanted stay.
     """
     wanted = wanted.distinct()
-    counted = kept(wanted.join(wanted.groupBy("repo").agg(F.count("*").alias("n")), "repo"), "grams-wanted")
+    counted = kept(wanted.join(wanted.groupBy("repo").agg(F.count("*").alias("n")), "repo"), "grams-wanted", plain=True)
     few = counted.where(F.col("n") <= FEW).groupBy("repo").agg(F.collect_list("gram").alias("grams"))
     asked = texts.join(few, "repo").select("repo", "chunk_id", F.explode(F.filter("grams", lambda g: F.contains(F.col("text"), g))).alias("gram"))
     many = counted.where(F.col("n") > FEW)
@@ -58,12 +58,13 @@ def occurrences(chunks: DataFrame, strings: DataFrame) -> DataFrame:
     wanted = strings.select("repo", "string").distinct()
     size = F.least(F.length("string"), F.lit(GRAM))
     own = wanted.select("repo", "string", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("string") - size + 1), lambda i: F.substring(F.col("string"), i, size)))).alias("gram"))
-    own = kept(own, "string-grams")
-    index = kept(postings(texts.select("repo", "chunk_id", F.concat_ws("\n", "c", "s", "p").alias("text")), own.select("repo", "gram")), "postings")
+    own = kept(own, "string-grams", plain=True)
+    index = kept(postings(texts.select("repo", "chunk_id", F.concat_ws("\n", "c", "s", "p").alias("text")), own.select("repo", "gram")), "postings", plain=True)
     rare = own.join(index.groupBy("repo", "gram").agg(F.count("*").alias("n")), ["repo", "gram"], "left")
     # a string with a gram that no chunk holds stands nowhere
     lists = rare.groupBy("repo", "string").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("x")).where(F.col("x")[0]["n"] > 0)
     lists = lists.select("repo", "string", F.slice("x", 1, RAREST).alias("x")).select("repo", "string", F.size("x").alias("k"), F.explode("x").alias("x")).select("repo", "string", "k", "x.gram")
+    lists = kept(lists, "string-lists", plain=True)  # as large as the strings, and known to be so before the postings are read
     could = index.join(lists, ["repo", "gram"]).groupBy("repo", "chunk_id", "string", "k").agg(F.count("*").alias("n")).where("n = k")
     asked = could.groupBy("repo", "chunk_id").agg(F.collect_list("string").alias("strings"))
     found = texts.join(asked, ["repo", "chunk_id"]).select("repo", "chunk_id", "c", "s", "p", F.explode("strings").alias("string"))
@@ -87,7 +88,7 @@ def lexical(queries: DataFrame, chunks: DataFrame, found: DataFrame, symbol_boos
     hits = found.where("in_content + in_symbol > 0").select("repo", "chunk_id", "string", (F.col("in_content") + symbol_boost * F.col("in_symbol")).alias("tf"))
     sizes = chunks.groupBy("repo").agg(F.count("*").alias("docs"))
     weights = hits.groupBy("repo", "string").agg(F.count("*").alias("df")).join(sizes, "repo").select("repo", "string", X.idf(F.col("docs"), F.col("df")).alias("idf"))
-    asked = tokens(queries).join(weights, ["repo", "string"])
+    asked = kept(tokens(queries).join(weights, ["repo", "string"]), "weights", plain=True)
     met = asked.join(hits, ["repo", "string"]).select(*QUERY, "chunk_id", F.struct("at", (F.col("idf") * X.saturation(F.col("tf"))).alias("w")).alias("x"))
     total = F.aggregate(F.array_sort(F.collect_list("x")), F.lit(0.0), lambda s, x: s + x["w"])
     return met.groupBy(*QUERY, "chunk_id").agg((total if digits is None else F.round(total, digits)).alias("score"))
@@ -118,7 +119,7 @@ def dense(queries: DataFrame, vectors: DataFrame, pool: int) -> DataFrame:
 
 def graph(hits: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, seeds: int = 5, out_weight: float = 0.7, in_weight: float = 0.6) -> DataFrame:
     """repo, query_id, chunk_id, score: chunks of files beside those of each query's first exact hits, the seeds left out."""
-    top = kept(_first(hits, seeds, [F.desc("score"), F.col("chunk_id")]).select(*QUERY, "chunk_id"), "seeds")
+    top = kept(_first(hits, seeds, [F.desc("score"), F.col("chunk_id")]).select(*QUERY, "chunk_id"), "seeds", plain=True)
     files = top.join(chunks.select("repo", "chunk_id", "file_path"), ["repo", "chunk_id"]).select(*QUERY, "file_path").distinct()
     at = files.select(*QUERY, F.explode(F.array(F.concat(F.lit("file:"), "file_path"), F.concat(F.lit("test:"), "file_path"))).alias("at"))
     side = lambda here, there, w: at.join(edges.select("repo", F.col(here).alias("at"), F.col(there).alias("id")), ["repo", "at"]).select(*QUERY, "id", F.lit(w).alias("w"))
@@ -137,8 +138,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, top_k: int = 10, vectors: Da
     extra = {"vector": "array<double>", "path_filter": "string", "kind_filter": "string"}
     queries = queries.withColumns({c: F.lit(None).cast(t) for c, t in extra.items() if c not in queries.columns})
     strings = tokens(queries).select("repo", "string").unionByName(phrase(queries).select("repo", "string").where("string <> ''")).distinct()
-    found = kept(occurrences(chunks, strings), "occurrences")
-    hits = kept(exact(queries, chunks, found), "exact")
+    found = kept(occurrences(chunks, strings), "occurrences", plain=True)
+    hits = kept(exact(queries, chunks, found), "exact", plain=True)
     rows = {"exact": hits, "lexical": lexical(queries, chunks, found, digits=digits)}
     if vectors is not None:
         rows["dense"] = dense(queries, vectors, 2 * top_k)

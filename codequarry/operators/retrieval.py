@@ -68,11 +68,11 @@ def ranks(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [*keys, F.desc("score"), "chunk_id"]
     # the ranges are told from a sample: the channels are worked out once, not once more for that
-    laid = kept(kept(rows, "scores").repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranks")
+    laid = kept(kept(rows, "scores").repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranks", plain=True)
     before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = laid.groupBy(*keys, "range").agg(F.count("*").alias("n")).select(*keys, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy(*keys, "range").orderBy(F.desc("score"), "chunk_id"))
-    return laid.join(sizes, [*keys, "range"]).withColumn("rank", own + F.col("before")).drop("range", "before")
+    return laid.join(kept(sizes, "range-sizes", plain=True), [*keys, "range"]).withColumn("rank", own + F.col("before")).drop("range", "before")
 
 
 def fuse(channels: dict[str, DataFrame], k: int = 60) -> DataFrame:

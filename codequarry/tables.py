@@ -26,11 +26,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/codequarry/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet and read back: what non-deterministic plans gave stays as it is, and lost executors cost nothing."""
+#: Spark takes the size of Parquet files for that of their rows. Written like this it is; else millions of keys, packed into less than
+#: spark.sql.autoBroadcastJoinThreshold, are broadcast through the driver.
+PLAIN = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
+
+
+def kept(df: DataFrame, name: str, plain: bool = False) -> DataFrame:
+    """df written as Parquet and read back: what non-deterministic plans gave stays as it is, and lost executors cost nothing.
+
+    plain: neither encoded nor compressed, for tables of keys that are joined.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**(PLAIN if plain else {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_path = path
     return out

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry.operators import batch, retrieval
+from codequarry.tables import kept
 
 CHUNKS = "repo string, chunk_id string, file_path string, symbol string, symbol_kind string, content string"
 
@@ -53,3 +54,19 @@ def test_batch_equals_one_query_at_a_time(spark):
         own = lambda df, repo=repo: df.where(F.col("repo") == repo).drop("repo")
         one = retrieval.retrieve(own(c), text, 6, own(v), vector, own(nodes), own(edges), kind_filter=kind).collect()
         assert sorted(got.get(ident, [])) == [(i, r["chunk_id"], round(r["score"], 9), list(r["channels"])) for i, r in enumerate(one, 1)], ident
+
+
+def test_keys_kept_for_joins_are_as_large_as_their_files(spark):
+    """A million keys packed into a few kilobytes would be broadcast; written plain, they are met by shuffles."""
+    keys = spark.range(1_000_000).selectExpr("'repo' AS repo", "id DIV 100000 AS chunk_id")
+    size = lambda df: int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert size(kept(keys, "packed")) < 10 << 20 < size(kept(keys, "plain", plain=True))
+
+
+@pytest.mark.parametrize("step", ["postings", "occurrences", "exact", "ranks"])
+def test_tables_that_grow_with_the_chunks_are_plain(spark, monkeypatch, step):
+    plain = {}
+    for module in (batch, retrieval):
+        monkeypatch.setattr(module, "kept", lambda df, name, plain_=False, **o: plain.__setitem__(name, o.get("plain", plain_)) or kept(df, name, **o))
+    q = spark.createDataFrame([("one", "a", "login")], "repo string, query_id string, text string")
+    assert batch.retrieve(q, table(spark), 3).count() == 3 and plain[step]
