@@ -168,6 +168,7 @@ def bundles(retrieved: DataFrame, chunks: DataFrame, edges: DataFrame, contracts
     their files by request_id, and whole files' findings, by path, until finding_cap is passed. edges: repo, write_seq, source, target. contracts: repo,
     request_id, frontend_file. findings: repo, file_path, description and others. The caps are the feature: they bound what a context holds.
     """
+    retrieved = kept(retrieved.select(*QUERY, "rank", "chunk_id", "score"), "retrieved", plain=True)
     top = retrieved.where(F.col("rank") <= max_chunks).join(chunks, ["repo", "chunk_id"])
     w = Window.partitionBy(*QUERY).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     top = kept(top.withColumn("__total", F.sum(F.length("content")).over(w)).where((F.col("__total") <= 4 * budget) | (F.col("rank") == 1)).drop("__total"), "context")
@@ -179,6 +180,7 @@ def bundles(retrieved: DataFrame, chunks: DataFrame, edges: DataFrame, contracts
     counts = findings.groupBy("repo", "file_path").agg(F.count("*").alias("n")).join(files, ["repo", "file_path"])
     before = Window.partitionBy(*QUERY).orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
     open_ = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < finding_cap).select(*QUERY, "file_path")
+    open_ = kept(open_, "open-files", plain=True)
     told = findings.join(open_, ["repo", "file_path"])
     pack = lambda df, name: df.groupBy(*QUERY).agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c not in QUERY]))).alias(name))
     chars = told.groupBy(*QUERY).agg(F.sum(F.length("description")).alias("d"))
